@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, secrets, thresholds
+from tessella.llm import mixing, packing, secrets, thresholds, tokens
 from tessella.llm.common import table
 
 
+def op3_orc_token_ids(spark, sf_dir):
+    return tokens.token_file_digest(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
+
+
 def op4_risk_thresholds(spark, sf_dir):
     return thresholds.rule_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -18,5 +22,9 @@ def op6_blob_ledger(spark, sf_dir):
     return secrets.find_secrets(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger)}
+def op7_vector_packing(spark, sf_dir):
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
+
+
+QUERIES = {f.__name__: f for f in (op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing)}
 ORACLES = {"op4_risk_thresholds": thresholds.ORACLE, "op5_weighted_epochs": mixing.ORACLE}
