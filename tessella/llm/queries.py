@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import mixing, packing, resampling, secrets, thresholds, tokens
+from tessella.llm import context_tree, mixing, packing, resampling, secrets, thresholds, tokens
 from tessella.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_importance_resampling(spark, sf_dir):
     return resampling.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
 
 
+def op2_context_tree_lm(spark, sf_dir):
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_orc_token_ids(spark, sf_dir):
     return tokens.token_file_digest(table(spark, sf_dir, "documents"), tokens.vocabulary("word_bpe_49k.json"))
 
@@ -30,5 +34,5 @@ def op7_vector_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing)}
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_context_tree_lm, op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing)}
 ORACLES = {"op4_risk_thresholds": thresholds.ORACLE, "op5_weighted_epochs": mixing.ORACLE}
