@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -12,11 +13,12 @@ from tessella.llm.common import WorkFolder, slices
 from tessella.llm.words import mix
 
 #: Bytes of context.
-DEPTH = 4
+DEPTH = 6
 #: Bytes of text that are counted and scored together.
-BUCKET_BYTES = 48 << 20
+BUCKET_BYTES = 32 << 20
 #: Stands before each text, as its first context, and after it, as its end: no UTF-8 text has this byte.
 EDGE = b"\xff"
+_BYTE = np.uint64(255)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -35,20 +37,24 @@ def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
     return key[at], n
 
 
-def _spell(keys: np.ndarray, depth: int) -> list[bytes]:
-    """b"g" and the bytes of each number."""
-    raw = keys.astype(">u8").tobytes()
-    return [b"g" + raw[i + 7 - depth : i + 8] for i in range(0, len(raw), 8)]
+def chunk_of(keys: np.ndarray, n_chunks: int) -> np.ndarray:
+    """All grams with the same last two bytes of context share a chunk, so that it holds whole subtrees from depth 2 on."""
+    return (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_chunks)).astype(np.int64)
 
 
-def count_bucket(texts: list[bytes], held: list[bool], depth: int = DEPTH) -> tuple[list[bytes], list[int]]:
-    """Every word (b"w" and the word) and gram of the texts with its count in those not held out."""
-    trained: Counter = Counter()
+def normal(text: bytes) -> bytes:
+    """The text as its tokens: A-Z in lower case, the words joined by one space."""
+    return b" ".join(text.lower().split())
+
+
+def count_bucket(texts: list[bytes], held: list[bool], depth: int = DEPTH) -> tuple[Counter, np.ndarray, np.ndarray]:
+    """The words and grams of the texts, each with its count in those not held out."""
+    words: Counter = Counter()
     others: set = set()
     parts, counts = [], []
     for first, some in slices(texts):
         for t, h in zip(some, held[first:], strict=False):
-            others.update(t.split()) if h else trained.update(t.split())
+            others.update(t.split()) if h else words.update(t.split())
         key, n = grams(some, depth)
         key = np.sort((key << np.uint64(1)) | np.repeat(np.array(held[first : first + len(some)], dtype=np.uint64), n))
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -56,21 +62,26 @@ def count_bucket(texts: list[bytes], held: list[bool], depth: int = DEPTH) -> tu
         counts.append(np.diff(np.append(start, len(key))))
     key, n = np.concatenate(parts), np.concatenate(counts)
     n[(key & np.uint64(1)) > 0] = 0
-    order = np.argsort(key)
-    key, n = key[order] >> np.uint64(1), n[order]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    names = [b"w" + w for w in trained] + [b"w" + w for w in others - trained.keys()]
-    totals = [*trained.values()] + [0] * (len(names) - len(trained))
-    return names + _spell(key[start], depth), totals + np.add.reduceat(n, start).tolist()
+    for w in others - words.keys():
+        words[w] = 0
+    return words, *sum_by(key >> np.uint64(1), n)
+
+
+def sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in rising order and the sums of their ``n``."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, dtype=np.int64)
+    return key[start], np.add.reduceat(n[order], start) if len(key) else n
 
 
 class _Lookup:
     """Values by number, in an open-addressing table."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, int(len(keys) * 2).bit_length())
+        self.bits = max(4, (len(keys) * 4 // 3).bit_length())
         self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, dtype=np.uint64)
-        self.values = np.zeros(1 << self.bits)
+        self.values = np.zeros(1 << self.bits, dtype=np.float32)
         slot, todo = self._slot(keys), np.arange(len(keys))
         while len(todo):
             free = self.keys[slot[todo]] == np.iinfo(np.uint64).max
@@ -92,129 +103,207 @@ class _Lookup:
         return self.values[slot]
 
 
-def score_bucket(texts: list[bytes], names: list[bytes], values: np.ndarray, depth: int = DEPTH) -> tuple[list, list, list, list]:
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """Stirling's series after a shift by 8; about 1e-14 of the value for x of 1/2 and more."""
+    product = np.ones_like(x)
+    for i in range(8):
+        product *= x + i
+    y = x + 8
+    return (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
+
+
+def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
+    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
+
+
+class Level:
+    """The nodes (context of one depth, bits so far) with counts, log KT probability e and log tree weight w.
+
+    ``below`` is the sum of the children's w, None at full depth.
+    """
+
+    def __init__(self, key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> None:
+        self.key, self.n0, self.n1, self.e = key, n0, n1, kt_block(n0, n1)
+        self.w = self.e if below is None else np.logaddexp(self.e, below) - np.log(2)
+        self.stop = np.exp(self.e - self.w) * (1.0 if below is None else 0.5)
+
+    def above(self, depth: int) -> tuple[Level, np.ndarray]:
+        """The nodes one byte of context less, ``depth`` of them left, and each node's parent."""
+        context = (self.key >> 8) & ((1 << 8 * depth) - 1)
+        key, parent = np.unique((context << 8) | (self.key & 255), return_inverse=True)
+        add = lambda x: np.bincount(parent, x, len(key))
+        return Level(key, add(self.n0), add(self.n1), add(self.w)), parent
+
+    def read(self, mixed: np.ndarray, rest: np.ndarray, shorter: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """From the path so far to this node's probability of a 1, and what its children go on from.
+
+        mixed: what shorter contexts put in; rest: the share of trees that go on; shorter: the
+        parent's probability, kept where no training data is left.
+        """
+        p = (self.n1 + 0.5) / (self.n0 + self.n1 + 1)
+        q = np.where(self.n0 + self.n1 > 0, mixed + rest * p, shorter)
+        return mixed + rest * self.stop * p, rest * (1 - self.stop), q
+
+
+def subtrees(grams_: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[Level], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Levels 2 to ``depth`` of whole subtrees, each but the first's parents, and each (gram, bit)'s node and bit, eight runs of all grams."""
+    byte, context = (grams_ & _BYTE).astype(np.int64), (grams_ >> np.uint64(8)).astype(np.int64)
+    node = np.concatenate([(context << 8) | (1 << i) | (byte >> (8 - i)) for i in range(8)])
+    bit = np.concatenate([(byte >> (7 - i)) & 1 for i in range(8)])
+    key, at = np.unique(node, return_inverse=True)
+    each = np.tile(n.astype(np.float64), 8)
+    levels, parents = [Level(key, np.bincount(at, each * (bit == 0), len(key)), np.bincount(at, each * (bit == 1), len(key)), None)], []
+    for d in range(depth - 1, 1, -1):
+        level, parent = levels[0].above(d)
+        levels.insert(0, level)
+        parents.insert(0, parent)
+    return levels, parents, at, bit
+
+
+def top_sums(grams_: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
+    """What these subtrees add to the nodes of depth 1: key (last byte of context, bits so far), n0, n1, below."""
+    level = subtrees(grams_, n, depth)[0][0]
+    key, parent = np.unique(((level.key >> 8) & 255) << 8 | (level.key & 255), return_inverse=True)
+    return key, *(np.bincount(parent, x, len(key)) for x in (level.n0, level.n1, level.w))
+
+
+def top_paths(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """mixed, rest and shorter for the children of every node of depth 1, at [:, last byte of context << 8 | bits so far]."""
+    first = Level(key, n0, n1, below)
+    root, parent = first.above(0)
+    zero = np.zeros(len(root.key))
+    path = first.read(*(x[parent] for x in root.read(zero, zero + 1, zero + 0.5)))
+    out = np.zeros((3, 1 << 16))
+    out[:, key] = np.stack(path)
+    return out
+
+
+def gram_values(grams_: np.ndarray, n: np.ndarray, top: np.ndarray, depth: int) -> np.ndarray:
+    """log10 of the model's probability of each gram's last byte after the others."""
+    levels, parents, at, bit = subtrees(grams_, n, depth)
+    first = levels[0].key
+    path = top[:, ((first >> 8) & 255) << 8 | (first & 255)]
+    for i, level in enumerate(levels):
+        path = level.read(*(path if i == 0 else [x[parents[i - 1]] for x in path]))
+    q = path[2][at]
+    return np.log10(np.where(bit == 1, q, 1 - q)).reshape(8, -1).sum(0)
+
+
+def score_bucket(texts: list[bytes], words: dict, model: _Lookup, depth: int = DEPTH) -> tuple[list, list, list, list]:
     """Per text: words, known words, sum of the words' values, sum of the grams' values. A word's value is 0 if it's unknown."""
-    word = {k[1:]: v for k, v in zip(names, values.tolist(), strict=True) if k[:1] == b"w"}
-    is_gram = np.array([k[:1] == b"g" for k in names], dtype=bool)
-    raw = b"".join(b"\0" * (7 - depth) + k[1:] for k in names if k[:1] == b"g")
-    model = _Lookup(np.frombuffer(raw, dtype=">u8").astype(np.uint64), values[is_gram])
     n_words, known, base, score = [], [], [], []
     for _, some in slices(texts):
         for t in some:
             found = t.split()
-            v = np.fromiter(map(word.__getitem__, found), dtype=np.float64, count=len(found))
+            v = np.fromiter(map(words.__getitem__, found), dtype=np.float64, count=len(found))
             n_words.append(len(found))
             known.append(int(np.count_nonzero(v)))
             base.append(float(v.sum()))
         key, n = grams(some, depth)
-        score.extend(np.add.reduceat(model(key), np.cumsum(n) - n).tolist())
+        score.extend(np.add.reduceat(model(key).astype(np.float64), np.cumsum(n) - n).tolist())
     return n_words, known, base, score
 
 
-def _log_gamma_half(n: Column) -> Column:
-    """log Gamma(n + 1/2), by Stirling's series after a shift by 8."""
-    x = n.cast("double") + 0.5
-    y, product = x + 8, F.lit(1.0)
-    for i in range(8):
-        product = product * (x + i)
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(product)
-
-
-def _log_factorial(n: Column) -> Column:
-    y, product = n.cast("double") + 9, F.lit(1.0)
-    for i in range(8):
-        product = product * (n + 1 + i)
-    return (y - 0.5) * F.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(product)
-
-
-def _bits(counts: DataFrame) -> DataFrame:
-    """``counts`` with a row for each of the eight binary decisions on the gram's last byte: node (the bits before, after a 1) and bit."""
-    byte = F.col("gram").bitwiseAND(F.lit(255))
-    node = [(F.lit(1 << i).bitwiseOR(F.shiftright(byte, 8 - i)).cast("int"), F.shiftright(byte, 7 - i).bitwiseAND(F.lit(1)).cast("int")) for i in range(8)]
-    return counts.select("*", F.shiftright("gram", 8).alias("context"), F.explode(F.array(*[F.struct(a.alias("node"), b.alias("bit")) for a, b in node])).alias("x")).select("*", "x.node", "x.bit").drop("x")
-
-
-def gram_scores(counts: DataFrame, work: WorkFolder, depth: int = DEPTH) -> DataFrame:
-    """(gram, n: its training count) to (gram, value: log10 of the model's probability of its last byte after the others).
-
-    At each node (context of d bytes, bits so far) the counts of 0 and 1 give the
-    Krichevsky-Trofimov block probability e; w = (e + product of the children's w) / 2,
-    or e at full depth, is the context-tree weight. A bit's probability mixes the KT
-    estimates of the nodes on its path, each by the posterior share of trees that end there,
-    e / (2 w) of what the shorter contexts leave; where training data end, so does the path.
-    Built bottom-up and read top-down, one aggregation or join a level; all in natural logarithms.
-    """
-    zeros, ones = F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0))
-    level = _bits(counts).groupBy("context", "node").agg(zeros.alias("n0"), ones.alias("n1"))
-    kt = _log_gamma_half(F.col("n0")) + _log_gamma_half(F.col("n1")) - _log_factorial(F.col("n0") + F.col("n1")) - F.lit(float(np.log(np.pi)))
-    levels = [work.cut(level.withColumn("e", kt).withColumn("w", F.col("e")), f"level{depth}")]
-    for d in range(depth - 1, -1, -1):
-        up = levels[0].groupBy(F.col("context").bitwiseAND(F.lit((1 << 8 * d) - 1)).alias("context"), "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("w").alias("below")).withColumn("e", kt)
-        top = F.greatest("e", "below")
-        levels.insert(0, work.cut(up.withColumn("w", top + F.log(F.exp(F.col("e") - top) + F.exp(F.col("below") - top)) - F.lit(float(np.log(2)))), f"level{d}"))
-    one = (F.col("n1") + 0.5) / (F.col("n0") + F.col("n1") + 1)
-    path = None
-    for d, level in enumerate(levels):
-        now = level.select("context", "node", (F.col("n0") + F.col("n1") > 0).alias("seen"), one.alias("p"), (F.lit(1.0) if d == depth else F.exp(F.col("e") - F.col("w")) / 2).alias("stop"))
-        if path is None:
-            now = now.select("*", F.lit(0.0).alias("mixed"), F.lit(1.0).alias("rest"), F.lit(0.5).alias("shorter"))
-        else:
-            above = path.select(F.col("context").alias("c"), F.col("node").alias("b"), F.col("mixed_on").alias("mixed"), F.col("rest_on").alias("rest"), F.col("q").alias("shorter"))
-            now = now.join(above, (F.col("context").bitwiseAND(F.lit((1 << 8 * (d - 1)) - 1)) == F.col("c")) & (F.col("node") == F.col("b")))
-        path = now.select(
-            "context", "node",
-            F.when(F.col("seen"), F.col("mixed") + F.col("rest") * F.col("p")).otherwise(F.col("shorter")).alias("q"),
-            (F.col("mixed") + F.col("rest") * F.col("stop") * F.col("p")).alias("mixed_on"), (F.col("rest") * (1 - F.col("stop"))).alias("rest_on"),
-        )
-    bits = _bits(counts.select("gram")).join(path.select("context", "node", "q"), ["context", "node"])
-    return bits.groupBy("gram").agg(F.sum(F.log10(F.when(F.col("bit") == 1, F.col("q")).otherwise(1 - F.col("q")))).alias("value"))
-
-
 def score_documents(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs`` (doc_id, text).
 
-    Letters A-Z are lower-cased first. Words and grams are counted once in each bucket of documents
-    (by a hash, about ``bucket_bytes`` of text each), summed by key, and what the model says of
-    them goes back to the buckets that have them: no task or driver holds the whole model, which
-    grows with the text. A null text is empty; its score is that of the end alone. An empty table gives no rows.
+    The text is modelled as its token sequence: A-Z lower-cased, words joined by one
+    space, then an end. At each node (context of d bytes, bits so far) the training counts give the
+    Krichevsky-Trofimov block probability e; w = (e + product of the children's w) / 2, or e at
+    full depth, is the context-tree weight. A bit's probability mixes the KT estimates of the
+    nodes on its path, each by the posterior share e / (2 w) of trees that end there; where training data end, so does the path.
+
+    Words and grams are counted once in each bucket of documents (by a hash,
+    about ``bucket_bytes`` of text) and meet in chunks, words by a hash, grams by
+    subtree; only the at most 65,280 nodes of depth 1 pass through the driver. What the model says
+    of them goes back to the buckets that have them, so the model grows with the text
+    and no task holds it whole. A null text is empty: its score is that of the end alone. An empty table gives no rows.
     """
     spark, work = docs.sparkSession, WorkFolder(docs.sparkSession, "context-tree")
     rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets, parts = -(-total // bucket_bytes) or 1, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).cast("int")).repartition(parts, "bucket")
+    n_buckets = -(-total // bucket_bytes) or 1
+    n_chunks = int(16 * n_buckets**0.5)
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).cast("int"))
 
     def count(table):
         import pyarrow as pa
 
-        names, n = count_bucket([t.lower() for t in table.column("text").to_pylist()], table.column("held_out").to_pylist(), depth)
-        return pa.table({"bucket": pa.array([table.column("bucket")[0].as_py()] * len(names), pa.int32()), "key": pa.array(names, pa.binary()), "n": pa.array(n, pa.int64())})
+        words, key, n = count_bucket([normal(t) for t in table.column("text").to_pylist()], table.column("held_out").to_pylist(), depth)
+        chunk = chunk_of(key, n_chunks)
+        order = np.argsort(chunk, kind="stable")
+        ends = np.searchsorted(chunk[order], np.arange(n_chunks + 1))
+        key, n = key[order], n[order]
+        by: list[list[bytes]] = [[] for _ in range(n_chunks)]
+        for w in words:
+            by[zlib.crc32(w) % n_chunks].append(w)
+        lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.concatenate([ends, np.full(n_chunks, ends[-1])]), pa.int32()), pa.array(x, t))
+        empty = [[]] * n_chunks
+        return pa.table({
+            "bucket": pa.array(np.full(2 * n_chunks, table.column("bucket")[0].as_py()), pa.int32()), "chunk": pa.array(np.arange(2 * n_chunks), pa.int32()),
+            "grams": lists(key.astype(np.int64), pa.int64()), "words": pa.array(empty + by, pa.list_(pa.binary())),
+            "n": pa.concat_arrays([lists(n, pa.int64()).slice(0, n_chunks), pa.array([[words[w] for w in ws] for ws in by], pa.list_(pa.int64()))]),
+        })
+
+    counts = work.cut(dealt.groupBy("bucket").applyInArrow(count, "bucket int, chunk int, grams array<long>, words array<binary>, n array<long>"), "counts")
+
+    def merged(table):
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        keys = flat("grams").astype(np.uint64)
+        return keys, *sum_by(keys, flat("n"))
+
+    def tops(table):
+        import pyarrow as pa
+
+        _, key, n = merged(table)
+        node, *sums = top_sums(key, n, depth)
+        return pa.table({"node": pa.array(node, pa.int32()), **{c: pa.array(x, pa.float64()) for c, x in zip(("n0", "n1", "below"), sums, strict=True)}})
+
+    of_grams = counts.filter((F.col("chunk") < n_chunks) & (F.size("grams") > 0)).select("bucket", "chunk", "grams", "n")
+    top = of_grams.select("chunk", "grams", "n").groupBy("chunk").applyInArrow(tops, "node int, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).orderBy("node").collect()
+    paths = spark.sparkContext.broadcast(top_paths(np.array([r[0] for r in top], dtype=np.int64), *(np.array([r[i] for r in top], dtype=np.float64) for i in (1, 2, 3))))
+
+    def values(table):
+        import pyarrow as pa
+
+        keys, key, n = merged(table)
+        found = gram_values(key, n, paths.value, depth).astype(np.float32)[np.searchsorted(key, keys)]
+        lists = table.column("grams").combine_chunks()
+        offsets = lists.offsets.to_numpy()
+        return pa.table({"bucket": table.column("bucket"), "grams": lists, "words": pa.nulls(len(lists), pa.list_(pa.binary())), "values": pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(found)), "totals": pa.nulls(len(lists), pa.list_(pa.int64())), "leads": pa.nulls(len(lists), pa.int64())})
+
+    def word_values(table):
+        import pyarrow as pa
+
+        lists, ns = table.column("words").to_pylist(), table.column("n").to_pylist()
+        totals: Counter = Counter()
+        for ws, n in zip(lists, ns, strict=True):
+            for w, k in zip(ws, n, strict=True):
+                totals[w] += k
+        leads = [sum(k > 0 for k in totals.values())] + [0] * (len(lists) - 1)
+        return pa.table({"bucket": table.column("bucket"), "grams": pa.nulls(len(lists), pa.list_(pa.int64())), "words": table.column("words"), "values": pa.nulls(len(lists), pa.list_(pa.float32())), "totals": pa.array([[totals[w] for w in ws] for ws in lists], pa.list_(pa.int64())), "leads": pa.array(leads, pa.int64())})
 
-    counted = dealt.groupBy("bucket").applyInArrow(count, "bucket int, key binary, n long")
-    keyed = work.cut(counted, "counts").repartition(parts, "key")
-    totals = keyed.groupBy("key").agg(F.sum("n").alias("total"), F.min("bucket").alias("lead"))
-    is_word = F.substring("key", 1, 1) == F.lit(b"w")
-    gram = F.conv(F.hex(F.substring(F.col("key"), 2, 99)), 16, 10).cast("long")
-    counts = work.cut(totals.filter(~is_word).select(gram.alias("gram"), F.col("total").alias("n")), "grams")
-    scores = work.cut(gram_scores(counts, work, depth), "scores")
-    spelled = scores.select(F.concat(F.lit(b"g"), F.unhex(F.lpad(F.hex("gram"), 2 * depth + 2, "0"))).alias("key"), "value")
-    words = keyed.filter(is_word).join(totals.filter(is_word), "key").select("bucket", "key", F.log10(F.col("total") + 1).alias("value"), ((F.col("lead") == F.col("bucket")) & (F.col("total") > 0)).alias("lead"))
-    known = words.union(keyed.filter(~is_word).join(spelled, "key").select("bucket", "key", "value", F.lit(False).alias("lead")))
+    schema = "bucket int, grams array<long>, words array<binary>, values array<float>, totals array<long>, leads long"
+    of_words = counts.filter((F.col("chunk") >= n_chunks) & (F.size("words") > 0)).select("bucket", "chunk", "words", "n")
+    model = of_grams.groupBy("chunk").applyInArrow(values, schema).union(of_words.groupBy("chunk").applyInArrow(word_values, schema))
 
     def score(texts, model):
         import pyarrow as pa
 
-        n_words, seen, base, value = score_bucket([t.lower() for t in texts.column("text").to_pylist()], model.column("key").to_pylist(), model.column("value").to_numpy(), depth)
-        size = pa.compute.binary_length(texts.column("text"))
-        lead = pa.compute.sum(pa.compute.cast(model.column("lead"), pa.int64())).as_py()
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_words": pa.array(n_words, pa.int64()), "n_known": pa.array(seen, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(value, pa.float64()), "size": pa.compute.cast(size, pa.int64()), "leads": pa.array([lead] + [0] * (len(n_words) - 1), pa.int64())})
+        flat = lambda c: model.column(c).combine_chunks().flatten()
+        look = _Lookup(flat("grams").to_numpy(zero_copy_only=False).astype(np.uint64), flat("values").to_numpy(zero_copy_only=False))
+        words = dict(zip(flat("words").to_pylist(), np.log10(flat("totals").to_numpy(zero_copy_only=False) + 1.0).tolist(), strict=True))
+        plain = [normal(t) for t in texts.column("text").to_pylist()]
+        n_words, known, base, found = score_bucket(plain, words, look, depth)
+        leads = pa.compute.sum(model.column("leads")).as_py() or 0
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_words": pa.array(n_words, pa.int64()), "n_known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(found, pa.float64()), "size": pa.array([len(t) for t in plain], pa.int64()), "leads": pa.array([leads] + [0] * (len(plain) - 1), pa.int64())})
 
-    scored = dealt.groupBy("bucket").cogroup(known.repartition(parts, "bucket").groupBy("bucket")).applyInArrow(score, "doc_id long, held_out boolean, n_words long, n_known long, base double, score double, size long, leads long")
+    scored = dealt.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(score, "doc_id long, held_out boolean, n_words long, n_known long, base double, score double, size long, leads long")
     scored = work.cut(scored.withColumn("n_tokens", F.col("n_words") + 1), "documents")
-    work.drop("counts", "grams", "scores", *[f"level{d}" for d in range(depth + 1)])
+    work.drop("counts")
     trained = F.when(~F.col("held_out"), F.col("n_tokens"))
     n, ends, distinct = scored.agg(F.sum(trained), F.count(trained), F.sum("leads")).first()
-    n, distinct = n or 0, (distinct or 0) + (1 if ends else 0)
+    n, distinct, known_end = n or 0, (distinct or 0) + (1 if ends else 0), 1 if ends else 0
     base = F.col("base") + float(np.log10(ends + 1)) - F.col("n_tokens") * F.lit(float(np.log10(n + distinct + 1)))
-    known_end = 1 if ends else 0
     return scored.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + known_end).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("size") + 1)).alias("bits_per_byte"))
