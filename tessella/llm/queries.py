@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import context_tree, mixing, packing, resampling, secrets, thresholds, tokens
+from tessella.llm import context_tree, mixing, neighbours, packing, resampling, secrets, thresholds, tokens
 from tessella.llm.common import table
 
 
@@ -34,5 +34,9 @@ def op7_vector_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokens.vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_context_tree_lm, op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing)}
+def op8_learned_partitions(spark, sf_dir):
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_context_tree_lm, op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing, op8_learned_partitions)}
 ORACLES = {"op4_risk_thresholds": thresholds.ORACLE, "op5_weighted_epochs": mixing.ORACLE}

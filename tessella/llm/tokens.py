@@ -25,49 +25,75 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Latin letters; each is a letter to the tokenizers too, and none joins with what follows.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
+
+
 class _Pieces:
     """Pieces of texts to their ids as little-endian unsigned 32-bit integers.
 
-    New pieces are encoded together. When the young generation is full it becomes the
+    New pieces are encoded together; ``parts`` may name a core, itself a piece, and plain texts that
+    follow it in tokens of their own. When the young generation is full it becomes the
     old one, and what is still in use moves back from there.
     """
 
-    def __init__(self, path: str, front: str = "") -> None:
+    def __init__(self, path: str, front: str = "", parts: Callable | None = None) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.made, self.front = Tokenizer.from_file(path), front
+        self.made, self.front, self.parts = Tokenizer.from_file(path), front, parts
         self.made.encode_special_tokens = True  # their strings in a text are ordinary text
         self.young: dict = {}
         self.old: dict = {}
 
     def learn(self, lists: list[list]) -> dict:
         """The ids of all pieces in ``lists``, by piece."""
-        young, old = self.young, self.old
-        if len(young) > KEPT_PIECES:
-            young, old = {}, {p: ids for p, ids in young.items() if len(p) <= LONGEST_KEPT}
-        new = list({p for pieces in lists for p in pieces if p not in young})
-        back = {p: old[p] for p in new if p in old}
-        young |= back
-        new = [p for p in new if p not in back]
-        for at in range(0, len(new), 5000):
-            some = new[at : at + 5000]
+        if len(self.young) > KEPT_PIECES:
+            self.young, self.old = {}, {p: ids for p, ids in self.young.items() if len(p) <= LONGEST_KEPT}
+        young = self.young
+        new = self._from_old({p for pieces in lists for p in pieces if p not in young})
+        split = {p: found for p in new if self.parts and (found := self.parts(p))}
+        cores = {core for core, _ in split.values() if core not in young} - split.keys()
+        self._encode(list(self._from_old(cores)) + [p for p in new if p not in split and p not in cores])
+        for p, (core, tail) in split.items():
+            young[p] = young[core] + tail
+        return young
+
+    def _from_old(self, pieces: set) -> set:
+        back = {p: self.old[p] for p in pieces if p in self.old}
+        self.young |= back
+        return pieces - back.keys()
+
+    def _encode(self, pieces: list) -> None:
+        for at in range(0, len(pieces), 5000):
+            some = pieces[at : at + 5000]
             found = self.made.encode([self.front + (p if isinstance(p, str) else p.decode("utf-8", "replace")) for p in some], is_pretokenized=True, add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4")
             ends = np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(some))) * 4
             blob, start = ids.tobytes(), 0
             for p, end in zip(some, ends.tolist(), strict=True):
-                young[p] = blob[start:end]
+                self.young[p] = blob[start:end]
                 start = end
-        self.young, self.old = young, old
-        return young
+
 
 @functools.cache
 def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """For vocabularies that drop white space, so that no token spans it: the texts' words are encoded one by one."""
-    words = _Pieces(path)
+    """For lower-casing vocabularies that drop white space, so that no token spans it: the texts' words are encoded one by one.
+
+    Letters and a stop or comma after them are apart, and A-Z are as a-z.
+    """
+    stops, form = {}, re.compile(f"({_LETTERS})([.,]?)")
+
+    def parts(word: bytes):
+        match = form.fullmatch(word.decode("utf-8", "replace"))
+        if match and (match[2] or word != word.lower()):
+            return match[1].encode().lower(), stops[match[2]]
+        return None
+
+    words = _Pieces(path, "", parts)
+    stops |= {x: np.array(words.made.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ("", ".", ",")}
 
     def encode(texts: list[bytes]) -> list[bytes]:
         lists = [t.split() for t in texts]
@@ -85,9 +111,20 @@ def byte_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """For byte-level vocabularies whose tokens hold a space in front alone.
 
     Such a tokenizer always starts a new piece at a space before a character that
-    isn't white space; the texts are cut there.
+    isn't white space; the texts are cut there. A stop or comma, and a line feed, between letters are apart.
     """
-    heads, rests = _Pieces(path), _Pieces(path, " ")
+    form = re.compile(f"({_LETTERS})([.,]?)(?:(\n)({_LETTERS})([.,]?))?")
+    heads = _Pieces(path)
+
+    def parts(piece: str):
+        match = form.fullmatch(piece)
+        if match and (match[2] or match[3]):
+            tail = [x for x in match.groups()[1:] if x]
+            ids = heads.learn([tail])
+            return match[1], b"".join(ids[x] for x in tail)
+        return None
+
+    rests = _Pieces(path, " ", parts)
 
     def encode(texts: list[bytes]) -> list[bytes]:
         whole = [t.decode("utf-8", "replace") for t in texts]
