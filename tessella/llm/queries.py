@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tessella.llm import context_tree, mixing, neighbours, packing, resampling, secrets, thresholds, tokens
+from pyspark.sql import functions as F
+
+from tessella.llm import context_tree, fingerprints, mixing, neighbours, packing, resampling, secrets, thresholds, tokens
 from tessella.llm.common import table
 
 
@@ -38,5 +40,10 @@ def op8_learned_partitions(spark, sf_dir):
     return neighbours.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_context_tree_lm, op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing, op8_learned_partitions)}
+def op10_fingerprint_index(spark, sf_dir):
+    kept = fingerprints.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_context_tree_lm, op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing, op8_learned_partitions, op10_fingerprint_index)}
 ORACLES = {"op4_risk_thresholds": thresholds.ORACLE, "op5_weighted_epochs": mixing.ORACLE}
