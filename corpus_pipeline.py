@@ -4,22 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import mixing, secrets
+from tessella.llm import mixing, packing, parity, resampling, secrets, tokens
 from tessella.llm.common import WorkFolder
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: documents whose importance weight is not among the top k go."""
+    kept = resampling.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).filter("kept")
+    return kept.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: of each component of links (five words, 0.8) the document of the smallest id stays."""
+    return parity.one_of_each(docs)
+
+
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets masked."""
+    """Operator 6: every document stays, its secrets masked."""
     return secrets.redact(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target and its draw say, in whole copies."""
+    """Operator 5: each document as often as its source's target and its draw say, in whole copies."""
     return mixing.remix(docs)
 
 
-STAGES = [("secret scan", secret_scan), ("source mix", source_mix)]
-#: Sampling keys, packing and model scores have no SQL; the stages are tested by themselves.
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: the pieces of all documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, tokens.vocabulary("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("near duplicates", near_duplicates),
+    ("secret scan", secret_scan),
+    ("source mix", source_mix),
+    ("packing", packed),
+]
+#: Model scores, sampling keys and packing have no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
