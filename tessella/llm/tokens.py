@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -13,8 +14,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.common import WorkFolder, slices, text_of
 
-#: Pieces whose ids a task's process keeps, in each of two generations; longer pieces aren't kept.
-KEPT_PIECES = 350_000
+#: Longer pieces' ids aren't kept.
 LONGEST_KEPT = 64
 
 
@@ -29,37 +29,62 @@ def vocabulary(name: str) -> str:
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
 
 
+@functools.cache
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if printable in Latin-1, the others in order from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+
+
 class _Pieces:
     """Pieces of texts to their ids as little-endian unsigned 32-bit integers.
 
-    New pieces are encoded together; ``parts`` may name a core, itself a piece, and plain texts that
-    follow it in tokens of their own. When the young generation is full it becomes the
-    old one, and what is still in use moves back from there.
+    ``parts`` may name a piece's core, itself a piece of letters in the form the vocabulary holds, and the
+    ids of what follows it in tokens of its own; such a core goes straight to the vocabulary's model.
+    When the young generation holds ``keep`` pieces it becomes the old one, and what is still in use moves back from there.
     """
 
-    def __init__(self, path: str, front: str = "", parts: Callable | None = None) -> None:
+    def __init__(self, path: str, front: str = "", parts: Callable | None = None, keep: int = 100_000) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.made, self.front, self.parts = Tokenizer.from_file(path), front, parts
+        self.made, self.front, self.parts, self.keep = Tokenizer.from_file(path), front, parts, keep
         self.made.encode_special_tokens = True  # their strings in a text are ordinary text
         self.young: dict = {}
         self.old: dict = {}
 
-    def learn(self, lists: list[list]) -> dict:
-        """The ids of all pieces in ``lists``, by piece."""
-        if len(self.young) > KEPT_PIECES:
+    def ids(self, pieces: list) -> list[bytes]:
+        """The ids of each piece."""
+        if len(self.young) > self.keep:
             self.young, self.old = {}, {p: ids for p, ids in self.young.items() if len(p) <= LONGEST_KEPT}
-        young = self.young
-        new = self._from_old({p for pieces in lists for p in pieces if p not in young})
-        split = {p: found for p in new if self.parts and (found := self.parts(p))}
-        cores = {core for core, _ in split.values() if core not in young} - split.keys()
-        self._encode(list(self._from_old(cores)) + [p for p in new if p not in split and p not in cores])
-        for p, (core, tail) in split.items():
-            young[p] = young[core] + tail
-        return young
+        found = list(map(self.young.get, pieces))
+        lacking = [i for i, x in enumerate(found) if x is None]
+        if lacking:
+            self._learn({pieces[i] for i in lacking})
+            for i in lacking:
+                found[i] = self.young[pieces[i]]
+        return found
+
+    def _learn(self, pieces: set) -> None:
+        young, whole = self.young, []
+        for p in self._from_old(pieces):
+            split = self.parts(p) if self.parts else None
+            if split is None:
+                whole.append(p)
+                continue
+            core, tail = split
+            ids = young.get(core)
+            if ids is None:
+                ids = young[core] = self.letters((self.front + core).encode() if isinstance(core, str) else core)
+            if tail or core != p:
+                young[p] = ids + tail
+        self._encode(whole)
+
+    def letters(self, word: bytes) -> bytes:
+        """The ids of what the vocabulary's pre-tokenizer leaves whole."""
+        return array("I", [t.id for t in self.made.model.tokenize("".join(map(_byte_letters().__getitem__, word)))]).tobytes()
 
     def _from_old(self, pieces: set) -> set:
         back = {p: self.old[p] for p in pieces if p in self.old}
@@ -78,6 +103,14 @@ class _Pieces:
                 start = end
 
 
+def _joined(lists: list[list], known: _Pieces) -> list[bytes]:
+    ids, at, out = known.ids([p for pieces in lists for p in pieces]), 0, []
+    for pieces in lists:
+        out.append(b"".join(ids[at : at + len(pieces)]))
+        at += len(pieces)
+    return out
+
+
 @functools.cache
 def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     """For lower-casing vocabularies that drop white space, so that no token spans it: the texts' words are encoded one by one.
@@ -88,17 +121,15 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
 
     def parts(word: bytes):
         match = form.fullmatch(word.decode("utf-8", "replace"))
-        if match and (match[2] or word != word.lower()):
+        if match and (match[1].isascii() or match[1] == match[1].lower()):
             return match[1].encode().lower(), stops[match[2]]
         return None
 
-    words = _Pieces(path, "", parts)
+    words = _Pieces(path, "", parts, keep=450_000)
     stops |= {x: np.array(words.made.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ("", ".", ",")}
 
     def encode(texts: list[bytes]) -> list[bytes]:
-        lists = [t.split() for t in texts]
-        ids = words.learn(lists)
-        return [b"".join(map(ids.__getitem__, pieces)) for pieces in lists]
+        return _joined([t.split() for t in texts], words)
 
     return encode
 
@@ -116,21 +147,20 @@ def byte_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
     form = re.compile(f"({_LETTERS})([.,]?)(?:(\n)({_LETTERS})([.,]?))?")
     heads = _Pieces(path)
 
+    @functools.lru_cache(50_000)
+    def plain(word: str) -> bytes:
+        return heads.letters(word.encode())
+
     def parts(piece: str):
         match = form.fullmatch(piece)
-        if match and (match[2] or match[3]):
-            tail = [x for x in match.groups()[1:] if x]
-            ids = heads.learn([tail])
-            return match[1], b"".join(ids[x] for x in tail)
-        return None
+        return (match[1], b"".join(plain(x) for x in match.groups()[1:] if x)) if match else None
 
-    rests = _Pieces(path, " ", parts)
+    rests = _Pieces(path, " ", parts, keep=600_000)
 
     def encode(texts: list[bytes]) -> list[bytes]:
         whole = [t.decode("utf-8", "replace") for t in texts]
         lists = [_SPLIT.split(t) if _ODD.search(t) else t.split(" ") for t in whole]
-        first, ids = heads.learn([x[:1] for x in lists]), rests.learn([x[1:] for x in lists])
-        return [first[x[0]] + b"".join(map(ids.__getitem__, x[1:])) for x in lists]
+        return [a + b for a, b in zip(heads.ids([x[0] for x in lists]), _joined([x[1:] for x in lists], rests), strict=True)]
 
     return encode
 
