@@ -1,5 +1,30 @@
 """The registered queries and their rows in DuckDB's SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = ""
+FLAGSHIP = "i2_transition_tensor"
+
+
+def query(oracle: str | None = None) -> Callable:
+    """Registers a function (spark, sf_dir) -> DataFrame under its name."""
+
+    def add(fn: Callable) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if oracle:
+            ORACLES[fn.__name__] = oracle
+        return fn
+
+    return add
+
+
+for _module in ("shaping", "imputation", "indices", "spatial", "events", "quality", "dynamics", "sequences", "shocks", "regression", "metrics", "monitoring", "sources"):
+    try:
+        importlib.import_module(f"tessella.plans.{_module}_queries")
+    except ModuleNotFoundError as e:
+        if e.name != f"tessella.plans.{_module}_queries":
+            raise
