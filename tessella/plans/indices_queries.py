@@ -41,15 +41,15 @@ _PARTS = "CASE WHEN c_acctbal > 0 THEN c_acctbal / 10000 END AS a, CASE WHEN c_c
 
 
 @query(f"""WITH p AS (SELECT c_custkey, {_PARTS} FROM customer), w AS (SELECT *, (CASE WHEN a IS NULL THEN 0.0 ELSE 0.7 END + CASE WHEN b IS NULL THEN 0.0 ELSE 0.3 END)::DOUBLE AS w FROM p)
-SELECT c_custkey, round(CASE WHEN w > 0 THEN (coalesce(a * 0.7::DOUBLE, 0) + coalesce(b * 0.3::DOUBLE, 0)) / w END, 6) AS blend, round(CASE WHEN a IS NOT NULL THEN least(greatest(1 - a, 0), 1) END, 6) AS inverse,
- round(CASE WHEN w > 0 THEN (coalesce(a * 0.7::DOUBLE, 0) + coalesce(b * 0.3::DOUBLE, 0)) / w ELSE 50 END, 6) AS composite FROM w""")
+SELECT c_custkey, round(CASE WHEN w > 0 THEN (coalesce(a * 0.7::DOUBLE, 0) + coalesce(b * 0.3::DOUBLE, 0)) / w END, 7) AS blend, round(CASE WHEN a IS NOT NULL THEN least(greatest(1 - a, 0), 1) END, 6) AS inverse,
+ round(CASE WHEN w > 0 THEN (coalesce(a * 0.7::DOUBLE, 0) + coalesce(b * 0.3::DOUBLE, 0)) / w ELSE 50 END, 7) AS composite FROM w""")
 def d5_weighted_blend(spark, sf):
     """Also the kept-null inverse (d6) and the composite with a default (d9)."""
     a = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal") / 10000)
     b = F.when(F.col("c_custkey") % 3 != 0, (F.col("c_custkey") % 100) / 100.0)
     df = V.table(spark, sf, "customer").select("c_custkey", a.alias("a"), b.alias("b"))
     parts = [(F.col("a"), 0.7), (F.col("b"), 0.3)]
-    return r(df.select("c_custkey", X.weighted_blend(parts).alias("blend"), X.one_minus(F.col("a")).alias("inverse"), X.weighted_blend(parts, 50.0).alias("composite")), "blend", "inverse", "composite")
+    return r(r(df.select("c_custkey", X.weighted_blend(parts).alias("blend"), X.one_minus(F.col("a")).alias("inverse"), X.weighted_blend(parts, 50.0).alias("composite")), "inverse"), "blend", "composite", digits=7)
 
 
 @query(f"""WITH {V.PANEL_SY}, b AS (SELECT min(value) AS l1, max(value) AS h1, min(disc) AS l2, max(disc) AS h2, count(*) AS n FROM panel), s AS (SELECT (value - l1) / (h1 - l1) + 1e-12 AS a, (disc - l2) / (h2 - l2) + 1e-12 AS b, b.n FROM panel, b),
