@@ -98,9 +98,9 @@ def h10_global_cycle(spark, sf):
     return r(D.global_cycle(D.pulse_index(V.panel_nm(spark, sf))), "mean", "weak", "steady", "strong", "tension")
 
 
-@query(f"WITH {V.PANEL_SY} SELECT unit, round(regr_slope(value, t), 4) AS slope, round(regr_intercept(value, t), 1) AS intercept, count(value) AS n FROM panel GROUP BY 1")
+@query(f"WITH {V.PANEL_SY} SELECT unit, round(regr_slope(value, t), 4) AS slope, round(regr_intercept(value, t), -2) AS intercept, count(value) AS n FROM panel GROUP BY 1")
 def h11_trend(spark, sf):
-    return r(r(D.trend(V.panel_sy(spark, sf)), "slope", digits=4), "intercept", digits=1)
+    return r(r(D.trend(V.panel_sy(spark, sf)), "slope", digits=4), "intercept", digits=-2)
 
 
 @query(f"""WITH {V.PANEL_NM}, g AS (SELECT *, value - lag(value) OVER {W} AS growth, row_number() OVER (PARTITION BY unit ORDER BY t DESC) AS back FROM panel),
@@ -134,9 +134,9 @@ def h16_lag_panel(spark, sf):
 
 
 @query(f"""WITH {V.PANEL_NM}, d AS (SELECT *, value - lag(value) OVER {W} AS d FROM panel), o AS (SELECT *, d - avg(d) OVER (PARTITION BY grp, t) AS own FROM d)
-SELECT unit, t, round(own, 5) AS own, round(avg(own) OVER w, 5) AS past_mean, round(stddev_samp(own) OVER w, 5) AS past_sd FROM o WINDOW w AS (PARTITION BY unit ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+SELECT unit, t, round(own, 7) AS own, round(avg(own) OVER w, 7) AS past_mean, round(stddev_samp(own) OVER w, 7) AS past_sd FROM o WINDOW w AS (PARTITION BY unit ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
 def h17_first_differences(spark, sf):
-    return r(D.first_differences(V.panel_nm(spark, sf)), "own", "past_mean", "past_sd", digits=5)
+    return r(D.first_differences(V.panel_nm(spark, sf)), "own", "past_mean", "past_sd", digits=7)
 
 
 @query(f"WITH {V.PANEL_UD} SELECT unit, t, value, round(value - lead(value) OVER (PARTITION BY unit ORDER BY t DESC), 2) AS shift FROM panel QUALIFY row_number() OVER (PARTITION BY unit ORDER BY t DESC) = 1")
