@@ -121,11 +121,11 @@ def e16_fuzzy_match(spark, sf):
     return r(S.fuzzy_match(left, right, "b"), "ratio", "ahead")
 
 
-@query("""WITH p AS (SELECT c_custkey AS point, (c_custkey * 7 % 100) / 10.0::DOUBLE + 0.01 AS x, (c_custkey * 13 % 100) / 10.0::DOUBLE + 0.03 AS y FROM customer), g AS (SELECT r_regionkey AS polygon, r_regionkey * 1.5::DOUBLE AS o FROM region)
+@query("""WITH p AS (SELECT c_custkey AS point, (c_custkey * 7 % 100) / 10.0::DOUBLE + 0.01 AS x, (c_custkey * 13 % 100) / 10.0::DOUBLE + 0.05 AS y FROM customer), g AS (SELECT r_regionkey AS polygon, r_regionkey * 1.5::DOUBLE AS o FROM region)
 SELECT point, polygon FROM p JOIN g ON x > o AND y > 0 AND x - o < 3 AND y < 3 * (x - o)""")
 def e17_in_polygon(spark, sf):
     k = F.col("c_custkey")
-    points = V.table(spark, sf, "customer").select(k.alias("point"), ((k * 7 % 100) / 10.0 + 0.01).alias("x"), ((k * 13 % 100) / 10.0 + 0.03).alias("y"))
+    points = V.table(spark, sf, "customer").select(k.alias("point"), ((k * 7 % 100) / 10.0 + 0.01).alias("x"), ((k * 13 % 100) / 10.0 + 0.05).alias("y"))
     o = F.col("r_regionkey") * 1.5
     corner = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
     polygons = V.table(spark, sf, "region").select(F.col("r_regionkey").alias("polygon"), F.array(corner(o, 0.0), corner(o + 3, 0.0), corner(o + 3, 9.0)).alias("corners"))
