@@ -1,0 +1,428 @@
+"""Every operator against brute force on a small table with nulls, empty and long texts, ties, repeated rows and clashing columns."""
+
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from hashlib import sha256
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessella.llm import context_tree, fingerprints, mixing, neighbours, packing, parity, resampling, secrets, thresholds, tokens
+from tessella.llm.components import components
+from tessella.llm.common import WorkFolder
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, key string, bucket int, sid long, t string"
+LONG = "doc_id long, text string"
+
+
+def rows():
+    rng = random.Random(3)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "éà", "ß"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+    passage = " ".join(word() for _ in range(60))
+    texts = [None, "", "   \n\t ", "One", "one two", passage, passage, passage.upper(), "Ⱥ\x0b" + passage + " end. token = abc", "a\x1cb \x85c"]
+    for i in range(30):
+        text = " ".join(word() + rng.choice(["", "", ",", ".", ".\n"]) for _ in range(rng.randint(1, 160)))
+        texts.append(text if i % 3 else text + " " + passage)
+        if i % 4 == 0:
+            words = texts[-1].split(" ")
+            texts.append(" ".join(words[:-1] + [word()]))
+    texts.append(" ".join(word() for _ in range(30_000)))
+    texts.append("x" * 200_000)
+    texts += ['password="hunter22" SECRET: abc12 token=AKIA' + "Z" * 18, "é AKIA" + "0" * 16 + " " + "ab12" * 8, "password=token : abcdefgh api-key=1 apikey = zzzzzz"]
+    ids = list(range(len(texts)))
+    out = [(i, t, ["en", "de", None][i % 3], ["s1", "s2", "s3", None, "s0"][i % 5] if i % 2 else "s1", 7, i, "k", 1, 2, "t") for i, t in zip(ids, texts)]
+    return out + [out[12], out[12]]  # repeated rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(rows(), SCHEMA).repartition(3).persist()
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+def test_token_files(spark, docs, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary("word_bpe_49k.json")
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = True
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in tokens.token_file_digest(docs, path).collect())
+    start, want = 0, []
+    for r in sorted(rows(), key=lambda r: r[0]):
+        ids = made.encode(r[1] or "", add_special_tokens=False).ids + [2]
+        want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert got == sorted(want)
+    assert tokens.token_file_digest(none, path).count() == 0
+    at = str(tmp_path / "orc")
+    tokens.write_token_files(docs, at, path, 2)
+    found = tokens.read_token_files(spark, at, [5, 7])
+    assert sorted(r.doc_id for r in found.collect()) == [5, 7]
+    assert "doc_id" in next(line for line in found._jdf.queryExecution().toString().splitlines() if "PushedFilters" in line)
+
+
+@pytest.mark.parametrize("name,encoder", [("word_bpe_49k.json", tokens.word_encoder), ("byte_bpe_50k.json", tokens.byte_encoder)])
+def test_encoders_equal_the_library(name, encoder):
+    from tokenizers import Tokenizer
+
+    path, rng = tokens.vocabulary(name), random.Random(8)
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = True
+    parts = ["a", "B", "é", "é", "H̱", "Σ", "İ", " ", "  ", "\n", "\t", "\r\n", " ", "\x1c", "\x85", "'s", "'LL", "1", "²", "!", "日本", "🙂", "<|endoftext|>", "Tha.", "ñ,", "the.\nTha", "क्"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    encode = encoder(path)
+    for at in range(0, len(texts), 500):
+        for text, ids in zip(texts[at : at + 500], encode([t.encode() for t in texts[at : at + 500]])):
+            assert np.frombuffer(ids, "<u4").tolist() == made.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def check_packing(pieces, wanted, limits):
+    by_doc, by_seq = defaultdict(list), defaultdict(list)
+    for p in pieces:
+        by_doc[p.doc_id].append(p)
+        by_seq[p.sequence_id].append(p)
+    for doc, all_ids in wanted.items():
+        got, copies = sorted(by_doc[doc], key=lambda p: p.start), len(all_ids)
+        ids = all_ids[0]
+        assert sum(p.length for p in got) == len(ids) * copies
+        assert all(p.doc_tokens == len(ids) and p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes()) for p in got)
+    for seq in by_seq.values():
+        seq.sort(key=lambda p: p.offset)
+        ends = [0]
+        for p in seq:
+            assert p.offset == ends[-1]
+            ends.append(p.offset + p.length)
+        assert ends[-1] <= limits.tokens and len(seq) <= limits.segments
+    return by_seq
+
+
+def test_packing_documents(docs, none):
+    from tokenizers import Tokenizer
+
+    path = tokens.vocabulary("byte_bpe_50k.json")
+    made = Tokenizer.from_file(path)
+    made.encode_special_tokens = True
+    wanted = defaultdict(list)
+    for r in rows():
+        wanted[r[0]].append(made.encode(r[1] or "", add_special_tokens=False).ids + [1])
+    got = packing.pack_documents(docs, path).collect()
+    seqs = check_packing(got, wanted, packing.Limits())
+    assert sum(p.length for p in got) > 0.9 * 2048 * (len(seqs) - 3)  # three tasks may each leave one open
+    assert packing.pack_documents(none, path).count() == 0
+
+
+def test_packing_respects_all_three_limits():
+    rng = np.random.default_rng(1)
+    sizes = rng.integers(1, 400, 300)
+    loss = [np.concatenate([[0], np.cumsum(rng.random(n) < 0.7)]) for n in sizes]
+    limits = packing.Limits(tokens=512, segments=5, loss=200)
+    seen = [np.zeros(n, dtype=int) for n in sizes]
+    for seq in packing.pack_group(sizes, loss, limits):
+        assert sum(n for _, _, n in seq) <= 512 and len(seq) <= 5 and sum(loss[i][a + n] - loss[i][a] for i, a, n in seq) <= 200
+        for i, a, n in seq:
+            seen[i][a : a + n] += 1
+    assert all((s == 1).all() for s in seen)
+
+
+def test_packing_conversations(spark):
+    turns = spark.createDataFrame([(1, 2, "assistant", "yes it is"), (1, 1, "user", "is it so"), (2, 1, "user", None), (3, 1, "assistant", "word " * 3000)], "conv_id long, turn long, role string, text string")
+    got = packing.pack_conversations(turns, tokens.vocabulary("byte_bpe_50k.json")).collect()
+    per = defaultdict(int)
+    for p in got:
+        per[p.sequence_id] += p.n_loss
+    assert {p.doc_id for p in got} == {1, 2, 3} and max(per.values()) <= 1536
+    assert sum(p.n_loss for p in got if p.doc_id == 2) == 0
+
+
+def test_thresholds(spark, docs, none):
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(5, 0, 0), (6, None, 0), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in thresholds.rule_verdicts(docs, labels).collect())
+    want = Counter()
+    for r in rows():
+        w, t = words(r[1]), r[1] or ""
+        lines = [x for x in t.split("\n") if words(x)]
+        seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in range(i, i + 3)}
+        want[(r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(cover), len(w) < 50 or 100 * len(cover) > 50 * len(w))] += 1
+    assert got == want
+    assert thresholds.rule_verdicts(none, labels).count() == 0
+
+
+@pytest.mark.parametrize("n,risk,error", [(10, 0.1, 0.05), (300, 0.02, 0.01), (5000, 0.005, 0.004), (1, 0.5, 0.4)])
+def test_allowed_rejections_are_exact(spark, n, risk, error):
+    p, best = 0.0, None
+    for k in range(int(n * risk) + 1):
+        p += math.comb(n, k) * risk**k * (1 - risk) ** (n - k)
+        if p <= error:
+            best = k
+    row = thresholds.allowed_rejections(spark.createDataFrame([("s", n, 1)], "stratum string, n long, tests long"), risk, error).first()
+    assert row.allowed == best
+
+
+def test_cutoffs_limit_false_rejections(spark):
+    rng = random.Random(4)
+    data = [("en", rng.random(), rng.random()) for _ in range(4000)] + [(None, 0.0, 0.0) for _ in range(3)]
+    cuts = thresholds.select_cutoffs(spark.createDataFrame(data, "stratum string, a double, b double"), ("a", "b"), risk=0.02, error=0.05).collect()
+    by = {(r.stratum, r.score): r for r in cuts}
+    for s, place in (("a", 1), ("b", 2)):
+        r = by["en", s]
+        assert 0 < sum(x[place] > r.cutoff for x in data if x[0] == "en") <= r.allowed < 0.01 * 4000
+        assert by[None, s].cutoff is None
+
+
+def test_mixing(docs, none):
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows()) and mixing.mix_sources(none).count() == 0
+    again = Counter((r.doc_id, r.taken) for r in mixing.mix_sources(docs.repartition(7)).collect())
+    assert again == Counter((r.doc_id, r.taken) for r in got)
+    sizes, source = Counter(), {r[0]: r[3] for r in rows()}
+    for r in rows():
+        sizes[r[3]] += len(words(r[1]))
+    order = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    target, free, left = {}, set(order), 1.5 * sum(sizes.values())
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        over = {s for s in free if share[s] > 2 * sizes[s]}
+        if not over:
+            target |= share
+            break
+        for s in over:
+            target[s] = 2 * sizes[s]
+            left -= target[s]
+        free -= over
+    taken = Counter()
+    for r in got:
+        assert r.size == len(words(dict((x[0], x[1]) for x in rows())[r.doc_id])) and 0 <= r.taken <= 2 * r.size
+        assert r.source_size == sizes[source[r.doc_id]] and r.target == pytest.approx(target[source[r.doc_id]])
+        taken[source[r.doc_id]] += r.taken
+    for s in order:
+        most = max((r.size for r in got if source[r.doc_id] == s), default=0)
+        assert abs(taken[s] - target[s]) <= most
+    copies = Counter(r.doc_id for r in mixing.remix(docs).collect())
+    assert copies == Counter({d: n for d, n in ((k, sum(r.copies for r in got if r.doc_id == k)) for k in source) if n})
+    assert mixing.remix(docs).columns == docs.columns
+
+
+ASSIGN = re.compile(r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def test_secrets(spark, docs, none):
+    got = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert len(got) == len({r[0] for r in rows()}) and secrets.find_secrets(docs).count() == len(rows())
+    total = 0
+    for r in rows():
+        t = r[1] or ""
+        found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(t) if len(m[2]) >= 6]
+        found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20] + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        spelt = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(found))
+        x, total = got[r[0]], total + len(found)
+        assert [x.n_assign, x.n_access, x.n_hex] == [sum(k == i for _, k, _ in found) for i in range(3)] and x.base_sha256 == sha256(spelt.encode()).hexdigest()
+    assert total >= 4 and secrets.find_secrets(none).count() == 0
+    clean = secrets.redact(docs)
+    assert clean.columns == docs.columns and not clean.filter("text LIKE '%hunter22%' OR text LIKE '%ab12ab12%'").count()
+    assert clean.filter("text IS NULL").count() == 1
+
+
+def test_ledger_scans_only_what_is_new(spark):
+    versions = spark.createDataFrame([("token=abcdef",), ("token=abcdef",), (None,)], "text string")
+    ledger = secrets.update_ledger(versions)
+    assert ledger.count() == 2 * len(secrets.RULES)
+    assert secrets.update_ledger(versions, ledger).count() == 0
+    newer = tuple(secrets.Rule(r.name, r.pattern, r.least, r.group, 2) if r.name == "jwt" else r for r in secrets.RULES)
+    more = secrets.update_ledger(versions.union(spark.createDataFrame([("new",)], "text string")), ledger, newer)
+    assert Counter((r.rule, r.version) for r in more.collect()) == Counter({("jwt", 2): 3} | {(r.name, 1): 1 for r in secrets.RULES if r.name != "jwt"})
+
+
+def test_context_tree(spark, docs, none):
+    got = context_tree.score_documents(docs, bucket_bytes=20_000).collect()
+    held = lambda d: zlib.crc32(str(d).encode()) % 7 == 2
+    all_tokens = [(r[0], [w for w in words(lower(r[1]))] + [None]) for r in rows()]
+    c = Counter(w for d, ws in all_tokens if not held(d) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = Counter((d, held(d), len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in all_tokens)
+    assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
+    assert context_tree.score_documents(none).count() == 0
+    # buckets don't matter
+    other = {r.doc_id: r.score for r in context_tree.score_documents(docs, bucket_bytes=1 << 30).collect()}
+    assert all(r.score == pytest.approx(other[r.doc_id], rel=1e-5) for r in got)
+    # brute force: the tree by its definition, on a few texts
+    train = [lower(r[1]) for r in rows() if not held(r[0])]
+    counts = defaultdict(lambda: [0, 0])
+    seqs = lambda t: b"\xff\xff\xff\xff\xff" + " ".join(words(t)).encode() + b"\xff"
+    for t in train:
+        s = seqs(t)
+        for i in range(5, len(s)):
+            for d in range(6):
+                for b in range(8):
+                    counts[s[i - d : i], (1 << b) | (s[i] >> (8 - b))][(s[i] >> (7 - b)) & 1] += 1
+    children = defaultdict(set)
+    for ctx, node in counts:
+        if ctx:
+            children[ctx[1:], node].add(ctx)
+    e = lambda k: math.lgamma(counts[k][0] + 0.5) + math.lgamma(counts[k][1] + 0.5) - math.lgamma(sum(counts[k]) + 1) - math.log(math.pi)
+    w = {}
+    for k in sorted(counts, key=lambda k: -len(k[0])):
+        w[k] = e(k) if len(k[0]) == 5 else np.logaddexp(e(k), sum(w[c2, k[1]] for c2 in children[k])) - math.log(2)
+    for d, text in [(r[0], lower(r[1])) for r in rows() if r[0] in (0, 3, 5, 11)]:
+        s, total = seqs(text), 0.0
+        for i in range(5, len(s)):
+            for b in range(8):
+                node, bit, mixed, rest, q = (1 << b) | (s[i] >> (8 - b)), (s[i] >> (7 - b)) & 1, 0.0, 1.0, 0.5
+                for depth in range(6):
+                    k = (s[i - depth : i], node)
+                    if k not in w:
+                        break
+                    p = (counts[k][1] + 0.5) / (sum(counts[k]) + 1)
+                    q = mixed + rest * p
+                    stop = 1.0 if depth == 5 else math.exp(e(k) - w[k]) / 2
+                    mixed, rest = mixed + rest * stop * p, rest * (1 - stop)
+                total += math.log10(q if bit else 1 - q)
+        assert other[d] == pytest.approx(total, rel=1e-5)
+
+
+def test_resampling(spark, none):
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choice(["river", "stone", "light", "green", "walks", "slowly"]) for _ in range(60))
+    bad = lambda: good() + " " + " ".join(rng.choice(["zzqx", "!!!!", "qqkk"]) for _ in range(10))
+    data = [(i, bad() if i % 5 == 0 else good(), i) for i in range(400)] + [(400, None, 0), (401, "", 0)]
+    d = spark.createDataFrame(data, "doc_id long, text string, kept2 long")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 300)] + [(None, 1, 0), (7, None, 0)], "doc_id long, quality int, toxic int")
+    got = resampling.classify(d, labels)
+    kept = {r.doc_id: r.kept for r in got.collect()}
+    assert sum(kept[i] for i in range(400) if i % 5) >= 318 and sum(kept[i] for i in range(400) if i % 5 == 0) <= 1 and len(kept) == 402
+    assert resampling.classify(none.select("doc_id", "text"), labels).count() == 0
+    assert resampling.classify(d, labels.limit(0)).filter("kept").count() == 402
+    keys = sorted((r.gumbel_key for r in got.collect()), reverse=True)
+    for k in (1, 17, 250, 402, 500):
+        assert sorted((r.gumbel_key for r in resampling.top_k(got, k).collect()), reverse=True) == keys[:k]
+    ties = spark.createDataFrame([(1.0,)] * 5 + [(2.0,)], "gumbel_key double")
+    assert resampling.top_k(ties, 3).count() == 6 and resampling.top_k(ties, 1).count() == 1
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(700, 16)) + rng.integers(0, 6, 700)[:, None] * rng.normal(size=16)
+    x[300:340] = x[300]  # many copies
+    data = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    odd = [(1000, None, 0), (1100, [0.0] * 16, 0), (1200, [float("nan")] * 16, 0), (1300, [1.0] * 3, 0), (1400, [None] * 16, 0), (1500, [float("inf")] * 16, 0), (None, [1.0] * 16, 0)]
+    got = neighbours.search(spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, part int"), every=20, block=150).collect()
+    by, hits, total = defaultdict(list), 0, 0
+    for r in got:
+        by[r.query_id].append(r)
+    assert set(by) == set(range(0, 700, 20))
+    for q, found in by.items():
+        found.sort(key=lambda r: r["rank"])
+        dist = np.sqrt(((x - x[q]) ** 2).sum(1))
+        dist[q] = np.inf
+        want = np.lexsort((np.arange(700), dist))[:10]
+        assert [r["rank"] for r in found] == list(range(1, 11)) and all(r.score == pytest.approx(dist[r.vec_id], abs=1e-12) for r in found)
+        hits, total = hits + len(set(want) & {r.vec_id for r in found}), total + 10
+        if 300 <= q < 340:
+            assert [r.vec_id for r in found] == want.tolist()
+    assert hits / total >= 0.9
+    assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+    few = neighbours.search(spark.createDataFrame(data[:4], "vec_id long, embedding array<double>, part int"), every=1).collect()
+    assert len(few) == 12
+
+
+def near(texts, k, percent):
+    sets = {d: frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else []) for d, w in texts.items()}
+    root = {d: d for d in sets}
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return {d: (len(s), find(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_near_duplicates(spark, docs, none, k, percent):
+    want = near({r[0]: words(lower(r[1])) for r in rows()}, k, percent)
+    got = parity.near_duplicates(docs, k, percent).collect()
+    assert len(got) == len(rows()) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert parity.near_duplicates(none, k, percent).count() == 0
+    kept = parity.one_of_each(docs, k, percent)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, (_, c) in want.items() if d == c)
+
+
+def test_near_duplicates_of_one_family(spark):
+    """Many edited copies of one text: chains and stars, no member lost."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for d in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(40)}"
+        texts[d] = w
+    want = near(texts, 3, 90)
+    got = parity.near_duplicates(spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], LONG), 3, 90)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_bands_hold_every_similar_pair(percent):
+    bands = parity.Bands(percent)
+    for a in [*range(1, 300), 999, 1500, 5000]:
+        for b in range(a, a * 100 // percent + 1):
+            shared = set(bands.of(a)) & set(bands.of(b))
+            assert shared and (a + b) * (100 - percent) // (100 + percent) <= max(bands.most_apart(x) for x in shared)
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (102, 101), (200, 200), (None, 3)]
+    found = components(spark.createDataFrame(edges, "a long, b long"), WorkFolder(spark, "test"), "c")
+    got = {r.node: r.label for r in found.collect()}
+    assert all(got[i] == 0 for i in range(61)) and {got[i] for i in (100, 101, 102)} == {100}
+
+
+@pytest.mark.parametrize("batches", [1, 3])
+def test_repeated_passages(docs, none, batches):
+    texts, n = [(r[0], (r[1] or "").encode().split()) for r in rows()], Counter()
+    for _, w in texts:
+        n.update(tuple(w[i : i + 35]) for i in range(len(w) - 34))
+    want = Counter()
+    for d, w in texts:
+        gone = {j for i in range(len(w) - 34) if n[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        want[d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()] += 1
+    got = fingerprints.remove_repeats(docs, batches=batches, bucket_bytes=60_000)
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()) == want
+    assert fingerprints.remove_repeats(none).count() == 0
+
+
+def test_index_compacts(spark):
+    work = WorkFolder(spark, "runs")
+    index = fingerprints.FingerprintIndex(work, 4, fanout=2)
+    for b in range(5):
+        index.add(spark.createDataFrame([(b, 0, 1), (99, b, 1)], "fingerprint long, bucket int, places long"))
+    assert len(index.runs()) <= 3
+    index.compact()
+    assert len(index.runs()) == 1 and {(r.bucket, r.fingerprint) for r in index.repeated().collect()} == {(b, 99) for b in range(5)}
+    joined = spark.table(index.runs()[0]).groupBy("fingerprint").count()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    index.clear()

@@ -1,0 +1,30 @@
+"""The stages in order, on the smallest tables."""
+
+from collections import Counter, defaultdict
+
+import corpus_pipeline
+from tessella.llm import parity
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before, out = docs.columns, docs, {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, before, SF).write.parquet(f"{tmp_path}/{i}")
+        out[name] = spark.read.parquet(f"{tmp_path}/{i}")
+        if i < len(corpus_pipeline.STAGES) - 1:
+            assert out[name].columns == columns
+        before = out[name]
+    ids = {n: Counter(r.doc_id for r in d.select("doc_id").collect()) for n, d in out.items() if n != "packing"}
+    labels = {r.doc_id: (r.quality, r.toxic) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    good = [d for d, x in labels.items() if x == (1, 0)]
+    assert sum(d in ids["quality classifier"] for d in good) >= 0.97 * len(good)
+    found = parity.near_duplicates(out["quality classifier"])
+    components = defaultdict(list)
+    for r in found.collect():
+        components[r.component_id].append(r.doc_id)
+    assert set(ids["near duplicates"]) == {min(x) for x in components.values()}
+    assert ids["secret scan"] == ids["near duplicates"] and max(ids["source mix"].values()) <= 2
+    assert {r.doc_id for r in out["packing"].select("doc_id").distinct().collect()} == set(ids["source mix"])
