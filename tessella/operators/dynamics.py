@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import minmax, rank_pct, rolling, safe_div, zscore
 
-OWN = Window.partitionBy("unit").orderBy("t")
-UNIT = Window.partitionBy("unit")
+def own_order() -> WindowSpec:
+    """Each unit's rows by period."""
+    return Window.partitionBy("unit").orderBy("t")
+
+
+def one_unit() -> WindowSpec:
+    return Window.partitionBy("unit")
 
 
 def pulse_state(panel: DataFrame) -> DataFrame:
     """Three-row mean, log, velocity, acceleration, four-row volatility, z in the unit, softmax of four linear scores, the likeliest state."""
-    m = panel.select("unit", "t", "value", rolling(F.avg, F.col("value"), OWN, 3).alias("smooth"))
+    m = panel.select("unit", "t", "value", rolling(F.avg, F.col("value"), own_order(), 3).alias("smooth"))
     m = m.withColumn("log", F.log1p("smooth"))
-    m = m.withColumn("velocity", F.col("log") - F.lag("log").over(OWN))
-    m = m.withColumn("acceleration", F.col("velocity") - F.lag("velocity").over(OWN)).withColumn("volatility", rolling(F.stddev_samp, F.col("velocity"), OWN, 4, 2))
-    z = {c: F.coalesce(zscore(F.col(c), UNIT, population=False), F.lit(0.0)) for c in ("velocity", "acceleration", "volatility")}
+    m = m.withColumn("velocity", F.col("log") - F.lag("log").over(own_order()))
+    m = m.withColumn("acceleration", F.col("velocity") - F.lag("velocity").over(own_order())).withColumn("volatility", rolling(F.stddev_samp, F.col("velocity"), own_order(), 4, 2))
+    z = {c: F.coalesce(zscore(F.col(c), one_unit(), population=False), F.lit(0.0)) for c in ("velocity", "acceleration", "volatility")}
     m = m.select("*", *[x.alias(f"z_{c}") for c, x in z.items()])
     v, a, s = (F.col(f"z_{c}") for c in z)
     raw = {"expansion": v + 0.5 * a - 0.2 * s, "recovery": a - 0.5 * v, "stagnation": -F.abs(v) - 0.3 * s, "decline": -v - 0.5 * a + 0.2 * s}
@@ -30,11 +35,11 @@ def pulse_state(panel: DataFrame) -> DataFrame:
 
 def dynamics_table(panel: DataFrame, reference_end: int) -> DataFrame:
     """growth, acceleration, three-row volatility, two-row momentum, next growth, rank share in the period, z in the unit; stall and surge of the next growth by quantiles of the periods up to ``reference_end``."""
-    g = panel.withColumn("growth", F.col("value") - F.lag("value").over(OWN))
+    g = panel.withColumn("growth", F.col("value") - F.lag("value").over(own_order()))
     g = g.select(
-        "unit", "grp", "t", "value", "growth", (F.col("growth") - F.lag("growth").over(OWN)).alias("accel"),
-        rolling(F.stddev_samp, F.col("growth"), OWN, 3, 2).alias("vol_3"), rolling(F.avg, F.col("growth"), OWN, 2).alias("momentum_2"),
-        F.lead("growth").over(OWN).alias("growth_next"), rank_pct(F.col("value"), Window.partitionBy("t")).alias("rank_pct"), zscore(F.col("value"), UNIT, population=False).alias("z_unit"),
+        "unit", "grp", "t", "value", "growth", (F.col("growth") - F.lag("growth").over(own_order())).alias("accel"),
+        rolling(F.stddev_samp, F.col("growth"), own_order(), 3, 2).alias("vol_3"), rolling(F.avg, F.col("growth"), own_order(), 2).alias("momentum_2"),
+        F.lead("growth").over(own_order()).alias("growth_next"), rank_pct(F.col("value"), Window.partitionBy("t")).alias("rank_pct"), zscore(F.col("value"), one_unit(), population=False).alias("z_unit"),
     )
     low, high = g.filter(F.col("t") <= reference_end).agg(F.percentile("growth_next", 0.25), F.percentile("growth_next", 0.75)).first()
     return g.select("*", (F.col("growth_next") <= F.lit(low)).cast("int").alias("stall_next"), (F.col("growth_next") >= F.lit(high)).cast("int").alias("surge_next"))
@@ -42,12 +47,12 @@ def dynamics_table(panel: DataFrame, reference_end: int) -> DataFrame:
 
 def kinetic_structure(panel: DataFrame) -> DataFrame:
     """Jerk, sign flip, energy, turning risk, damping, and one of six states by the 35 and 65 % quantiles of growth and acceleration."""
-    g = panel.withColumn("growth", F.col("value") - F.lag("value").over(OWN))
-    g = g.withColumn("accel", F.col("growth") - F.lag("growth").over(OWN)).withColumn("jerk", F.col("accel") - F.lag("accel").over(OWN))
+    g = panel.withColumn("growth", F.col("value") - F.lag("value").over(own_order()))
+    g = g.withColumn("accel", F.col("growth") - F.lag("growth").over(own_order())).withColumn("jerk", F.col("accel") - F.lag("accel").over(own_order()))
     g_low, g_high, a_low, a_high = g.agg(*[F.percentile(c, q) for c in ("growth", "accel") for q in (0.35, 0.65)]).first()
-    flip = (F.signum("growth") != F.signum(F.lag("growth").over(OWN))).cast("int")
+    flip = (F.signum("growth") != F.signum(F.lag("growth").over(own_order()))).cast("int")
     k = g.select("unit", "t", "growth", "accel", "jerk", flip.alias("flip"), (F.col("growth") ** 2 + F.col("accel") ** 2).alias("energy"))
-    k = k.select("*", rolling(F.avg, F.col("flip"), OWN, 4).alias("turning"), (-safe_div(F.col("accel"), F.abs("growth"))).alias("damping"))
+    k = k.select("*", rolling(F.avg, F.col("flip"), own_order(), 4).alias("turning"), (-safe_div(F.col("accel"), F.abs("growth"))).alias("damping"))
     state = (
         F.when(F.col("accel").isNull(), None).when((F.col("growth") >= g_high) & (F.col("accel") >= a_high), "take_off").when((F.col("growth") >= g_high) & (F.col("accel") <= a_low), "overheating")
         .when((F.col("growth") <= g_low) & (F.col("accel") >= a_high), "rebound").when((F.col("growth") <= g_low) & (F.col("accel") <= a_low), "free_fall")
@@ -62,9 +67,9 @@ def early_warning(panel: DataFrame, size: int = 6) -> DataFrame:
     AR(1) is the correlation of the window's values with those before them inside
     the window, in moments; the skew is population skew times sqrt(n (n - 1)) / (n - 2).
     """
-    x, p = F.col("value") / 1e6, F.lag(F.col("value") / 1e6).over(OWN)
+    x, p = F.col("value") / 1e6, F.lag(F.col("value") / 1e6).over(own_order())
     m = panel.select("unit", "t", x.alias("x"), p.alias("p"))
-    pair, full = OWN.rowsBetween(-(size - 2), 0), OWN.rowsBetween(-(size - 1), 0)
+    pair, full = own_order().rowsBetween(-(size - 2), 0), own_order().rowsBetween(-(size - 1), 0)
     s = lambda e: F.sum(e).over(pair)
     both = F.when(F.col("p").isNotNull(), 1)
     n = s(both)
@@ -74,8 +79,8 @@ def early_warning(panel: DataFrame, size: int = 6) -> DataFrame:
     k = F.count("x").over(full)
     kd = k.cast("double")
     skew = F.skewness("x").over(full) * F.sqrt(kd * (kd - 1)) / (kd - 2)
-    slope = lambda w: F.regr_slope("x", "t").over(OWN.rowsBetween(-(w - 1), 0))
-    peak = F.max("x").over(OWN.rowsBetween(Window.unboundedPreceding, 0))
+    slope = lambda w: F.regr_slope("x", "t").over(own_order().rowsBetween(-(w - 1), 0))
+    peak = F.max("x").over(own_order().rowsBetween(Window.unboundedPreceding, 0))
     full_n = k == size
     return m.select(
         "unit", "t", F.when(full_n & (spread > 1e-9), (n * xy - sx * sp) / spread).alias("ar1"), F.when(full_n, F.var_samp("x").over(full)).alias("variance"),
@@ -85,17 +90,17 @@ def early_warning(panel: DataFrame, size: int = 6) -> DataFrame:
 
 def regime_features(states: DataFrame) -> DataFrame:
     """Switch flag, block, run length, switch rate of three and five rows, and the share of the unit's rows so far in the state."""
-    flag = F.when(F.lag("t").over(OWN).isNull(), 0).otherwise((~F.col("state").eqNullSafe(F.lag("state").over(OWN))).cast("int"))
+    flag = F.when(F.lag("t").over(own_order()).isNull(), 0).otherwise((~F.col("state").eqNullSafe(F.lag("state").over(own_order()))).cast("int"))
     s = states.withColumn("switch", flag)
-    so_far = OWN.rowsBetween(Window.unboundedPreceding, 0)
+    so_far = own_order().rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("block", F.sum("switch").over(so_far))
     in_block, in_state = Window.partitionBy("unit", "block").orderBy("t"), Window.partitionBy("unit", "state").orderBy("t")
-    return s.select("*", F.row_number().over(in_block).alias("run"), rolling(F.avg, F.col("switch"), OWN, 3).alias("rate_3"), rolling(F.avg, F.col("switch"), OWN, 5).alias("rate_5"), (F.row_number().over(in_state) / F.row_number().over(OWN)).alias("share"))
+    return s.select("*", F.row_number().over(in_block).alias("run"), rolling(F.avg, F.col("switch"), own_order(), 3).alias("rate_3"), rolling(F.avg, F.col("switch"), own_order(), 5).alias("rate_5"), (F.row_number().over(in_state) / F.row_number().over(own_order())).alias("share"))
 
 
 def regime_network(states: DataFrame) -> DataFrame:
     """For each state: transitions to consecutive periods, the chance to stay, and the entropy of where it goes."""
-    nxt = states.select("state", F.when(F.lead("t").over(OWN) == F.col("t") + 1, F.lead("state").over(OWN)).alias("next")).filter("next IS NOT NULL AND state IS NOT NULL")
+    nxt = states.select("state", F.when(F.lead("t").over(own_order()) == F.col("t") + 1, F.lead("state").over(own_order())).alias("next")).filter("next IS NOT NULL AND state IS NOT NULL")
     counts = nxt.groupBy("state", "next").count()
     p = F.col("count") / F.sum("count").over(Window.partitionBy("state"))
     return counts.withColumn("p", p).groupBy("state").agg(F.sum("count").alias("n"), F.sum(F.when(F.col("state") == F.col("next"), F.col("p")).otherwise(0.0)).alias("stay"), F.sum(-F.col("p") * F.log("p")).alias("entropy"))
@@ -103,13 +108,13 @@ def regime_network(states: DataFrame) -> DataFrame:
 
 def pulse_index(panel: DataFrame) -> DataFrame:
     """0..100 of .6 level and .4 velocity (each scaled over all rows), its change, three-row trend, and state by the 30 and 70 % quantiles."""
-    v = panel.select("unit", "grp", "t", F.log1p("value").alias("level")).withColumn("velocity", F.col("level") - F.lag("level").over(OWN))
+    v = panel.select("unit", "grp", "t", F.log1p("value").alias("level")).withColumn("velocity", F.col("level") - F.lag("level").over(own_order()))
     lo, hi, vlo, vhi = v.agg(F.min("level"), F.max("level"), F.min("velocity"), F.max("velocity")).first()
     index = 100 * (0.6 * (F.col("level") - lo) / (hi - lo) + 0.4 * F.coalesce((F.col("velocity") - vlo) / (vhi - vlo), F.lit(0.5)))
     i = v.withColumn("index", index)
     q30, q70 = i.agg(F.percentile("index", 0.3), F.percentile("index", 0.7)).first()
     state = F.when(F.col("index") <= q30, "weak").when(F.col("index") >= q70, "strong").otherwise("steady")
-    return i.select("unit", "grp", "t", "index", (F.col("index") - F.lag("index").over(OWN)).alias("delta"), ((F.col("index") - F.lag("index", 3).over(OWN)) / 3).alias("trend"), state.alias("state"))
+    return i.select("unit", "grp", "t", "index", (F.col("index") - F.lag("index").over(own_order())).alias("delta"), ((F.col("index") - F.lag("index", 3).over(own_order())) / 3).alias("trend"), state.alias("state"))
 
 
 def quadrants(latest: DataFrame, a: str, b: str) -> DataFrame:
@@ -135,7 +140,7 @@ def trend_shock(panel: DataFrame, recent: int = 6) -> DataFrame:
 
     The CUSUM (slack .5) is a fold over the unit's growths in order, an array of one number a period.
     """
-    g = panel.withColumn("growth", F.col("value") - F.lag("value").over(OWN)).withColumn("back", F.row_number().over(Window.partitionBy("unit").orderBy(F.col("t").desc())))
+    g = panel.withColumn("growth", F.col("value") - F.lag("value").over(own_order())).withColumn("back", F.row_number().over(Window.partitionBy("unit").orderBy(F.col("t").desc())))
     a = g.groupBy("unit").agg(
         F.regr_slope(F.when(F.col("back") <= recent, F.col("value")), "t").alias("slope"), F.max(F.when(F.col("back") == 1, F.col("growth"))).alias("last"),
         F.avg(F.when(F.col("back") > 1, F.col("growth"))).alias("m"), F.stddev_samp(F.when(F.col("back") > 1, F.col("growth"))).alias("s"),
@@ -148,7 +153,7 @@ def trend_shock(panel: DataFrame, recent: int = 6) -> DataFrame:
 
 def unit_envelope(panel: DataFrame) -> DataFrame:
     """Per unit: volatility of log growth, largest fall from the peak, share of rises, momentum gap; each scaled over units, and their mean."""
-    g = panel.select("unit", "t", "value", (F.log1p("value") - F.lag(F.log1p("value")).over(OWN)).alias("g"), F.max("value").over(OWN.rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), F.row_number().over(Window.partitionBy("unit").orderBy(F.col("t").desc())).alias("back"))
+    g = panel.select("unit", "t", "value", (F.log1p("value") - F.lag(F.log1p("value")).over(own_order())).alias("g"), F.max("value").over(own_order().rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), F.row_number().over(Window.partitionBy("unit").orderBy(F.col("t").desc())).alias("back"))
     u = g.groupBy("unit").agg(F.stddev_samp("g").alias("volatility"), F.max(1 - F.col("value") / F.col("peak")).alias("drawdown"), F.avg((F.col("g") > 0).cast("double")).alias("rises"), (F.avg(F.when(F.col("back") <= 3, F.col("g"))) - F.avg("g")).alias("gap"))
     over = Window.partitionBy()
     parts = [1 - minmax(F.col("volatility"), over), 1 - minmax(F.col("drawdown"), over), minmax(F.col("rises"), over), minmax(F.col("gap"), over)]
@@ -164,15 +169,15 @@ def lag_panel(panel: DataFrame) -> DataFrame:
     """Supervised rows: value, two lags, mean of the group and of all in the period, their changes, and the target one row on."""
     group, all_ = Window.partitionBy("grp", "t"), Window.partitionBy("t")
     c = panel.select("unit", "grp", "t", "value", F.avg("value").over(group).alias("group_mean"), F.avg("value").over(all_).alias("all_mean"))
-    lag = lambda x, k=1: F.lag(x, k).over(OWN)
-    return c.select("unit", "t", "value", lag("value").alias("lag_1"), lag("value", 2).alias("lag_2"), "group_mean", (F.col("group_mean") - lag("group_mean")).alias("group_delta"), (F.col("all_mean") - lag("all_mean")).alias("all_delta"), F.lead("value").over(OWN).alias("target"))
+    lag = lambda x, k=1: F.lag(x, k).over(own_order())
+    return c.select("unit", "t", "value", lag("value").alias("lag_1"), lag("value", 2).alias("lag_2"), "group_mean", (F.col("group_mean") - lag("group_mean")).alias("group_delta"), (F.col("all_mean") - lag("all_mean")).alias("all_delta"), F.lead("value").over(own_order()).alias("target"))
 
 
 def first_differences(panel: DataFrame) -> DataFrame:
     """Change to the row before less the group's mean change in the period; mean and deviation of the unit's earlier ones."""
-    d = panel.withColumn("d", F.col("value") - F.lag("value").over(OWN))
+    d = panel.withColumn("d", F.col("value") - F.lag("value").over(own_order()))
     d = d.withColumn("own", F.col("d") - F.avg("d").over(Window.partitionBy("grp", "t")))
-    before = OWN.rowsBetween(Window.unboundedPreceding, -1)
+    before = own_order().rowsBetween(Window.unboundedPreceding, -1)
     return d.select("unit", "t", "own", F.avg("own").over(before).alias("past_mean"), F.stddev_samp("own").over(before).alias("past_sd"))
 
 

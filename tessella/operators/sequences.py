@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-OWN = Window.partitionBy("unit").orderBy("t")
+def own_order() -> WindowSpec:
+    """Each unit's rows by period."""
+    return Window.partitionBy("unit").orderBy("t")
 
 
 def five_states(scores: DataFrame, up: str, down: str) -> DataFrame:
@@ -25,7 +27,7 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 def transition_tensor(states: DataFrame) -> DataFrame:
     """Counts, shares and 95 % Wilson bounds of transitions between consecutive periods, for all (grp null) and each group."""
-    nxt = states.select("grp", F.col("state").alias("from_state"), F.when(F.lead("t").over(OWN) == F.col("t") + 1, F.lead("state").over(OWN)).alias("to_state")).filter("from_state IS NOT NULL AND to_state IS NOT NULL")
+    nxt = states.select("grp", F.col("state").alias("from_state"), F.when(F.lead("t").over(own_order()) == F.col("t") + 1, F.lead("state").over(own_order())).alias("to_state")).filter("from_state IS NOT NULL AND to_state IS NOT NULL")
     counts = nxt.groupingSets([("from_state", "to_state"), ("grp", "from_state", "to_state")], "grp", "from_state", "to_state").agg(F.count("*").alias("n"))
     total = F.sum("n").over(Window.partitionBy("grp", "from_state"))
     low, high = wilson(F.col("n"), F.col("total"))
@@ -33,15 +35,15 @@ def transition_tensor(states: DataFrame) -> DataFrame:
 
 
 def transition_matrix(states: DataFrame) -> DataFrame:
-    nxt = states.select(F.col("state").alias("from_state"), F.lead("state").over(OWN).alias("to_state")).filter("from_state IS NOT NULL AND to_state IS NOT NULL")
+    nxt = states.select(F.col("state").alias("from_state"), F.lead("state").over(own_order()).alias("to_state")).filter("from_state IS NOT NULL AND to_state IS NOT NULL")
     counts = nxt.groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
     return counts.select("*", (F.col("n") / F.sum("n").over(Window.partitionBy("from_state"))).alias("share"))
 
 
 def spells(states: DataFrame, state: str) -> DataFrame:
     """Maximal runs of consecutive periods in a state: start, end, duration, and whether the exit is seen (a row in the period after)."""
-    seen = states.select("unit", "t", "state", F.lead("t").over(OWN).alias("next_t"))
-    runs = seen.filter(F.col("state") == state).withColumn("island", F.col("t") - F.row_number().over(OWN))
+    seen = states.select("unit", "t", "state", F.lead("t").over(own_order()).alias("next_t"))
+    runs = seen.filter(F.col("state") == state).withColumn("island", F.col("t") - F.row_number().over(own_order()))
     s = runs.groupBy("unit", "island").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.max_by("next_t", "t").alias("after"))
     return s.select("unit", "start", "end", (F.col("end") - F.col("start") + 1).alias("duration"), (F.col("after") == F.col("end") + 1).cast("int").alias("left")).fillna({"left": 0})
 
@@ -69,8 +71,8 @@ def warning_horizon(panel: DataFrame, score: str, event: str, horizons: tuple[in
     """For each horizon: rows, base rate of an event within it, and the exact AUC of the score (ties half)."""
     long = None
     for h in horizons:
-        hit = F.greatest(*[F.lead(event, k).over(OWN) for k in range(1, h + 1)], F.lit(None).cast("int")) if h > 1 else F.lead(event, 1).over(OWN)
-        rows = panel.select(F.lit(h).alias("horizon"), F.col(score).alias("score"), F.when(F.lead(event, h).over(OWN).isNotNull(), hit).alias("hit")).filter("score IS NOT NULL AND hit IS NOT NULL")
+        hit = F.greatest(*[F.lead(event, k).over(own_order()) for k in range(1, h + 1)], F.lit(None).cast("int")) if h > 1 else F.lead(event, 1).over(own_order())
+        rows = panel.select(F.lit(h).alias("horizon"), F.col(score).alias("score"), F.when(F.lead(event, h).over(own_order()).isNotNull(), hit).alias("hit")).filter("score IS NOT NULL AND hit IS NOT NULL")
         long = rows if long is None else long.union(rows)
     by = long.groupBy("horizon", "score").agg(F.sum("hit").alias("pos"), F.count("*").alias("n"))
     below = Window.partitionBy("horizon").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
