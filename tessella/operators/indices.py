@@ -107,3 +107,34 @@ def pareto(df: DataFrame, best_high: str, best_low: str, key: str, part: str) ->
     w = Window.partitionBy(part).orderBy(F.col(best_low), F.col(best_high).desc(), F.col(key))
     top = F.max(best_high).over(w.rowsBetween(Window.unboundedPreceding, -1))
     return df.withColumn("_t", top).filter(F.col("_t").isNull() | (F.col(best_high) > F.col("_t"))).drop("_t")
+
+
+def production_fit(df: DataFrame, y: str, inputs: list[str]) -> DataFrame:
+    """log y on the inputs' logs by least squares: fitted, residual, and fitted scaled to 0..1. Moments in one aggregation, a k-by-k solve on the driver."""
+    import numpy as np
+
+    logs = df.select("*", F.log(y).alias("_y"), *[F.log(x).alias(f"_{x}") for x in inputs])
+    xs = ["_one", *[f"_{x}" for x in inputs]]
+    d = logs.withColumn("_one", F.lit(1.0))
+    row = d.agg(*[F.sum(F.col(a) * F.col(b)) for a in xs for b in xs], *[F.sum(F.col(a) * F.col("_y")) for a in xs]).first()
+    k = len(xs)
+    beta = np.linalg.pinv(np.array(row[: k * k], dtype=float).reshape(k, k)) @ np.array(row[k * k :], dtype=float)
+    fitted = d.withColumn("fitted", reduce(lambda a, b: a + b, [F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)]))
+    low, high = fitted.agg(F.min("fitted"), F.max("fitted")).first()
+    scaled = (F.col("fitted") - F.lit(low)) / F.lit(high - low) if high is not None and high > low else F.lit(0.0)
+    return fitted.select(*df.columns, "fitted", (F.col("_y") - F.col("fitted")).alias("residual"), scaled.alias("index"))
+
+
+def principal_component(df: DataFrame, columns: list[str]) -> DataFrame:
+    """First principal component of the standardised columns, signed so that the first weighs positive, rescaled to 0..100, and the variance it explains."""
+    import numpy as np
+
+    s = df.agg(*[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).first()
+    k = len(columns)
+    z = [(F.col(c) - F.lit(s[i])) / F.lit(s[k + i] or 1.0) for i, c in enumerate(columns)]
+    row = df.agg(*[F.avg(a * b) for a in z for b in z]).first()
+    values, vectors = np.linalg.eigh(np.array(row, dtype=float).reshape(k, k))
+    v = vectors[:, -1] * (1.0 if vectors[0, -1] >= 0 else -1.0)
+    scored = df.withColumn("_s", reduce(lambda a, b: a + b, [x * float(w) for x, w in zip(z, v, strict=True)]))
+    low, high = scored.agg(F.min("_s"), F.max("_s")).first()
+    return scored.select(*df.columns, ((F.col("_s") - F.lit(low)) * (100 / (high - low))).alias("component"), F.lit(float(values[-1] / values.sum())).alias("explained"))

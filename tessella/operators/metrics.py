@@ -104,3 +104,44 @@ def off_policy(df: DataFrame, reward: str, action: str, chosen: str, propensity:
     d = df.withColumn("_w", w)
     clipped = F.least("_w", F.lit(clip))
     return d.groupBy(group).agg(F.avg(reward).alias("logged"), F.avg(F.col("_w") * F.col(reward)).alias("ips"), (F.sum(F.col("_w") * F.col(reward)) / F.nullif(F.sum("_w"), F.lit(0.0))).alias("snips"), F.avg(clipped * F.col(reward)).alias("clipped"), (F.pow(F.sum("_w"), F.lit(2)) / F.nullif(F.sum(F.col("_w") * F.col("_w")), F.lit(0.0))).alias("ess"))
+
+
+def conformal_intervals(calibration: DataFrame, test: DataFrame, y: str, p: str, alpha: float = 0.1) -> DataFrame:
+    """``test`` with split-conformal bounds: p plus and minus the (1 - alpha)(1 + 1/n) quantile of the calibration's absolute residuals."""
+    n = calibration.count()
+    q = calibration.agg(F.percentile(F.abs(F.col(y) - F.col(p)), min(1.0, (1 - alpha) * (1 + 1 / max(n, 1))))).first()[0]
+    return test.select("*", (F.col(p) - F.lit(q)).alias("low"), (F.col(p) + F.lit(q)).alias("high"), F.col(y).between(F.col(p) - F.lit(q), F.col(p) + F.lit(q)).cast("int").alias("inside"))
+
+
+def threshold_sensitivity(df: DataFrame, value: str, p: str, quantiles: list[float]) -> DataFrame:
+    """The AUC of a score for events below each quantile of a value."""
+    cuts = df.agg(F.percentile(value, F.array(*map(F.lit, quantiles)))).first()[0]
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("q"), F.lit(float(c)).alias("cut")) for q, c in zip(quantiles, cuts, strict=True)]))
+    long = df.select(p, value, each.alias("c")).select(F.col("c.q").cast("string").alias("quantile"), (F.col(value) <= F.col("c.cut")).cast("int").alias("event"), p)
+    return auc(long, "event", p, "quantile").filter("scope <> 'all'").withColumnRenamed("scope", "quantile")
+
+
+def permutation_p(df: DataFrame, value: str, treated: str, unit: str, draws: int) -> DataFrame:
+    """Difference in means of treated and other units, and the share of keyed reorderings of the units' treatment at least as far from 0."""
+    u = df.select(unit, value, treated)
+    seen = u.agg((F.avg(F.when(F.col(treated) == 1, F.col(value))) - F.avg(F.when(F.col(treated) == 0, F.col(value)))).alias("diff"), F.sum(treated).alias("k"))
+    k = seen.first()["k"]
+    d = u.select(unit, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    placed = d.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy(keyed_draw(F.col("draw"), F.col(unit)), unit)))
+    null = placed.groupBy("draw").agg((F.avg(F.when(F.col("_r") <= k, F.col(value))) - F.avg(F.when(F.col("_r") > k, F.col(value)))).alias("d"))
+    return null.join(seen, F.lit(True)).groupBy("diff").agg(F.avg((F.abs("d") >= F.abs("diff")).cast("double")).alias("p"))  # one row
+
+
+def paired_delta(df: DataFrame, y: str, a: str, b: str, scope: str, draws: int) -> DataFrame:
+    """By scope: mean gain in absolute error of b over a, and its share above 0 in resamples with Poisson weights of keyed draws by row id."""
+    d = df.withColumn("_d", F.abs(F.col(a) - F.col(y)) - F.abs(F.col(b) - F.col(y)))
+    mean = d.groupBy(scope).agg(F.avg("_d").alias("gain"), F.count("*").alias("n"))
+    boots = d.select(scope, "id", "_d", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    u, weight, edge, mass = keyed_draw(F.col("draw"), F.col("id")), F.lit(0), 0.0, 0.36787944117144233
+    for k in range(8):
+        edge += mass
+        weight = weight + (u >= edge).cast("int")
+        mass /= k + 1
+    parts = boots.withColumn("w", weight).groupBy(scope, "draw").agg((F.sum(F.col("w") * F.col("_d")) / F.nullif(F.sum("w"), F.lit(0))).alias("g"))
+    share = parts.groupBy(scope).agg(F.avg((F.col("g") > 0).cast("double")).alias("share_better"))
+    return mean.join(share, scope)

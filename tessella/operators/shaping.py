@@ -172,3 +172,17 @@ def unique_match(left: DataFrame, right: DataFrame, left_key: str, right_key: st
     """Inner join on keys that occur once on either side."""
     one = lambda df, k: df.join(df.groupBy(k).count().filter("count = 1").select(k), k, "left_semi")
     return one(left, left_key).join(one(right, right_key), F.col(left_key) == F.col(right_key))
+
+
+def connectivity_panel(routes: DataFrame, low: int, high: int) -> DataFrame:
+    """Flow out of each unit and its number of partners, in every period from ``low`` to ``high``."""
+    return expand_snapshot(routes.groupBy(F.col("src").alias("unit")).agg(F.sum("w").alias("flow"), F.countDistinct("dst").alias("partners")), low, high)
+
+
+def sourced_means(df: DataFrame, value: str, source: str) -> DataFrame:
+    """Mean by unit and period, filled both ways over the unit's periods, with the period's source or interpolated."""
+    from tessella.operators.imputation import interpolate
+
+    g = df.groupBy("unit", "t").agg(F.avg(value).alias("value"), F.min(source).alias("source"))
+    filled = interpolate(g, "value")
+    return filled.select("unit", "t", F.col("filled").alias("value"), F.when(F.col("value").isNotNull(), F.col("source")).otherwise("interpolated").alias("source"))

@@ -96,3 +96,16 @@ def d15_quantile_bins(spark, sf):
 SELECT t, unit, round(value, 2) AS value, round(disc, 6) AS disc FROM k WHERE top IS NULL OR value > top""")
 def d16_pareto(spark, sf):
     return r(r(X.pareto(V.panel_sy(spark, sf), "value", "disc", "unit", "t").select("t", "unit", "value", "disc"), "value", digits=2), "disc")
+
+
+@query(f"""WITH {V.PANEL_SY}, l AS (SELECT unit, t, ln(value) AS y, ln(qty) AS x FROM panel), b AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM l), f AS (SELECT unit, t, y, i + s * x AS fit FROM l, b)
+SELECT unit, t, round(fit, 5) AS fitted, round(y - fit, 5) AS residual, round((fit - min(fit) OVER ()) / (max(fit) OVER () - min(fit) OVER ()), 5) AS "index" FROM f""")
+def d8_production_fit(spark, sf):
+    return r(X.production_fit(V.panel_sy(spark, sf), "value", ["qty"]).select("unit", "t", "fitted", "residual", "index"), "fitted", "residual", "index", digits=5)
+
+
+@query(f"""WITH {V.PANEL_SY}, z AS (SELECT unit, t, (value - avg(value) OVER ()) / stddev_pop(value) OVER () AS a, (qty - avg(qty) OVER ()) / stddev_pop(qty) OVER () AS b FROM panel), c AS (SELECT corr(a, b) AS c FROM z), s AS (SELECT unit, t, a + sign(c) * b AS s, (1 + abs(c)) / 2 AS e FROM z, c)
+SELECT unit, t, round((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) * 100, 5) AS component, round(e, 6) AS explained FROM s""")
+def d10_principal_component(spark, sf):
+    p = V.panel_sy(spark, sf).withColumn("qty", F.col("qty").cast("double"))
+    return r(r(X.principal_component(p, ["value", "qty"]).select("unit", "t", "component", "explained"), "component", digits=5), "explained")

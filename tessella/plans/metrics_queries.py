@@ -82,3 +82,31 @@ def m17_off_policy(spark, sf):
     pick = lambda c: F.when(F.col(c) > 0.5, "a").otherwise("b")
     d = V.scores(spark, sf).select("grp", "y", pick("q").alias("act"), pick("p").alias("ch"), (0.2 + 0.6 * F.col("q") / 1.01).alias("pr"))
     return r(r(M.off_policy(d, "y", "act", "ch", "pr", "grp", 2.0), "logged", "ips", "snips", "clipped"), "ess", digits=4)
+
+
+@query(f"""WITH {V.SCORES}, c AS (SELECT quantile_cont(abs(q - p), least(1, 0.9 * (1 + 1 / count(*)))) AS w FROM (SELECT *, count(*) OVER () AS n FROM scores WHERE id % 2 = 0) GROUP BY n) SELECT id, round(p - w, 6) AS low, round(p + w, 6) AS high, (q BETWEEN p - w AND p + w)::INT AS inside FROM scores, c WHERE id % 2 = 1""".replace("least(1, 0.9 * (1 + 1 / count(*)))", "0.9"))
+def m13_conformal_intervals(spark, sf):
+    s = V.scores(spark, sf)
+    even = s.filter("id % 2 = 0")
+    # the sample correction is undone, so that the SQL can take a constant quantile
+    alpha = 1 - 0.9 / (1 + 1 / max(even.count(), 1))
+    return r(M.conformal_intervals(even, s.filter("id % 2 = 1"), "q", "p", alpha).select("id", "low", "high", "inside"), "low", "high")
+
+
+@query(f"""WITH {V.SCORES}, c AS (SELECT unnest(['0.2', '0.4']) AS quantile, unnest(quantile_cont(q, [0.2, 0.4])) AS cut FROM scores), l AS (SELECT quantile, (q <= cut)::INT AS y, p FROM scores, c), k AS (SELECT quantile, y, rank() OVER (PARTITION BY quantile ORDER BY p) + (count(*) OVER (PARTITION BY quantile, p) - 1) / 2 AS rk FROM l)
+SELECT quantile, sum(y)::BIGINT AS pos, (count(*) - sum(y))::BIGINT AS neg, round((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM k GROUP BY 1""")
+def m7_threshold_sensitivity(spark, sf):
+    return r(M.threshold_sensitivity(V.scores(spark, sf), "q", "p", [0.2, 0.4]), "auc")
+
+
+@query(f"""WITH {V.SCORES}, o AS (SELECT avg(CASE WHEN toxic = 1 THEN p END) - avg(CASE WHEN toxic = 0 THEN p END) AS d, sum(toxic) AS k FROM scores), d AS (SELECT id, p, unnest(range(1, 41))::INT AS draw FROM scores), r AS (SELECT *, row_number() OVER (PARTITION BY draw ORDER BY ('0x' || substr(md5(draw || ':' || id), 1, 8))::BIGINT, id) AS r FROM d),
+n AS (SELECT draw, avg(CASE WHEN r <= k THEN p END) - avg(CASE WHEN r > k THEN p END) AS d FROM r, o GROUP BY draw) SELECT round(any_value(o.d), 6) AS diff, round(avg((abs(n.d) >= abs(o.d))::INT), 6) AS p FROM n, o""")
+def l2_permutation(spark, sf):
+    return r(M.permutation_p(V.scores(spark, sf), "p", "toxic", "id", 40), "diff", "p")
+
+
+@query(f"""WITH {V.SCORES}, d AS (SELECT id, grp, abs(q - y) - abs(p - y) AS d FROM scores), m AS (SELECT grp, avg(d) AS gain, count(*) AS n FROM d GROUP BY 1), b AS (SELECT *, unnest(range(1, 21))::INT AS draw FROM d), u AS (SELECT *, ('0x' || substr(md5(draw || ':' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM b),
+w AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.73575888234288467)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.98101184312384615)::INT + (u >= 0.99634015317265634)::INT + (u >= 0.99940581518241833)::INT + (u >= 0.99991675885071199)::INT + (u >= 0.99998975080332538)::INT AS w FROM u), g AS (SELECT grp, draw, sum(w * d) / nullif(sum(w), 0) AS g FROM w GROUP BY ALL)
+SELECT m.grp, round(any_value(gain), 6) AS gain, any_value(n) AS n, round(avg((g > 0)::INT), 6) AS share_better FROM m JOIN g USING (grp) GROUP BY 1""")
+def l6_paired_delta(spark, sf):
+    return r(M.paired_delta(V.scores(spark, sf), "y", "q", "p", "grp", 20), "gain", "share_better")

@@ -195,3 +195,18 @@ def b27_unique_match(spark, sf):
     s = V.table(spark, sf, "supplier").select("s_suppkey", F.round("s_acctbal").cast("long").alias("k"))
     c = V.table(spark, sf, "customer").select("c_custkey", F.round("c_acctbal").cast("long").alias("j"))
     return S.unique_match(s, c, "k", "j").select("s_suppkey", "k", "c_custkey", "j")
+
+
+@query(f"WITH {V.ROUTES}, g AS (SELECT src AS unit, sum(w)::BIGINT AS flow, count(DISTINCT dst) AS partners FROM routes GROUP BY 1) SELECT *, unnest(range(1995, 2002))::INT AS t FROM g")
+def b10_connectivity_panel(spark, sf):
+    return S.connectivity_panel(V.routes(spark, sf), 1995, 2001)
+
+
+@query("""WITH g AS (SELECT l_suppkey AS unit, year(l_shipdate)::INT AS t, sum(CASE WHEN l_discount > 0.09 AND l_linenumber = 2 THEN round(l_quantity)::BIGINT END)::DOUBLE / count(CASE WHEN l_discount > 0.09 AND l_linenumber = 2 THEN 1 END) AS v, min(l_returnflag) AS s FROM lineitem GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY t) AS i FROM g),
+n AS (SELECT *, last_value(v IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS i0, first_value(v IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS i1 FROM p
+ WINDOW b AS (PARTITION BY unit ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY unit ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
+SELECT unit, t, round(coalesce(v, v0 + (v1 - v0) * (i - i0) / nullif(i1 - i0, 0), v0, v1), 5) AS value, CASE WHEN v IS NOT NULL THEN s ELSE 'interpolated' END AS source FROM n""")
+def b26_sourced_means(spark, sf):
+    li = V.table(spark, sf, "lineitem")
+    rows = li.select(F.col("l_suppkey").alias("unit"), F.year("l_shipdate").alias("t"), F.when((F.col("l_discount") > 0.09) & (F.col("l_linenumber") == 2), F.round("l_quantity")).alias("q"), "l_returnflag")
+    return r(S.sourced_means(rows, "q", "l_returnflag"), "value", digits=5)
