@@ -152,3 +152,45 @@ def _fraction(x: float, a: float, b: float) -> float:
         if abs(d * c - 1) < 1e-14:
             break
     return h
+
+
+def dose_bins(panel: DataFrame, outcome: str, dose: str, bins: int = 3, cluster: str = "cl") -> DataFrame:
+    """Two-way effects of quantile bins of the positive doses, against none."""
+    edges = panel.filter(F.col(dose) > 0).agg(F.array_distinct(F.percentile(dose, F.array(*[F.lit(i / bins) for i in range(1, bins)])))).first()[0] or []
+    place = sum(((F.col(dose) > F.lit(e)).cast("int") for e in edges), F.lit(1))
+    d = panel.withColumn("_b", F.when(F.col(dose) > 0, place).otherwise(0))
+    names = [f"bin_{b}" for b in range(1, len(edges) + 2)]
+    d = d.select("*", *[(F.col("_b") == i + 1).cast("double").alias(n) for i, n in enumerate(names)])
+    w = two_way_within(d, [outcome, *names])
+    return ols(w, f"{outcome}_w", [f"{n}_w" for n in names], cluster)
+
+
+def mechanism(panel: DataFrame, outcomes: list[str], did: str) -> DataFrame:
+    """Two-way effect of the treatment on each outcome, standardised over all rows; one aggregation for all."""
+    names = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in outcomes)
+    long = panel.select("unit", "t", F.col(did).alias("_did"), F.expr(f"stack({len(outcomes)}, {names}) AS (channel, v)")).filter("v IS NOT NULL")
+    w = Window.partitionBy("channel")
+    z = long.withColumn("v", (F.col("v") - F.avg("v").over(w)) / F.nullif(F.stddev_pop("v").over(w), F.lit(0.0)))
+    return heterogeneity(z, "v", "_did", "channel")
+
+
+def wild_bootstrap(panel: DataFrame, outcome: str, treatment: str, draws: int, cluster: str = "cl") -> DataFrame:
+    """Two-way coefficient and the share of sign-flipped draws at least as large: clusters' outcomes under no effect, signs by keyed draw.
+
+    Only each cluster's sum of x times y changes from draw to draw.
+    """
+    from tessella.functions.columns import keyed_draw
+
+    w = two_way_within(panel, [outcome, treatment])
+    c = w.groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum(F.col(f"{treatment}_w") * F.col(f"{outcome}_w")).alias("xy"), F.sum(F.col(f"{treatment}_w") ** 2).alias("xx"))
+    xx, coef = c.agg(F.sum("xx"), F.sum("xy") / F.sum("xx")).first()
+    d = c.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    sign = F.when(keyed_draw(F.col("draw"), F.col("c")) < 0.5, -1.0).otherwise(1.0)
+    null = d.groupBy("draw").agg((F.sum(sign * F.col("xy")) / F.lit(xx)).alias("b"))
+    return null.agg(F.lit(coef).alias("coef"), F.avg((F.abs("b") >= F.lit(abs(coef))).cast("double")).alias("p"))
+
+
+def spillover(panel: DataFrame, exposure: DataFrame, outcome: str, did: str, cluster: str = "cl") -> DataFrame:
+    """Two-way effects of the own treatment and of the neighbours' earlier one (unit, t, exposure)."""
+    j = panel.join(exposure.select("unit", "t", F.col("exposure").alias("near")), ["unit", "t"]).na.drop(subset=["near"])
+    return twfe(j, outcome, did, ("near",), cluster)

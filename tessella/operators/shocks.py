@@ -87,3 +87,58 @@ def lead_lag(group_panel: DataFrame, draws: int = 50) -> DataFrame:
 def envelope(points: DataFrame) -> DataFrame:
     """Over variants at each event time: least, quartiles, greatest, mean, and whether signs conflict."""
     return points.groupBy("event_t").agg(F.min("contrast").alias("low"), F.percentile("contrast", 0.25).alias("q25"), F.percentile("contrast", 0.5).alias("median"), F.percentile("contrast", 0.75).alias("q75"), F.max("contrast").alias("high"), F.avg("contrast").alias("mean"), ((F.min("contrast") < 0) & (F.max("contrast") > 0)).cast("int").alias("conflict"))
+
+
+def kind_index(registry: DataFrame) -> DataFrame:
+    """By kind and start period: new events, intensity, and their z in the kind (population)."""
+    g = registry.groupBy("kind", F.col("start_t").alias("t")).agg(F.count("*").alias("events"), F.sum("intensity").alias("intensity"))
+    w = Window.partitionBy("kind")
+    z = lambda c: F.coalesce((F.col(c) - F.avg(c).over(w)) / F.nullif(F.stddev_pop(c).over(w), F.lit(0.0)), F.lit(0.0))
+    return g.select("*", ((z("events") + z("intensity")) / 2).alias("index"))
+
+
+def shift_share(panel: DataFrame, exposure: DataFrame, shocks: DataFrame) -> DataFrame:
+    """The instrument exposure times shock index: slopes of dose and value on it (period and unit means out), their ratio, and the first stage's F.
+
+    ``panel``: unit, t, value, dose.
+    """
+    j = panel.join(exposure.select("unit", "base"), "unit").join(shocks.select("t", "index"), "t").withColumn("iv", F.col("base") * F.col("index"))
+    u, t, a = Window.partitionBy("unit"), Window.partitionBy("t"), Window.partitionBy()
+    within = lambda c: F.col(c) - F.avg(c).over(u) - F.avg(c).over(t) + F.avg(c).over(a)
+    w = j.select(within("iv").alias("z"), within("dose").alias("d"), within("value").alias("y"))
+    s = w.agg(F.sum(F.col("z") ** 2).alias("zz"), F.sum(F.col("z") * F.col("d")).alias("zd"), F.sum(F.col("z") * F.col("y")).alias("zy"), F.sum(F.col("d") ** 2).alias("dd"), F.count("*").alias("n"))
+    first, reduced = F.col("zd") / F.col("zz"), F.col("zy") / F.col("zz")
+    rss = F.col("dd") - F.col("zd") ** 2 / F.col("zz")
+    return s.select(first.alias("first_stage"), reduced.alias("reduced_form"), (F.col("zy") / F.nullif("zd", F.lit(0.0))).alias("wald"), ((F.col("zd") ** 2 / F.col("zz")) / (rss / (F.col("n") - 1))).alias("f"), "n")
+
+
+def envelope_bootstrap(points: DataFrame, draws: int) -> DataFrame:
+    """By event time: mean contrast, its 2.5 and 97.5 % quantiles over resamples of variants by keyed Poisson weights, and signal to noise."""
+    u, weight, edge, mass = keyed_draw(F.col("draw"), F.col("shock")), F.lit(0), 0.0, 0.36787944117144233
+    for k in range(8):
+        edge += mass
+        weight = weight + (u >= edge).cast("int")
+        mass /= k + 1
+    p = points.filter("contrast IS NOT NULL")
+    b = p.select("shock", "event_t", "contrast", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
+    m = b.groupBy("event_t", "draw").agg((F.sum(F.col("w") * F.col("contrast")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    ci = m.groupBy("event_t").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.stddev_samp("m").alias("sd"))
+    mean = p.groupBy("event_t").agg(F.avg("contrast").alias("mean"))
+    return mean.join(ci, "event_t").select("event_t", "mean", "low", "high", (F.abs("mean") / F.nullif("sd", F.lit(0.0))).alias("signal_to_noise"))
+
+
+def pretrend(points: DataFrame) -> DataFrame:
+    """By shock: slope of the contrast on event time before it, its t, largest size, and whether the slope's t is under 2."""
+    pre = points.filter("event_t < 0 AND contrast IS NOT NULL").groupBy("shock").agg(F.regr_slope("contrast", "event_t").alias("slope"), F.regr_sxx("contrast", "event_t").alias("sxx"), F.regr_syy("contrast", "event_t").alias("syy"), F.regr_sxy("contrast", "event_t").alias("sxy"), F.count("*").alias("n"), F.max(F.abs("contrast")).alias("largest"))
+    se = F.sqrt((F.col("syy") - F.col("sxy") ** 2 / F.nullif("sxx", F.lit(0.0))) / F.nullif(F.col("n") - 2, F.lit(0)) / F.nullif("sxx", F.lit(0.0)))
+    t = F.col("slope") / F.nullif(se, F.lit(0.0))
+    return pre.select("shock", "n", "slope", t.alias("t"), "largest", (F.coalesce(F.abs(t), F.lit(0.0)) < 2).cast("int").alias("passed"))
+
+
+def concordance(estimates: DataFrame) -> DataFrame:
+    """Pairs of designs (name, coef, stderr): equal sign, overlap of 95 % intervals, distance in standard errors."""
+    a, b = estimates.select(*[F.col(c).alias(f"{c}_a") for c in ("name", "coef", "stderr")]), estimates.select(*[F.col(c).alias(f"{c}_b") for c in ("name", "coef", "stderr")])
+    p = a.join(b, F.col("name_a") < F.col("name_b"))  # a handful of designs
+    reach = 1.96 * (F.col("stderr_a") + F.col("stderr_b"))
+    gap = F.abs(F.col("coef_a") - F.col("coef_b"))
+    return p.select("name_a", "name_b", (F.signum("coef_a") == F.signum("coef_b")).cast("int").alias("same_sign"), (gap <= reach).cast("int").alias("overlap"), (gap / F.sqrt(F.col("stderr_a") ** 2 + F.col("stderr_b") ** 2)).alias("distance"))

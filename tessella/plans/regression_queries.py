@@ -100,3 +100,31 @@ def k19_elasticity(spark, sf):
 @query(f"""WITH {SYD}, g AS (SELECT DISTINCT cl % 5 AS left_out FROM p), q AS (SELECT p.*, left_out FROM p JOIN g ON p.cl % 5 <> left_out), w AS (SELECT left_out, {HET.format(c='y', g='left_out')} AS y, {HET.format(c='did', g='left_out')} AS x FROM q) SELECT left_out, round(sum(x * y) / sum(x * x), 6) AS coef, count(*) AS n_obs FROM w GROUP BY 1""")
 def k29_leave_one_group_out(spark, sf):
     return r(R.leave_one_group_out(_syd(spark, sf).withColumn("grp", F.col("cl") % 5), "y", "did", "grp"), "coef")
+
+
+@query()
+def k7_dose_bins(spark, sf):
+    d = _syd(spark, sf).join(V.panel_sy(spark, sf).select("unit", "t", F.col("disc")), ["unit", "t"]).withColumn("dose", F.col("did") * F.col("disc"))
+    return r(R.dose_bins(d, "y", "dose"), "coef", "stderr", "t_value")
+
+
+@query(f"""WITH {SYD}, l AS (SELECT unit, t, did, 'y' AS channel, y AS v FROM p UNION ALL SELECT unit, t, did, 'x', x FROM p), z AS (SELECT *, (v - avg(v) OVER (PARTITION BY channel)) / stddev_pop(v) OVER (PARTITION BY channel) AS s FROM l),
+w AS (SELECT channel, {HET.format(c='s', g='channel')} AS y, {HET.format(c='did', g='channel')} AS x FROM z) SELECT channel, round(sum(x * y) / sum(x * x), 6) AS coef, count(*) AS n_obs FROM w GROUP BY 1""")
+def k12_mechanism(spark, sf):
+    return r(R.mechanism(_syd(spark, sf), ["y", "x"], "did"), "coef")
+
+
+@query(f"""WITH {TW}, c AS (SELECT cl::VARCHAR AS c, sum(x * y) AS xy FROM w GROUP BY 1), d AS (SELECT *, unnest(range(1, 101))::INT AS draw FROM c), n AS (SELECT draw, sum(CASE WHEN ('0x' || substr(md5(draw || ':' || c), 1, 8))::BIGINT / 4294967296.0 < 0.5 THEN -xy ELSE xy END) AS s FROM d GROUP BY 1)
+SELECT round(any_value(b.b), 6) AS coef, round(avg((abs(s / b.xx) >= abs(b.b))::INT), 6) AS p FROM n, b""")
+def l3_wild_bootstrap(spark, sf):
+    return r(R.wild_bootstrap(_syd(spark, sf), "y", "did", 100), "coef", "p")
+
+
+@query()
+def k8_spillover(spark, sf):
+    from tessella.operators import spatial
+
+    near = spatial.nearest_edges(spatial.near_pairs(V.coords(spark, sf), 6000.0), 4)
+    p = _did(spark, sf).withColumn("y", F.log1p("value")).withColumn("did", F.col("did").cast("double"))
+    seen = spatial.neighbour_exposure(near, p, "did")
+    return r(R.spillover(p, seen, "y", "did"), "coef", "stderr", "t_value")

@@ -90,3 +90,46 @@ def j11_lead_lag(spark, sf):
 @query(f"""WITH {RESP}, c AS (SELECT event_t, high - low AS c FROM resp) SELECT event_t, round(min(c), 6) AS low, round(quantile_cont(c, 0.25), 6) AS q25, round(quantile_cont(c, 0.5), 6) AS median, round(quantile_cont(c, 0.75), 6) AS q75, round(max(c), 6) AS high, round(avg(c), 6) AS mean, (min(c) < 0 AND max(c) > 0)::INT AS conflict FROM c GROUP BY 1""")
 def j12_envelope(spark, sf):
     return r(K.envelope(_response(spark, sf)), "low", "q25", "median", "q75", "high", "mean")
+
+
+@query(f"""WITH {V.REGISTRY}, g AS (SELECT kind, start_t AS t, count(*) AS events, sum(intensity) AS intensity FROM registry GROUP BY ALL)
+SELECT kind, t, events, round(intensity, 9) AS intensity, round((coalesce((events - avg(events) OVER w) / nullif(stddev_pop(events) OVER w, 0), 0) + coalesce((intensity - avg(intensity) OVER w) / nullif(stddev_pop(intensity) OVER w, 0), 0)) / 2, 6) AS "index" FROM g WINDOW w AS (PARTITION BY kind)""")
+def j2_kind_index(spark, sf):
+    return r(r(K.kind_index(V.registry(spark, sf)), "intensity", digits=9), "index")
+
+
+_DOSE = "d0 AS (SELECT cl, t, sum(intensity) AS dose FROM (SELECT *, unnest(range(start_t, end_t + 1))::INT AS t FROM registry WHERE end_t >= start_t) GROUP BY ALL)"
+
+
+@query(f"""WITH {EXPO}, {_DOSE}, j AS (SELECT np.unit, np.t, value / 1e6 AS y, coalesce(dose, 0) AS d, base / 1e6 * idx AS z FROM np JOIN expo ON np.unit = expo.unit JOIN sh ON sh.t = np.t LEFT JOIN d0 ON d0.cl = np.cl AND d0.t = np.t),
+w AS (SELECT z - avg(z) OVER u - avg(z) OVER p + avg(z) OVER () AS z, d - avg(d) OVER u - avg(d) OVER p + avg(d) OVER () AS d, y - avg(y) OVER u - avg(y) OVER p + avg(y) OVER () AS y FROM j WINDOW u AS (PARTITION BY unit), p AS (PARTITION BY t)),
+s AS (SELECT sum(z * z) AS zz, sum(z * d) AS zd, sum(z * y) AS zy, sum(d * d) AS dd, count(*) AS n FROM w)
+SELECT round(zd / zz, 5) AS first_stage, round(zy / zz, 5) AS reduced_form, round(zy / zd, 4) AS wald, round((zd * zd / zz) / ((dd - zd * zd / zz) / (n - 1)), 3) AS f, n FROM s""")
+def j8_shift_share(spark, sf):
+    from tessella.operators.events import expand_intervals
+
+    p = _np(spark, sf)
+    dose = expand_intervals(V.registry(spark, sf)).groupBy("cl", "t").agg(F.sum("intensity").alias("dose"))
+    j = p.join(dose, ["cl", "t"], "left").fillna({"dose": 0.0}).withColumn("value", F.col("value") / 1e6)
+    expo = K.baseline_exposure(p, 24).withColumn("base", F.col("base") / 1e6)
+    return r(r(r(K.shift_share(j, expo, _index(spark, sf)), "first_stage", "reduced_form", digits=5), "wald", digits=4), "f", digits=3)
+
+
+@query()
+def j13_envelope_bootstrap(spark, sf):
+    return r(K.envelope_bootstrap(_response(spark, sf), 50), "mean", "low", "high", "signal_to_noise")
+
+
+@query(f"""WITH {RESP}, pre AS (SELECT shock, regr_slope(high - low, event_t) AS slope, regr_sxx(high - low, event_t) AS sxx, regr_syy(high - low, event_t) AS syy, regr_sxy(high - low, event_t) AS sxy, count(*) AS n, max(abs(high - low)) AS largest FROM resp WHERE event_t < 1 AND high - low IS NOT NULL GROUP BY 1)
+SELECT shock, n, round(slope, 6) AS slope, round(slope / nullif(sqrt((syy - sxy * sxy / nullif(sxx, 0)) / nullif(n - 2, 0) / nullif(sxx, 0)), 0), 4) AS t, round(largest, 6) AS largest, (coalesce(abs(slope / nullif(sqrt((syy - sxy * sxy / nullif(sxx, 0)) / nullif(n - 2, 0) / nullif(sxx, 0)), 0)), 0) < 2)::INT AS passed FROM pre""")
+def j15_pretrend(spark, sf):
+    """Event time 0 counts as before here, so that there are three points."""
+    resp = _response(spark, sf).withColumn("event_t", F.col("event_t") - 1)
+    return r(r(K.pretrend(resp), "slope", "largest"), "t", digits=4)
+
+
+@query(f"""WITH {SHOCK}, e AS (SELECT kind AS name, avg(intensity) AS coef, stddev_samp(intensity) / sqrt(count(*)) AS stderr FROM registry GROUP BY 1)
+SELECT a.name AS name_a, b.name AS name_b, (sign(a.coef) = sign(b.coef))::INT AS same_sign, (abs(a.coef - b.coef) <= 1.96 * (a.stderr + b.stderr))::INT AS overlap, round(abs(a.coef - b.coef) / sqrt(a.stderr ** 2 + b.stderr ** 2), 5) AS distance FROM e a JOIN e b ON a.name < b.name""")
+def j16_concordance(spark, sf):
+    e = V.registry(spark, sf).groupBy(F.col("kind").alias("name")).agg(F.avg("intensity").alias("coef"), (F.stddev_samp("intensity") / F.sqrt(F.count("*"))).alias("stderr"))
+    return r(K.concordance(e), "distance", digits=5)
