@@ -68,7 +68,7 @@ def b5_seasonal_year_panel(spark, sf):
 
 
 @query(f"""WITH {V.PANEL_NM}, y AS (SELECT unit, (t // 12)::INT AS year, regr_slope(ln(1 + value), t % 12) AS slope, max(value) AS peak, max_by(value, t) AS last FROM panel GROUP BY ALL)
-SELECT unit, year, round(greatest(slope, 0), 6) AS recovery, round(greatest(-slope, 0), 6) AS decline, round(greatest(peak - last, 0), 4) AS drop FROM y""")
+SELECT unit, year, round(greatest(CASE WHEN NOT isnan(slope) THEN slope END, 0), 6) AS recovery, round(greatest(CASE WHEN NOT isnan(slope) THEN -slope END, 0), 6) AS decline, round(greatest(peak - last, 0), 4) AS drop FROM y""")
 def b6_intra_period_shape(spark, sf):
     return r(r(S.intra_period_shape(V.panel_nm(spark, sf)), "recovery", "decline"), "drop", digits=4)
 
