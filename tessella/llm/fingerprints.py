@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -121,61 +119,58 @@ class FingerprintIndex:
         self._drop(self.runs())
 
 
-def candidate_digests(texts: list[bytes], repeated: np.ndarray, window: int, anchor: int) -> tuple[list[bytes], list[int]]:
-    """Digests of the windows whose anchor is in ``repeated`` (sorted), and how often each starts in the texts.
-
-    The digest is of the window's own words, 128 bits of BLAKE2b: windows with equal digests are taken for equal.
-    """
-    found: dict[bytes, int] = {}
-    for digest, _, _ in _candidates(texts, repeated, window, anchor):
-        found[digest] = found.get(digest, 0) + 1
-    return list(found), list(found.values())
-
-
-def _candidates(texts: list[bytes], repeated: np.ndarray, window: int, anchor: int):
-    """(digest, number of the text, first word in it) of each candidate window."""
-    for first, some in slices(texts):
-        words = Words(some, lower=False)
-        at, h = anchors(words, window, anchor)
-        place = np.flatnonzero(at >= 0)
-        key = h[at[place]].astype(np.int64)
-        hit = np.searchsorted(repeated, key)
-        hit[hit == len(repeated)] = 0
-        place = place[repeated[hit] == key] if len(repeated) else place[:0]
-        doc = np.searchsorted(words.first, place, side="right") - 1
-        starts, ends, data = words.start, words.end, words.data
-        plain = {}
-        for p, d in zip(place.tolist(), doc.tolist(), strict=True):
-            raw = data[starts[p] : ends[p + window - 1]]
-            if d not in plain:
-                text = data[starts[words.first[d]] : ends[words.first[d + 1] - 1]]
-                plain[d] = not any(gap in text for gap in (b"  ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            if not plain[d]:
-                raw = b" ".join(raw.split())
-            yield hashlib.blake2b(raw, digest_size=16).digest(), first + d, p - int(words.first[d])
-
-
-def removed_words(texts: list[bytes], repeated: np.ndarray, twice: set[bytes], window: int, anchor: int) -> tuple[list[int], list[int], list[bytes]]:
-    """Per text: its words, how many of them a repeated window covers, and the words left, joined by one space."""
-    covered: dict[int, list[int]] = {}
-    for digest, d, p in _candidates(texts, repeated, window, anchor):
-        if digest in twice:
-            covered.setdefault(d, []).append(p)
+def _candidates(words: Words, repeated: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the windows whose anchor is in ``repeated`` (sorted), and two independent hashes of each one's own words, a column each."""
+    at, h = anchors(words, window, anchor)
+    place = np.flatnonzero(at >= 0)
+    if not len(repeated) or not len(place):
+        return place[:0], np.zeros((2, 0), dtype=np.int64)
+    key = h[at[place]].astype(np.int64)
+    hit = np.minimum(np.searchsorted(repeated, key), len(repeated) - 1)
+    place = place[repeated[hit] == key]
+    if not len(place):
+        return place, np.zeros((2, 0), dtype=np.int64)
+    return place, np.stack([words.windows(window, salt)[place] for salt in (2, 3)]).astype(np.int64)
+
+
+def count_pairs(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct columns of ``pairs`` in order, the sums of their ``n``, and each given column's place among them."""
+    order = np.lexsort(pairs[::-1])
+    ranked = pairs[:, order]
+    new = np.ones(ranked.shape[1], dtype=bool)
+    new[1:] = (ranked[:, 1:] != ranked[:, :-1]).any(0)
+    start = np.flatnonzero(new)
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[:, start], np.add.reduceat(n[order], start) if len(start) else n, at
+
+
+def candidate_windows(texts: list[bytes], repeated: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct candidate windows of the texts, as pairs of hashes, and how often each starts."""
+    found = [_candidates(Words(some, lower=False), repeated, window, anchor)[1] for _, some in slices(texts)]
+    pairs = np.concatenate(found, axis=1)
+    return count_pairs(pairs, np.ones(pairs.shape[1], dtype=np.int64))[:2]
+
+
+def removed_words(texts: list[bytes], repeated: np.ndarray, twice: np.ndarray, window: int, anchor: int) -> tuple[list[int], list[int], list[bytes]]:
+    """Per text: its words, how many of them a window in ``twice`` (ordered pairs) covers, and the words left, joined by one space."""
     total, gone, left = [], [], []
-    for d, text in enumerate(texts):
-        found = text.split()
-        if d in covered:
-            drop = np.zeros(len(found) + 1, dtype=np.int64)
-            starts = np.array(covered[d])
-            np.add.at(drop, starts, 1)
-            np.add.at(drop, starts + window, -1)
-            keep = np.cumsum(drop[:-1]) == 0
-            gone.append(int(len(found) - keep.sum()))
-            left.append(b" ".join([w for w, k in zip(found, keep.tolist(), strict=True) if k]))
+    for _, some in slices(texts):
+        words = Words(some, lower=False)
+        place, pairs = _candidates(words, repeated, window, anchor)
+        if len(place) and twice.shape[1]:
+            both = count_pairs(np.concatenate([twice, pairs], axis=1), np.ones(twice.shape[1] + len(place), dtype=np.int64))[2]
+            place = place[np.isin(both[twice.shape[1] :], both[: twice.shape[1]])]
         else:
-            gone.append(0)
-            left.append(b" ".join(found))
-        total.append(len(found))
+            place = place[:0]
+        edge = np.bincount(place, minlength=len(words.hash) + window + 1) - np.bincount(place + window, minlength=len(words.hash) + window + 1)
+        keep = np.cumsum(edge)[: len(words.hash)] == 0
+        for text, a, b in zip(some, words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+            found, mask = text.split(), keep[a:b]
+            kept = int(mask.sum())
+            total.append(b - a)
+            gone.append(b - a - kept)
+            left.append(b" ".join(found if kept == b - a else [w for w, k in zip(found, mask.tolist(), strict=True) if k]))
     return total, gone, left
 
 
@@ -185,8 +180,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     A word goes if a window of ``window`` words that covers it starts anywhere else with the
     same words. Documents enter the index in ``batches``, each a run of the anchors of its
     windows; equal windows share an anchor, so only windows whose anchor the runs hold twice can
-    repeat. Those are verified by digests of their words, counted
-    in each bucket of documents first and then over all. Windows are judged on the whole input, so the batches don't
+    repeat. Those are verified by 128 more bits of hashes of their words, counted
+    in each bucket of documents first and then, in chunks, over all. Windows are judged on the whole input, so the batches don't
     matter for the result. Texts of less than ``window`` words lose nothing; equal rows both lose what they share. An empty table gives no rows.
     """
     spark, work = docs.sparkSession, WorkFolder(docs.sparkSession, "fingerprints")
@@ -213,26 +208,57 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     repeated = work.cut(index.repeated().repartition("bucket"), "repeated")
     index.clear()
 
-    def digests(key, texts, prints):
+    n_chunks = int(16 * n_buckets**0.5)
+    dealt = rows.select("bucket", "doc_id", "text")
+    by_bucket = lambda df: df.groupBy("bucket")
+
+    def windows(key, texts, prints):
         import pyarrow as pa
 
-        names, n = candidate_digests(texts.column("text").to_pylist(), np.sort(prints.column("fingerprint").to_numpy()), window, anchor)
-        return pa.table({"bucket": pa.array([key[0].as_py()] * len(names), pa.int32()), "digest": pa.array(names, pa.binary()), "n": pa.array(n, pa.int64())})
+        pairs, n = candidate_windows(texts.column("text").to_pylist(), np.sort(prints.column("fingerprint").to_numpy()), window, anchor)
+        chunk = (pairs[0].astype(np.uint64) % np.uint64(n_chunks)).astype(np.int64)
+        order = np.argsort(chunk, kind="stable")
+        ends = pa.array(np.searchsorted(chunk[order], np.arange(n_chunks + 1)), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (*pairs, n)]
+        return pa.table([pa.array(np.full(n_chunks, key[0].as_py()), pa.int32()), pa.array(np.arange(n_chunks), pa.int32()), *lists], ["bucket", "chunk", "h1", "h2", "n"])
 
-    dealt = rows.select("bucket", "doc_id", "text")
-    by_bucket = lambda df: df.groupBy("bucket")
-    counted = by_bucket(dealt).cogroup(by_bucket(repeated)).applyInArrow(digests, "bucket int, digest binary, n long")
-    counted = work.cut(counted, "digests")
-    twice = counted.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select("digest")
-    verified = counted.select("bucket", "digest").join(twice, "digest", "left_semi")
-    marks = verified.select("bucket", "digest", F.lit(None).cast("long").alias("fingerprint")).union(repeated.select("bucket", F.lit(None).cast("binary"), "fingerprint"))
+    def verify(table):
+        import pyarrow as pa
+
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        pairs = np.stack([flat("h1"), flat("h2")])
+        _, n, at = count_pairs(pairs, flat("n"))
+        twice = n[at] > 1
+        sizes = table.column("h1").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(sizes)), sizes)[twice], minlength=len(sizes)))])
+        lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[twice])) for x in pairs]
+        return pa.table([table.column("bucket"), *lists], ["bucket", "h1", "h2"])
+
+    counted = by_bucket(dealt).cogroup(by_bucket(repeated)).applyInArrow(windows, "bucket int, chunk int, h1 array<long>, h2 array<long>, n array<long>")
+    verified = counted.filter(F.size("n") > 0).groupBy("chunk").applyInArrow(verify, "bucket int, h1 array<long>, h2 array<long>")
+    prints = repeated.groupBy("bucket").agg(F.collect_list("fingerprint").alias("fingerprints"))  # of one bucket's text
+    marks = verified.select("bucket", "h1", "h2", F.lit(None).cast("array<long>").alias("fingerprints")).union(prints.select("bucket", F.lit(None).cast("array<long>"), F.lit(None).cast("array<long>"), "fingerprints"))
 
     def cut(key, texts, marks):
         import pyarrow as pa
 
-        prints = np.sort(marks.column("fingerprint").drop_null().to_numpy())
-        total, gone, left = removed_words(texts.column("text").to_pylist(), prints, set(marks.column("digest").drop_null().to_pylist()), window, anchor)
+        flat = lambda c: marks.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        total, gone, left = removed_words(texts.column("text").to_pylist(), np.sort(flat("fingerprints")), np.stack([flat("h1"), flat("h2")]), window, anchor)
         return pa.table({"doc_id": texts.column("doc_id"), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_text": pa.array(left, pa.binary())})
 
     out = by_bucket(dealt).cogroup(by_bucket(marks)).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text binary")
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))
+
+
+#: The query's rows in DuckDB.
+ORACLE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+dup AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY s) AS c FROM win) WHERE c > 1),
+gone AS (SELECT DISTINCT r, i + o AS i FROM dup, (SELECT unnest(range(0, 35)) AS o)),
+word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT word.r, string_agg(word, ' ' ORDER BY word.i) AS t FROM word ANTI JOIN gone ON word.r = gone.r AND word.i = gone.i GROUP BY 1),
+n AS (SELECT r, count(*) AS n FROM gone GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN n USING (r)
+"""

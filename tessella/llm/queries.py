@@ -50,4 +50,4 @@ def op10_fingerprint_index(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_context_tree_lm, op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing, op8_learned_partitions, op9_parity_join, op10_fingerprint_index)}
-ORACLES = {"op4_risk_thresholds": thresholds.ORACLE, "op5_weighted_epochs": mixing.ORACLE}
+ORACLES = {"op4_risk_thresholds": thresholds.ORACLE, "op5_weighted_epochs": mixing.ORACLE, "op10_fingerprint_index": fingerprints.ORACLE}
