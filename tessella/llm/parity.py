@@ -165,6 +165,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
        links; then only pairs in different components, if size and bit sketches allow.
        So all members of a component are found, but within a component not every pair is looked at.
 
+    The large joins are sort-merge joins at every size: their sides grow with the documents.
     A set is known by 64 bits of its digest, a shingle by 64 bits. A document without words has no shingles and is alone,
     as is one without a doc_id, whose component_id is null. Equal doc_ids with different texts link by each of their texts.
     """
@@ -174,19 +175,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = small.filter("n > 0 AND doc_id IS NOT NULL")
     classes = work.cut(named.groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
 
-    keyed = small.filter("keys IS NOT NULL").select(F.col("d1").alias("sid"), F.explode("keys").alias("key"))
+    # dealt by key once, for the counts and for the join with them
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keyed = small.filter("keys IS NOT NULL").select(F.col("d1").alias("sid"), F.explode("keys").alias("key")).repartition(parts, "key")
     shared = keyed.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo < hi").select("key")
-    chosen = keyed.join(shared, "key", "left_semi").select("sid").distinct()
+    chosen = keyed.join(shared.hint("merge"), "key", "left_semi").select("sid").distinct()
     chosen = work.cut(classes.join(chosen, classes["d1"] == chosen["sid"]).select(F.col("rep").alias("doc_id"), "sid"), "chosen")
+    small = work.cut(small.drop("keys"), "narrow")
+    work.drop("small")
 
-    met = texts.join(chosen, "doc_id").dropDuplicates(["doc_id", "sid", "text"])
+    met = texts.join(chosen.hint("merge"), "doc_id").dropDuplicates(["doc_id", "sid", "text"])
     schema = "sid long, n long, bits array<long>, shingles array<long>, fine array<struct<band:int,need:int,blocks:int,keys:array<long>>>"
     sets = work.cut(met.select("sid", "text").mapInArrow(lambda b: _full(b, k, bands), schema), "sets")
 
-    fine = sets.select("sid", F.explode("fine").alias("f")).select("sid", "f.band", "f.need", "f.blocks", F.explode("f.keys").alias("key"))
+    fine = sets.select("sid", F.explode("fine").alias("f")).select("sid", "f.band", "f.need", "f.blocks", F.explode("f.keys").alias("key")).repartition(parts, "key")
     often = fine.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
     own = Window.partitionBy("sid", "band")
-    ranked = fine.join(often, "key").select("*", F.count("*").over(own).alias("known"), F.sum("often").over(own).alias("central"), F.row_number().over(own.orderBy("often", "key")).alias("place"))
+    ranked = fine.join(often.hint("merge"), "key").select("*", F.count("*").over(own).alias("known"), F.sum("often").over(own).alias("central"), F.row_number().over(own.orderBy("often", "key")).alias("place"))
     first = work.cut(ranked.filter("place <= need - (blocks - known)").select("key", "sid", "central"), "first")
     work.drop("chosen")
 
@@ -206,7 +211,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     least = by_set.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = work.cut(by_set.join(least, "label").select("n", "d1", "d2", "component_id"), "components")
     work.drop("sets", "first", "links", "open", "more", "classes")
-    out = small.drop("keys").join(final, ["n", "d1", "d2"], "left")
+    out = small.join(final.hint("merge"), ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
@@ -216,5 +221,5 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     Rows without a doc_id all stay.
     """
     kept = near_duplicates(docs.select("doc_id", "text"), k, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.filter("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    stay = docs.filter("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return stay.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
