@@ -13,9 +13,9 @@ from tessella.llm.common import WorkFolder, slices
 from tessella.llm.words import mix
 
 #: Bytes of context.
-DEPTH = 6
+DEPTH = 5
 #: Bytes of text that are counted and scored together.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 24 << 20
 #: Stands before each text, as its first context, and after it, as its end: no UTF-8 text has this byte.
 EDGE = b"\xff"
 _BYTE = np.uint64(255)
@@ -243,15 +243,15 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUC
         return pa.table({
             "bucket": pa.array(np.full(2 * n_chunks, table.column("bucket")[0].as_py()), pa.int32()), "chunk": pa.array(np.arange(2 * n_chunks), pa.int32()),
             "grams": lists(key.astype(np.int64), pa.int64()), "words": pa.array(empty + by, pa.list_(pa.binary())),
-            "n": pa.concat_arrays([lists(n, pa.int64()).slice(0, n_chunks), pa.array([[words[w] for w in ws] for ws in by], pa.list_(pa.int64()))]),
+            "n": pa.concat_arrays([lists(n, pa.int32()).slice(0, n_chunks), pa.array([[words[w] for w in ws] for ws in by], pa.list_(pa.int32()))]),
         })
 
-    counts = work.cut(dealt.groupBy("bucket").applyInArrow(count, "bucket int, chunk int, grams array<long>, words array<binary>, n array<long>"), "counts")
+    counts = work.cut(dealt.groupBy("bucket").applyInArrow(count, "bucket int, chunk int, grams array<long>, words array<binary>, n array<int>"), "counts")
 
     def merged(table):
         flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
         keys = flat("grams").astype(np.uint64)
-        return keys, *sum_by(keys, flat("n"))
+        return keys, *sum_by(keys, flat("n").astype(np.int64))
 
     def tops(table):
         import pyarrow as pa
