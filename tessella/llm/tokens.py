@@ -125,7 +125,7 @@ def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
             return match[1].encode().lower(), stops[match[2]]
         return None
 
-    words = _Pieces(path, "", parts, keep=450_000)
+    words = _Pieces(path, "", parts, keep=350_000)
     stops |= {x: np.array(words.made.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ("", ".", ",")}
 
     def encode(texts: list[bytes]) -> list[bytes]:
@@ -155,7 +155,7 @@ def byte_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
         match = form.fullmatch(piece)
         return (match[1], b"".join(plain(x) for x in match.groups()[1:] if x)) if match else None
 
-    rests = _Pieces(path, " ", parts, keep=600_000)
+    rests = _Pieces(path, " ", parts, keep=350_000)
 
     def encode(texts: list[bytes]) -> list[bytes]:
         whole = [t.decode("utf-8", "replace") for t in texts]
