@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,9 @@ from tessella.llm.common import WorkFolder, slices
 from tessella.llm.words import mix
 
 #: Bytes of context.
-DEPTH = 5
+DEPTH = 6
+#: Bytes of context of the calls that name none.
+DEFAULT_DEPTH = 5
 #: Bytes of text that are counted and scored together.
 BUCKET_BYTES = 24 << 20
 #: Stands before each text, as its first context, and after it, as its end: no UTF-8 text has this byte.
@@ -25,7 +28,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def grams(texts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: list[bytes], depth: int = DEFAULT_DEPTH) -> tuple[np.ndarray, np.ndarray]:
     """For every byte of every text, and each text's end, the number of depth + 1 bytes that ends there; how many each text has."""
     data = np.frombuffer(b"".join(EDGE * depth + t + EDGE for t in texts), dtype=np.uint8).astype(np.uint64)
     key = np.zeros(len(data) - depth, dtype=np.uint64)
@@ -47,7 +50,7 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def count_bucket(texts: list[bytes], held: list[bool], depth: int = DEPTH) -> tuple[Counter, np.ndarray, np.ndarray]:
+def count_bucket(texts: list[bytes], held: list[bool], depth: int = DEFAULT_DEPTH) -> tuple[Counter, np.ndarray, np.ndarray]:
     """The words and grams of the texts, each with its count in those not held out."""
     words: Counter = Counter()
     others: set = set()
@@ -58,10 +61,14 @@ def count_bucket(texts: list[bytes], held: list[bool], depth: int = DEPTH) -> tu
         key, n = grams(some, depth)
         key = np.sort((key << np.uint64(1)) | np.repeat(np.array(held[first : first + len(some)], dtype=np.uint64), n))
         start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n = np.diff(np.append(start, len(key))).astype(np.int32)
+        n[(key[start] & np.uint64(1)) > 0] = 0
         parts.append(key[start])
-        counts.append(np.diff(np.append(start, len(key))))
+        counts.append(n)
+        if sum(map(len, parts[1:])) > len(parts[0]) + (1 << 20):
+            key, n = sum_by(np.concatenate(parts), np.concatenate(counts))
+            parts, counts = [key], [n]
     key, n = np.concatenate(parts), np.concatenate(counts)
-    n[(key & np.uint64(1)) > 0] = 0
     for w in others - words.keys():
         words[w] = 0
     return words, *sum_by(key >> np.uint64(1), n)
@@ -75,6 +82,27 @@ def sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[start], np.add.reduceat(n[order], start) if len(key) else n
 
 
+def packed(x: np.ndarray) -> bytes:
+    """An array as its length and the planes of its bytes, compressed; ``unpacked`` reads it."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    return len(x).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes, kind: type) -> np.ndarray:
+    n, size = int.from_bytes(blob[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob[4:], n * size, codec="zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).reshape(-1).view(kind)
+
+
+def packed_keys(key: np.ndarray) -> bytes:
+    """Rising keys by their differences."""
+    return packed(np.diff(key, prepend=np.uint64(0)))
+
+
+def unpacked_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(blob, np.uint64), dtype=np.uint64)
+
+
 class _Lookup:
     """Values by number, in an open-addressing table."""
 
@@ -146,19 +174,26 @@ class Level:
         return mixed + rest * self.stop * p, rest * (1 - self.stop), q
 
 
-def subtrees(grams_: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[Level], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Levels 2 to ``depth`` of whole subtrees, each but the first's parents, and each (gram, bit)'s node and bit, eight runs of all grams."""
+def subtrees(grams_: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[Level], list[np.ndarray], list[np.ndarray]]:
+    """Levels 2 to ``depth`` of whole subtrees, each but the first's parents, and for each bit of a byte every gram's node; the grams rise."""
     byte, context = (grams_ & _BYTE).astype(np.int64), (grams_ >> np.uint64(8)).astype(np.int64)
-    node = np.concatenate([(context << 8) | (1 << i) | (byte >> (8 - i)) for i in range(8)])
-    bit = np.concatenate([(byte >> (7 - i)) & 1 for i in range(8)])
-    key, at = np.unique(node, return_inverse=True)
-    each = np.tile(n.astype(np.float64), 8)
-    levels, parents = [Level(key, np.bincount(at, each * (bit == 0), len(key)), np.bincount(at, each * (bit == 1), len(key)), None)], []
+    keys, n0, n1, at, first = [], [], [], [], 0
+    for i in range(8):
+        node = (context << 8) | (1 << i) | (byte >> (8 - i))
+        new = np.concatenate([[True], node[1:] != node[:-1]])  # rising grams make rising nodes of one length
+        start = np.flatnonzero(new)
+        ones = np.add.reduceat(n * ((byte >> (7 - i)) & 1), start).astype(np.float64)
+        keys.append(node[start])
+        n1.append(ones)
+        n0.append(np.add.reduceat(n, start) - ones)
+        at.append((np.cumsum(new) + (first - 1)).astype(np.int32))
+        first += len(start)
+    levels, parents = [Level(np.concatenate(keys), np.concatenate(n0), np.concatenate(n1), None)], []
     for d in range(depth - 1, 1, -1):
         level, parent = levels[0].above(d)
         levels.insert(0, level)
         parents.insert(0, parent)
-    return levels, parents, at, bit
+    return levels, parents, at
 
 
 def top_sums(grams_: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
@@ -181,16 +216,19 @@ def top_paths(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray
 
 def gram_values(grams_: np.ndarray, n: np.ndarray, top: np.ndarray, depth: int) -> np.ndarray:
     """log10 of the model's probability of each gram's last byte after the others."""
-    levels, parents, at, bit = subtrees(grams_, n, depth)
+    levels, parents, at = subtrees(grams_, n, depth)
     first = levels[0].key
     path = top[:, ((first >> 8) & 255) << 8 | (first & 255)]
     for i, level in enumerate(levels):
         path = level.read(*(path if i == 0 else [x[parents[i - 1]] for x in path]))
-    q = path[2][at]
-    return np.log10(np.where(bit == 1, q, 1 - q)).reshape(8, -1).sum(0)
+    total = np.zeros(len(grams_))
+    for i in range(8):
+        q = path[2][at[i]]
+        total += np.log10(np.where((grams_ >> np.uint64(7 - i)) & np.uint64(1) == 1, q, 1 - q))
+    return total
 
 
-def score_bucket(texts: list[bytes], words: dict, model: _Lookup, depth: int = DEPTH) -> tuple[list, list, list, list]:
+def score_bucket(texts: list[bytes], words: dict, model: _Lookup, depth: int = DEFAULT_DEPTH) -> tuple[list, list, list, list]:
     """Per text: words, known words, sum of the words' values, sum of the grams' values. A word's value is 0 if it's unknown."""
     n_words, known, base, score = [], [], [], []
     for _, some in slices(texts):
@@ -205,7 +243,7 @@ def score_bucket(texts: list[bytes], words: dict, model: _Lookup, depth: int = D
     return n_words, known, base, score
 
 
-def score_documents(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEFAULT_DEPTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs`` (doc_id, text).
 
     The text is modelled as its token sequence: A-Z lower-cased, words joined by one
@@ -228,8 +266,6 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUC
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).cast("int"))
 
     def count(table):
-        import pyarrow as pa
-
         words, key, n = count_bucket([normal(t) for t in table.column("text").to_pylist()], table.column("held_out").to_pylist(), depth)
         chunk = chunk_of(key, n_chunks)
         order = np.argsort(chunk, kind="stable")
@@ -238,61 +274,55 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUC
         by: list[list[bytes]] = [[] for _ in range(n_chunks)]
         for w in words:
             by[zlib.crc32(w) % n_chunks].append(w)
-        lists = lambda x, t: pa.ListArray.from_arrays(pa.array(np.concatenate([ends, np.full(n_chunks, ends[-1])]), pa.int32()), pa.array(x, t))
-        empty = [[]] * n_chunks
+        full = np.flatnonzero(np.diff(ends)).tolist()
+        n_words = [c for c in range(n_chunks) if by[c]]
         return pa.table({
-            "bucket": pa.array(np.full(2 * n_chunks, table.column("bucket")[0].as_py()), pa.int32()), "chunk": pa.array(np.arange(2 * n_chunks), pa.int32()),
-            "grams": lists(key.astype(np.int64), pa.int64()), "words": pa.array(empty + by, pa.list_(pa.binary())),
-            "n": pa.concat_arrays([lists(n, pa.int32()).slice(0, n_chunks), pa.array([[words[w] for w in ws] for ws in by], pa.list_(pa.int32()))]),
+            "bucket": pa.array(np.full(len(full) + len(n_words), table.column("bucket")[0].as_py()), pa.int32()), "chunk": pa.array(full + [n_chunks + c for c in n_words], pa.int32()),
+            "grams": pa.array([packed_keys(key[ends[c] : ends[c + 1]]) for c in full] + [None] * len(n_words), pa.binary()),
+            "n": pa.array([packed(n[ends[c] : ends[c + 1]].astype(np.int32)) for c in full] + [None] * len(n_words), pa.binary()),
+            "words": pa.array([None] * len(full) + [by[c] for c in n_words], pa.list_(pa.binary())),
+            "word_n": pa.array([None] * len(full) + [[words[w] for w in by[c]] for c in n_words], pa.list_(pa.int32())),
         })
 
-    counts = work.cut(dealt.groupBy("bucket").applyInArrow(count, "bucket int, chunk int, grams array<long>, words array<binary>, n array<int>"), "counts")
+    counts = work.cut(dealt.groupBy("bucket").applyInArrow(count, "bucket int, chunk int, grams binary, n binary, words array<binary>, word_n array<int>"), "counts")
 
     def merged(table):
-        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        keys = flat("grams").astype(np.uint64)
-        return keys, *sum_by(keys, flat("n").astype(np.int64))
+        keys = np.concatenate([unpacked_keys(b.as_py()) for b in table.column("grams")])
+        return sum_by(keys, np.concatenate([unpacked(b.as_py(), np.int32) for b in table.column("n")]).astype(np.int64))
 
     def tops(table):
-        import pyarrow as pa
-
-        _, key, n = merged(table)
+        key, n = merged(table)
         node, *sums = top_sums(key, n, depth)
         return pa.table({"node": pa.array(node, pa.int32()), **{c: pa.array(x, pa.float64()) for c, x in zip(("n0", "n1", "below"), sums, strict=True)}})
 
-    of_grams = counts.filter((F.col("chunk") < n_chunks) & (F.size("grams") > 0)).select("bucket", "chunk", "grams", "n")
+    of_grams = counts.filter(F.col("chunk") < n_chunks).select("bucket", "chunk", "grams", "n")
     top = of_grams.select("chunk", "grams", "n").groupBy("chunk").applyInArrow(tops, "node int, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).orderBy("node").collect()
     paths = spark.sparkContext.broadcast(top_paths(np.array([r[0] for r in top], dtype=np.int64), *(np.array([r[i] for r in top], dtype=np.float64) for i in (1, 2, 3))))
 
     def values(table):
-        import pyarrow as pa
-
-        keys, key, n = merged(table)
-        found = gram_values(key, n, paths.value, depth).astype(np.float32)[np.searchsorted(key, keys)]
-        lists = table.column("grams").combine_chunks()
-        offsets = lists.offsets.to_numpy()
-        return pa.table({"bucket": table.column("bucket"), "grams": lists, "words": pa.nulls(len(lists), pa.list_(pa.binary())), "values": pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(found)), "totals": pa.nulls(len(lists), pa.list_(pa.int64())), "leads": pa.nulls(len(lists), pa.int64())})
+        key, n = merged(table)
+        found = gram_values(key, n, paths.value, depth).astype(np.float32)
+        lists = table.column("grams")
+        each = pa.array([packed(found[np.searchsorted(key, unpacked_keys(b.as_py()))]) for b in lists], pa.binary())
+        return pa.table({"bucket": table.column("bucket"), "grams": lists, "values": each, "words": pa.nulls(len(lists), pa.list_(pa.binary())), "totals": pa.nulls(len(lists), pa.list_(pa.int64())), "leads": pa.nulls(len(lists), pa.int64())})
 
     def word_values(table):
-        import pyarrow as pa
-
-        lists, ns = table.column("words").to_pylist(), table.column("n").to_pylist()
+        lists, ns = table.column("words").to_pylist(), table.column("word_n").to_pylist()
         totals: Counter = Counter()
         for ws, n in zip(lists, ns, strict=True):
             for w, k in zip(ws, n, strict=True):
                 totals[w] += k
         leads = [sum(k > 0 for k in totals.values())] + [0] * (len(lists) - 1)
-        return pa.table({"bucket": table.column("bucket"), "grams": pa.nulls(len(lists), pa.list_(pa.int64())), "words": table.column("words"), "values": pa.nulls(len(lists), pa.list_(pa.float32())), "totals": pa.array([[totals[w] for w in ws] for ws in lists], pa.list_(pa.int64())), "leads": pa.array(leads, pa.int64())})
+        return pa.table({"bucket": table.column("bucket"), "grams": pa.nulls(len(lists), pa.binary()), "values": pa.nulls(len(lists), pa.binary()), "words": table.column("words"), "totals": pa.array([[totals[w] for w in ws] for ws in lists], pa.list_(pa.int64())), "leads": pa.array(leads, pa.int64())})
 
-    schema = "bucket int, grams array<long>, words array<binary>, values array<float>, totals array<long>, leads long"
-    of_words = counts.filter((F.col("chunk") >= n_chunks) & (F.size("words") > 0)).select("bucket", "chunk", "words", "n")
+    schema = "bucket int, grams binary, values binary, words array<binary>, totals array<long>, leads long"
+    of_words = counts.filter(F.col("chunk") >= n_chunks).select("bucket", "chunk", "words", "word_n")
     model = of_grams.groupBy("chunk").applyInArrow(values, schema).union(of_words.groupBy("chunk").applyInArrow(word_values, schema))
 
     def score(texts, model):
-        import pyarrow as pa
-
         flat = lambda c: model.column(c).combine_chunks().flatten()
-        look = _Lookup(flat("grams").to_numpy(zero_copy_only=False).astype(np.uint64), flat("values").to_numpy(zero_copy_only=False))
+        read = lambda c, f: np.concatenate([f(b.as_py()) for b in model.column(c) if b.is_valid])
+        look = _Lookup(read("grams", unpacked_keys), read("values", lambda b: unpacked(b, np.float32)))
         words = dict(zip(flat("words").to_pylist(), np.log10(flat("totals").to_numpy(zero_copy_only=False) + 1.0).tolist(), strict=True))
         plain = [normal(t) for t in texts.column("text").to_pylist()]
         n_words, known, base, found = score_bucket(plain, words, look, depth)

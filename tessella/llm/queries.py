@@ -13,7 +13,7 @@ def op1_importance_resampling(spark, sf_dir):
 
 
 def op2_context_tree_lm(spark, sf_dir):
-    return context_tree.score_documents(table(spark, sf_dir, "documents"))
+    return context_tree.score_documents(table(spark, sf_dir, "documents"), context_tree.DEPTH)
 
 
 def op3_orc_token_ids(spark, sf_dir):

@@ -426,3 +426,22 @@ def test_index_compacts(spark):
     joined = spark.table(index.runs()[0]).groupBy("fingerprint").count()
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
     index.clear()
+
+
+def test_context_tree_query_is_six_bytes_deep(spark, tmp_path):
+    from tessella.llm import queries
+
+    # only the sixth byte back tells what follows "bbbbb"
+    texts = [(i, ("abbbbbx " if i % 2 else "cbbbbby ") * 30) for i in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in queries.op2_context_tree_lm(spark, str(tmp_path)).collect()}
+    six, five = ({r.doc_id: r.score for r in context_tree.score_documents(docs, depth=d).collect()} for d in (6, 5))
+    assert got == pytest.approx(six) and min(got[d] - five[d] for d in got) > 1
+
+
+def test_context_tree_packing():
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 56, 1000, dtype=np.uint64))
+    assert (context_tree.unpacked_keys(context_tree.packed_keys(keys)) == keys).all()
+    values = np.linspace(-9, 0, 77, dtype=np.float32)
+    assert (context_tree.unpacked(context_tree.packed(values), np.float32) == values).all()
