@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import keyed_draw
+
 
 def two_way_within(df: DataFrame, columns: list[str], unit: str = "unit", period: str = "t") -> DataFrame:
     """x less its unit's and its period's mean plus the overall mean: the two-way effect on balanced panels."""
@@ -194,3 +196,81 @@ def spillover(panel: DataFrame, exposure: DataFrame, outcome: str, did: str, clu
     """Two-way effects of the own treatment and of the neighbours' earlier one (unit, t, exposure)."""
     j = panel.join(exposure.select("unit", "t", F.col("exposure").alias("near")), ["unit", "t"]).na.drop(subset=["near"])
     return twfe(j, outcome, did, ("near",), cluster)
+
+
+def _numbered(df: DataFrame, draw: Column, tie: str, name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with each row's place from 1 on by ``draw`` (in [0, 1)) and ``tie``; places are counted in 256 ranges of the draw and the ranges' counts summed on top."""
+    d = df.withColumn("_u", draw).withColumn("_range", F.floor(F.col("_u") * 256).cast("int"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(*within, "_range").agg(F.count("*").alias("_n")).select(*within, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*within, "_range").orderBy("_u", tie))
+    return d.withColumn("_place", place).join(sizes, [*within, "_range"]).select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
+def unit_bootstrap(panel: DataFrame, outcome: str, treatment: str, draws: int = 160, cluster: str = "cl") -> DataFrame:
+    """Two-way coefficient with its clustered error, and over resamples of whole units its mean, deviation, 95 % percentile interval and two-sided sign p.
+
+    Each draw takes as many units as there are, with replacement, by keyed draws; a unit taken twice is two units. Unit means don't change
+    then, so a draw's sums by period of the units' deviations give its moments. Draws without variation of the treatment are left out; under 8
+    units, or with too few draws left (20, and 30 %), the figures of the draws are null.
+    """
+    d = panel.select("unit", cluster, "t", F.col(outcome).cast("double").alias("y"), F.col(treatment).cast("double").alias("x")).na.drop()
+    units = _numbered(d.select("unit").distinct(), keyed_draw(F.lit(0), F.col("unit")), "unit", "_i")
+    n = units.count()
+    slot = d.sparkSession.range(n * draws).select((F.expr(f"id div {max(n, 1)}") + 1).alias("draw"), (F.col("id") % max(n, 1) + 1).alias("slot"))
+    taken = slot.withColumn("_i", F.floor(keyed_draw(F.col("draw"), F.col("slot")) * n) + 1).groupBy("draw", "_i").agg(F.count("*").alias("w")).join(units, "_i").select("draw", "unit", "w")
+    u = Window.partitionBy("unit")
+    dev = d.select("unit", "t", "x", "y", (F.col("x") - F.avg("x").over(u)).alias("a"), (F.col("y") - F.avg("y").over(u)).alias("b"))
+    w = F.col("w")
+    sums = {"n": w, "x": w * F.col("x"), "y": w * F.col("y"), "a": w * F.col("a"), "b": w * F.col("b"), "aa": w * F.col("a") * F.col("a"), "ab": w * F.col("a") * F.col("b")}
+    by = dev.join(taken, "unit").groupBy("draw", "t").agg(*[F.sum(v).alias(f"s_{k}") for k, v in sums.items()])
+    each = Window.partitionBy("draw")
+    off = lambda c: F.col(f"s_{c}") / F.col("s_n") - F.sum(f"s_{c}").over(each) / F.sum("s_n").over(each)
+    by = by.withColumn("p", off("x")).withColumn("q", off("y"))
+    xx = F.sum(F.expr("s_aa - 2 * p * s_a + s_n * p * p"))
+    xy = F.sum(F.expr("s_ab - p * s_b - q * s_a + s_n * p * q"))
+    coefs = by.groupBy("draw").agg(F.when(xx > 1e-9, xy / xx).alias("c")).filter("c IS NOT NULL")
+    share = lambda hit: F.avg(hit.cast("double"))
+    boot = coefs.agg(
+        F.count("*").alias("draws_used"), F.avg("c").alias("boot_mean"), F.stddev_samp("c").alias("boot_sd"), F.percentile("c", 0.025).alias("low"), F.percentile("c", 0.975).alias("high"),
+        (2 * F.least(share(F.col("c") <= 0), share(F.col("c") >= 0))).alias("p"),
+    )
+    enough = (F.lit(n) >= 8) & (F.col("draws_used") >= max(20, int(0.3 * draws)))
+    base = twfe(d, "y", "x", cluster=cluster).select("coef", "stderr", "t_value")
+    return base.join(boot, F.lit(True)).select("coef", "stderr", "t_value", "draws_used", *[F.when(enough, F.col(c)).alias(c) for c in ("boot_mean", "boot_sd", "low", "high", "p")])  # one row each
+
+
+def schedule_permutation(panel: DataFrame, outcome: str, treatment: str, draws: int = 200, cluster: str = "cl") -> DataFrame:
+    """Two-way coefficient and clustered t, and how they lie among refits with the units' start periods dealt anew.
+
+    A unit's cohort is its first treated period (9999: never); a draw reorders the cohorts over the units, so their numbers stay. p counts
+    the observed schedule among the draws. Draws without variation are left out; without two cohorts, or with too few draws left (30, and
+    30 %), the figures of the draws are null.
+    """
+    d = panel.select("unit", cluster, "t", F.col(outcome).cast("double").alias("y"), F.col(treatment).cast("double").alias("x")).na.drop()
+    cohorts = d.groupBy("unit").agg(F.coalesce(F.min(F.when(F.col("x") >= 0.5, F.col("t"))), F.lit(9999)).alias("cohort"))
+    kinds = cohorts.agg(F.countDistinct("cohort")).first()[0]
+    slots = _numbered(cohorts, keyed_draw(F.lit(0), F.col("unit")), "unit", "_i").select("_i", "cohort")
+    each = cohorts.select("unit", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    dealt = _numbered(each, keyed_draw(F.col("draw"), F.col("unit")), "unit", "_i", ("draw",)).join(slots, "_i").select("draw", "unit", "cohort")
+    y = two_way_within(d, ["y"]).select("unit", F.col(cluster).alias("c"), "t", F.col("y_w").alias("y"))
+    x = y.join(dealt, "unit").withColumn("x", ((F.col("cohort") < 9999) & (F.col("t") >= F.col("cohort"))).cast("double"))
+    x = x.withColumn("a", F.col("x") - F.avg("x").over(Window.partitionBy("draw", "unit")))
+    one = Window.partitionBy("draw")
+    period = x.groupBy("draw", "t").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    period = period.select("draw", "t", (F.col("s") / F.col("n") - F.sum("s").over(one) / F.sum("n").over(one)).alias("p"))
+    w = x.join(period, ["draw", "t"]).select("draw", "c", "y", (F.col("a") - F.col("p")).alias("x"))
+    by = w.groupBy("draw", "c").agg(F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("n"))
+    by = by.withColumn("b", F.sum("xy").over(one) / F.when(F.sum("xx").over(one) > 1e-9, F.sum("xx").over(one)))
+    fit = by.groupBy("draw").agg(F.first("b").alias("b"), F.sum("xx").alias("xx"), F.sum((F.col("xy") - F.col("b") * F.col("xx")) ** 2).alias("m"), F.count("*").alias("g"), F.sum("n").alias("n")).filter("b IS NOT NULL")
+    small = F.col("g") / F.greatest(F.col("g") - 1, F.lit(1))
+    null = fit.select("b", F.abs(F.col("b") * F.col("xx") / F.nullif(F.sqrt(F.col("m") * small), F.lit(0.0))).alias("t"))
+    base = twfe(d, "y", "x", cluster=cluster).select("coef", "t_value")
+    seen = base.first()
+    far = lambda c, v: (1 + F.sum(F.coalesce((F.round(c, 9) >= F.lit(round(abs(v), 9))).cast("int"), F.lit(0)))) / (1 + F.count("*")) if v is not None else F.lit(None).cast("double")
+    tests = null.withColumn("size", F.abs("b")).agg(
+        F.count("*").alias("draws_used"), F.avg("b").alias("null_mean"), F.stddev_samp("b").alias("null_sd"), F.percentile("t", 0.95).alias("null_t95"),
+        far("size", seen["coef"]).alias("p_coef"), far("t", seen["t_value"]).alias("p_t"),
+    )
+    enough = (F.lit(kinds) >= 2) & (F.col("draws_used") >= max(30, int(0.3 * draws)))
+    return base.join(tests, F.lit(True)).select("coef", "t_value", "draws_used", *[F.when(enough, F.col(c)).alias(c) for c in ("null_mean", "null_sd", "null_t95", "p_coef", "p_t")])  # one row each

@@ -120,6 +120,31 @@ def l3_wild_bootstrap(spark, sf):
     return r(R.wild_bootstrap(_syd(spark, sf), "y", "did", 100), "coef", "p")
 
 
+U32 = "('0x' || substr(md5({k}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+OBSERVED = f"""{TW}, cs AS (SELECT cl, sum(x * (y - b.b * x)) AS s FROM w, b GROUP BY 1), o AS (SELECT any_value(b.b) AS coef, sqrt(sum(s * s) * count(*) / (count(*) - 1)) / any_value(b.xx) AS stderr FROM cs, b)"""
+
+
+@query(f"""WITH {OBSERVED}, un AS (SELECT unit, row_number() OVER (ORDER BY {U32.format(k="'0:' || unit")}, unit) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT unit FROM p)),
+sl AS (SELECT draw, floor({U32.format(k="draw || ':' || slot")} * n)::BIGINT + 1 AS i FROM (SELECT draw, n, unnest(range(1, n + 1)) AS slot FROM (SELECT unnest(range(1, 161)) AS draw, n FROM (SELECT DISTINCT n FROM un)))),
+s AS (SELECT draw, unit, y, did, t, copy FROM (SELECT draw, i, row_number() OVER (PARTITION BY draw, i) AS copy FROM sl) JOIN un USING (i) JOIN p USING (unit)),
+bw AS (SELECT draw, y - avg(y) OVER (PARTITION BY draw, unit, copy) - avg(y) OVER (PARTITION BY draw, t) + avg(y) OVER (PARTITION BY draw) AS y, did - avg(did) OVER (PARTITION BY draw, unit, copy) - avg(did) OVER (PARTITION BY draw, t) + avg(did) OVER (PARTITION BY draw) AS x FROM s),
+c AS (SELECT draw, sum(x * y) / sum(x * x) AS c FROM bw GROUP BY 1 HAVING sum(x * x) > 1e-9),
+f AS (SELECT count(*) AS draws_used, avg(c) AS m, stddev_samp(c) AS sd, quantile_cont(c, 0.025) AS lo, quantile_cont(c, 0.975) AS hi, 2 * least(avg((c <= 0)::INT), avg((c >= 0)::INT)) AS p, count(*) >= 48 AND (SELECT count(*) FROM un) >= 8 AS ok FROM c)
+SELECT round(coef, 6) AS coef, round(stderr, 6) AS stderr, round(coef / stderr, 5) AS t_value, draws_used, CASE WHEN ok THEN round(m, 6) END AS boot_mean, CASE WHEN ok THEN round(sd, 6) END AS boot_sd, CASE WHEN ok THEN round(lo, 6) END AS low, CASE WHEN ok THEN round(hi, 6) END AS high, CASE WHEN ok THEN round(p, 6) END AS p FROM o, f""")
+def l1_twfe_bootstrap(spark, sf):
+    return r(r(R.unit_bootstrap(_syd(spark, sf), "y", "did"), "coef", "stderr", "boot_mean", "boot_sd", "low", "high", "p"), "t_value", digits=5)
+
+
+@query(f"""WITH {OBSERVED}, co AS (SELECT unit, coalesce(min(CASE WHEN did >= 0.5 THEN t END), 9999) AS cohort FROM p GROUP BY 1), k AS (SELECT cohort, row_number() OVER (ORDER BY {U32.format(k="'0:' || unit")}, unit) AS i FROM co),
+dl AS (SELECT draw, unit, row_number() OVER (PARTITION BY draw ORDER BY {U32.format(k="draw || ':' || unit")}, unit) AS i FROM (SELECT unit, unnest(range(1, 201)) AS draw FROM co)),
+s AS (SELECT draw, unit, t, cl, y, (cohort < 9999 AND t >= cohort)::INT::DOUBLE AS did FROM dl JOIN k USING (i) JOIN p USING (unit)),
+pw AS (SELECT draw, cl, y - avg(y) OVER (PARTITION BY draw, unit) - avg(y) OVER (PARTITION BY draw, t) + avg(y) OVER (PARTITION BY draw) AS y, did - avg(did) OVER (PARTITION BY draw, unit) - avg(did) OVER (PARTITION BY draw, t) + avg(did) OVER (PARTITION BY draw) AS x FROM s),
+pb AS (SELECT draw, sum(x * y) / sum(x * x) AS c, sum(x * x) AS xx FROM pw GROUP BY 1 HAVING sum(x * x) > 1e-9), ps AS (SELECT draw, cl, sum(x * (y - c * x)) AS s FROM pw JOIN pb USING (draw) GROUP BY ALL), pt AS (SELECT draw, c, abs(c) / (sqrt(sum(s * s) * count(*) / (count(*) - 1)) / xx) AS t FROM ps JOIN pb USING (draw) GROUP BY draw, c, xx)
+SELECT round(any_value(coef), 6) AS coef, round(any_value(coef / stderr), 5) AS t_value, count(*) AS draws_used, round(avg(c), 6) AS null_mean, round(stddev_samp(c), 6) AS null_sd, round(quantile_cont(t, 0.95), 5) AS null_t95, round((1 + sum((round(abs(c), 9) >= round(abs(coef), 9))::INT)) / (1 + count(*)), 6) AS p_coef, round((1 + sum((round(t, 9) >= round(abs(coef / stderr), 9))::INT)) / (1 + count(*)), 6) AS p_t FROM pt, o""")
+def l2_schedule_permutation(spark, sf):
+    return r(r(R.schedule_permutation(_syd(spark, sf), "y", "did"), "coef", "null_mean", "null_sd", "p_coef", "p_t"), "t_value", "null_t95", digits=5)
+
+
 @query()
 def k8_spillover(spark, sf):
     from tessella.operators import spatial

@@ -117,7 +117,7 @@ def j8_shift_share(spark, sf):
 
 @query()
 def j13_envelope_bootstrap(spark, sf):
-    return r(K.envelope_bootstrap(_response(spark, sf), 50), "mean", "low", "high", "signal_to_noise")
+    return r(K.envelope_bootstrap(_response(spark, sf), 800), "mean", "low", "high", "signal_to_noise")
 
 
 @query(f"""WITH {RESP}, pre AS (SELECT shock, regr_slope(high - low, event_t) AS slope, regr_sxx(high - low, event_t) AS sxx, regr_syy(high - low, event_t) AS syy, regr_sxy(high - low, event_t) AS sxy, count(*) AS n, max(abs(high - low)) AS largest FROM resp WHERE event_t < 1 AND high - low IS NOT NULL GROUP BY 1)

@@ -121,3 +121,43 @@ def test_zscore_has_no_division_by_zero(spark):
 
     df = panel(spark, [("a", "g", 1, 1.0)])
     assert df.select(zscore(F.col("value"), Window.partitionBy("t"), population=False).alias("z")).first().z == 0.0
+
+
+def _twfe_by_hand(rows):
+    """(unit copy, t, y, x): the two-way coefficient, None without variation."""
+    import numpy as np
+
+    y, x = (np.array([r[i] for r in rows], dtype=float) for i in (2, 3))
+    mean = lambda v, i: np.array([np.mean([b for q, b in zip(rows, v) if q[i] == r[i]]) for r in rows])
+    within = lambda v: v - mean(v, 0) - mean(v, 1) + v.mean()
+    x, y = within(x), within(y)
+    return float(x @ y / (x @ x)) if x @ x > 1e-9 else None
+
+
+def test_unit_bootstrap_and_schedule_permutation(spark):
+    import hashlib
+
+    import numpy as np
+
+    start = {0: 2, 1: 2, 2: 3, 3: 9999, 4: 9999, 5: 3, 6: 9999, 7: 2, 8: 9999, 9: 9999}
+    draw = lambda *k: int(hashlib.md5(":".join(map(str, k)).encode()).hexdigest()[:8], 16) / 2**32
+    # unit 4 lacks a period
+    rows = [(u, u, t, draw("y", u, t) + t + 2.0 * (t >= start[u]), float(t >= start[u])) for u in start for t in range(5) if (u, t) != (4, 1)]
+    df = spark.createDataFrame(rows, "unit int, cl int, t int, y double, did double")
+    plain = [(u, t, y, x) for u, _, t, y, x in rows]
+    order = sorted(start, key=lambda u: (draw(0, u), u))
+    got = regression.unit_bootstrap(df, "y", "did", 40).first()
+    coefs = [_twfe_by_hand([((k, u), t, y, x) for k in range(1, 11) for u in [order[int(draw(d, k) * 10)]] for v, t, y, x in plain if v == u]) for d in range(1, 41)]
+    coefs = np.array([c for c in coefs if c is not None])
+    assert got.coef == pytest.approx(_twfe_by_hand(plain)) and got.draws_used == len(coefs)
+    assert (got.boot_mean, got.boot_sd, got.low, got.high) == pytest.approx((coefs.mean(), coefs.std(ddof=1), *np.quantile(coefs, [0.025, 0.975])))
+    assert got.p == pytest.approx(2 * min((coefs <= 0).mean(), (coefs >= 0).mean()))
+    got = regression.schedule_permutation(df, "y", "did", 40).first()
+    coefs = []
+    for d in range(1, 41):
+        new = {u: start[order[i]] for i, u in enumerate(sorted(start, key=lambda u: (draw(d, u), u)))}
+        coefs.append(_twfe_by_hand([(u, t, y, float(t >= new[u])) for u, t, y, _ in plain]))
+    assert got.draws_used == 40 and (got.null_mean, got.null_sd) == pytest.approx((np.mean(coefs), np.std(coefs, ddof=1)))
+    assert got.p_coef == pytest.approx((1 + sum(abs(c) >= abs(got.coef) for c in coefs)) / 41)
+    few = regression.unit_bootstrap(df.filter("unit < 5"), "y", "did", 40).first()
+    assert few.coef is not None and few.p is None
