@@ -142,7 +142,8 @@ def _matrix(column, n: int) -> np.ndarray:
 
 
 def search(embeddings: DataFrame, every: int = 100, k: int = 10, most_fitted: int = MOST_FITTED, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: of each vector whose vec_id is divisible by ``every``, the k nearest of all others that its probes find.
+    """query_id, rank (from 1), vec_id, score: of each vector whose vec_id is divisible by ``every``, the k nearest of all others that its probes find;
+    where those find fewer than k, of all others.
 
     Every usable vector is indexed in its most probable partition. Partitions, and the
     queries sent to them, are dealt by a hash into blocks of about ``block`` rows, and a
@@ -170,16 +171,9 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, most_fitted: in
 
     routed = work.cut(rows.mapInArrow(route, "vec_id long, v array<double>, parts array<int>"), "routed")
     base = routed.select("vec_id", "v", F.col("parts")[0].alias("part"))
-    queries = routed.filter(F.col("vec_id") % every == 0).select("vec_id", "v", F.explode("parts").alias("part"))
+    asked = routed.filter(F.col("vec_id") % every == 0)
     # at most MOST_PARTS rows each
     blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-    sizes = F.broadcast(work.cut(blocks(base, "n_base").join(blocks(queries, "n_query"), "part"), "blocks"))
-    spread = lambda df, own, other: df.join(sizes, "part").select(
-        "vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), own).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
-    )
-    base = spread(base, F.col("n_base"), "n_query").select("part", F.col("own").alias("b"), F.col("other").alias("q"), F.col("vec_id").alias("x_id"), F.col("v").alias("x"))
-    queries = spread(queries, F.col("n_query"), "n_base").select("part", F.col("other").alias("b"), F.col("own").alias("q"), F.col("vec_id").alias("y_id"), F.col("v").alias("y"))
-
     def rank(vectors, asked):
         import pyarrow as pa
 
@@ -192,6 +186,25 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, most_fitted: in
         return pa.table([np.repeat(own, [len(i) for i, _ in near]), np.concatenate([i for i, _ in near]), np.concatenate([d for _, d in near])], schema=schema)
 
     keys = ["part", "b", "q"]
-    met = base.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double").distinct()
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def meet(queries, name):
+        sizes = F.broadcast(work.cut(blocks(base, "n_base").join(blocks(queries, "n_query"), "part"), name))
+        spread = lambda df, own, other: df.join(sizes, "part").select(
+            "vec_id", "v", "part", F.pmod(F.xxhash64("vec_id"), own).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
+        )
+        x = spread(base, F.col("n_base"), "n_query").select("part", F.col("own").alias("b"), F.col("other").alias("q"), F.col("vec_id").alias("x_id"), F.col("v").alias("x"))
+        y = spread(queries, F.col("n_query"), "n_base").select("part", F.col("other").alias("b"), F.col("own").alias("q"), F.col("vec_id").alias("y_id"), F.col("v").alias("y"))
+        return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
+
+    def first(met):
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return met.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = work.cut(first(meet(asked.select("vec_id", "v", F.explode("parts").alias("part")), "blocks")), "found")
+    short = asked.select("vec_id").distinct().join(found.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left").filter(F.coalesce("count", F.lit(0)) < k)
+    short = work.cut(short.select("vec_id"), "short")
+    if short.isEmpty():
+        return found
+    others = F.array_except(F.sequence(F.lit(0), F.lit(len(router.value.b2) - 1)), "parts")
+    more = meet(asked.join(short, "vec_id").select("vec_id", "v", F.explode(others).alias("part")), "more-blocks")
+    return first(found.select("query_id", "vec_id", "score").union(more))

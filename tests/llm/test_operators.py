@@ -445,3 +445,16 @@ def test_context_tree_packing():
     assert (context_tree.unpacked_keys(context_tree.packed_keys(keys)) == keys).all()
     values = np.linspace(-9, 0, 77, dtype=np.float32)
     assert (context_tree.unpacked(context_tree.packed(values), np.float32) == values).all()
+
+
+def test_neighbours_of_a_thin_partition(spark, monkeypatch):
+    # part 0: first component above 0; part 1 has three vectors
+    router = neighbours.Router(np.array([[1.0, -1.0], [0.0, 0.0]]), np.zeros(2), np.eye(2), np.zeros(2), 1)
+    monkeypatch.setattr(neighbours, "fit_router", lambda *_: router)
+    data = [(i, [-1.0 - i, 0.5] if i in (100, 7, 8) else [1.0 + i, 0.25 * i]) for i in range(150)]
+    got = defaultdict(list)
+    for r in neighbours.search(spark.createDataFrame(data, "vec_id long, embedding array<float>")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 6)))
+    at = dict(data)
+    want = {q: sorted(((i, round(math.dist(v, at[q]), 6)) for i, v in data if i != q), key=lambda x: (x[1], x[0]))[:10] for q in (0, 100)}
+    assert got[100] == want[100] and len(got[0]) == 10
