@@ -458,3 +458,13 @@ def test_neighbours_of_a_thin_partition(spark, monkeypatch):
     at = dict(data)
     want = {q: sorted(((i, round(math.dist(v, at[q]), 6)) for i, v in data if i != q), key=lambda x: (x[1], x[0]))[:10] for q in (0, 100)}
     assert got[100] == want[100] and len(got[0]) == 10
+
+
+def test_packing_conversations_under_three_limits(spark):
+    turns = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    by_sequence = lambda limits: packing.pack_conversations(turns, tokens.vocabulary("byte_bpe_50k.json"), limits=limits).groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.sum("n_loss").alias("loss"), F.count("*").alias("pieces")).collect()
+    got = by_sequence(packing.Limits(loss=1536))
+    assert all(r.tokens <= 2048 and r.loss <= 1536 and r.pieces <= 256 for r in got)
+    free = by_sequence(packing.Limits())
+    # the loss limit acts
+    assert max(r.loss for r in free) > 1536 and sum(r.loss for r in got) == sum(r.loss for r in free)
