@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -55,6 +55,15 @@ def keyed_draw(*keys: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in keys])), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def numbered(df: DataFrame, draw: Column, tie: str, name: str, within: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with each row's place from 1 on by ``draw`` (in [0, 1)) and ``tie``; places are counted in 256 ranges of the draw and the ranges' counts summed on top."""
+    d = df.withColumn("_u", draw).withColumn("_range", F.floor(F.col("_u") * 256).cast("int"))
+    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = d.groupBy(*within, "_range").agg(F.count("*").alias("_n")).select(*within, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy(*within, "_range").orderBy("_u", tie))
+    return d.withColumn("_place", place).join(sizes, [*within, "_range"]).select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance on a sphere of 6371 km."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

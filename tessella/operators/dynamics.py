@@ -155,9 +155,12 @@ def unit_envelope(panel: DataFrame) -> DataFrame:
     """Per unit: volatility of log growth, largest fall from the peak, share of rises, momentum gap; each scaled over units, and their mean."""
     g = panel.select("unit", "t", "value", (F.log1p("value") - F.lag(F.log1p("value")).over(own_order())).alias("g"), F.max("value").over(own_order().rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), F.row_number().over(Window.partitionBy("unit").orderBy(F.col("t").desc())).alias("back"))
     u = g.groupBy("unit").agg(F.stddev_samp("g").alias("volatility"), F.max(1 - F.col("value") / F.col("peak")).alias("drawdown"), F.avg((F.col("g") > 0).cast("double")).alias("rises"), (F.avg(F.when(F.col("back") <= 3, F.col("g"))) - F.avg("g")).alias("gap"))
-    over = Window.partitionBy()
-    parts = [1 - minmax(F.col("volatility"), over), 1 - minmax(F.col("drawdown"), over), minmax(F.col("rises"), over), minmax(F.col("gap"), over)]
-    return u.select("*", (sum(parts[1:], parts[0]) / 4).alias("score"))
+    names = ("volatility", "drawdown", "rises", "gap")
+    ends = u.agg(*[f(c).alias(f"_{e}_{c}") for c in names for e, f in (("low", F.min), ("high", F.max))])
+    low, high = (lambda c: F.col(f"_low_{c}")), (lambda c: F.col(f"_high_{c}"))
+    scaled = [F.when(F.col(c).isNotNull(), F.when(high(c) > low(c), (F.col(c) - low(c)) / (high(c) - low(c))).otherwise(0.5)) for c in names]
+    parts = [1 - scaled[0], 1 - scaled[1], *scaled[2:]]
+    return u.join(ends, F.lit(True)).select(*[F.col(c) for c in u.columns], (sum(parts[1:], parts[0]) / 4).alias("score"))
 
 
 def group_envelope(panel: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import keyed_draw
+from tessella.functions.columns import keyed_draw, numbered
 
 
 def auc(df: DataFrame, y: str, p: str, group: str | None = None) -> DataFrame:
@@ -127,7 +127,7 @@ def permutation_p(df: DataFrame, value: str, treated: str, unit: str, draws: int
     seen = u.agg((F.avg(F.when(F.col(treated) == 1, F.col(value))) - F.avg(F.when(F.col(treated) == 0, F.col(value)))).alias("diff"), F.sum(treated).alias("k"))
     k = seen.first()["k"]
     d = u.select(unit, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    placed = d.withColumn("_r", F.row_number().over(Window.partitionBy("draw").orderBy(keyed_draw(F.col("draw"), F.col(unit)), unit)))
+    placed = numbered(d, keyed_draw(F.col("draw"), F.col(unit)), unit, "_r", ("draw",))
     null = placed.groupBy("draw").agg((F.avg(F.when(F.col("_r") <= k, F.col(value))) - F.avg(F.when(F.col("_r") > k, F.col(value)))).alias("d"))
     return null.join(seen, F.lit(True)).groupBy("diff").agg(F.avg((F.abs("d") >= F.abs("diff")).cast("double")).alias("p"))  # one row
 

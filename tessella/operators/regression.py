@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import keyed_draw
+from tessella.functions.columns import keyed_draw, numbered
 
 
 def two_way_within(df: DataFrame, columns: list[str], unit: str = "unit", period: str = "t") -> DataFrame:
@@ -198,15 +198,6 @@ def spillover(panel: DataFrame, exposure: DataFrame, outcome: str, did: str, clu
     return twfe(j, outcome, did, ("near",), cluster)
 
 
-def _numbered(df: DataFrame, draw: Column, tie: str, name: str, within: tuple[str, ...] = ()) -> DataFrame:
-    """``df`` with each row's place from 1 on by ``draw`` (in [0, 1)) and ``tie``; places are counted in 256 ranges of the draw and the ranges' counts summed on top."""
-    d = df.withColumn("_u", draw).withColumn("_range", F.floor(F.col("_u") * 256).cast("int"))
-    before = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = d.groupBy(*within, "_range").agg(F.count("*").alias("_n")).select(*within, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy(*within, "_range").orderBy("_u", tie))
-    return d.withColumn("_place", place).join(sizes, [*within, "_range"]).select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
-
-
 def unit_bootstrap(panel: DataFrame, outcome: str, treatment: str, draws: int = 160, cluster: str = "cl") -> DataFrame:
     """Two-way coefficient with its clustered error, and over resamples of whole units its mean, deviation, 95 % percentile interval and two-sided sign p.
 
@@ -215,7 +206,7 @@ def unit_bootstrap(panel: DataFrame, outcome: str, treatment: str, draws: int =
     units, or with too few draws left (20, and 30 %), the figures of the draws are null.
     """
     d = panel.select("unit", cluster, "t", F.col(outcome).cast("double").alias("y"), F.col(treatment).cast("double").alias("x")).na.drop()
-    units = _numbered(d.select("unit").distinct(), keyed_draw(F.lit(0), F.col("unit")), "unit", "_i")
+    units = numbered(d.select("unit").distinct(), keyed_draw(F.lit(0), F.col("unit")), "unit", "_i")
     n = units.count()
     slot = d.sparkSession.range(n * draws).select((F.expr(f"id div {max(n, 1)}") + 1).alias("draw"), (F.col("id") % max(n, 1) + 1).alias("slot"))
     taken = slot.withColumn("_i", F.floor(keyed_draw(F.col("draw"), F.col("slot")) * n) + 1).groupBy("draw", "_i").agg(F.count("*").alias("w")).join(units, "_i").select("draw", "unit", "w")
@@ -250,9 +241,9 @@ def schedule_permutation(panel: DataFrame, outcome: str, treatment: str, draws:
     d = panel.select("unit", cluster, "t", F.col(outcome).cast("double").alias("y"), F.col(treatment).cast("double").alias("x")).na.drop()
     cohorts = d.groupBy("unit").agg(F.coalesce(F.min(F.when(F.col("x") >= 0.5, F.col("t"))), F.lit(9999)).alias("cohort"))
     kinds = cohorts.agg(F.countDistinct("cohort")).first()[0]
-    slots = _numbered(cohorts, keyed_draw(F.lit(0), F.col("unit")), "unit", "_i").select("_i", "cohort")
+    slots = numbered(cohorts, keyed_draw(F.lit(0), F.col("unit")), "unit", "_i").select("_i", "cohort")
     each = cohorts.select("unit", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    dealt = _numbered(each, keyed_draw(F.col("draw"), F.col("unit")), "unit", "_i", ("draw",)).join(slots, "_i").select("draw", "unit", "cohort")
+    dealt = numbered(each, keyed_draw(F.col("draw"), F.col("unit")), "unit", "_i", ("draw",)).join(slots, "_i").select("draw", "unit", "cohort")
     y = two_way_within(d, ["y"]).select("unit", F.col(cluster).alias("c"), "t", F.col("y_w").alias("y"))
     x = y.join(dealt, "unit").withColumn("x", ((F.col("cohort") < 9999) & (F.col("t") >= F.col("cohort"))).cast("double"))
     x = x.withColumn("a", F.col("x") - F.avg("x").over(Window.partitionBy("draw", "unit")))

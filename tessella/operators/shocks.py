@@ -103,9 +103,10 @@ def shift_share(panel: DataFrame, exposure: DataFrame, shocks: DataFrame) -> Dat
     ``panel``: unit, t, value, dose.
     """
     j = panel.join(exposure.select("unit", "base"), "unit").join(shocks.select("t", "index"), "t").withColumn("iv", F.col("base") * F.col("index"))
-    u, t, a = Window.partitionBy("unit"), Window.partitionBy("t"), Window.partitionBy()
-    within = lambda c: F.col(c) - F.avg(c).over(u) - F.avg(c).over(t) + F.avg(c).over(a)
-    w = j.select(within("iv").alias("z"), within("dose").alias("d"), within("value").alias("y"))
+    u, t = Window.partitionBy("unit"), Window.partitionBy("t")
+    means = j.agg(*[F.avg(c).alias(f"_{c}") for c in ("iv", "dose", "value")])
+    within = lambda c: F.col(c) - F.avg(c).over(u) - F.avg(c).over(t) + F.col(f"_{c}")
+    w = j.join(means, F.lit(True)).select(within("iv").alias("z"), within("dose").alias("d"), within("value").alias("y"))
     s = w.agg(F.sum(F.col("z") ** 2).alias("zz"), F.sum(F.col("z") * F.col("d")).alias("zd"), F.sum(F.col("z") * F.col("y")).alias("zy"), F.sum(F.col("d") ** 2).alias("dd"), F.count("*").alias("n"))
     first, reduced = F.col("zd") / F.col("zz"), F.col("zy") / F.col("zz")
     rss = F.col("dd") - F.col("zd") ** 2 / F.col("zz")
