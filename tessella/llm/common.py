@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,20 +30,33 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when it has ended, not when the driver's memory is cleared."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 class WorkFolder:
     """Intermediate tables of one run, written as Parquet in the shared folder.
 
     ``cut`` writes a table and reads it back, so that later steps start from
     files that outlive any executor; ``drop`` removes tables that no later step
     reads. What an operator's result reads stays until the folder's owner
-    clears it.
+    clears it. Shuffle files of a written table are removed at once.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.path = spark, f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
+        with shuffles_removed(self.spark):
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -52,6 +66,21 @@ class WorkFolder:
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def boxed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column, ``row``, beside which no other name can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def in_row(name: str) -> Column:
+    """A column of a boxed row."""
+    return F.col("row").getField(name)
+
+
+def unboxed(rows: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``row`` as they were, those named in ``new`` by these."""
+    return rows.select(*[new.get(f.name, in_row(f.name)).alias(f.name) for f in rows.schema["row"].dataType.fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,16 +117,3 @@ def slices(blobs: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int, l
         size += len(blob)
     if run:
         yield first, run
-
-
-def per_batch(make: Callable, out_schema) -> Callable:
-    """A ``mapInArrow`` function that turns each record batch into one of ``out_schema``; ``make`` returns columns."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(make(batch), out_schema.types, strict=True)], schema=out_schema)
-
-    return run

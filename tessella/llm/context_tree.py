@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WorkFolder, slices
-from tessella.llm.words import mix
+from tessella.llm.words import Table, Words, mix
 
 #: Bytes of context.
 DEPTH = 6
-#: Bytes of context of the calls that name none.
-DEFAULT_DEPTH = 5
 #: Bytes of text that are counted and scored together.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
+#: Lists of one chunk that meet in one task.
+FANIN = 256
+#: Bytes of text for each chunk of subtrees; chunks at most.
+CHUNK_BYTES, MOST_CHUNKS = 4 << 20, 4096
+#: Grams whose tree is in memory at once.
+PART = 400_000
 #: Stands before each text, as its first context, and after it, as its end: no UTF-8 text has this byte.
 EDGE = b"\xff"
 _BYTE = np.uint64(255)
@@ -28,21 +32,46 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def grams(texts: list[bytes], depth: int = DEFAULT_DEPTH) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every text, and each text's end, the number of depth + 1 bytes that ends there; how many each text has."""
-    data = np.frombuffer(b"".join(EDGE * depth + t + EDGE for t in texts), dtype=np.uint8).astype(np.uint64)
+def text_parts(texts: list[bytes], depth: int, most: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """Each text with its edges, in parts of at most ``most`` bytes after ``depth`` bytes of context, and the text's number."""
+    for i, text in enumerate(texts):
+        whole = EDGE * depth + text + EDGE
+        for at in range(0, len(whole) - depth, most):
+            yield i, whole[at : at + most + depth]
+
+
+def word_parts(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
+    """Each text in parts of at most ``most`` bytes, or of one longer word, cut at spaces, and the text's number."""
+    for i, text in enumerate(texts):
+        at = 0
+        while len(text) - at > most:
+            cut = text.rfind(b" ", at + 1, at + most)
+            cut = cut if cut > 0 else text.find(b" ", at + most)
+            if cut < 0:
+                break
+            yield i, text[at:cut]
+            at = cut
+        yield i, text[at:]
+
+
+def grams(parts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte after the first ``depth`` of every part the number of its ``depth`` bytes of context, the nearest first, and itself; how many each part has.
+
+    So the grams of one subtree are a range of numbers, at every depth.
+    """
+    data = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.uint64)
     key = np.zeros(len(data) - depth, dtype=np.uint64)
-    for i in range(depth + 1):
+    for i in [*range(depth - 1, -1, -1), depth]:
         key = (key << np.uint64(8)) | data[i : len(key) + i]
-    n = np.array([len(t) + 1 for t in texts])
+    n = np.array([len(t) - depth for t in parts])
     first = np.cumsum(n + depth) - (n + depth)
     at = np.arange(int(n.sum())) + np.repeat(first - (np.cumsum(n) - n), n)
     return key[at], n
 
 
-def chunk_of(keys: np.ndarray, n_chunks: int) -> np.ndarray:
+def chunk_of(keys: np.ndarray, n_chunks: int, depth: int) -> np.ndarray:
     """All grams with the same last two bytes of context share a chunk, so that it holds whole subtrees from depth 2 on."""
-    return (mix((keys >> np.uint64(8)) & np.uint64(0xFFFF)) % np.uint64(n_chunks)).astype(np.int64)
+    return (mix(keys >> np.uint64(8 * (depth - 1))) % np.uint64(n_chunks)).astype(np.int64)
 
 
 def normal(text: bytes) -> bytes:
@@ -50,30 +79,6 @@ def normal(text: bytes) -> bytes:
     return b" ".join(text.lower().split())
 
 
-def count_bucket(texts: list[bytes], held: list[bool], depth: int = DEFAULT_DEPTH) -> tuple[Counter, np.ndarray, np.ndarray]:
-    """The words and grams of the texts, each with its count in those not held out."""
-    words: Counter = Counter()
-    others: set = set()
-    parts, counts = [], []
-    for first, some in slices(texts):
-        for t, h in zip(some, held[first:], strict=False):
-            others.update(t.split()) if h else words.update(t.split())
-        key, n = grams(some, depth)
-        key = np.sort((key << np.uint64(1)) | np.repeat(np.array(held[first : first + len(some)], dtype=np.uint64), n))
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        n = np.diff(np.append(start, len(key))).astype(np.int32)
-        n[(key[start] & np.uint64(1)) > 0] = 0
-        parts.append(key[start])
-        counts.append(n)
-        if sum(map(len, parts[1:])) > len(parts[0]) + (1 << 20):
-            key, n = sum_by(np.concatenate(parts), np.concatenate(counts))
-            parts, counts = [key], [n]
-    key, n = np.concatenate(parts), np.concatenate(counts)
-    for w in others - words.keys():
-        words[w] = 0
-    return words, *sum_by(key >> np.uint64(1), n)
-
-
 def sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in rising order and the sums of their ``n``."""
     order = np.argsort(key, kind="stable")
@@ -82,6 +87,52 @@ def sum_by(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[start], np.add.reduceat(n[order], start) if len(key) else n
 
 
+class Runs:
+    """Sums by key, kept as sorted runs; a run is merged with the one before it unless that is twice as long."""
+
+    def __init__(self) -> None:
+        self.runs: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, key: np.ndarray, n: np.ndarray) -> None:
+        self.runs.append(sum_by(key, n))
+        while len(self.runs) > 1 and len(self.runs[-2][0]) < 2 * len(self.runs[-1][0]):
+            self._merge()
+
+    def _merge(self) -> None:
+        (a, n), (b, m) = self.runs.pop(), self.runs.pop()
+        self.runs.append(sum_by(np.concatenate([b, a]), np.concatenate([m, n])))
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.runs) > 1:
+            self._merge()
+        return self.runs[0] if self.runs else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
+def count_bucket(texts: list[bytes], held: np.ndarray, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The grams, and the words by a hash, of the texts, each in rising order with its count in those not held out."""
+    of_grams, of_words = Runs(), Runs()
+    for owner, parts in numbered_slices(text_parts(texts, depth)):
+        key, n = grams(parts, depth)
+        of_grams.add(key, np.repeat(~held[owner], n).astype(np.int64))
+    for owner, parts in numbered_slices(word_parts(texts)):
+        words = Words(parts, lower=False)
+        of_words.add(words.hash, np.repeat(~held[owner], np.diff(words.first)).astype(np.int64))
+    return [of_grams.whole(), of_words.whole()]
+
+
+def numbered_slices(parts: Iterator[tuple[int, bytes]]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+    """Runs of consecutive parts of about a megabyte, with their numbers."""
+    owners: list[int] = []
+
+    def bodies():
+        for i, part in parts:
+            owners.append(i)
+            yield part
+
+    for first, some in slices(bodies()):
+        yield np.array(owners[first : first + len(some)]), some
+
+
 def packed(x: np.ndarray) -> bytes:
     """An array as its length and the planes of its bytes, compressed; ``unpacked`` reads it."""
     planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
@@ -104,31 +155,13 @@ def unpacked_keys(blob: bytes) -> np.ndarray:
 
 
 class _Lookup:
-    """Values by number, in an open-addressing table."""
+    """Values by number; every number that is asked for has one."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        self.bits = max(4, (len(keys) * 4 // 3).bit_length())
-        self.keys = np.full(1 << self.bits, np.iinfo(np.uint64).max, dtype=np.uint64)
-        self.values = np.zeros(1 << self.bits, dtype=np.float32)
-        slot, todo = self._slot(keys), np.arange(len(keys))
-        while len(todo):
-            free = self.keys[slot[todo]] == np.iinfo(np.uint64).max
-            took = todo[free]
-            self.keys[slot[took]] = keys[took]  # of several at one slot the last stays
-            self.values[slot[took]] = values[took]
-            todo = todo[self.keys[slot[todo]] != keys[todo]]
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (mix(keys) >> np.uint64(64 - self.bits)).astype(np.int64)
+        self.table, self.values = Table(keys), values
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        todo = np.flatnonzero(self.keys[slot] != keys)
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            todo = todo[self.keys[slot[todo]] != keys[todo]]
-        return self.values[slot]
+        return self.values[self.table.find(keys)]
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -145,8 +178,13 @@ def kt_block(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
 
 
+def up(key: np.ndarray) -> np.ndarray:
+    """The parents of nodes: those of one byte of context less, the same bits so far."""
+    return ((key >> 16) << 8) | (key & 255)
+
+
 class Level:
-    """The nodes (context of one depth, bits so far) with counts, log KT probability e and log tree weight w.
+    """The nodes (context of one depth, the nearest byte first; bits so far) with counts, log KT probability e and log tree weight w.
 
     ``below`` is the sum of the children's w, None at full depth.
     """
@@ -156,10 +194,9 @@ class Level:
         self.w = self.e if below is None else np.logaddexp(self.e, below) - np.log(2)
         self.stop = np.exp(self.e - self.w) * (1.0 if below is None else 0.5)
 
-    def above(self, depth: int) -> tuple[Level, np.ndarray]:
-        """The nodes one byte of context less, ``depth`` of them left, and each node's parent."""
-        context = (self.key >> 8) & ((1 << 8 * depth) - 1)
-        key, parent = np.unique((context << 8) | (self.key & 255), return_inverse=True)
+    def above(self) -> tuple[Level, np.ndarray]:
+        """The nodes one byte of context less, and each node's parent."""
+        key, parent = np.unique(up(self.key), return_inverse=True)
         add = lambda x: np.bincount(parent, x, len(key))
         return Level(key, add(self.n0), add(self.n1), add(self.w)), parent
 
@@ -174,8 +211,8 @@ class Level:
         return mixed + rest * self.stop * p, rest * (1 - self.stop), q
 
 
-def subtrees(grams_: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[Level], list[np.ndarray], list[np.ndarray]]:
-    """Levels 2 to ``depth`` of whole subtrees, each but the first's parents, and for each bit of a byte every gram's node; the grams rise."""
+def subtrees(grams_: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[Level], list[np.ndarray], list[np.ndarray]]:
+    """Levels ``top`` to ``depth`` of whole subtrees, each but the first's parents, and for each bit of a byte every gram's node; the grams rise."""
     byte, context = (grams_ & _BYTE).astype(np.int64), (grams_ >> np.uint64(8)).astype(np.int64)
     keys, n0, n1, at, first = [], [], [], [], 0
     for i in range(8):
@@ -189,24 +226,41 @@ def subtrees(grams_: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[Level]
         at.append((np.cumsum(new) + (first - 1)).astype(np.int32))
         first += len(start)
     levels, parents = [Level(np.concatenate(keys), np.concatenate(n0), np.concatenate(n1), None)], []
-    for d in range(depth - 1, 1, -1):
-        level, parent = levels[0].above(d)
+    for _ in range(depth - top):
+        level, parent = levels[0].above()
         levels.insert(0, level)
         parents.insert(0, parent)
     return levels, parents, at
 
 
+def ranges(grams_: np.ndarray, depth: int, d: int, part: int) -> list[tuple[int, int]]:
+    """Ranges of whole contexts of ``d`` bytes, about ``part`` grams each (more if one context has more)."""
+    context = grams_ >> np.uint64(8 * (depth - d + 1))
+    start = np.concatenate([[0], np.flatnonzero(context[1:] != context[:-1]) + 1])
+    start = start[np.flatnonzero(np.diff(start // part, prepend=-1))]
+    return list(zip(start.tolist(), [*start[1:].tolist(), len(grams_)], strict=True))
+
+
+def level_of(grams_: np.ndarray, n: np.ndarray, depth: int, d: int, part: int = PART) -> Level:
+    """Level ``d`` of whole subtrees; of more than ``part`` grams the deeper levels are in memory for a part at a time."""
+    if len(grams_) <= part or d == depth:
+        return subtrees(grams_, n, depth, d)[0][0]
+    found = [level_of(grams_[a:b], n[a:b], depth, d + 1, part) for a, b in ranges(grams_, depth, d + 1, part)]
+    key, parent = np.unique(up(np.concatenate([x.key for x in found])), return_inverse=True)
+    return Level(key, *(np.bincount(parent, np.concatenate(x), len(key)) for x in ([f.n0 for f in found], [f.n1 for f in found], [f.w for f in found])))
+
+
 def top_sums(grams_: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
     """What these subtrees add to the nodes of depth 1: key (last byte of context, bits so far), n0, n1, below."""
-    level = subtrees(grams_, n, depth)[0][0]
-    key, parent = np.unique(((level.key >> 8) & 255) << 8 | (level.key & 255), return_inverse=True)
+    level = level_of(grams_, n, depth, 2)
+    key, parent = np.unique(up(level.key), return_inverse=True)
     return key, *(np.bincount(parent, x, len(key)) for x in (level.n0, level.n1, level.w))
 
 
 def top_paths(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> np.ndarray:
     """mixed, rest and shorter for the children of every node of depth 1, at [:, last byte of context << 8 | bits so far]."""
     first = Level(key, n0, n1, below)
-    root, parent = first.above(0)
+    root, parent = first.above()
     zero = np.zeros(len(root.key))
     path = first.read(*(x[parent] for x in root.read(zero, zero + 1, zero + 0.5)))
     out = np.zeros((3, 1 << 16))
@@ -214,36 +268,40 @@ def top_paths(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray
     return out
 
 
-def gram_values(grams_: np.ndarray, n: np.ndarray, top: np.ndarray, depth: int) -> np.ndarray:
-    """log10 of the model's probability of each gram's last byte after the others."""
-    levels, parents, at = subtrees(grams_, n, depth)
-    first = levels[0].key
-    path = top[:, ((first >> 8) & 255) << 8 | (first & 255)]
+def gram_values(grams_: np.ndarray, n: np.ndarray, keys: np.ndarray, path: np.ndarray, depth: int, d: int = 2, part: int = PART) -> np.ndarray:
+    """log10 of the model's probability of each gram's last byte after the others; ``path`` is what the nodes ``keys``, one level above ``d``, hand on."""
+    handed = lambda node: path[:, np.searchsorted(keys, up(node))]
+    if len(grams_) > part and d < depth:
+        level = level_of(grams_, n, depth, d, part)
+        here = np.stack(level.read(*handed(level.key)))
+        return np.concatenate([gram_values(grams_[a:b], n[a:b], level.key, here, depth, d + 1, part) for a, b in ranges(grams_, depth, d + 1, part)])
+    levels, parents, at = subtrees(grams_, n, depth, d)
+    step = handed(levels[0].key)
     for i, level in enumerate(levels):
-        path = level.read(*(path if i == 0 else [x[parents[i - 1]] for x in path]))
+        step = level.read(*(step if i == 0 else [x[parents[i - 1]] for x in step]))
     total = np.zeros(len(grams_))
     for i in range(8):
-        q = path[2][at[i]]
+        q = step[2][at[i]]
         total += np.log10(np.where((grams_ >> np.uint64(7 - i)) & np.uint64(1) == 1, q, 1 - q))
     return total
 
 
-def score_bucket(texts: list[bytes], words: dict, model: _Lookup, depth: int = DEFAULT_DEPTH) -> tuple[list, list, list, list]:
-    """Per text: words, known words, sum of the words' values, sum of the grams' values. A word's value is 0 if it's unknown."""
-    n_words, known, base, score = [], [], [], []
-    for _, some in slices(texts):
-        for t in some:
-            found = t.split()
-            v = np.fromiter(map(words.__getitem__, found), dtype=np.float64, count=len(found))
-            n_words.append(len(found))
-            known.append(int(np.count_nonzero(v)))
-            base.append(float(v.sum()))
-        key, n = grams(some, depth)
-        score.extend(np.add.reduceat(model(key).astype(np.float64), np.cumsum(n) - n).tolist())
-    return n_words, known, base, score
+def score_bucket(texts: list[bytes], words: _Lookup, model: _Lookup, depth: int = DEPTH) -> np.ndarray:
+    """A row each for words, known words, the sum of log10(count + 1) of the words, and the sum of the grams' values, of each text."""
+    out = np.zeros((4, len(texts)))
+    for owner, parts in numbered_slices(word_parts(texts)):
+        found = Words(parts, lower=False)
+        n = words(found.hash).astype(np.float64)
+        whose = np.repeat(owner, np.diff(found.first))
+        for i, x in enumerate((np.ones(len(n)), n > 0, np.log10(n + 1))):
+            out[i] += np.bincount(whose, x, len(texts))
+    for owner, parts in numbered_slices(text_parts(texts, depth)):
+        key, n = grams(parts, depth)
+        out[3] += np.bincount(owner, np.add.reduceat(model(key).astype(np.float64), np.cumsum(n) - n), len(texts))
+    return out
 
 
-def score_documents(docs: DataFrame, depth: int = DEFAULT_DEPTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def score_documents(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUCKET_BYTES, fanin: int = FANIN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for every row of ``docs`` (doc_id, text).
 
     The text is modelled as its token sequence: A-Z lower-cased, words joined by one
@@ -252,88 +310,121 @@ def score_documents(docs: DataFrame, depth: int = DEFAULT_DEPTH, bucket_bytes: i
     full depth, is the context-tree weight. A bit's probability mixes the KT estimates of the
     nodes on its path, each by the posterior share e / (2 w) of trees that end there; where training data end, so does the path.
 
-    Words and grams are counted once in each bucket of documents (by a hash,
-    about ``bucket_bytes`` of text) and meet in chunks, words by a hash, grams by
-    subtree; only the at most 65,280 nodes of depth 1 pass through the driver. What the model says
-    of them goes back to the buckets that have them, so the model grows with the text
-    and no task holds it whole. A null text is empty: its score is that of the end alone. An empty table gives no rows.
+    1. Each task cuts its documents into buckets of about ``bucket_bytes`` of text, and writes their texts, and their
+       grams and words with counts in lists by chunk: a chunk has whole subtrees, or words by a hash.
+    2. Lists of a chunk are added up ``fanin`` at a time, level by level, until one task can take those that are left:
+       it reads no list of a bucket, so a common subtree doesn't grow with the number of buckets.
+    3. Only the at most 65,280 nodes of depth 1 pass through the driver.
+    4. Each chunk's values go back down the same levels to the lists of the buckets, which meet their texts.
+
+    Trees are in memory for ``PART`` grams at a time. A word is known by 64 bits. Every row is scored: repeated rows and
+    ids each by themselves, and counted as often as they stand. A null text is empty: its score is that of the end
+    alone. A null doc_id is not held out. An empty table gives no rows. Other columns are not read.
     """
     spark, work = docs.sparkSession, WorkFolder(docs.sparkSession, "context-tree")
     rows = docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n_buckets = -(-total // bucket_bytes) or 1
-    n_chunks = int(16 * n_buckets**0.5)
-    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_buckets)).cast("int"))
-
-    def count(table):
-        words, key, n = count_bucket([normal(t) for t in table.column("text").to_pylist()], table.column("held_out").to_pylist(), depth)
-        chunk = chunk_of(key, n_chunks)
-        order = np.argsort(chunk, kind="stable")
-        ends = np.searchsorted(chunk[order], np.arange(n_chunks + 1))
-        key, n = key[order], n[order]
-        by: list[list[bytes]] = [[] for _ in range(n_chunks)]
-        for w in words:
-            by[zlib.crc32(w) % n_chunks].append(w)
-        full = np.flatnonzero(np.diff(ends)).tolist()
-        n_words = [c for c in range(n_chunks) if by[c]]
-        return pa.table({
-            "bucket": pa.array(np.full(len(full) + len(n_words), table.column("bucket")[0].as_py()), pa.int32()), "chunk": pa.array(full + [n_chunks + c for c in n_words], pa.int32()),
-            "grams": pa.array([packed_keys(key[ends[c] : ends[c + 1]]) for c in full] + [None] * len(n_words), pa.binary()),
-            "n": pa.array([packed(n[ends[c] : ends[c + 1]].astype(np.int32)) for c in full] + [None] * len(n_words), pa.binary()),
-            "words": pa.array([None] * len(full) + [by[c] for c in n_words], pa.list_(pa.binary())),
-            "word_n": pa.array([None] * len(full) + [[words[w] for w in by[c]] for c in n_words], pa.list_(pa.int32())),
-        })
-
-    counts = work.cut(dealt.groupBy("bucket").applyInArrow(count, "bucket int, chunk int, grams binary, n binary, words array<binary>, word_n array<int>"), "counts")
+    n_chunks = min(MOST_CHUNKS, (rows.agg(F.sum(F.length("text"))).first()[0] or 0) // CHUNK_BYTES + 1)
+    of_words = lambda chunk: chunk >= n_chunks
+    counted = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("keys", pa.binary()), ("n", pa.binary()), ("ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
+
+    def count(batches):
+        bucket, size = TaskContext.get().partitionId() << 32, 0
+        ids: list = []
+        held: list = []
+        texts: list[bytes] = []
+
+        def flush():
+            nonlocal bucket, size
+            whole = pa.compress(b"".join(texts), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_pylist([{"bucket": bucket, "ids": ids, "held": held, "sizes": [len(t) for t in texts], "texts": whole}], counted)
+            for kind, (key, n) in enumerate(count_bucket(texts, np.array(held, dtype=bool), depth)):
+                chunk = (mix(key) % np.uint64(n_chunks)).astype(np.int64) + n_chunks if kind else chunk_of(key, n_chunks, depth)
+                order = np.argsort(chunk, kind="stable")
+                chunk, key, n = chunk[order], key[order], n[order]
+                start = np.flatnonzero(np.diff(chunk, prepend=-1)).tolist()
+                lists = [{"bucket": bucket, "chunk": int(chunk[a]), "keys": packed_keys(key[a:b]), "n": packed(n[a:b])} for a, b in zip(start, [*start[1:], len(key)], strict=True)]
+                if lists:
+                    yield pa.RecordBatch.from_pylist(lists, counted)
+            bucket, size = bucket + 1, 0
+            for x in (ids, held, texts):
+                x.clear()
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids.append(batch.column(0)[i].as_py())
+                held.append(batch.column(1)[i].as_py())
+                texts.append(normal(batch.column(2)[i].as_py()))
+                size += len(texts[-1])
+                if size >= bucket_bytes:
+                    yield from flush()
+        if texts:
+            yield from flush()
+
+    counts = work.cut(rows.mapInArrow(count, "bucket long, chunk int, keys binary, n binary, ids array<long>, held array<boolean>, sizes array<long>, texts binary"), "counts")
+    texts = counts.filter("chunk IS NULL").select("bucket", "ids", "held", "sizes", "texts")
+    levels, groups = [counts.filter("chunk IS NOT NULL").select("bucket", "chunk", "keys", "n")], texts.count()
 
     def merged(table):
-        keys = np.concatenate([unpacked_keys(b.as_py()) for b in table.column("grams")])
-        return sum_by(keys, np.concatenate([unpacked(b.as_py(), np.int32) for b in table.column("n")]).astype(np.int64))
-
-    def tops(table):
-        key, n = merged(table)
-        node, *sums = top_sums(key, n, depth)
+        runs = Runs()
+        for k, n in zip(table.column("keys"), table.column("n"), strict=True):
+            runs.add(unpacked_keys(k.as_py()), unpacked(n.as_py(), np.int64))
+        return runs.whole()
+
+    def add(key, table):
+        keys, n = merged(table)
+        return pa.table({"bucket": pa.array([key[1].as_py()], pa.int64()), "chunk": pa.array([key[0].as_py()], pa.int32()), "keys": pa.array([packed_keys(keys)]), "n": pa.array([packed(n)])})
+
+    while groups > fanin:
+        groups = -(-groups // fanin)
+        levels[-1] = levels[-1].withColumn("group", F.pmod(F.xxhash64(F.lit(groups), "bucket"), F.lit(groups)))
+        levels.append(work.cut(levels[-1].groupBy("chunk", "group").applyInArrow(add, "bucket long, chunk int, keys binary, n binary"), f"counts{groups}"))
+
+    def tops(key, table):
+        keys, n = merged(table)
+        node, *sums = ([-1], [np.count_nonzero(n)], [0], [0]) if of_words(key[0].as_py()) else top_sums(keys, n, depth)
         return pa.table({"node": pa.array(node, pa.int32()), **{c: pa.array(x, pa.float64()) for c, x in zip(("n0", "n1", "below"), sums, strict=True)}})
 
-    of_grams = counts.filter(F.col("chunk") < n_chunks).select("bucket", "chunk", "grams", "n")
-    top = of_grams.select("chunk", "grams", "n").groupBy("chunk").applyInArrow(tops, "node int, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).orderBy("node").collect()
-    paths = spark.sparkContext.broadcast(top_paths(np.array([r[0] for r in top], dtype=np.int64), *(np.array([r[i] for r in top], dtype=np.float64) for i in (1, 2, 3))))
-
-    def values(table):
-        key, n = merged(table)
-        found = gram_values(key, n, paths.value, depth).astype(np.float32)
-        lists = table.column("grams")
-        each = pa.array([packed(found[np.searchsorted(key, unpacked_keys(b.as_py()))]) for b in lists], pa.binary())
-        return pa.table({"bucket": table.column("bucket"), "grams": lists, "values": each, "words": pa.nulls(len(lists), pa.list_(pa.binary())), "totals": pa.nulls(len(lists), pa.list_(pa.int64())), "leads": pa.nulls(len(lists), pa.int64())})
-
-    def word_values(table):
-        lists, ns = table.column("words").to_pylist(), table.column("word_n").to_pylist()
-        totals: Counter = Counter()
-        for ws, n in zip(lists, ns, strict=True):
-            for w, k in zip(ws, n, strict=True):
-                totals[w] += k
-        leads = [sum(k > 0 for k in totals.values())] + [0] * (len(lists) - 1)
-        return pa.table({"bucket": table.column("bucket"), "grams": pa.nulls(len(lists), pa.binary()), "values": pa.nulls(len(lists), pa.binary()), "words": table.column("words"), "totals": pa.array([[totals[w] for w in ws] for ws in lists], pa.list_(pa.int64())), "leads": pa.array(leads, pa.int64())})
-
-    schema = "bucket int, grams binary, values binary, words array<binary>, totals array<long>, leads long"
-    of_words = counts.filter(F.col("chunk") >= n_chunks).select("bucket", "chunk", "words", "word_n")
-    model = of_grams.groupBy("chunk").applyInArrow(values, schema).union(of_words.groupBy("chunk").applyInArrow(word_values, schema))
+    by_node = work.cut(levels[-1].groupBy("chunk").applyInArrow(tops, "node int, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")), "nodes")
+    top = by_node.orderBy("node").collect()
+    distinct = sum(int(r[1]) for r in top if r[0] < 0)
+    nodes = [r for r in top if r[0] >= 0]
+    paths = spark.sparkContext.broadcast(top_paths(np.array([r[0] for r in nodes], dtype=np.int64), *(np.array([r[i] for r in nodes], dtype=np.float64) for i in (1, 2, 3))))
+
+    def answered(table, key, value):
+        """The lists of ``table`` with the values of their keys."""
+        each = [packed(value[np.searchsorted(key, unpacked_keys(k.as_py()))]) for k in table.column("keys")]
+        return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "keys": table.column("keys"), "value": pa.array(each, pa.binary())})
+
+    def values(key, table):
+        keys, n = merged(table)
+        return answered(table, keys, n if of_words(key[0].as_py()) else gram_values(keys, n, np.arange(1 << 16), paths.value, depth).astype(np.float32))
+
+    def hand_down(key, table, model):
+        kind = np.int64 if of_words(key[0].as_py()) else np.float32
+        return answered(table, unpacked_keys(model.column("keys")[0].as_py()), unpacked(model.column("value")[0].as_py(), kind))
+
+    schema = "bucket long, chunk int, keys binary, value binary"
+    model = levels[-1].groupBy("chunk").applyInArrow(values, schema)
+    for lower in reversed(levels[:-1]):
+        model = lower.groupBy("chunk", "group").cogroup(model.groupBy("chunk", "bucket")).applyInArrow(hand_down, schema)
 
     def score(texts, model):
-        flat = lambda c: model.column(c).combine_chunks().flatten()
-        read = lambda c, f: np.concatenate([f(b.as_py()) for b in model.column(c) if b.is_valid])
-        look = _Lookup(read("grams", unpacked_keys), read("values", lambda b: unpacked(b, np.float32)))
-        words = dict(zip(flat("words").to_pylist(), np.log10(flat("totals").to_numpy(zero_copy_only=False) + 1.0).tolist(), strict=True))
-        plain = [normal(t) for t in texts.column("text").to_pylist()]
-        n_words, known, base, found = score_bucket(plain, words, look, depth)
-        leads = pa.compute.sum(model.column("leads")).as_py() or 0
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_words": pa.array(n_words, pa.int64()), "n_known": pa.array(known, pa.int64()), "base": pa.array(base, pa.float64()), "score": pa.array(found, pa.float64()), "size": pa.array([len(t) for t in plain], pa.int64()), "leads": pa.array([leads] + [0] * (len(plain) - 1), pa.int64())})
-
-    scored = dealt.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(score, "doc_id long, held_out boolean, n_words long, n_known long, base double, score double, size long, leads long")
+        looks = []
+        for words, kind in ((False, np.float32), (True, np.int64)):
+            some = [i for i, c in enumerate(model.column("chunk").to_pylist()) if of_words(c) == words]
+            read = lambda c, f: np.concatenate([f(model.column(c)[i].as_py()) for i in some]) if some else f(packed(np.zeros(0, dtype=np.uint64)))  # noqa: E731, B023
+            looks.append(_Lookup(read("keys", unpacked_keys), read("value", lambda b: unpacked(b, kind))))  # noqa: B023
+        sizes = texts.column("sizes")[0].as_py()
+        whole, ends = pa.decompress(texts.column("texts")[0].as_py(), sum(sizes), codec="zstd", asbytes=True), np.cumsum(sizes).tolist()
+        found = score_bucket([whole[e - n : e] for e, n in zip(ends, sizes, strict=True)], looks[1], looks[0], depth)
+        columns = [texts.column(c).combine_chunks().flatten() for c in ("ids", "held")]
+        return pa.table([*columns, *(pa.array(x.astype(np.int64)) for x in found[:2]), *(pa.array(x) for x in found[2:]), pa.array(sizes, pa.int64())], ["doc_id", "held_out", "n_words", "n_known", "base", "score", "size"])
+
+    scored = texts.groupBy("bucket").cogroup(model.groupBy("bucket")).applyInArrow(score, "doc_id long, held_out boolean, n_words long, n_known long, base double, score double, size long")
     scored = work.cut(scored.withColumn("n_tokens", F.col("n_words") + 1), "documents")
     work.drop("counts")
     trained = F.when(~F.col("held_out"), F.col("n_tokens"))
-    n, ends, distinct = scored.agg(F.sum(trained), F.count(trained), F.sum("leads")).first()
-    n, distinct, known_end = n or 0, (distinct or 0) + (1 if ends else 0), 1 if ends else 0
+    n, ends = scored.agg(F.sum(trained), F.count(trained)).first()
+    n, distinct, known_end = n or 0, distinct + (1 if ends else 0), 1 if ends else 0
     base = F.col("base") + float(np.log10(ends + 1)) - F.col("n_tokens") * F.lit(float(np.log10(n + distinct + 1)))
     return scored.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + known_end).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", (-F.col("score") / F.lit(float(np.log10(2))) / (F.col("size") + 1)).alias("bits_per_byte"))

@@ -27,6 +27,67 @@ def _table() -> np.ndarray:
     return mix((np.arange(1 << 16, dtype=np.uint64) + _U(1)) * _U(0x9E3779B97F4A7C15))
 
 
+def hash_runs(chars: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of each run of bytes; the runs stand one after the other, each of ``n`` bytes, one at least."""
+    if not len(n):
+        return np.zeros(0, dtype=np.uint64)
+    at = np.cumsum(n) - n
+    place = np.arange(len(chars)) - np.repeat(at, n)
+    if int(n.max()) <= 256:
+        value = _table()[(place << 8) | chars]
+    else:
+        value = mix((((place.astype(np.uint64) << _U(8)) | chars) + _U(1)) * _U(0x9E3779B97F4A7C15))
+    return mix(np.add.reduceat(value, at))
+
+
+_FREE = np.iinfo(np.uint64).max
+
+
+class Table:
+    """The place of each of many distinct numbers in the order they came, in an open-addressing table."""
+
+    def __init__(self, keys: np.ndarray = np.zeros(0, dtype=np.uint64)) -> None:
+        self.n = 0
+        self._make(len(keys))
+        self.add(keys)
+
+    def _make(self, n: int) -> None:
+        self.bits = max(10, (n * 4 // 3).bit_length())
+        self.keys, self.place = np.full(1 << self.bits, _FREE, dtype=np.uint64), np.full(1 << self.bits, -1, dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def _put(self, keys: np.ndarray, places: np.ndarray) -> None:
+        slot, todo = self._slot(keys), np.arange(len(keys))
+        while len(todo):
+            took = todo[self.keys[slot[todo]] == _FREE]
+            self.keys[slot[took]] = keys[took]  # of several at one slot the last stays
+            self.place[slot[took]] = places[took]
+            todo = todo[self.keys[slot[todo]] != keys[todo]]
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+
+    def add(self, keys: np.ndarray) -> None:
+        """New keys, none of which is in the table."""
+        if (self.n + len(keys)) * 4 // 3 >= 1 << self.bits:
+            keys_, places = self.keys[self.place >= 0], self.place[self.place >= 0]
+            self._make(2 * (self.n + len(keys)))
+            self._put(keys_, places)
+        self._put(keys, np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's place, -1 if it isn't there."""
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        todo = np.flatnonzero((there != keys) & (there != _FREE))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            there = self.keys[slot[todo]]
+            todo = todo[(there != keys[todo]) & (there != _FREE)]
+        return self.place[slot]
+
+
 class Words:
     """The words of several texts.
 
@@ -46,18 +107,7 @@ class Words:
         self.start, self.end = edge[0::2], edge[1::2]
         begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
         self.first = np.searchsorted(self.start, begins)
-        n = self.end - self.start
-        if not len(n):
-            self.hash = np.zeros(0, dtype=np.uint64)
-            return
-        at = np.concatenate([[0], np.cumsum(n)[:-1]])
-        place = np.arange(int(n.sum())) - np.repeat(at, n)
-        chars = buf[inside[1:]]
-        if int(n.max()) <= 256:
-            value = _table()[(place << 8) | chars]
-        else:
-            value = mix((((place.astype(np.uint64) << _U(8)) | chars) + _U(1)) * _U(0x9E3779B97F4A7C15))
-        self.hash = mix(np.add.reduceat(value, at))
+        self.hash = hash_runs(buf[inside[1:]], self.end - self.start)
 
     def windows(self, k: int, salt: int = 0) -> np.ndarray:
         """A hash for the k words from each word on; those that leave their text are of no meaning."""
