@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.common import slices, text_of
-from tessella.llm.tokens import byte_encoder
+from tessella.llm.tokens import SLICE, byte_encoder, ended
 
 #: Pieces packed together; a task packs one such group after the other.
 GROUP = 4096
@@ -78,11 +78,16 @@ def pack_group(n_tokens: np.ndarray, loss_before: list[np.ndarray], limits: Limi
     return out
 
 
+def split_ids(ids: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    ends = np.cumsum(n).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def pack_examples(examples: DataFrame, limits: Limits = Limits(), encode=None) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, n_loss.
 
     ``examples`` has doc_id, ids (binary: little-endian unsigned 32-bit ids, or what
-    ``encode()`` turns lists of into such) and loss (binary: a byte a token, not 0 if it bears loss;
+    ``encode()`` turns lists of into arrays of such) and loss (binary: a byte a token, not 0 if it bears loss;
     null: all but a piece's first). Parts of ``limits.tokens`` ids that fill a sequence
     by themselves do so; the rest is packed in groups of ``GROUP``
     within each task, so that no task holds more at once, however large its
@@ -108,7 +113,7 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), encode=None) -
                 offset = 0
                 for i, at, length in seq:
                     doc, start, ids, _, total = waiting[i]
-                    rows.append((doc, start + at, length, zlib.crc32(ids[at : at + length].tobytes()), total, number, offset, int(sums[i][at + length] - sums[i][at])))
+                    rows.append((doc, start + at, length, zlib.crc32(ids[at : at + length]), total, number, offset, int(sums[i][at + length] - sums[i][at])))
                     offset += length
                 number += 1
             waiting.clear()
@@ -118,18 +123,17 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), encode=None) -
             rows.clear()
             return found
 
-        make = encode() if encode else None
+        make = encode() if encode else lambda blobs: [np.frombuffer(b, dtype="<u4") for b in blobs]
         for batch in batches:
-            docs, blobs, flags = (batch.column(i).to_pylist() for i in range(3))
-            for first, some in slices((b or b"" for b in blobs), 4 << 20):
-                for d, blob in enumerate(make(some) if make else some, first):
-                    ids = np.frombuffer(blob, dtype="<u4")
+            docs, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, some in slices((b.as_py() or b"" for b in batch.column(1)), SLICE):
+                for d, ids in enumerate(make(some), first):
                     loss = np.frombuffer(flags[d], dtype=np.uint8) > 0 if flags[d] is not None else None
                     for start in range(0, len(ids), most):
                         part = ids[start : start + most]
                         some_loss = loss[start : start + most] if loss is not None else None
                         if len(part) == most and segments_ok:
-                            rows.append((docs[d], start, most, zlib.crc32(part.tobytes()), len(ids), number, 0, int(lost(some_loss, most).sum())))
+                            rows.append((docs[d], start, most, zlib.crc32(part), len(ids), number, 0, int(lost(some_loss, most).sum())))
                             number += 1
                         else:
                             waiting.append((docs[d], start, part, some_loss, len(ids)))
@@ -147,11 +151,10 @@ def pack_examples(examples: DataFrame, limits: Limits = Limits(), encode=None) -
 
 def pack_documents(docs: DataFrame, vocabulary_path: str, end_id: int = 1, limits: Limits = Limits()) -> DataFrame:
     """The pieces of whole ``docs`` (doc_id, text; null: empty), encoded by a byte-level vocabulary, ``end_id`` after each document."""
-    end = np.array([end_id], dtype="<u4").tobytes()
 
     def encoder():
         encode = byte_encoder(vocabulary_path)
-        return lambda texts: [ids + end for ids in encode(texts)]
+        return lambda texts: split_ids(*ended(*encode(texts), end_id))
 
     return pack_examples(docs.select("doc_id", text_of().cast("binary").alias("ids"), F.lit(None).cast("binary").alias("loss")), limits, encoder).drop("n_loss")
 
@@ -161,7 +164,6 @@ def pack_conversations(turns: DataFrame, vocabulary_path: str, end_id: int = 1,
 
     Turns are joined in order, each ended by ``end_id``; pieces as of ``pack_examples``, doc_id being conv_id.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
     turn = turns.select("conv_id", F.struct(F.coalesce("turn", F.lit(0)).alias("turn"), text_of().alias("text"), F.coalesce(F.col("role") == role, F.lit(False)).alias("bears")).alias("t"))
     whole = turn.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("ts"))
 
@@ -172,9 +174,9 @@ def pack_conversations(turns: DataFrame, vocabulary_path: str, end_id: int = 1,
         for batch in batches:
             ids, loss = [], []
             for ts in batch.column(1).to_pylist():
-                parts = [(x + end, t["bears"]) for x, t in zip(encode([t["text"].encode() for t in ts]), ts, strict=True)]
-                ids.append(b"".join(p for p, _ in parts))
-                loss.append(b"".join(bytes([b]) * (len(p) // 4) for p, b in parts))
+                found, n = ended(*encode([t["text"].encode() for t in ts]), end_id)
+                ids.append(found.tobytes())
+                loss.append(np.repeat(np.array([t["bears"] for t in ts], dtype=np.uint8), n).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(loss, pa.binary())], ["doc_id", "ids", "loss"])
 
     return pack_examples(whole.mapInArrow(run, "doc_id long, ids binary, loss binary"), limits)

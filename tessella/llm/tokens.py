@@ -5,7 +5,6 @@ from __future__ import annotations
 import functools
 import re
 import zlib
-from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -13,9 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.common import WorkFolder, slices, text_of
+from tessella.llm.words import Table, hash_runs
 
-#: Longer pieces' ids aren't kept.
-LONGEST_KEPT = 64
+#: Pieces whose ids a process keeps.
+KEPT_PIECES = 1_000_000
+#: Bytes of text that are encoded together.
+SLICE = 2 << 20
 
 
 def vocabulary(name: str) -> str:
@@ -25,149 +27,179 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-#: Latin letters; each is a letter to the tokenizers too, and none joins with what follows.
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ɏ]+"
+def _marks(places: bytes) -> np.ndarray:
+    """For each byte, whether it is one of these."""
+    found = np.zeros(256, dtype=bool)
+    found[list(places)] = True
+    return found
 
 
-@functools.cache
-def _byte_letters() -> dict[int, str]:
-    """The letter that stands for each byte in byte-level vocabularies: itself if printable in Latin-1, the others in order from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+_LETTER, _STOP = _marks(bytes([*range(65, 91), *range(97, 123)])), _marks(b".,")
+_WHITE = _marks(b" \t\n\x0b\x0c\r")
+#: Bytes that begin white space, or may do so beyond ASCII.
+_MAYBE_WHITE = _WHITE | _marks(b"\x1c\x1d\x1e\x1f\xc2\xe1\xe2\xe3")
 
 
-class _Pieces:
-    """Pieces of texts to their ids as little-endian unsigned 32-bit integers.
+def word_pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For lower-casing vocabularies that drop white space, so that no token spans it: words, A-Z lower-cased where no accent may follow.
 
-    ``parts`` may name a piece's core, itself a piece of letters in the form the vocabulary holds, and the
-    ids of what follows it in tokens of its own; such a core goes straight to the vocabulary's model.
-    When the young generation holds ``keep`` pieces it becomes the old one, and what is still in use moves back from there.
+    A stop or comma right after a letter a-z begins a token of its own, so is cut off with what follows.
+    Returns all bytes, where each piece begins and ends, and at which piece each text begins, one more for the end.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8).copy()
+    data[:-1] += ((data[:-1] >= 65) & (data[:-1] <= 90) & (data[1:] < 128)).astype(np.uint8) * np.uint8(32)
+    inside = ~_WHITE[data]
+    before = np.concatenate([[False], inside[:-1]])
+    after_letter = np.concatenate([[False], _LETTER[data[:-1]]])
+    start = np.flatnonzero(inside & (~before | (after_letter & _STOP[data])))
+    end = np.flatnonzero(np.concatenate([inside[:-1] & (~inside[1:] | (_LETTER[data[:-1]] & _STOP[data[1:]])), [False]])) + 1
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    return data, start, end, np.searchsorted(start, begins)
+
+
+def byte_pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For byte-level vocabularies whose tokens hold a space in front alone; returns as ``word_pieces``.
+
+    Such a tokenizer always starts a new piece at a space before a character that isn't white space, at a stop
+    or comma after a letter, at a line feed after one of these, and at a letter after such a line feed; the texts are cut there.
+    """
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    letter, stop, feed = _LETTER[data], _STOP[data], data == 10
+    cut = np.zeros(len(data) + 1, dtype=bool)
+    cut[:-2] = (data[:-1] == 32) & ~_MAYBE_WHITE[data[1:]]
+    cut[1:-1] |= (letter[:-1] & (stop | feed)[1:]) | (stop[:-1] & feed[1:])
+    cut[2:-1] |= (letter | stop)[:-2] & feed[1:-1] & letter[2:]
+    begins = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+    cut[begins] = True
+    cut[begins[1:] - 1] = True  # the line feeds between the texts
+    start = np.flatnonzero(cut)
+    own = np.ones(len(start) - 1, dtype=bool)
+    own[np.searchsorted(start, begins[1:] - 1)] = False
+    end = start[1:][own]
+    start = start[:-1][own]
+    return data, start, end, np.searchsorted(start, begins)
+
+
+class Encoder:
+    """Texts to the ids the vocabulary's own library gives them (without special tokens around them).
+
+    Texts are cut by ``cut`` into pieces that no token spans; a piece's ids are looked up by a 64-bit hash, and only those of
+    pieces not known yet come from the library; those that match ``plain`` go to it in one text, ``between`` them: of
+    each, exactly the one token whose name ``bound`` matches is its first or last. Of more than ``kept`` pieces those used most stay. A text with
+    the string of an added token (in any case, A-Z), which the library may take for that token, goes to it as a whole.
     """
 
-    def __init__(self, path: str, front: str = "", parts: Callable | None = None, keep: int = 100_000) -> None:
+    def __init__(self, path: str, cut: Callable, plain: bytes, between: str, bound: str, first: bool, kept: int = KEPT_PIECES) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.made, self.front, self.parts, self.keep = Tokenizer.from_file(path), front, parts, keep
-        self.made.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.young: dict = {}
-        self.old: dict = {}
-
-    def ids(self, pieces: list) -> list[bytes]:
-        """The ids of each piece."""
-        if len(self.young) > self.keep:
-            self.young, self.old = {}, {p: ids for p, ids in self.young.items() if len(p) <= LONGEST_KEPT}
-        found = list(map(self.young.get, pieces))
-        lacking = [i for i, x in enumerate(found) if x is None]
-        if lacking:
-            self._learn({pieces[i] for i in lacking})
-            for i in lacking:
-                found[i] = self.young[pieces[i]]
-        return found
-
-    def _learn(self, pieces: set) -> None:
-        young, whole = self.young, []
-        for p in self._from_old(pieces):
-            split = self.parts(p) if self.parts else None
-            if split is None:
-                whole.append(p)
-                continue
-            core, tail = split
-            ids = young.get(core)
-            if ids is None:
-                ids = young[core] = self.letters((self.front + core).encode() if isinstance(core, str) else core)
-            if tail or core != p:
-                young[p] = ids + tail
-        self._encode(whole)
-
-    def letters(self, word: bytes) -> bytes:
-        """The ids of what the vocabulary's pre-tokenizer leaves whole."""
-        return array("I", [t.id for t in self.made.model.tokenize("".join(map(_byte_letters().__getitem__, word)))]).tobytes()
-
-    def _from_old(self, pieces: set) -> set:
-        back = {p: self.old[p] for p in pieces if p in self.old}
-        self.young |= back
-        return pieces - back.keys()
-
-    def _encode(self, pieces: list) -> None:
-        for at in range(0, len(pieces), 5000):
-            some = pieces[at : at + 5000]
-            found = self.made.encode([self.front + (p if isinstance(p, str) else p.decode("utf-8", "replace")) for p in some], is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, dtype="<u4")
-            ends = np.cumsum(np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(some))) * 4
-            blob, start = ids.tobytes(), 0
-            for p, end in zip(some, ends.tolist(), strict=True):
-                self.young[p] = blob[start:end]
-                start = end
-
-
-def _joined(lists: list[list], known: _Pieces) -> list[bytes]:
-    ids, at, out = known.ids([p for pieces in lists for p in pieces]), 0, []
-    for pieces in lists:
-        out.append(b"".join(ids[at : at + len(pieces)]))
-        at += len(pieces)
-    return out
-
-
+        self.made, self.cut, self.kept = Tokenizer.from_file(path), cut, kept
+        self.plain, self.between, self.first = re.compile(plain), between, first
+        self.bound = np.zeros(self.made.get_vocab_size(), dtype=bool)
+        self.bound[[i for name, i in self.made.get_vocab().items() if re.search(bound, name)]] = True
+        self.added = [t.content.encode().lower() for t in self.made.get_added_tokens_decoder().values()]
+        self._empty()
+
+    def _empty(self) -> None:
+        self.known, self.ids = Table(), np.zeros(0, dtype="<u4")
+        self.size, self.uses = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def _remember(self, hashes: np.ndarray, ids: np.ndarray, size: np.ndarray, uses: np.ndarray) -> None:
+        self.known.add(hashes)
+        self.ids, self.size, self.uses = np.concatenate([self.ids, ids]), np.concatenate([self.size, size]), np.concatenate([self.uses, uses])
+        self.start = np.cumsum(self.size) - self.size
+        self.hash = np.concatenate([self.hash, hashes]) if len(self.uses) > len(hashes) else hashes
+
+    def _forget(self) -> None:
+        """Keeps the more used pieces, at most half of ``kept``."""
+        least = np.sort(self.uses)[-self.kept // 2]
+        stay = np.flatnonzero(self.uses > least)
+        old = self.hash[stay], runs_at(self.ids, self.start[stay], self.size[stay]), self.size[stay], self.uses[stay] // 2
+        self._empty()
+        self._remember(*old)
+
+    def _learn(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces one after the other, and how many each has."""
+        plain = np.array([self.plain.fullmatch(p) is not None for p in pieces])
+        size = np.zeros(len(pieces), dtype=np.int64)
+        parts = []
+        for which in (plain, ~plain):
+            some = [p.decode("utf-8", "replace") for p, w in zip(pieces, which.tolist(), strict=True) if w]
+            if not some:
+                parts.append(np.zeros(0, dtype="<u4"))
+            elif which is plain:
+                ids = np.array(self.made.encode_batch_fast([self.between.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+                bounds = np.flatnonzero(self.bound[ids])
+                size[which] = np.diff(bounds, append=len(ids)) if self.first else np.diff(bounds, prepend=-1)
+                parts.append(ids)
+            else:
+                found = self.made.encode(some, is_pretokenized=True, add_special_tokens=False)
+                size[which] = np.bincount(np.array(found.word_ids, dtype=np.int64), minlength=len(some))
+                parts.append(np.array(found.ids, dtype="<u4"))
+        start = np.zeros(len(pieces), dtype=np.int64)
+        start[plain] = np.cumsum(size[plain]) - size[plain]
+        start[~plain] = len(parts[0]) + np.cumsum(size[~plain]) - size[~plain]
+        return runs_at(np.concatenate(parts), start, size), size
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after the other, and how many each text has."""
+        odd = lambda text: any(map(text.lower().__contains__, self.added))
+        odd_ones = [i for i, t in enumerate(texts) if odd(t)] if odd(b"\n".join(texts)) else []
+        whole = {i: self.made.encode(texts[i].decode("utf-8", "replace"), add_special_tokens=False).ids for i in odd_ones}
+        data, start, end, first = self.cut([b"" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        n = end - start
+        inside = np.zeros(len(data) + 1, dtype=np.int8)
+        inside[start] += 1
+        inside[end] -= 1
+        hashes = hash_runs(data[np.cumsum(inside[:-1], dtype=np.int8) > 0], n)
+        if self.known.n > self.kept or len(self.ids) > 8 * self.kept:
+            self._forget()
+        at = self.known.find(hashes)
+        lacking = np.flatnonzero(at < 0)
+        if len(lacking):
+            fresh, where, which = np.unique(hashes[lacking], return_index=True, return_inverse=True)
+            where, blob = lacking[where], data.tobytes()
+            at[lacking] = self.known.n + which
+            for i in range(0, len(fresh), 20_000):
+                some = where[i : i + 20_000]
+                ids, size = self._learn([blob[a:b] for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)])
+                self._remember(fresh[i : i + 20_000], ids, size, np.zeros(len(some), dtype=np.int64))
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids, n_ids = runs_at(self.ids, self.start[at], size), np.diff(ends[first])
+        for i in sorted(whole, reverse=True):
+            ids, n_ids[i] = np.insert(ids, ends[first[i]], np.array(whole[i], dtype="<u4")), len(whole[i])
+        return ids, n_ids
+
+
+def runs_at(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The runs of ``n`` values from each ``start`` on, one after the other."""
+    return values[np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)]
+
+
+#: A plain word is of letters of basic Latin and of Latin-1, one token at least, the last marked as the end of a word.
 @functools.cache
-def word_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """For lower-casing vocabularies that drop white space, so that no token spans it: the texts' words are encoded one by one.
-
-    Letters and a stop or comma after them are apart, and A-Z are as a-z.
-    """
-    stops, form = {}, re.compile(f"({_LETTERS})([.,]?)")
-
-    def parts(word: bytes):
-        match = form.fullmatch(word.decode("utf-8", "replace"))
-        if match and (match[1].isascii() or match[1] == match[1].lower()):
-            return match[1].encode().lower(), stops[match[2]]
-        return None
-
-    words = _Pieces(path, "", parts, keep=350_000)
-    stops |= {x: np.array(words.made.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes() for x in ("", ".", ",")}
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        return _joined([t.split() for t in texts], words)
-
-    return encode
-
-
-_SPLIT, _ODD = re.compile(r" (?=\S)"), re.compile(r" \s| $")
+def word_encoder(path: str) -> Encoder:
+    return Encoder(path, word_pieces, rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+", " ", "</w>$", first=False)
 
 
+#: A plain piece has its one space in front, and no token but its first begins with that space's letter.
 @functools.cache
-def byte_encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:
-    """For byte-level vocabularies whose tokens hold a space in front alone.
-
-    Such a tokenizer always starts a new piece at a space before a character that
-    isn't white space; the texts are cut there. A stop or comma, and a line feed, between letters are apart.
-    """
-    form = re.compile(f"({_LETTERS})([.,]?)(?:(\n)({_LETTERS})([.,]?))?")
-    heads = _Pieces(path)
-
-    @functools.lru_cache(50_000)
-    def plain(word: str) -> bytes:
-        return heads.letters(word.encode())
-
-    def parts(piece: str):
-        match = form.fullmatch(piece)
-        return (match[1], b"".join(plain(x) for x in match.groups()[1:] if x)) if match else None
-
-    rests = _Pieces(path, " ", parts, keep=350_000)
+def byte_encoder(path: str) -> Encoder:
+    return Encoder(path, byte_pieces, rb" [^\x00-\x20\x7f\xc2\xe1-\xe3]+", "", "^\u0120", first=True)
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        whole = [t.decode("utf-8", "replace") for t in texts]
-        lists = [_SPLIT.split(t) if _ODD.search(t) else t.split(" ") for t in whole]
-        return [a + b for a, b in zip(heads.ids([x[0] for x in lists]), _joined([x[1:] for x in lists], rests), strict=True)]
 
-    return encode
+def ended(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's ids with ``end_id`` after them."""
+    return np.insert(ids, np.cumsum(n), end_id), n + 1
 
 
 def encode_documents(docs: DataFrame, path: str, end_id: int, encoder=word_encoder) -> DataFrame:
     """``docs`` (any columns, the last one text) with tokens (array of int) in place of text, ``end_id`` last."""
-    keys, end = docs.columns[:-1], np.array([end_id], dtype="<u4").tobytes()
+    keys = docs.columns[:-1]
     docs = docs.withColumn("text", text_of().cast("binary"))
 
     def run(batches):
@@ -175,10 +207,9 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, encoder=word_encod
 
         encode = encoder(path)
         for batch in batches:
-            for first, texts in slices(batch.column(len(keys)).to_pylist(), 4 << 20):
-                found = [ids + end for ids in encode(texts)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
-                tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), dtype="<i4")))
+            for first, texts in slices((x.as_py() for x in batch.column(len(keys))), SLICE):
+                ids, n = ended(*encode(texts), end_id)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(ids.view("<i4")))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(texts)) for i in range(len(keys))), tokens], [*keys, "tokens"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1]), "tokens array<int>"])
@@ -215,7 +246,7 @@ def token_checks(tokens: DataFrame) -> DataFrame:
         for batch in batches:
             lists = batch.column(len(keys))
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().astype("<u4", copy=False)
-            crc = [zlib.crc32(values[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            crc = [zlib.crc32(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keys))), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], [*keys, "n_tokens", "ids_crc32"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields[:-1]), "n_tokens long, ids_crc32 long"])
