@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WorkFolder, n_words_of, text_of, unit_draw
-
-ROWS_A_BUCKET = 20_000
-
+from tessella.llm.common import WorkFolder, boxed, in_row, n_words_of, text_of, unboxed, unit_draw
 
 def shape_weight(text: Column, size: Column) -> Column:
     """Quality weight in (0, 1]: 1 for six characters a word with its gap, less the further from it; 0.1 without words."""
@@ -40,78 +37,91 @@ def source_targets(sized: DataFrame, weights=(5.0, 2.0, 1.0), share: float = 1.5
     return levels.select("source", "source_size", "n_docs", F.least("cap", F.coalesce(first["level"], F.lit(0.0)) * F.col("w")).alias("target"))
 
 
-def plan_mix(docs: DataFrame, work: WorkFolder, seed: int = 17, weight=shape_weight, **shares) -> DataFrame:
-    """One row a source: source, source_size, target, epochs, last_key.
-
-    Every document of a source is taken ``epochs`` whole times; then those with
-    ``draw_key`` up to ``last_key`` once more (none if null). Keys are exponential
-    draws over the quality weight; in rising order they are an
-    Efraimidis-Spirakis sample, cut where the running sum of sizes passes the rest
-    of the target by half a document. The running sum is taken in ranges of keys of
-    about ``ROWS_A_BUCKET`` documents, on top of the ranges' own running sums, so
-    that a source of any size is dealt over many tasks.
-    """
-    sized = work.cut(docs.select("doc_id", "source", n_words_of(text_of()).alias("size"), text_of().alias("t")).select("doc_id", "source", "size", draw_key(F.col("doc_id"), F.col("t"), F.col("size"), seed, weight).alias("key")), "sizes")
-    per = work.cut(source_targets(sized, **shares).select("*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs")), "targets")
-    sources = per.select(F.col("source").alias("s"), "n_docs", (F.col("target") - F.col("epochs") * F.col("source_size")).alias("rest"))
-    dealt = sized.join(sources.filter("rest > 0"), F.col("source").eqNullSafe(F.col("s")))
-    dealt = dealt.select("source", "doc_id", "size", "key", "rest", F.floor((1 - F.exp(-F.col("key"))) * F.ceil(F.col("n_docs") / ROWS_A_BUCKET)).alias("bucket"))
-    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("offset"))
-    # only the range in which the budget ends is looked at row by row
-    near = dealt.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).filter(F.col("offset") <= F.col("rest"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    near = near.select("source", "key", "rest", (F.col("offset") + F.sum("size").over(within) - F.col("size") / 2).alias("middle"))
-    last = near.filter("middle <= rest").groupBy("source").agg(F.max("key").alias("last_key"))
-    return work.cut(per.join(last.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "epochs", "last_key"), "mix")
+def draw_key(doc_id: Column, text: Column, size: Column, seed: int = 17, weight=shape_weight) -> Column:
+    """An exponential draw by id and text, over the quality weight: the smallest keys are an Efraimidis-Spirakis sample."""
+    return -F.log(unit_draw(seed, doc_id, text)) / weight(text, size)
 
 
-def draw_key(doc_id: Column, text: Column, size: Column, seed: int = 17, weight=shape_weight) -> Column:
-    return -F.log(unit_draw(seed, doc_id)) / weight(text, size)
+def running_sums(rows: DataFrame, group: str, value: str, place: str) -> DataFrame:
+    """``rows`` of a written table with ``upto``, the sum of ``value`` in the row's group up to the row, in ``place`` order.
+
+    ``place`` is the file's number in the upper bits and the row's in the lower 33. Sums within each file
+    come on top of the files' own running sums, so a group of any size is dealt over as many tasks as files.
+    """
+    filed = rows.withColumn("file", F.shiftright(F.col(place), 33))
+    earlier = Window.partitionBy(group).orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    sums = filed.groupBy(group, "file").agg(F.sum(value).alias("file_sum"))
+    sums = sums.select(F.col(group).alias("g"), F.col("file").alias("f"), F.coalesce(F.sum("file_sum").over(earlier), F.lit(0)).alias("offset"))
+    within = Window.partitionBy(group, "file").orderBy(place).rowsBetween(Window.unboundedPreceding, 0)
+    met = filed.withColumn("inside", F.sum(value).over(within)).join(sums, F.col(group).eqNullSafe(F.col("g")) & (F.col("file") == F.col("f")))
+    return met.withColumn("upto", F.col("offset") + F.col("inside")).drop("file", "inside", "g", "f", "offset")
+
 
+def plan_mix(docs: DataFrame, work: WorkFolder, seed: int = 17, weight=shape_weight, **shares) -> DataFrame:
+    """One row for each of ``docs`` (doc_id, source, text): doc_id, source, size, key, source_size, target, epochs, again.
 
-def mixed(docs: DataFrame, plan: DataFrame, seed: int = 17, weight=shape_weight) -> DataFrame:
-    """The documents with size, source_size, target and copies, the whole times the mix takes each."""
-    sized = docs.select("*", n_words_of(text_of()).alias("_size"), text_of().alias("_t"))
-    keyed = sized.select("*", draw_key(F.col("doc_id"), F.col("_t"), F.col("_size"), seed, weight).alias("_key")).drop("_t")
-    per = plan.select(F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"), F.col("epochs").alias("_epochs"), F.col("last_key").alias("_last"))
-    joined = keyed.join(per, F.col("source").eqNullSafe(F.col("_source")), "left")
-    copies = F.col("_epochs") + F.coalesce((F.col("_key") <= F.col("_last")).cast("long"), F.lit(0))
-    return joined.select(*[joined[c] for c in docs.columns], "_size", "_source_size", "_target", copies.alias("_copies"))
+    Every document of a source is taken ``epochs`` whole times; then those that are ``again`` once more: in
+    the order of their keys, from the smallest, as long as the running sum of sizes, with half the document's own, is within
+    the rest of the target. Rows of equal key (equal id and text) follow one another
+    in any order, and the cut may fall between them. The order is made by ranges of (source, key), whose edges Spark samples from
+    the keys themselves, so that whatever the weights, sources and copies, the ranges are about even.
+    """
+    texts = docs.select("doc_id", "source", n_words_of(text_of()).alias("size"), text_of().alias("t"))
+    sized = work.cut(texts.select("doc_id", "source", "size", draw_key(F.col("doc_id"), F.col("t"), F.col("size"), seed, weight).alias("key")), "sizes")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    per = work.cut(source_targets(sized, **shares).select(F.col("source").alias("s"), "source_size", "target", epochs.alias("epochs")), "targets")
+    # the number tells rows apart that are equal in all else, so that they can part
+    order = [F.col("source").asc_nulls_last(), "key", "doc_id", "size", "number"]
+    ranged = sized.withColumn("number", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = work.cut(ranged.select("doc_id", "source", "size", "key", F.monotonically_increasing_id().alias("place")), "ordered")
+    met = running_sums(ordered, "source", "size", "place").join(per, F.col("source").eqNullSafe(F.col("s")))
+    rest = F.col("target") - F.col("epochs") * F.col("source_size")
+    return met.select("doc_id", "source", "size", "key", "source_size", "target", "epochs", ((rest > 0) & (F.col("upto") - F.col("size") / 2 <= rest)).alias("again"))
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, weight=shape_weight, **shares) -> DataFrame:
-    """The mix of ``docs``: doc_id, size, source_size, target, taken (words taken, repeats counted), copies.
+    """The mix of ``docs`` (doc_id, source, text): doc_id, size, source_size, target, taken (words taken, repeats counted), copies.
 
-    A null text has size 0, a null source is a source of its own. Documents of
-    equal id share a draw; those tied at the very cutoff are all taken. An empty table gives no rows.
+    A null text has size 0, a null source is a source of its own, null ids draw by their text. Rows of equal id and text
+    share a draw; where the budget ends among them some are taken and some not, so a source's
+    taken words are within half a document of its target. A document longer than what is left of the target may miss.
+    An empty table gives no rows; sources without words take nothing. Other columns are not read.
     """
-    work = WorkFolder(docs.sparkSession, "mix")
-    docs = docs.select("doc_id", "source", "text")
-    plan = plan_mix(docs, work, seed, weight, **shares)
-    sized = work.spark.read.parquet(f"{work.path}/sizes")
-    per = plan.select(F.col("source").alias("s"), "source_size", "target", "epochs", "last_key")
-    out = sized.join(per, F.col("source").eqNullSafe(F.col("s")), "left")
-    copies = F.col("epochs") + F.coalesce((F.col("key") <= F.col("last_key")).cast("long"), F.lit(0))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    plan = plan_mix(docs.select("doc_id", "source", "text"), WorkFolder(docs.sparkSession, "mix"), seed, weight, **shares)
+    copies = F.col("epochs") + F.col("again").cast("long")
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def remix(docs: DataFrame, seed: int = 17, weight=shape_weight, **shares) -> DataFrame:
-    """The documents themselves, each as often as the mix takes it; columns as given."""
+    """The documents themselves, each as often as the mix (``mix_sources``) takes it; columns, whatever their names, as given.
+
+    Documents find their copies by key again. Rows that share the last key of their source (equal id and text) are numbered, file by file, and as many
+    of them as the mix takes are taken again.
+    """
     work = WorkFolder(docs.sparkSession, "mix")
-    plan = plan_mix(docs.select("doc_id", "source", "text"), work, seed, weight, **shares)
-    out = mixed(docs, plan, seed, weight)
-    return out.filter("_copies > 0").select(*[out[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_n")).drop("_n")
+    plan = work.cut(plan_mix(docs.select("doc_id", "source", "text"), work, seed, weight, **shares), "plan")
+    last = plan.groupBy("source").agg(F.max("epochs").alias("epochs"), F.max(F.when(F.col("again"), F.col("key"))).alias("last_key"))
+    ties = plan.filter("again").groupBy("source", "key").agg(F.count("*").alias("ties"))
+    last = last.join(ties.select(F.col("source").alias("t"), F.col("key").alias("k"), "ties"), F.col("source").eqNullSafe(F.col("t")) & (F.col("last_key") == F.col("k")), "left")
+    last = work.cut(last.select(F.col("source").alias("s"), "epochs", "last_key", F.coalesce("ties", F.lit(0)).alias("ties")), "last")
+    text = text_of(in_row("text"))
+    sized = boxed(docs).withColumn("size", n_words_of(text)).withColumn("key", draw_key(in_row("doc_id"), text, F.col("size"), seed, weight))
+    met = sized.join(last, in_row("source").eqNullSafe(F.col("s")))
+    tied = F.coalesce(F.col("key") == F.col("last_key"), F.lit(False))
+    sure = met.filter(~tied).select("row", (F.col("epochs") + F.coalesce((F.col("key") < F.col("last_key")).cast("long"), F.lit(0))).alias("copies"))
+    numbered = work.cut(met.filter(tied).select("row", "s", "epochs", "ties", F.lit(1).alias("one"), F.monotonically_increasing_id().alias("place")), "tied")
+    edge = running_sums(numbered, "s", "one", "place").select("row", (F.col("epochs") + (F.col("upto") <= F.col("ties")).cast("long")).alias("copies"))
+    out = sure.union(edge).filter("copies > 0")
+    return unboxed(out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")))
 
 
 #: The query's rows in DuckDB.
 ORACLE = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, length(coalesce(text, '')) AS chars FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, coalesce(text, '') AS t FROM documents),
 keyed AS (
-  SELECT *, -ln((CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
-            / CASE WHEN size > 0 THEN 1 / (1 + abs(chars / size - 6) / 6) ELSE 0.1 END AS key FROM sized),
+  SELECT *, -ln((CAST('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || t), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)
+            / CASE WHEN size > 0 THEN 1 / (1 + abs(length(t) / size - 6) / 6) ELSE 0.1 END AS key FROM sized),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rn FROM sized GROUP BY source),
 capped AS (
@@ -124,12 +134,9 @@ picked AS (SELECT level AS l FROM levels WHERE level <= cap / w ORDER BY nr LIMI
 targets AS (SELECT source, source_size, least(cap, coalesce((SELECT l FROM picked), 0) * w)::DOUBLE AS target FROM levels),
 rests AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM targets),
 run AS (
-  SELECT k.source, k.key, target - epochs * source_size AS rest,
+  SELECT k.doc_id, k.size, source_size, target, epochs, target - epochs * source_size AS rest,
          sum(size) OVER (PARTITION BY k.source ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle
   FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source),
-cuts AS (SELECT source, max(key) AS last_key FROM run WHERE rest > 0 AND middle <= rest GROUP BY source)
-SELECT k.doc_id, k.size, r.source_size, r.target,
-       CAST(k.size * (r.epochs + CASE WHEN k.key <= c.last_key THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(r.epochs + CASE WHEN k.key <= c.last_key THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM keyed k JOIN rests r ON k.source IS NOT DISTINCT FROM r.source LEFT JOIN cuts c ON k.source IS NOT DISTINCT FROM c.source
+taken AS (SELECT *, CAST(epochs + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies FROM run)
+SELECT doc_id, size, source_size, target, CAST(size * copies AS BIGINT) AS taken, copies FROM taken
 """
