@@ -6,13 +6,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WorkFolder, slices, text_of, unit_draw
+from tessella.llm.common import WorkFolder, boxed, in_row, slices, text_of, unboxed, unit_draw
 from tessella.llm.words import mix
 
 N_GRAM = 4
 BUCKETS = 1 << 18
-STRETCH = 64
-#: The labelled documents a model may learn from: half of them train the target model, half set the cutoff.
+#: The labelled documents a model may learn from: half of them train the target model, half tell how many documents to take.
 MOST_LABELLED = 40_000
 
 
@@ -28,7 +27,7 @@ def hashed_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, good, fold (0: trains the target model, 1: sets the cutoff) of at most ``most`` labelled documents, by a hash of the id.
+    """doc_id, good, fold (0: trains the target model, 1: tells the target size) of at most ``most`` labelled documents, by a hash of the id.
 
     Good: quality 1 and not toxic, by all of the document's labels; rows with a null don't count.
     """
@@ -38,7 +37,7 @@ def labelled_sample(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
     return drawn.select("doc_id", "good", (F.col("h") % 2 == 0).cast("int").alias("fold"))
 
 
-def fit_ratio(docs: DataFrame, sample: DataFrame, smooth: float = 1.0) -> np.ndarray:
+def fit_ratio(docs: DataFrame, sample: DataFrame, smooth: float = 0.1) -> np.ndarray:
     """log(target / raw) of each bucket: add-``smooth`` estimates, target from the sample's good documents of fold 0, raw from all of ``docs``.
 
     Each task sums its documents' counts; the driver gets two numbers a bucket, however large ``docs`` is.
@@ -68,96 +67,107 @@ def fit_ratio(docs: DataFrame, sample: DataFrame, smooth: float = 1.0) -> np.nda
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     raw[rows.bucket], target[rows.bucket] = rows.raw, rows.target
     if not target.sum():
-        return np.zeros(BUCKETS, dtype=np.float32)
+        return np.zeros(BUCKETS)
     log_share = lambda c: np.log((c + smooth) / (c.sum() + smooth * BUCKETS))
-    return (log_share(target) - log_share(raw)).astype(np.float32)
+    return log_share(target) - log_share(raw)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 29, sharpness: float = 4.0) -> DataFrame:
-    """``docs`` with log_weight, text_weight and gumbel_key.
+def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 29) -> DataFrame:
+    """Boxed ``docs`` (doc_id, text and others) with log_weight and gumbel_key.
 
-    text_weight sums the log ratios of the whole text, so favours long ones;
-    log_weight is the least sum of any ``STRETCH`` consecutive n-grams (of
-    all, in a shorter text), so one bad passage in a long text counts.
-    gumbel_key = sharpness * log_weight + a Gumbel draw by doc_id: the k
-    largest keys are a sample of k documents without replacement, by weight ** sharpness. A null text is empty.
+    log_weight, the log of p_target(text) / p_raw(text), sums the log ratios of all the text's n-grams.
+    gumbel_key adds a Gumbel draw by doc_id: the k largest keys are a sample of k documents without replacement, by weight. A null text is empty.
     """
-    shared, names = docs.sparkSession.sparkContext.broadcast(ratio), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(ratio)
 
     def score(batches):
         import pyarrow as pa
 
-        ratio = shared.value.astype(np.float64)
         for batch in batches:
-            low, whole = [], []
-            for _, texts in slices(batch.column(len(names)).to_pylist()):
+            weights = []
+            for _, texts in slices(x.as_py() for x in batch.column(1)):
                 grams, at = hashed_grams(texts)
-                for a, b in at:
-                    run = np.concatenate([[0.0], np.cumsum(ratio[grams[a:b]])])
-                    whole.append(run[-1])
-                    low.append((run[STRETCH:] - run[:-STRETCH]).min() if len(run) > STRETCH else run[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(low, pa.float64()), pa.array(whole, pa.float64())], [*names, "log_weight", "text_weight"])
+                weights.extend(float(shared.value[grams[a:b]].sum()) for a, b in at)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64())], ["row", "log_weight"])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "log_weight double, text_weight double"])
-    scored = docs.withColumn("_text", text_of().cast("binary")).mapInArrow(score, schema)
-    gumbel = -F.log(-F.log(unit_draw(seed, F.col("doc_id"))))
-    return scored.withColumn("gumbel_key", F.lit(sharpness) * F.col("log_weight") + gumbel)
+    rows = boxed(docs)
+    scored = rows.select("row", text_of(in_row("text")).cast("binary").alias("text")).mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, log_weight double")
+    return scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit_draw(seed, in_row("doc_id")))))
 
 
-def learn_cutoff(docs: DataFrame, sample: DataFrame, ratio: np.ndarray, loss_ratio: float = 10.0, **weights) -> float:
-    """The key from which on documents are taken: on the sample's fold 1, that of the fewest bad ones taken plus ``loss_ratio`` times good ones lost, as shares.
+def target_share(docs: DataFrame, sample: DataFrame, ratio: np.ndarray, loss: float = 0.01, **weights) -> float:
+    """The share of documents to take: of the sample's fold 1 in the order of their keys, the least share from the top that holds all but ``loss`` of the good ones.
 
-    Of the keys between two neighbours that do equally well, the middle; minus infinity if one kind is missing.
+    1 if the fold has no good or no bad documents. At most one key for each labelled document reaches the driver.
     """
-    met = docs.select("doc_id", "text").join(F.broadcast(sample.filter("fold = 1").select("doc_id", "good")), "doc_id")
-    rows = weigh(met, ratio, **weights).select("good", "gumbel_key").toPandas().sort_values("gumbel_key")
-    good, key = rows.good.to_numpy(dtype=bool), rows.gumbel_key.to_numpy()
+    met = docs.select("doc_id", "text").join(F.broadcast(sample.filter("fold = 1").select(F.col("doc_id").alias("id"), "good")), F.col("doc_id") == F.col("id"))
+    scored = weigh(met.select("doc_id", "text", "good"), ratio, **weights).groupBy(in_row("doc_id").alias("doc_id")).agg(F.min(in_row("good")).alias("good"), F.min("gumbel_key").alias("key"))
+    rows = scored.select("good", "key").toPandas().sort_values("key", ascending=False)
+    good = rows.good.to_numpy(dtype=bool)
     if not good.any() or good.all():
-        return float("-inf")
-    lost = np.concatenate([[0], np.cumsum(good)]) / good.sum()
-    taken = 1 - np.concatenate([[0], np.cumsum(~good)]) / (~good).sum()
-    cost = loss_ratio * lost + taken
-    best = int(np.argmin(cost))
-    if best == 0:
-        return float(key[0])
-    return float((key[best - 1] + key[best]) / 2) if best < len(key) else float(key[-1])
+        return 1.0
+    return float(np.searchsorted(np.cumsum(good), np.ceil((1 - loss) * good.sum())) + 1) / len(good)
 
 
-def top_k(scored: DataFrame, k: int, key: str = "gumbel_key") -> DataFrame:
-    """The rows of the k largest keys (all rows, if fewer); rows tied with the last are kept too.
+def kth_largest(scored: DataFrame, k: int, key: str = "gumbel_key") -> float | None:
+    """The k-th largest key, nulls aside (the least one, if fewer); None without rows or k.
 
     Counts of rows in 4096 ranges, of the fullest resolution where the k-th lies, narrow
-    the cutoff round by round; only counts reach the driver.
+    it down round by round; only counts reach the driver.
     """
     low, high, above = *scored.agg(F.min(key), F.max(key)).first(), 0
     if low is None or k <= 0:
-        return scored.limit(0)
+        return None
+    if scored.filter(F.col(key).isNotNull()).count() <= k:
+        return low
     while low < high:
         width = (high - low) / 4096
-        if width == 0 or low + width == low:
+        if low + width <= low or high - width >= high:
             break
         place = F.least(F.floor((F.col(key) - F.lit(low)) / F.lit(width)), F.lit(4095)).alias("place")
-        counts = dict(scored.filter((F.col(key) >= F.lit(low)) & (F.col(key) <= F.lit(high))).groupBy(place).count().collect())
-        at, total = 4095, above
-        while at > 0 and total + counts.get(at, 0) < k:
-            total += counts.get(at, 0)
-            at -= 1
-        if counts.get(at, 0) <= 1 or total + counts.get(at, 0) == k or len(counts) == 1 and high - low < 1e-9 * max(abs(high), 1):
-            low += at * width
-            break
-        above, low, high = total, low + at * width, low + (at + 1) * width
-    return scored.filter(F.col(key) >= F.lit(low))
+        inside = scored.filter((F.col(key) >= F.lit(low)) & (F.col(key) <= F.lit(high)))
+        counts = {r.place: (r["count"], r.low, r.high) for r in inside.groupBy(place).agg(F.count("*").alias("count"), F.min(key).alias("low"), F.max(key).alias("high")).collect()}
+        for at in sorted(counts, reverse=True):
+            if above + counts[at][0] >= k:
+                break
+            above += counts[at][0]
+        n, low, high = counts[at]
+        if above + n == k:
+            break  # the k-th is the least of this range
+    return low
+
+
+def top_k(scored: DataFrame, k: int, key: str = "gumbel_key") -> DataFrame:
+    """The rows of the k largest keys (all rows, if fewer); rows tied with the last are kept too."""
+    least = kth_largest(scored, k, key)
+    return scored.limit(0) if least is None else scored.filter(F.col(key) >= F.lit(least))
 
 
-def classify(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """``docs`` with log_weight, text_weight, gumbel_key and kept: its key is among the k largest.
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """Boxed ``docs`` (doc_id, text and others) with log_weight, gumbel_key and kept: the key is among the k largest.
 
-    k is not a share set beforehand but the number of documents whose key passes
-    the cutoff that ``learn_cutoff`` reads from labelled documents; so the top k are those that pass.
-    Without labels of both kinds all documents are kept. Repeated ids share their draw.
+    k is ``share`` of the number of documents; where none is named, what ``target_share`` reads from labelled documents.
+    Keys come from one pass over the texts, and from another with the verdict: no text is shuffled or written.
+    Labels with a null don't count. Without labels of both kinds all documents are kept. A null or empty text has its few n-grams'
+    weight. Repeated ids share their draw; rows tied with the k-th are all kept. An empty table gives no rows.
     """
     work = WorkFolder(docs.sparkSession, "resampling")
     sample = work.cut(labelled_sample(labels, most_labelled), "sample")
-    ratio = fit_ratio(docs.select("doc_id", "text"), sample)
-    cutoff = learn_cutoff(docs, sample, ratio)
-    return weigh(docs, ratio).withColumn("kept", F.col("gumbel_key") >= F.lit(cutoff))
+    texts = docs.select("doc_id", "text")
+    ratio = fit_ratio(texts, sample)
+    share = target_share(texts, sample, ratio) if share is None else share
+    if share >= 1:
+        return weigh(docs, ratio).withColumn("kept", F.lit(True))
+    keys = work.cut(weigh(texts, ratio).select("gumbel_key"), "keys")
+    least = kth_largest(keys, int(np.ceil(share * keys.count())))
+    return weigh(docs, ratio).withColumn("kept", F.lit(False) if least is None else F.col("gumbel_key") >= F.lit(least))
+
+
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """doc_id, log_weight, gumbel_key, kept of every row; see ``resample``."""
+    return resample(docs.select("doc_id", "text"), labels, **options).select(in_row("doc_id").alias("doc_id"), "log_weight", "gumbel_key", "kept")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` keeps, columns as given, whatever their names."""
+    return unboxed(resample(docs, labels, **options).filter("kept"))
