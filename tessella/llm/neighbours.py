@@ -130,11 +130,9 @@ def fit_router(sample: np.ndarray, n_rows: int, k: int, recall: float = 0.98, ch
 
 
 def usable(embeddings: DataFrame) -> DataFrame:
-    """vec_id and v (array of double) of the vectors that take part: no null or non-finite component, not all zero, of the most frequent length (ties: the longer)."""
+    """vec_id and v (array of double) of the vectors that take part: no null or non-finite component, not all zero."""
     rows = embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.filter("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x != 0)")
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.col("count").desc(), F.col("n").desc()).first()
-    return rows.filter(F.size("v") == (sizes["n"] if sizes else 0))
+    return rows.filter("forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(v, x -> x != 0)")
 
 
 def _matrix(column, n: int) -> np.ndarray:
@@ -142,22 +140,38 @@ def _matrix(column, n: int) -> np.ndarray:
 
 
 def search(embeddings: DataFrame, every: int = 100, k: int = 10, most_fitted: int = MOST_FITTED, block: int = BLOCK) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: of each vector whose vec_id is divisible by ``every``, the k nearest of all others that its probes find;
-    where those find fewer than k, of all others.
+    """query_id, rank (from 1), vec_id, score: of each vector of ``embeddings`` (vec_id, embedding) whose vec_id is divisible by ``every``, the k nearest of all others
+    that its probes find; where those find fewer than k, of all others. Vectors of different lengths are no candidates for each other: each length is
+    searched by itself.
 
-    Every usable vector is indexed in its most probable partition. Partitions, and the
-    queries sent to them, are dealt by a hash into blocks of about ``block`` rows, and a
-    task sees one block of each at a time, so that a crowded partition or a vector with many copies is no
-    task's burden. Of rows with one vec_id none is a candidate for another. score is the Euclidean
-    distance of the original vectors in double precision. No usable vectors, no rows.
+    Null and zero vectors, and those with a null or non-finite component or without a vec_id, take no part. Of rows with one vec_id none is a
+    candidate for another; rows that repeat a vec_id and vector count once. Ties go to the smaller vec_id. score is the Euclidean
+    distance of the original vectors in double precision. No usable vectors, no rows. Other columns are not read.
     """
-    work = WorkFolder(embeddings.sparkSession, "neighbours")
     rows = usable(embeddings)
-    drawn = rows.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_fitted)
-    found = drawn.select("v").toPandas()
-    if not len(found):
+    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()
+    if not sizes:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    router = work.spark.sparkContext.broadcast(fit_router(np.array(found["v"].tolist(), dtype=np.float64), rows.count(), k))
+    found = [search_length(rows.filter(F.size("v") == r.n), r["count"], every, k, most_fitted, block) for r in sizes]
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def search_length(rows: DataFrame, n_rows: int, every: int, k: int, most_fitted: int, block: int) -> DataFrame:
+    """``search`` of ``n_rows`` usable vectors of one length.
+
+    The router is fitted on at most ``most_fitted`` distinct vectors of a draw by hash. Every vector is indexed in its most
+    probable partition. Partitions, and the
+    queries sent to them, are dealt by a hash into blocks of about ``block`` rows, and a
+    task sees one block of each at a time, so that a crowded partition or a vector with many copies is no
+    task's burden.
+    """
+    work = WorkFolder(rows.sparkSession, "neighbours")
+    drawn = rows.filter(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(max(1, n_rows // (4 * most_fitted)))) == 0)
+    found = drawn.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_fitted).select("v").toPandas()
+    router = work.spark.sparkContext.broadcast(fit_router(np.array(found["v"].tolist(), dtype=np.float64), n_rows, k))
     probes = router.value.probes
 
     def route(batches):

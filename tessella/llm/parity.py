@@ -95,7 +95,7 @@ def bit_sketch(shingles: np.ndarray) -> np.ndarray:
 def _small(batches, k: int, bands: Bands):
     import pyarrow as pa
 
-    seen: set = set()  # of this task: copies of a set send its keys once
+    seen: set = set()  # of this task: copies of a set send its keys once, as far as it remembers
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -105,6 +105,8 @@ def _small(batches, k: int, bands: Bands):
             n.append(len(s))
             d1.append(d[0])
             d2.append(d[1])
+            if len(seen) > 500_000:
+                seen.clear()
             fresh = len(s) and doc is not None and d not in seen
             keys.append(heavy_keys(s, bands).view(np.int64) if fresh else None)
             if fresh:

@@ -9,11 +9,11 @@ from tessella.llm.common import table
 
 
 def op1_importance_resampling(spark, sf_dir):
-    return resampling.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")).drop("text")
+    return resampling.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_context_tree_lm(spark, sf_dir):
-    return context_tree.score_documents(table(spark, sf_dir, "documents"), context_tree.DEPTH)
+    return context_tree.score_documents(table(spark, sf_dir, "documents"))
 
 
 def op3_orc_token_ids(spark, sf_dir):
@@ -29,7 +29,7 @@ def op5_weighted_epochs(spark, sf_dir):
 
 
 def op6_blob_ledger(spark, sf_dir):
-    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+    return secrets.find_in_two_versions(table(spark, sf_dir, "documents"))
 
 
 def op7_vector_packing(spark, sf_dir):
@@ -50,4 +50,4 @@ def op10_fingerprint_index(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_context_tree_lm, op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing, op8_learned_partitions, op9_parity_join, op10_fingerprint_index)}
-ORACLES = {"op4_risk_thresholds": thresholds.ORACLE, "op5_weighted_epochs": mixing.ORACLE, "op10_fingerprint_index": fingerprints.ORACLE}
+ORACLES = {"op4_risk_thresholds": thresholds.ORACLE, "op5_weighted_epochs": mixing.ORACLE, "op6_blob_ledger": secrets.ORACLE, "op10_fingerprint_index": fingerprints.ORACLE}

@@ -107,13 +107,15 @@ def rule_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", ris
     base rules, by ``select_cutoffs`` in each ``stratum`` (null is one). A rule whose
     stratum has too few labels for the bound is off there. kept is false if
     base_failed, or if a score is above its cutoff. Labels without a quality or
-    toxic value don't count; a document labelled twice counts once, as good only if all its labels are.
+    toxic value don't count; a document labelled twice counts once, as good only if all its labels are. Repeated
+    rows each get their own row, and count as often among the labelled. An empty table gives no rows. Other columns are not read.
     """
     work = WorkFolder(docs.sparkSession, "thresholds")
     scores = tuple(SCORES)
     measured = base_measures(docs.select("doc_id", "text", F.col(stratum).alias("stratum")), ("doc_id", "stratum"))
     measured = work.cut(measured.select("*", *[F.expr(e).alias(s) for s, e in SCORES.items()]), "measures")
-    good = labels.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).filter("good").select("doc_id")
+    whole = labels.filter("quality IS NOT NULL AND toxic IS NOT NULL")
+    good = whole.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).filter("good").select("doc_id")
     cutoffs = work.cut(select_cutoffs(measured.filter("NOT base_failed").join(good, "doc_id", "left_semi"), scores, risk, error), "cutoffs")
     wide = cutoffs.groupBy(F.coalesce("stratum", F.lit("")).alias("s"), F.col("stratum").isNull().alias("none")).agg(*[F.max(F.when(F.col("score") == s, F.col("cutoff"))).alias(f"max_{s}") for s in scores])
     out = measured.join(wide, (F.coalesce("stratum", F.lit("")) == F.col("s")) & (F.col("stratum").isNull() == F.col("none")), "left")

@@ -88,6 +88,18 @@ class Table:
         return self.place[slot]
 
 
+@functools.lru_cache(32)
+def _some_powers(base: int, bits: int) -> np.ndarray:
+    out = np.full(1 << bits, base, dtype=np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 to base ** (n - 1), mod 2**64."""
+    return _some_powers(base, max(n - 1, 1).bit_length())[:n]
+
+
 class Words:
     """The words of several texts.
 
@@ -113,12 +125,14 @@ class Words:
         """A hash for the k words from each word on; those that leave their text are of no meaning."""
         h = self.hash
         n = max(len(h) - k + 1, 0)
-        base = mix(np.array([salt + 1], dtype=np.uint64) * _U(0xD1342543DE82EF95))[0] | _U(1)
-        out = np.zeros(n, dtype=np.uint64)
-        for j in range(k):
-            out *= base
-            out += h[j : j + n]
-        return mix(out)
+        if not n:
+            return np.zeros(0, dtype=np.uint64)
+        base = int(mix(np.array([salt + 1], dtype=np.uint64) * _U(0xD1342543DE82EF95))[0]) | 1
+        # sums of h[i] * base**i, less those before, times base**-i: mod 2**64 an odd base has an inverse
+        power, back = _powers(base, len(h)), _powers(pow(base, -1, 1 << 64), n)
+        sums = np.zeros(len(h) + 1, dtype=np.uint64)
+        np.cumsum(h * power, out=sums[1:])
+        return mix((sums[k:] - sums[:n]) * back)
 
     def doc_of_window(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """For each text the range of its windows of k words: (first, end), equal if there is none."""
