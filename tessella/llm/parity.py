@@ -224,4 +224,4 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     kept = near_duplicates(docs.select("doc_id", "text"), k, percent).filter("doc_id = component_id").select("doc_id").distinct()
     stay = docs.filter("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
+    return stay.union(docs.filter("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import WorkFolder, boxed, in_row, slices, text_of, unboxed, unit_draw
 from tessella.llm.words import mix
@@ -23,7 +24,7 @@ def hashed_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         key = (key << np.uint32(8)) | data[i : len(key) + i]
     sizes = np.array([len(t) + 3 for t in texts])
     ends = np.cumsum(sizes)
-    return (mix(key.astype(np.uint64)) & np.uint64(BUCKETS - 1)).astype(np.int32), np.stack([ends - sizes, np.maximum(ends - N_GRAM, ends - sizes)], axis=1)
+    return (mix(key.astype(np.uint64)) & np.uint64(BUCKETS - 1)).astype(np.int32), np.stack([ends - sizes, np.maximum(ends - N_GRAM + 1, ends - sizes)], axis=1)
 
 
 def labelled_sample(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
@@ -91,7 +92,8 @@ def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 29) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64())], ["row", "log_weight"])
 
     rows = boxed(docs)
-    scored = rows.select("row", text_of(in_row("text")).cast("binary").alias("text")).mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, log_weight double")
+    schema = T.StructType([rows.schema["row"], T.StructField("log_weight", T.DoubleType())])
+    scored = rows.select("row", text_of(in_row("text")).cast("binary").alias("text")).mapInArrow(score, schema)
     return scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit_draw(seed, in_row("doc_id")))))
 
 

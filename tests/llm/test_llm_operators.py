@@ -434,7 +434,9 @@ def test_resampling(spark, none):
     have = sorted(((r.doc_id, r.log_weight, r.gumbel_key, r.kept) for r in got.collect()), key=order)
     for (d1, w1, k1, kept1), (d2, w2, k2, kept2) in zip(have, sorted(zip([r[0] for r in data], weights, keys, kept, strict=True), key=order), strict=True):
         assert d1 == d2 and w1 == pytest.approx(w2, abs=1e-9) and k1 == pytest.approx(k2, abs=1e-9) and kept1 == kept2
-    assert sum(k for (i, *_), k in zip(data, kept, strict=True) if i and i < 400 and i % 5 == 0) <= 2
+    # a target size learned from some 150 held-out rows: few of the 80 bad texts fit into it, nearly all of the 320 good ones do
+    of = lambda bad: sum(k for (i, *_), k in zip(data, kept, strict=True) if i is not None and i < 400 and (i % 5 == 0) == bad)
+    assert of(True) <= 4 and of(False) >= 0.97 * 320
     stay = resampling.kept_documents(d, labels)
     assert stay.columns == d.columns and Counter(tuple(r) for r in stay.collect()) == Counter(r for r, k in zip(data, kept, strict=True) if k)
     assert resampling.classify(none, labels).count() == 0
