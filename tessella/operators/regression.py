@@ -59,9 +59,9 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, extra_
 
 
 def twfe(panel: DataFrame, outcome: str, treatment: str, controls: tuple[str, ...] = (), cluster: str = "cl") -> DataFrame:
-    """Two-way fixed effects with a treatment and controls, errors clustered."""
+    """Two-way fixed effects with a treatment and controls, errors clustered. Rows with a null in any of them go before means are taken."""
     names = [outcome, treatment, *controls]
-    w = two_way_within(panel, names)
+    w = two_way_within(panel.na.drop(subset=names), names)
     return ols(w, f"{outcome}_w", [f"{c}_w" for c in names[1:]], cluster)
 
 
@@ -87,7 +87,7 @@ def event_time_att(att: DataFrame) -> DataFrame:
 def event_study(panel: DataFrame, outcome: str, low: int = -3, high: int = 3, cluster: str = "unit") -> DataFrame:
     """Two-way fixed effects on dummies of event time (ends pooled, -1 left out) for units with a cohort."""
     e = F.greatest(F.least(F.col("t") - F.col("cohort"), F.lit(high)), F.lit(low))
-    d = panel.withColumn("_e", F.when(F.col("cohort") < 9999, e))
+    d = panel.na.drop(subset=[outcome]).withColumn("_e", F.when(F.col("cohort") < 9999, e))
     times = [k for k in range(low, high + 1) if k != -1]
     names = [f"e{'m' if k < 0 else 'p'}{abs(k)}" for k in times]
     d = d.select("*", *[F.coalesce((F.col("_e") == k).cast("double"), F.lit(0.0)).alias(n) for k, n in zip(times, names, strict=True)])
@@ -103,7 +103,7 @@ def beta_convergence(panel: DataFrame) -> DataFrame:
 
 
 def elasticity(panel: DataFrame, y: str, x: str) -> DataFrame:
-    d = panel.select("unit", "t", F.log(y).alias("ly"), F.log(x).alias("lx"))
+    d = panel.select("unit", "t", F.log(y).alias("ly"), F.log(x).alias("lx")).na.drop(subset=["ly", "lx"])
     return ols(two_way_within(d, ["ly", "lx"]), "ly_w", ["lx_w"])
 
 
@@ -120,7 +120,7 @@ def lead_placebo(panel: DataFrame, outcome: str, did: str, leads: tuple[int, ...
 def heterogeneity(panel: DataFrame, outcome: str, did: str, group: str) -> DataFrame:
     """Two-way effects of the treatment inside each group, all groups in one aggregation (one regressor needs only sums)."""
     u, p, g = Window.partitionBy(group, "unit"), Window.partitionBy(group, "t"), Window.partitionBy(group)
-    w = panel.select(group, *[(F.col(c) - F.avg(c).over(u) - F.avg(c).over(p) + F.avg(c).over(g)).alias(n) for c, n in ((outcome, "y"), (did, "x"))])
+    w = panel.na.drop(subset=[outcome, did]).select(group, *[(F.col(c) - F.avg(c).over(u) - F.avg(c).over(p) + F.avg(c).over(g)).alias(n) for c, n in ((outcome, "y"), (did, "x"))])
     s = w.groupBy(group).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.count("*").alias("n_obs"))
     return s.select(group, F.when(F.col("xx") > 1e-9, F.col("xy") / F.col("xx")).alias("coef"), "n_obs")
 
@@ -160,7 +160,7 @@ def dose_bins(panel: DataFrame, outcome: str, dose: str, bins: int = 3, cluster:
     """Two-way effects of quantile bins of the positive doses, against none."""
     edges = panel.filter(F.col(dose) > 0).agg(F.array_distinct(F.percentile(dose, F.array(*[F.lit(i / bins) for i in range(1, bins)])))).first()[0] or []
     place = sum(((F.col(dose) > F.lit(e)).cast("int") for e in edges), F.lit(1))
-    d = panel.withColumn("_b", F.when(F.col(dose) > 0, place).otherwise(0))
+    d = panel.na.drop(subset=[outcome, dose]).withColumn("_b", F.when(F.col(dose) > 0, place).otherwise(0))
     names = [f"bin_{b}" for b in range(1, len(edges) + 2)]
     d = d.select("*", *[(F.col("_b") == i + 1).cast("double").alias(n) for i, n in enumerate(names)])
     w = two_way_within(d, [outcome, *names])
@@ -183,7 +183,7 @@ def wild_bootstrap(panel: DataFrame, outcome: str, treatment: str, draws: int, c
     """
     from tessella.functions.columns import keyed_draw
 
-    w = two_way_within(panel, [outcome, treatment])
+    w = two_way_within(panel.na.drop(subset=[outcome, treatment]), [outcome, treatment])
     c = w.groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum(F.col(f"{treatment}_w") * F.col(f"{outcome}_w")).alias("xy"), F.sum(F.col(f"{treatment}_w") ** 2).alias("xx"))
     xx, coef = c.agg(F.sum("xx"), F.sum("xy") / F.sum("xx")).first()
     d = c.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))

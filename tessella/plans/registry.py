@@ -22,9 +22,6 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-for _module in ("shaping", "imputation", "indices", "spatial", "events", "quality", "dynamics", "sequences", "shocks", "regression", "metrics", "monitoring", "sources"):
-    try:
-        importlib.import_module(f"tessella.plans.{_module}_queries")
-    except ModuleNotFoundError as e:
-        if e.name != f"tessella.plans.{_module}_queries":
-            raise
+MODULES = ("shaping", "imputation", "indices", "spatial", "events", "quality", "dynamics", "sequences", "shocks", "regression", "metrics", "monitoring", "sources", "estimators", "learning")
+for _module in MODULES:
+    importlib.import_module(f"tessella.plans.{_module}_queries")

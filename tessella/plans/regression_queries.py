@@ -42,18 +42,32 @@ def k5_twfe(spark, sf):
     return r(R.twfe(_syd(spark, sf), "y", "did").select("term", "coef", "stderr", "n_obs", "n_clusters"), "coef", "stderr")
 
 
-@query()
+def two_regressors(names: tuple[str, str]) -> str:
+    """SQL from w (cl, y, a, b): least squares of y on a and b by sums, errors clustered by cl."""
+    return f"""s AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * y) AS ay, sum(b * y) AS yb, count(*) AS n FROM w), d AS (SELECT *, aa * bb - ab * ab AS det FROM s), k AS (SELECT *, (bb * ay - ab * yb) / det AS k1, (aa * yb - ab * ay) / det AS k2 FROM d),
+gs AS (SELECT cl, sum(a * (y - k1 * a - k2 * b)) AS s1, sum(b * (y - k1 * a - k2 * b)) AS s2 FROM w, k GROUP BY 1), v AS (SELECT any_value(k1) AS k1, any_value(k2) AS k2, any_value(n) AS n, count(*) AS g, sqrt(count(*) / (count(*) - 1) * (any_value(n) - 1) / (any_value(n) - 2)) / any_value(det) AS f,
+ any_value(bb) ** 2 * sum(s1 * s1) - 2 * any_value(bb) * any_value(ab) * sum(s1 * s2) + any_value(ab) ** 2 * sum(s2 * s2) AS v1, any_value(ab) ** 2 * sum(s1 * s1) - 2 * any_value(aa) * any_value(ab) * sum(s1 * s2) + any_value(aa) ** 2 * sum(s2 * s2) AS v2 FROM gs, k)
+SELECT '{names[0]}' AS term, round(k1, 6) AS coef, round(f * sqrt(v1), 6) AS stderr, round(k1 / (f * sqrt(v1)), 4) AS t_value, n AS n_obs, g AS n_clusters FROM v UNION ALL SELECT '{names[1]}', round(k2, 6), round(f * sqrt(v2), 6), round(k2 / (f * sqrt(v2)), 4), n, g FROM v"""
+
+
+def _fit(df):
+    return r(r(df, "coef", "stderr"), "t_value", digits=4)
+
+
+@query(f"WITH {SYD}, w AS (SELECT cl, {WITHIN.format(c='y')} AS y, {WITHIN.format(c='did')} AS a, {WITHIN.format(c='x')} AS b FROM p), {two_regressors(('did_w', 'x_w'))}")
 def k6_did_with_controls(spark, sf):
     """Main effect with a control; two regressors, solved on the driver from one aggregation."""
-    return r(R.twfe(_syd(spark, sf), "y", "did", ("x",)), "coef", "stderr", "t_value")
+    return _fit(R.twfe(_syd(spark, sf), "y", "did", ("x",)))
 
 
-@query()
-def k9_lead_placebo(spark, sf):
-    return r(R.lead_placebo(_syd(spark, sf), "y", "did", (1, 2)), "coef", "stderr", "t_value")
+HET = """({c} - avg({c}) OVER (PARTITION BY {g}, unit) - avg({c}) OVER (PARTITION BY {g}, t) + avg({c}) OVER (PARTITION BY {g}))"""
 
 
-HET = """({c} - avg({c}) OVER (PARTITION BY {g}, unit) - avg({c}) OVER (PARTITION BY {g}, t) + avg({c}) OVER (PARTITION BY {g}))"""
+@query(f"""WITH {SYD}, l AS (SELECT *, 1 AS lead, lead(did, 1) OVER (PARTITION BY unit ORDER BY t) AS ld FROM p UNION ALL SELECT *, 2, lead(did, 2) OVER (PARTITION BY unit ORDER BY t) FROM p), f AS (SELECT * FROM l WHERE did = 0 AND ld IS NOT NULL), w AS (SELECT lead, cl, {HET.format(c='y', g='lead')} AS y, {HET.format(c='ld', g='lead')} AS x FROM f),
+b AS (SELECT lead, sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx, count(*) AS n FROM w GROUP BY 1), g AS (SELECT lead, cl, sum(x * (y - b * x)) AS s FROM w JOIN b USING (lead) GROUP BY ALL), a AS (SELECT lead, sqrt(sum(s * s) * count(*) / (count(*) - 1)) AS m, count(*) AS g FROM g GROUP BY 1)
+SELECT 'lead_did_w' AS term, round(b, 6) AS coef, round(m / xx, 6) AS stderr, round(b / (m / xx), 4) AS t_value, n AS n_obs, g AS n_clusters, lead FROM a JOIN b USING (lead)""")
+def k9_lead_placebo(spark, sf):
+    return _fit(R.lead_placebo(_syd(spark, sf), "y", "did", (1, 2)))
 
 
 @query(f"""WITH {SYD}, q AS (SELECT *, cl % 5 AS grp FROM p), w AS (SELECT grp, {HET.format(c='y', g='grp')} AS y, {HET.format(c='did', g='grp')} AS x FROM q) SELECT grp, CASE WHEN sum(x * x) > 1e-9 THEN round(sum(x * y) / sum(x * x), 6) END AS coef, count(*) AS n_obs FROM w GROUP BY 1""")
