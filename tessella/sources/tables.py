@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,8 +50,18 @@ def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; only a local master may go without the setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        root = "file://" + tempfile.mkdtemp(prefix="tessella-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def signature(df: DataFrame) -> DataFrame:
-    """(rows, signature) of a table, whatever the order of its rows: a digest of the count and two sums of row hashes."""
-    row = F.to_json(F.struct(*sorted(df.columns)))
-    part = lambda i: F.sum(F.conv(F.substring(F.sha2(row, 256), i, 12), 16, 10).cast("decimal(38,0)"))
+    """(rows, signature) of a table, whatever the order of its rows: a digest of the count and two sums of the rows' MD5, of their columns in order of names as text."""
+    row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)])
+    part = lambda i: F.sum(F.conv(F.substring(F.md5(row), i, 12), 16, 10).cast("decimal(38,0)"))
     return df.agg(F.count("*").alias("rows"), part(1).alias("a"), part(13).alias("b")).select("rows", F.sha2(F.concat_ws(":", "rows", "a", "b"), 256).alias("signature"))

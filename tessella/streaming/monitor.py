@@ -22,13 +22,50 @@ def windowed_alerts(events: DataFrame, size: str = "1 day", late: str = "1 day",
     return rows.select(F.col("window.start").alias("start"), "event_type", "n", (F.col("cents") / 100.0).alias("total"), mean.alias("mean"), (mean >= threshold).cast("int").alias("alert"))
 
 
-def run_once(stream: DataFrame, table: str, mode: str = "complete") -> StreamingQuery:
-    """All that has arrived, into an in-memory table; returns when done."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(table).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+def all_windows(stream: DataFrame, path: str) -> None:
+    """All that has arrived, windows still open too, to Parquet under ``path``: each run's batch replaces the last one's, so only the newest state is there."""
+
+    def save(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out")
+
+    stream.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", f"{path}/check").trigger(availableNow=True).start().awaitTermination()
 
 
 def append_to(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Finished windows to Parquet, exactly once, from where the checkpoint says."""
     return stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sessions(events: DataFrame, gap: str = "12 hours", late: str = "1 day") -> DataFrame:
+    """By user and session (events less than ``gap`` apart): start, end, events, total value."""
+    g = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
+    rows = g.agg(F.count("*").alias("n"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return rows.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n", (F.col("cents") / 100.0).alias("total"))
+
+
+def with_limits(events: DataFrame, limits: DataFrame) -> DataFrame:
+    """A stream against a static table: events above their type's limit (event_type, high)."""
+    return events.join(F.broadcast(limits), "event_type").filter(F.col("value") > F.col("high"))
+
+
+def cusum_alarms(events: DataFrame, centre: float, slack: float, limit: float) -> DataFrame:
+    """By user: an alarm whenever the running sum of (value - centre - slack), never below 0, passes ``limit``; it then starts anew.
+
+    The sum is the user's keyed state, kept from batch to batch; within a batch a user's events are taken in the order of time.
+    """
+
+    def advance(key, batches, state):
+        import pandas as pd
+
+        total = state.get[0] if state.exists else 0.0
+        found: list[tuple] = []
+        for rows in batches:
+            for e in rows.sort_values(["ts", "event_id"]).itertuples():
+                total = max(0.0, total + e.value - centre - slack)
+                if total > limit:
+                    found.append((key[0], e.event_id, e.ts, total))
+                    total = 0.0
+        state.update((total,))
+        yield pd.DataFrame(found, columns=["user_id", "event_id", "ts", "total"])
+
+    return events.groupBy("user_id").applyInPandasWithState(advance, "user_id long, event_id long, ts timestamp, total double", "total double", "append", "NoTimeout")
