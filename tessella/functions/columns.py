@@ -64,6 +64,22 @@ def numbered(df: DataFrame, draw: Column, tie: str, name: str, within: tuple[str
     return d.withColumn("_place", place).join(sizes, [*within, "_range"]).select(*df.columns, (F.col("_before") + F.col("_place")).alias(name))
 
 
+def sums_before(df: DataFrame, by: Column, values: list[str], within: tuple[str, ...] = (), ranges: int = 64) -> DataFrame:
+    """``df`` with before_<value>: the sum over the rows of smaller ``by`` (rows of equal ``by``, in any order, count too where they come first).
+
+    Rows are dealt into ranges of ``by`` at its approximate quantiles; what is before in the range comes on top of the earlier ranges' sums, so no task sees all rows.
+    """
+    keyed = df.withColumn("_by", by)
+    edges = keyed.agg(F.array_distinct(F.approx_percentile("_by", [i / ranges for i in range(1, ranges)], 1000))).first()[0] or []
+    d = keyed.withColumn("_range", F.size(F.filter(F.array(*[F.lit(e) for e in edges]), lambda e: e < F.col("_by"))) if edges else F.lit(0))
+    earlier = Window.partitionBy(*within).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy(*within, "_range").agg(*[F.sum(v).alias(f"_s_{v}") for v in values])
+    sums = sums.select(*within, "_range", *[F.coalesce(F.sum(f"_s_{v}").over(earlier), F.lit(0)).alias(f"_o_{v}") for v in values])
+    inside = Window.partitionBy(*within, "_range").orderBy("_by").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.select("*", *[F.coalesce(F.sum(v).over(inside), F.lit(0)).alias(f"_i_{v}") for v in values]).join(sums, [*within, "_range"])
+    return d.select(*df.columns, *[(F.col(f"_i_{v}") + F.col(f"_o_{v}")).alias(f"before_{v}") for v in values])
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance on a sphere of 6371 km."""
     h = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)

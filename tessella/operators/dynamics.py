@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import minmax, rank_pct, rolling, safe_div, zscore
+from tessella.functions.columns import keyed_draw, minmax, rank_pct, rolling, safe_div, zscore
 
 def own_order() -> WindowSpec:
     """Each unit's rows by period."""
@@ -188,3 +188,72 @@ def latest_shift(panel: DataFrame) -> DataFrame:
     """The latest row of each unit with its change to the row before."""
     w = Window.partitionBy("unit").orderBy(F.col("t").desc())
     return panel.select("unit", "t", "value", (F.col("value") - F.lead("value").over(w)).alias("shift"), F.row_number().over(w).alias("_r")).filter("_r = 1").drop("_r")
+
+
+def group_stability(groups: DataFrame, draws: int = 400) -> DataFrame:
+    """By group of a (grp, t, score) table: periods, last and mean score, trend slope with its 95 % interval over resampled periods, deviation of the yearly changes and their
+    share above 0, a score of 0 to 100 blended from the scaled parts (.36 mean, .28 slope, .22 low deviation, .14 share) and its rank.
+
+    A draw takes as many of the group's periods as there are, with replacement, by keyed draws; groups of under 3 periods have their slope as both bounds.
+    """
+    own = Window.partitionBy("grp").orderBy("t")
+    d = groups.select("grp", "t", "score", (F.col("score") - F.lag("score").over(own)).alias("d"), F.row_number().over(own).alias("i"), F.count("*").over(Window.partitionBy("grp")).alias("n"))
+    change = F.coalesce("d", F.lit(0.0))
+    g = d.groupBy("grp").agg(F.count("*").alias("periods"), F.max_by("score", "t").alias("last"), F.avg("score").alias("mean"), F.regr_slope("score", F.col("t")).alias("slope"), F.stddev_pop(change).alias("volatility"), F.avg((change > 0).cast("double")).alias("positive"))
+    slots = d.filter("n >= 3").select("grp", "n", F.col("i").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    taken = slots.select("grp", "draw", (F.floor(keyed_draw(F.col("draw"), F.col("grp"), F.col("slot")) * F.col("n")) + 1).alias("i"))
+    boot = taken.join(d.select("grp", "i", "t", "score"), ["grp", "i"]).groupBy("grp", "draw").agg(F.regr_slope("score", F.col("t")).alias("b"))
+    ci = boot.groupBy("grp").agg(F.percentile("b", 0.025).alias("low"), F.percentile("b", 0.975).alias("high"))
+    every = Window.partitionBy()  # a row for each group
+    part = lambda c: minmax(F.col(c), every)
+    score = 100 * (0.36 * part("mean") + 0.28 * part("slope") + 0.22 * (1 - part("volatility")) + 0.14 * part("positive"))
+    out = g.join(ci, "grp", "left").withColumn("low", F.coalesce("low", "slope")).withColumn("high", F.coalesce("high", "slope")).withColumn("stability", score)
+    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.round("stability", 9).desc(), "grp")))
+
+
+def unit_features(panel: DataFrame) -> DataFrame:
+    """One row a unit: mean log value, its deviation and trend, mean and deviation of growth; missing ones by the median of all."""
+    own = Window.partitionBy("unit").orderBy("t")
+    x = panel.select("unit", "t", F.log1p("value").alias("x")).withColumn("g", F.col("x") - F.lag("x").over(own))
+    u = x.groupBy("unit").agg(F.avg("x").alias("level"), F.stddev_samp("x").alias("sd"), F.regr_slope("x", F.col("t")).alias("trend"), F.avg("g").alias("growth"), F.stddev_samp("g").alias("volatility"))
+    names = ["level", "sd", "trend", "growth", "volatility"]
+    medians = u.agg(*[F.percentile(c, 0.5) for c in names]).first()
+    return u.select("unit", *[F.coalesce(c, F.lit(float(m or 0.0))).alias(c) for c, m in zip(names, medians, strict=True)])
+
+
+def _standard(features: DataFrame, names: list[str]) -> DataFrame:
+    row = features.agg(*[F.avg(c) for c in names], *[F.stddev_pop(c) for c in names]).first()
+    k = len(names)
+    return features.select("*", *[((F.col(c) - F.lit(row[i])) / F.lit(row[k + i] or 1.0)).alias(f"{c}_z") for i, c in enumerate(names)])
+
+
+def unit_embeddings(features: DataFrame, names: list[str], components: int = 2) -> DataFrame:
+    """unit and its first principal components of the standardised features, each with the sign that makes its largest loading positive. Only a k-by-k matrix reaches the driver."""
+    import numpy as np
+
+    z = _standard(features, names)
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    row = z.agg(*[F.avg(F.col(f"{names[i]}_z") * F.col(f"{names[j]}_z")) for i, j in pairs]).first()
+    cov = np.zeros((len(names), len(names)))
+    for (i, j), v in zip(pairs, row, strict=True):
+        cov[i, j] = cov[j, i] = v
+    vectors = np.linalg.eigh(cov)[1][:, ::-1][:, :components]
+    vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(components)])
+    return z.select("unit", *[sum((F.col(f"{c}_z") * float(w) for c, w in zip(names, v, strict=True)), F.lit(0.0)).alias(f"e{i + 1}") for i, v in enumerate(vectors.T)])
+
+
+ARCHETYPES = ["frontier", "steady", "fragile", "stalled"]
+
+
+def archetypes(features: DataFrame, names: list[str], quality: dict[str, float], k: int = 4, seed: int = 42) -> DataFrame:
+    """unit, cluster by k-means of the standardised features, and the cluster's name, given in the order of a weighted sum of its mean features."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    z = _standard(features, names)
+    vectors = VectorAssembler(inputCols=[f"{c}_z" for c in names], outputCol="v").transform(z)
+    model = KMeans(k=k, seed=seed, featuresCol="v", predictionCol="cluster", maxIter=50).fit(vectors)
+    d = model.transform(vectors)
+    score = sum((F.avg(c) * w for c, w in quality.items()), F.lit(0.0))
+    ranked = d.groupBy("cluster").agg(score.alias("q")).withColumn("place", F.row_number().over(Window.orderBy(F.col("q").desc(), "cluster")))  # k rows
+    return d.join(ranked, "cluster").select("unit", "cluster", F.element_at(F.array(*[F.lit(a) for a in ARCHETYPES[:k]]), F.col("place")).alias("archetype"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import rank_pct, safe_div
+from tessella.functions.columns import clip, minmax, norm_key, rank_pct, safe_div
 
 NEVER = 9999
 
@@ -76,7 +76,7 @@ def salience(first_rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     w = Window.partitionBy("cl")
     score = sum((rank_pct(F.col(c), w) * k for c, k in weights.items()), F.lit(0.0))
     s = first_rows.withColumn("salience", score)
-    return s.select("unit", "cl", "salience", F.row_number().over(w.orderBy(F.col("salience").desc(), "unit")).alias("rank"), F.count("*").over(w).alias("units"))
+    return s.select("unit", "cl", "salience", F.row_number().over(w.orderBy(F.round("salience", 9).desc(), "unit")).alias("rank"), F.count("*").over(w).alias("units"))
 
 
 def doses(did_panel: DataFrame, intensity: DataFrame) -> DataFrame:
@@ -136,3 +136,62 @@ def switch_variant(df: DataFrame, suffix: str) -> DataFrame:
     """Columns with the suffix take their plain names' place."""
     new = {c.removesuffix(suffix): c for c in df.columns if c.endswith(suffix)}
     return df.select(*[F.col(new[c]).alias(c) if c in new else F.col(c) for c in df.columns if c not in new.values()])
+
+
+def resolve_codes(rows: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(id, cl, how) for every row of ``rows`` (id, codes, name, region): each cluster whose code is among the row's codes; for rows without any, those
+    whose name is the row's; for rows without these, those of the row's region; else null and ``unresolved``. ``clusters``: cl, code, name, region.
+    """
+    code = rows.select("id", F.explode(F.array_distinct(F.split(F.upper("codes"), "[^A-Z0-9]+"))).alias("k"), F.lit(1).alias("level"))
+    name = rows.select("id", norm_key(F.col("name")).alias("k"), F.lit(2).alias("level"))
+    region = rows.select("id", norm_key(F.col("region")).alias("k"), F.lit(3).alias("level"))
+    keys = [clusters.select("cl", F.upper("code").alias("k"), F.lit(1).alias("level")), clusters.select("cl", norm_key(F.col("name")), F.lit(2)), clusters.select("cl", norm_key(F.col("region")), F.lit(3))]
+    met = code.union(name).union(region).filter("k <> ''").join(keys[0].union(keys[1]).union(keys[2]), ["k", "level"], "inner").select("id", "cl", "level").distinct()
+    best = met.withColumn("best", F.min("level").over(Window.partitionBy("id"))).filter("level = best")
+    how = F.when(F.col("level") == 1, "code").when(F.col("level") == 2, "name").when(F.col("level") == 3, "region").otherwise("unresolved")
+    return rows.select("id").distinct().join(best.select("id", "cl", "level"), "id", "left").select("id", "cl", how.alias("how"))
+
+
+def project_events(projects: DataFrame, refs: int = 6) -> DataFrame:
+    """Projects (cl, t, name, cents, project) as events by cluster, period and name: amount, distinct projects, the first ``refs`` of them by name joined by bars, and
+    intensity: .75 of the log amount and .25 of the projects, each scaled to 0..1 in the cluster (1 if constant), within .05 to 1.
+
+    Events stay that are of the cluster's 55 % quantile of amounts or more, or of two projects or more; all, if none would.
+    """
+    key = ["cl", "t", "name"]
+    once = projects.groupBy(*key, F.col("project").cast("string").alias("project")).agg(F.sum("cents").alias("cents"))
+    placed = once.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("project")))
+    named = F.array_join(F.array_sort(F.collect_list(F.when(F.col("_r") <= refs, F.col("project")))), "|")
+    g = placed.groupBy(*key).agg((F.sum("cents") / 100.0).alias("amount"), F.count("*").alias("projects"), named.alias("refs"))
+    w = Window.partitionBy("cl")
+    scaled = 0.75 * minmax(F.log1p("amount"), w, 1.0) + 0.25 * minmax(F.col("projects").cast("double"), w, 1.0)
+    g = g.withColumn("intensity", clip(scaled, 0.05, 1.0)).withColumn("_q", F.percentile("amount", 0.55).over(w))
+    kept = g.filter((F.col("amount") >= F.col("_q")) | (F.col("projects") >= 2))
+    return (g if kept.isEmpty() else kept).drop("_q")
+
+
+def core_design(registry: DataFrame, panel: DataFrame, cap: int, threshold: float = 0.7, fallback: float = 0.6) -> DataFrame:
+    """(cl, cohort, track) of the principal track. ``registry``: cl, start_t, intensity, grade, external (boolean).
+
+    Core events: of grade A (or external, or all, where there are none), of ``threshold`` intensity or more and begun by ``cap``; none left, from the ``fallback`` quantile on.
+    The first track that covers a fitting share of the panel's clusters is taken: core (8 to 70 %), external (5 to 70 %), all (5 to 80 %), then external or all, whatever their share.
+    """
+    grade_a, outside = registry.filter("grade = 'A'"), registry.filter("external")
+    base, early = grade_a, F.col("start_t") <= cap
+    for other in (outside, registry):
+        if base.isEmpty():
+            base = other
+    core = base.filter((F.col("intensity") >= threshold) & early)
+    if core.isEmpty():
+        cut = base.agg(F.percentile("intensity", fallback)).first()[0]
+        core = base.filter((F.col("intensity") >= F.lit(cut)) & early)
+    clusters = panel.select("cl").distinct()
+    n = clusters.count()
+    tracks = {}
+    for name, rows in (("core", core), ("external", outside), ("all", registry)):
+        first = rows.groupBy("cl").agg(F.min("start_t").alias("cohort"))
+        tracks[name] = (first, clusters.join(first, "cl", "left_semi").count() / max(n, 1), not first.isEmpty())
+    picks = [(k, k) for k, low, high in (("core", 0.08, 0.7), ("external", 0.05, 0.7), ("all", 0.05, 0.8)) if tracks[k][2] and low <= tracks[k][1] <= high]
+    picks += [(k, f"{k}_any_share") for k in ("external", "all") if tracks[k][2]] or [("all", "none")]
+    kind, name = picks[0]
+    return tracks[kind][0].select("cl", "cohort", F.lit(name).alias("track"))

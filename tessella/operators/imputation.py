@@ -93,3 +93,15 @@ def derived_proxy(df: DataFrame, a: str, b: str, weight: float = 0.7) -> DataFra
     low = df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
     scale = lambda c, lo, hi: (F.col(c) - F.lit(lo)) / F.lit(hi - lo) if hi is not None and hi > lo else F.lit(0.0)
     return df.select("*", (weight * scale(a, low[0], low[1]) + (1 - weight) * scale(b, low[2], low[3])).alias("proxy"))
+
+
+def model_backcast(panel: DataFrame, y: str, xs: list[str], fit_end: int) -> DataFrame:
+    """``panel`` with filled, filled_flag and filled_source: ``y``, and where it is missing the prediction of a linear model of the rows with a value up to ``fit_end``; null where a covariate is missing."""
+    from tessella.operators.estimators import grams, linear, solved
+
+    seen = panel.filter((F.col("t") <= fit_end) & F.col(y).isNotNull()).withColumn("_k", F.lit(0))
+    gram = grams(seen, [*xs, y], "_k").get(0)
+    model = linear(solved(gram), xs) if gram is not None else F.lit(None).cast("double")
+    out = panel.withColumn("filled", F.coalesce(F.col(y), model))
+    flag = (F.col(y).isNull() & F.col("filled").isNotNull()).cast("int")
+    return out.withColumn("filled_flag", flag).withColumn("filled_source", F.when(F.col(y).isNotNull(), "observed").when(F.col("filled").isNotNull(), "model").otherwise("missing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import keyed_draw, numbered
+from tessella.functions.columns import keyed_draw, numbered, sums_before
 
 
 def auc(df: DataFrame, y: str, p: str, group: str | None = None) -> DataFrame:
@@ -13,16 +13,14 @@ def auc(df: DataFrame, y: str, p: str, group: str | None = None) -> DataFrame:
     rows = df.filter(F.col(y).isNotNull() & F.col(p).isNotNull())
     scoped = rows.select(F.explode(F.array(F.lit("all"), *([F.col(group)] if group else []))).alias("scope"), F.col(p).alias("_p"), F.col(y).alias("_y"))
     by = scoped.groupBy("scope", "_p").agg(F.sum("_y").alias("pos"), (F.count("*") - F.sum("_y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("scope").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumn("below", below)
+    by = sums_before(by, F.col("_p"), ["neg"], ("scope",)).withColumnRenamed("before_neg", "below")
     return by.groupBy("scope").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), (F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)) / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"))
 
 
 def average_precision(df: DataFrame, y: str, p: str) -> DataFrame:
     """Average precision over distinct scores, and the lift of the rows from the 90 % quantile of the score on."""
     by = df.groupBy(F.col(p).alias("_p")).agg(F.sum(y).alias("pos"), F.count("*").alias("n"))
-    down = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    by = by.select("pos", F.sum("pos").over(down).alias("tp"), F.sum("n").over(down).alias("k"))
+    by = sums_before(by, -F.col("_p"), ["pos", "n"]).select("pos", (F.col("before_pos") + F.col("pos")).alias("tp"), (F.col("before_n") + F.col("n")).alias("k"))
     ap = by.agg((F.sum(F.col("pos") * F.col("tp") / F.col("k")) / F.sum("pos")).alias("average_precision"))
     cut = df.agg(F.percentile(p, 0.9)).first()[0]
     lift = df.agg((F.avg(F.when(F.col(p) >= F.lit(cut), F.col(y))) / F.avg(y)).alias("top_lift"))
@@ -71,9 +69,8 @@ def decision_curve(df: DataFrame, y: str, p: str, thresholds: list[float]) -> Da
 def decile_table(df: DataFrame, y: str, p: str, key: str) -> DataFrame:
     """Ten equal runs of rows by falling score: rows, rate, lift. Places come from counts by distinct score, so rows of one score share a decile."""
     by = df.groupBy(F.col(p).alias("_p")).agg(F.count("*").alias("n"), F.sum(y).alias("pos"))
-    down = Window.orderBy(F.col("_p").desc()).rowsBetween(Window.unboundedPreceding, -1)
     total = df.agg(F.count("*"), F.avg(y)).first()
-    d = by.withColumn("decile", F.floor(F.coalesce(F.sum("n").over(down), F.lit(0)) * 10 / F.lit(total[0])).cast("int") + 1)
+    d = sums_before(by, -F.col("_p"), ["n"]).withColumn("decile", F.floor(F.col("before_n") * 10 / F.lit(total[0])).cast("int") + 1)
     return d.groupBy("decile").agg(F.sum("n").alias("n"), (F.sum("pos") / F.sum("n")).alias("rate")).withColumn("lift", F.col("rate") / F.lit(total[1]))
 
 
@@ -145,3 +142,31 @@ def paired_delta(df: DataFrame, y: str, a: str, b: str, scope: str, draws: int)
     parts = boots.withColumn("w", weight).groupBy(scope, "draw").agg((F.sum(F.col("w") * F.col("_d")) / F.nullif(F.sum("w"), F.lit(0))).alias("g"))
     share = parts.groupBy(scope).agg(F.avg((F.col("g") > 0).cast("double")).alias("share_better"))
     return mean.join(share, scope)
+
+
+def doubly_robust_value(df: DataFrame, reward: str, action: str, chosen: str, propensity: str, group: str) -> DataFrame:
+    """By group: the value of the chosen actions by the mean reward of each (group, action), corrected by the weighted error where the logged action is the chosen one."""
+    means = df.groupBy(F.col(group).alias("_g"), F.col(action).alias("_a")).agg(F.avg(reward).alias("m"))
+    side = lambda c, name: means.select(F.col("_g").alias(f"_g{name}"), F.col("_a").alias(f"_a{name}"), F.col("m").alias(name))
+    d = df.join(side(chosen, "mc"), (F.col(group) == F.col("_gmc")) & (F.col(chosen) == F.col("_amc")), "left").join(side(action, "ma"), (F.col(group) == F.col("_gma")) & (F.col(action) == F.col("_ama")), "left")
+    overall = F.coalesce("mc", F.lit(0.0))
+    hit = F.when(F.col(action) == F.col(chosen), (F.col(reward) - F.col("ma")) / F.col(propensity)).otherwise(0.0)
+    return d.groupBy(group).agg(F.avg(overall + hit).alias("dr"), F.count("*").alias("n"))
+
+
+def paired_interval(df: DataFrame, y: str, a: str, b: str, naive: str, scope: str, draws: int = 200) -> DataFrame:
+    """By scope, and over all rows (scope all): mean gain in absolute error of b over a, its 95 % interval and two-sided sign p over resamples with Poisson weights of keyed draws by row id,
+    and b's gain in the share of right directions against ``naive``."""
+    right = lambda c: (F.signum(F.col(c) - F.col(naive)) == F.signum(F.col(y) - F.col(naive))).cast("double")
+    d = df.select("id", F.explode(F.array(F.lit("all"), F.col(scope).cast("string"))).alias("scope"), (F.abs(F.col(a) - F.col(y)) - F.abs(F.col(b) - F.col(y))).alias("g"), (right(b) - right(a)).alias("s"))
+    mean = d.groupBy("scope").agg(F.avg("g").alias("gain"), F.avg("s").alias("direction_gain"), F.count("*").alias("n"))
+    u, weight, edge, mass = keyed_draw(F.col("draw"), F.col("id")), F.lit(0), 0.0, 0.36787944117144233
+    for k in range(8):
+        edge += mass
+        weight = weight + (u >= edge).cast("int")
+        mass /= k + 1
+    boots = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
+    parts = boots.groupBy("scope", "draw").agg((F.sum(F.col("w") * F.col("g")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
+    share = lambda c: F.avg(c.cast("double"))
+    ci = parts.groupBy("scope").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p"))
+    return mean.join(ci, "scope")

@@ -17,13 +17,26 @@ KM_A_DEGREE = 111.19492664455873  # 6371 km * pi / 180
 def near_pairs(places: DataFrame, radius_km: float) -> DataFrame:
     """(src, dst, km) of different units within ``radius_km``.
 
-    Rows of latitude are ``radius_km`` high, so pairs lie in the same or adjoining ones; the distance decides the rest.
+    Rows of latitude are ``radius_km`` high and cut into cells as wide, where the row is narrowest, as the largest difference of longitude of such a pair, so pairs
+    lie in the same or adjoining rows and cells; the distance decides the rest.
     """
     band = F.floor(F.col("lat") / (radius_km / KM_A_DEGREE))
     a = places.select(F.col("unit").alias("src"), F.col("lat").alias("a"), F.col("lon").alias("b"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    n, at = _cells(F.col("band"), radius_km), lambda n, lon: F.floor((F.col(lon) + 180) / 360 * n)
+    a = a.withColumn("n", n).select("src", "a", "b", "band", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(at(F.col("n"), "b") + i, F.col("n"))))).alias("cell"))
     b = places.select(F.col("unit").alias("dst"), F.col("lat").alias("c"), F.col("lon").alias("d"), band.alias("band"))
+    b = b.withColumn("n", n).select("dst", "c", "d", "band", F.pmod(at(F.col("n"), "d"), F.col("n")).alias("cell"))
     km = haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
-    return a.join(b, "band").filter("src <> dst").select("src", "dst", km.alias("km")).filter(F.col("km") <= radius_km)
+    return a.join(b, ["band", "cell"]).filter("src <> dst").select("src", "dst", km.alias("km")).filter(F.col("km") <= radius_km)
+
+
+def _cells(band: Column, radius_km: float) -> Column:
+    """The number of cells of a row of latitude: 1 near the poles, and where there would be under three."""
+    high = radius_km / KM_A_DEGREE
+    widest = F.least(F.lit(89.9), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * high)
+    reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius_km / 2 / 6371.0)) / F.cos(F.radians(widest)))))
+    n = F.floor(360 / reach)
+    return F.when(n >= 3, n).otherwise(F.lit(1).cast("long"))
 
 
 def segment_km(lat: Column, lon: Column, a: tuple[float, float], b: tuple[float, float]) -> Column:

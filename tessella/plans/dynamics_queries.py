@@ -86,10 +86,10 @@ def h8_pulse_index(spark, sf):
     return r(D.pulse_index(V.panel_nm(spark, sf)), "index", "delta", "trend")
 
 
-@query(f"""WITH {V.PANEL_SY}, l AS (SELECT unit, value, disc FROM panel WHERE t = 2000), q AS (SELECT quantile_cont(value, 0.35) AS al, quantile_cont(value, 0.65) AS ah, quantile_cont(disc, 0.35) AS bl, quantile_cont(disc, 0.65) AS bh FROM l)
+@query(f"""WITH {V.PANEL_SY}, l AS (SELECT unit, value, disc FROM panel QUALIFY row_number() OVER (PARTITION BY unit ORDER BY t DESC) = 1), q AS (SELECT quantile_cont(value, 0.35) AS al, quantile_cont(value, 0.65) AS ah, quantile_cont(disc, 0.35) AS bl, quantile_cont(disc, 0.65) AS bh FROM l)
 SELECT unit, CASE WHEN value >= ah AND disc >= bh THEN 'leading' WHEN value <= al AND disc >= bh THEN 'catching_up' WHEN value >= ah AND disc <= bl THEN 'slowing' WHEN value <= al AND disc <= bl THEN 'lagging' ELSE 'middle' END AS quadrant FROM l, q""")
 def h9_quadrants(spark, sf):
-    return D.quadrants(V.panel_sy(spark, sf).filter("t = 2000"), "value", "disc").select("unit", "quadrant")
+    return D.quadrants(V.edge_rows(V.panel_sy(spark, sf)), "value", "disc").select("unit", "quadrant")
 
 
 @query(f"""WITH {INDEX}, p AS (SELECT t, avg(idx) AS mean, avg((state = 'weak')::INT) AS weak, avg((state = 'steady')::INT) AS steady, avg((state = 'strong')::INT) AS strong FROM st GROUP BY 1), z AS (SELECT quantile_cont(mean, 0.33) AS lo, quantile_cont(mean, 0.67) AS hi FROM p)
@@ -142,3 +142,29 @@ def h17_first_differences(spark, sf):
 @query(f"WITH {V.PANEL_UD} SELECT unit, t, value, round(value - lead(value) OVER (PARTITION BY unit ORDER BY t DESC), 2) AS shift FROM panel QUALIFY row_number() OVER (PARTITION BY unit ORDER BY t DESC) = 1")
 def h19_latest_shift(spark, sf):
     return r(D.latest_shift(V.panel_ud(spark, sf)), "shift", digits=2)
+
+
+@query(f"""WITH {V.PANEL_NM}, p AS (SELECT grp, t, avg(value) / 1000000 AS score FROM panel GROUP BY ALL), d AS (SELECT *, score - lag(score) OVER w AS d, row_number() OVER w AS i, count(*) OVER (PARTITION BY grp) AS n FROM p WINDOW w AS (PARTITION BY grp ORDER BY t)),
+g AS (SELECT grp, count(*) AS periods, max_by(score, t) AS last, avg(score) AS mean, regr_slope(score, t) AS slope, stddev_pop(coalesce(d, 0)) AS vol, avg((coalesce(d, 0) > 0)::INT) AS pos FROM d GROUP BY 1),
+s AS (SELECT grp, n, i AS slot, unnest(range(1, 401))::INT AS draw FROM d WHERE n >= 3), k AS (SELECT grp, draw, floor(('0x' || substr(md5(draw || ':' || grp || ':' || slot), 1, 8))::BIGINT / 4294967296.0::DOUBLE * n)::BIGINT + 1 AS i FROM s),
+b AS (SELECT grp, draw, regr_slope(score, t) AS b FROM k JOIN d USING (grp, i) GROUP BY ALL), ci AS (SELECT grp, quantile_cont(b, 0.025) AS lo, quantile_cont(b, 0.975) AS hi FROM b GROUP BY 1),
+x AS (SELECT g.*, lo, hi, 100 * (0.36 * (mean - min(mean) OVER ()) / (max(mean) OVER () - min(mean) OVER ()) + 0.28 * (slope - min(slope) OVER ()) / (max(slope) OVER () - min(slope) OVER ()) + 0.22 * (1 - (vol - min(vol) OVER ()) / (max(vol) OVER () - min(vol) OVER ())) + 0.14 * CASE WHEN max(pos) OVER () > min(pos) OVER () THEN (pos - min(pos) OVER ()) / (max(pos) OVER () - min(pos) OVER ()) ELSE 0.5 END) AS st FROM g JOIN ci USING (grp))
+SELECT grp, periods, round(last, 6) AS last, round(mean, 6) AS mean, round(slope, 6) AS slope, round(lo, 6) AS low, round(hi, 6) AS high, round(vol, 6) AS volatility, round(pos, 6) AS positive, round(st, 4) AS stability, row_number() OVER (ORDER BY round(st, 9) DESC, grp)::INT AS rank FROM x""")
+def h15_group_stability(spark, sf):
+    g = V.panel_nm(spark, sf).groupBy("grp", "t").agg((F.avg("value") / 1000000).alias("score"))
+    return r(r(D.group_stability(g), "last", "mean", "slope", "low", "high", "volatility", "positive"), "stability", digits=4)
+
+
+FEATURES = ["level", "sd", "trend", "growth", "volatility"]
+
+
+@query()
+def h18_unit_embeddings(spark, sf):
+    """Eigenvectors of a matrix of moments; tested against plain Python."""
+    return r(D.unit_embeddings(D.unit_features(V.panel_nm(spark, sf)), FEATURES), "e1", "e2", digits=4)
+
+
+@query()
+def i11_archetypes(spark, sf):
+    """k-means; tested by what its clusters are."""
+    return D.archetypes(D.unit_features(V.panel_nm(spark, sf)), FEATURES, {"growth": 1.0, "trend": 0.45, "volatility": -0.8})

@@ -72,10 +72,10 @@ def f11_rollout(spark, sf):
     return _did(spark, sf).select("unit", "cl", "t", "value", "cohort", "treated", "post", "did")
 
 
-@query(f"""WITH {V.PANEL_SY}, f AS (SELECT * FROM panel WHERE t = 1996), s AS (SELECT unit, cl, 0.6 * rank() OVER (PARTITION BY cl ORDER BY value) / count(*) OVER (PARTITION BY cl) + 0.4 * (rank() OVER (PARTITION BY cl ORDER BY qty) + (count(*) OVER (PARTITION BY cl, qty) - 1) / 2) / count(*) OVER (PARTITION BY cl) AS s FROM f)
+@query(f"""WITH {V.PANEL_SY}, f AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY unit ORDER BY t) = 1), s AS (SELECT unit, cl, 0.6 * rank() OVER (PARTITION BY cl ORDER BY value) / count(*) OVER (PARTITION BY cl) + 0.4 * (rank() OVER (PARTITION BY cl ORDER BY qty) + (count(*) OVER (PARTITION BY cl, qty) - 1) / 2) / count(*) OVER (PARTITION BY cl) AS s FROM f)
 SELECT unit, cl, round(s, 6) AS salience, row_number() OVER (PARTITION BY cl ORDER BY round(s, 9) DESC, unit)::INT AS rank, count(*) OVER (PARTITION BY cl) AS units FROM s""")
 def f12_salience(spark, sf):
-    return r(E.salience(V.panel_sy(spark, sf).filter("t = 1996"), {"value": 0.6, "qty": 0.4}), "salience")
+    return r(E.salience(V.edge_rows(V.panel_sy(spark, sf), last=False), {"value": 0.6, "qty": 0.4}), "salience")
 
 
 @query(f"""WITH {DID}, ex AS (SELECT *, unnest(range(start_t, end_t + 1))::INT AS t FROM registry WHERE end_t >= start_t), g AS (SELECT cl, t, count(*) AS events, sum(intensity) AS i FROM ex GROUP BY ALL),
@@ -125,3 +125,43 @@ def f21_registry_audit(spark, sf):
 def f23_switch_variant(spark, sf):
     df = V.registry(spark, sf).select("event", "cl", "start_t", F.col("end_t").alias("start_t_alt"))
     return E.switch_variant(df, "_alt")
+
+
+PROJECTS = """o AS (SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN 'n' || c_nationkey || '; N' || (c_nationkey + 7) % 25 ELSE 'X' END AS codes, CASE WHEN o_orderkey % 4 = 1 THEN ' ' || lower(n_name) || '!' ELSE '' END AS name, CASE WHEN o_orderkey % 4 = 2 THEN r_name ELSE '?' END AS region
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
+
+
+@query(f"""WITH {PROJECTS}, n AS (SELECT n_nationkey AS cl, 'N' || n_nationkey AS code, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS name, lower(r_name) AS region FROM nation JOIN region ON n_regionkey = r_regionkey),
+m AS (SELECT id, cl, 1 AS level FROM (SELECT id, unnest(regexp_split_to_array(upper(codes), '[^A-Z0-9]+')) AS k FROM o) JOIN n ON k = code UNION SELECT id, cl, 2 FROM o JOIN n ON trim(regexp_replace(lower(o.name), '[^a-z0-9]+', ' ', 'g')) = n.name UNION SELECT id, cl, 3 FROM o JOIN n ON lower(o.region) = n.region),
+b AS (SELECT * FROM m QUALIFY level = min(level) OVER (PARTITION BY id)) SELECT o.id, cl, CASE level WHEN 1 THEN 'code' WHEN 2 THEN 'name' WHEN 3 THEN 'region' ELSE 'unresolved' END AS how FROM o LEFT JOIN b ON o.id = b.id""")
+def f4_resolve_codes(spark, sf):
+    o, c, n, g = (V.table(spark, sf, x) for x in ("orders", "customer", "nation", "region"))
+    nations = n.join(g, n.n_regionkey == g.r_regionkey)
+    j = o.join(c, o.o_custkey == c.c_custkey).join(nations, c.c_nationkey == nations.n_nationkey)
+    k, part = F.col("c_nationkey"), F.col("o_orderkey") % 4
+    codes = F.when(part == 0, F.concat(F.lit("n"), k.cast("string"), F.lit("; N"), ((k + 7) % 25).cast("string"))).otherwise("X")
+    name = F.when(part == 1, F.concat(F.lit(" "), F.lower("n_name"), F.lit("!"))).otherwise("")
+    rows = j.select(F.col("o_orderkey").alias("id"), codes.alias("codes"), name.alias("name"), F.when(part == 2, F.col("r_name")).otherwise("?").alias("region"))
+    return E.resolve_codes(rows, nations.select(F.col("n_nationkey").alias("cl"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("code"), F.col("n_name").alias("name"), F.col("r_name").alias("region")))
+
+
+@query("""WITH p AS (SELECT c_nationkey AS cl, year(o_orderdate)::INT AS t, o_orderpriority AS name, round(o_totalprice * 100)::BIGINT AS cents, o_custkey::VARCHAR AS project FROM orders JOIN customer ON o_custkey = c_custkey),
+g AS (SELECT cl, t, name, sum(cents)::DOUBLE / 100.0 AS amount, count(DISTINCT project) AS projects, array_to_string(list_sort(list(DISTINCT project))[1:6], '|') AS refs FROM p GROUP BY ALL),
+s AS (SELECT *, CASE WHEN max(amount) OVER w > min(amount) OVER w THEN (ln(1 + amount) - min(ln(1 + amount)) OVER w) / (max(ln(1 + amount)) OVER w - min(ln(1 + amount)) OVER w) ELSE 1 END AS a, CASE WHEN max(projects) OVER w > min(projects) OVER w THEN (projects - min(projects) OVER w) / (max(projects) OVER w - min(projects) OVER w) ELSE 1 END AS b, quantile_cont(amount, 0.55) OVER w AS q FROM g WINDOW w AS (PARTITION BY cl))
+SELECT cl, t, name, amount, projects, refs, round(least(greatest(0.75 * a + 0.25 * b, 0.05), 1), 6) AS intensity FROM s WHERE amount >= q OR projects >= 2 OR NOT EXISTS (SELECT 1 FROM s WHERE amount >= q OR projects >= 2)""")
+def f5_project_events(spark, sf):
+    o, c = V.table(spark, sf, "orders"), V.table(spark, sf, "customer")
+    p = o.join(c, o.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("cl"), F.year("o_orderdate").alias("t"), F.col("o_orderpriority").alias("name"), V.cents("o_totalprice").alias("cents"), F.col("o_custkey").alias("project"))
+    return r(E.project_events(p), "intensity")
+
+
+@query(f"""WITH {V.REGISTRY}, {NM}, g AS (SELECT *, kind IN ('F', 'O') AS external, CASE WHEN kind = 'F' AND intensity >= 0.8 THEN 'A' ELSE 'B' END AS grade FROM registry), base AS (SELECT * FROM g WHERE grade = 'A' OR NOT EXISTS (SELECT 1 FROM g WHERE grade = 'A') AND (external OR NOT EXISTS (SELECT 1 FROM g WHERE external))),
+c0 AS (SELECT * FROM base WHERE intensity >= 0.7 AND start_t <= 60), core AS (SELECT * FROM c0 UNION ALL SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM c0) AND start_t <= 60 AND intensity >= (SELECT quantile_cont(intensity, 0.6) FROM base)),
+n AS (SELECT count(DISTINCT cl) AS n FROM np), tr AS (SELECT 'core' AS k, cl, min(start_t) AS cohort FROM core GROUP BY ALL UNION ALL SELECT 'external', cl, min(start_t) FROM g WHERE external GROUP BY ALL UNION ALL SELECT 'all', cl, min(start_t) FROM g GROUP BY ALL),
+sh AS (SELECT k, count(*) / any_value(n) AS s FROM tr, n WHERE cl IN (SELECT cl FROM np) GROUP BY 1),
+pick AS (SELECT k, name FROM (SELECT k, k AS name, CASE k WHEN 'core' THEN 1 WHEN 'external' THEN 2 ELSE 3 END AS o FROM sh WHERE s BETWEEN CASE k WHEN 'core' THEN 0.08 ELSE 0.05 END AND CASE k WHEN 'all' THEN 0.8 ELSE 0.7 END UNION ALL SELECT k, k || '_any_share', CASE k WHEN 'external' THEN 4 ELSE 5 END FROM sh WHERE k <> 'core') ORDER BY o LIMIT 1)
+SELECT cl, cohort, name AS track FROM tr JOIN pick USING (k)""")
+def f9_core_design(spark, sf):
+    g = V.registry(spark, sf)
+    g = g.withColumn("external", F.col("kind").isin("F", "O")).withColumn("grade", F.when((F.col("kind") == "F") & (F.col("intensity") >= 0.8), "A").otherwise("B"))
+    return E.core_design(g, _np(spark, sf), 60)

@@ -83,3 +83,10 @@ def c9_resolve_features(spark, sf):
 @query(f"""WITH {V.PANEL_SY} SELECT unit, t, round(0.7 * (value - (SELECT min(value) FROM panel)) / (SELECT max(value) - min(value) FROM panel) + 0.3 * (disc - (SELECT min(disc) FROM panel)) / (SELECT max(disc) - min(disc) FROM panel), 6) AS proxy FROM panel""")
 def c10_derived_proxy(spark, sf):
     return r(I.derived_proxy(V.panel_sy(spark, sf), "value", "disc").select("unit", "t", "proxy"), "proxy")
+
+
+@query(f"""WITH {V.PANEL_SY}, g AS (SELECT unit, t, CASE WHEN t >= 1997 AND unit % 7 > 0 THEN ln(value) END AS y, CASE WHEN unit % 11 > 0 THEN ln(qty) END AS x FROM panel), m AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM g WHERE t <= 1999)
+SELECT unit, t, round(coalesce(y, i + s * x), 6) AS filled, (y IS NULL AND x IS NOT NULL)::INT AS filled_flag, CASE WHEN y IS NOT NULL THEN 'observed' WHEN x IS NOT NULL THEN 'model' ELSE 'missing' END AS filled_source FROM g, m""")
+def c8_model_backcast(spark, sf):
+    g = V.panel_sy(spark, sf).select("unit", "t", F.when((F.col("t") >= 1997) & (F.col("unit") % 7 > 0), F.log("value")).alias("y"), F.when(F.col("unit") % 11 > 0, F.log("qty")).alias("x"))
+    return r(I.model_backcast(g, "y", ["x"], 1999).select("unit", "t", "filled", "filled_flag", "filled_source"), "filled")

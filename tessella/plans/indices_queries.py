@@ -59,12 +59,12 @@ def d7_entropy_weights(spark, sf):
     return r(X.entropy_weights(V.panel_sy(spark, sf), ["value", "disc"]), "weight")
 
 
-@query(f"""WITH {V.PANEL_SY}, l AS (SELECT * FROM panel WHERE t = 2000), s AS (SELECT unit, value / 1000000 * 0.5 + disc * 10 * 0.5 AS b, value / 1000000 * 0.9 + disc * 10 * 0.1 AS v, value / 1000000 * 0.1 + disc * 10 * 0.9 AS d FROM l),
+@query(f"""WITH {V.PANEL_SY}, l AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY unit ORDER BY t DESC) = 1), s AS (SELECT unit, value / 1000000 * 0.5 + disc * 10 * 0.5 AS b, value / 1000000 * 0.9 + disc * 10 * 0.1 AS v, value / 1000000 * 0.1 + disc * 10 * 0.9 AS d FROM l),
 long AS (SELECT unit, b, 'even' AS scheme, b AS score FROM s UNION ALL SELECT unit, b, 'volume', v FROM s UNION ALL SELECT unit, b, 'discount', d FROM s),
 k AS (SELECT *, rank() OVER (PARTITION BY scheme ORDER BY score) AS r, rank() OVER (PARTITION BY scheme ORDER BY b) AS rb, row_number() OVER (PARTITION BY scheme ORDER BY score DESC, unit) AS p, row_number() OVER (PARTITION BY scheme ORDER BY b DESC, unit) AS pb FROM long)
 SELECT scheme, round(corr(r, rb), 6) AS spearman, sum((p <= 10 AND pb <= 10)::INT)::BIGINT AS shared_top FROM k GROUP BY 1""")
 def d11_weight_sensitivity(spark, sf):
-    df = V.panel_sy(spark, sf).filter("t = 2000").select("unit", (F.col("value") / 1000000).alias("v"), (F.col("disc") * 10).alias("d"))
+    df = V.edge_rows(V.panel_sy(spark, sf)).select("unit", (F.col("value") / 1000000).alias("v"), (F.col("disc") * 10).alias("d"))
     return r(X.weight_sensitivity(df, "unit", ["v", "d"], {"even": [0.5, 0.5], "volume": [0.9, 0.1], "discount": [0.1, 0.9]}, "even"), "spearman")
 
 
@@ -109,3 +109,15 @@ SELECT unit, t, round((s - min(s) OVER ()) / (max(s) OVER () - min(s) OVER ()) *
 def d10_principal_component(spark, sf):
     p = V.panel_sy(spark, sf).withColumn("qty", F.col("qty").cast("double"))
     return r(r(X.principal_component(p, ["value", "qty"]).select("unit", "t", "component", "explained"), "component", digits=5), "explained")
+
+
+@query(f"WITH {V.PANEL_SY} SELECT unit, t, round(least(greatest(1 - disc * 15, 0), 1), 6) AS rest FROM panel")
+def d6_one_minus(spark, sf):
+    return r(V.panel_sy(spark, sf).select("unit", "t", X.one_minus(F.col("disc") * 15).alias("rest")), "rest")
+
+
+@query(f"""WITH {V.PANEL_SY}, s AS (SELECT unit, t, CASE WHEN unit % 3 > 0 THEN disc * 10 END AS a, CASE WHEN t % 2 = 0 THEN qty / 1000.0 END AS b, CASE WHEN unit % 3 > 0 THEN 0.5 ELSE 0 END + CASE WHEN t % 2 = 0 THEN 0.3 ELSE 0 END AS w FROM panel)
+SELECT unit, t, CASE WHEN w > 0 THEN round((coalesce(0.5 * a, 0) + coalesce(0.3 * b, 0)) / w, 6) END AS composite FROM s""")
+def d9_composite(spark, sf):
+    p = V.panel_sy(spark, sf).select("unit", "t", F.when(F.col("unit") % 3 > 0, F.col("disc") * 10).alias("a"), F.when(F.col("t") % 2 == 0, F.col("qty") / 1000.0).alias("b"))
+    return r(p.select("unit", "t", X.weighted_blend([(F.col("a"), 0.5), (F.col("b"), 0.3)]).alias("composite")), "composite")

@@ -110,3 +110,20 @@ w AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.73575888234288467)::IN
 SELECT m.grp, round(any_value(gain), 6) AS gain, any_value(n) AS n, round(avg((g > 0)::INT), 6) AS share_better FROM m JOIN g USING (grp) GROUP BY 1""")
 def l6_paired_delta(spark, sf):
     return r(M.paired_delta(V.scores(spark, sf), "y", "q", "p", "grp", 20), "gain", "share_better")
+
+
+@query(f"""WITH {V.SCORES}, d AS (SELECT grp, y, CASE WHEN q > 0.5 THEN 'a' ELSE 'b' END AS act, CASE WHEN p > 0.5 THEN 'a' ELSE 'b' END AS ch, 0.2 + 0.6 * q / 1.01 AS pr FROM scores), m AS (SELECT grp, act, avg(y) AS m FROM d GROUP BY ALL)
+SELECT d.grp, round(avg(coalesce(c.m, 0) + CASE WHEN d.act = ch THEN (y - a.m) / pr ELSE 0 END), 6) AS dr, count(*) AS n FROM d LEFT JOIN m c ON c.grp = d.grp AND c.act = ch LEFT JOIN m a ON a.grp = d.grp AND a.act = d.act GROUP BY 1""")
+def m17_doubly_robust(spark, sf):
+    pick = lambda c: F.when(F.col(c) > 0.5, "a").otherwise("b")
+    d = V.scores(spark, sf).select("grp", "y", pick("q").alias("act"), pick("p").alias("ch"), (0.2 + 0.6 * F.col("q") / 1.01).alias("pr"))
+    return r(M.doubly_robust_value(d, "y", "act", "ch", "pr", "grp"), "dr")
+
+
+@query(f"""WITH {V.SCORES}, d0 AS (SELECT id, grp, abs(q - y) - abs(p - y) AS g, (sign(p - 0.5) = sign(y - 0.5))::INT - (sign(q - 0.5) = sign(y - 0.5))::INT AS s FROM scores), d AS (SELECT id, 'all' AS scope, g, s FROM d0 UNION ALL SELECT id, grp, g, s FROM d0), b AS (SELECT *, unnest(range(1, 201))::INT AS draw FROM d), u AS (SELECT *, ('0x' || substr(md5(draw || ':' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM b),
+w AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.73575888234288467)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.98101184312384615)::INT + (u >= 0.99634015317265634)::INT + (u >= 0.99940581518241833)::INT + (u >= 0.99991675885071199)::INT + (u >= 0.99998975080332538)::INT AS w FROM u),
+n AS (SELECT scope, draw, sum(w * g) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL), ci AS (SELECT scope, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) AS p FROM n GROUP BY 1)
+SELECT d.scope, round(avg(g), 6) AS gain, round(avg(s), 6) AS direction_gain, count(*) AS n, round(any_value(lo), 6) AS low, round(any_value(hi), 6) AS high, round(any_value(ci.p), 6)::DOUBLE AS p FROM d JOIN ci USING (scope) GROUP BY 1""")
+def l6_paired_interval(spark, sf):
+    s = V.scores(spark, sf).withColumn("half", F.lit(0.5))
+    return r(M.paired_interval(s, "y", "q", "p", "half", "grp"), "gain", "direction_gain", "low", "high", "p")

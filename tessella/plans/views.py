@@ -5,7 +5,7 @@ Money is summed in whole cents, so that sums don't depend on their order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -110,3 +110,9 @@ def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUTES = """routes AS (
   SELECT s_nationkey AS src, c_nationkey AS dst, count(*) AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey GROUP BY ALL)"""
+
+
+def edge_rows(panel: DataFrame, last: bool = True) -> DataFrame:
+    """Each unit's last row, or first."""
+    order = F.col("t").desc() if last else F.col("t")
+    return panel.withColumn("_nr", F.row_number().over(Window.partitionBy("unit").orderBy(order))).filter("_nr = 1").drop("_nr")
