@@ -170,3 +170,171 @@ def test_no_window_over_all_units(spark):
     assert "windowspecdefinition(specified" not in plan(dynamics.unit_envelope(df))
     ranked = [x for x in plan(metrics.permutation_p(flags, "p", "toxic", "id", 3)).split("\n") if "row_number" in x]
     assert ranked and all("_range" in x for x in ranked)
+
+
+def test_twfe_drops_incomplete_rows_first(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(f"u{u}", u % 2, t, float(rng.normal() + u + t) if (u, t) != (1, 2) else None, float(u % 2 and t >= 2), float(rng.normal())) for u in range(4) for t in range(4)]
+    df = spark.createDataFrame(rows, "unit string, cl int, t int, y double, d double, x double")
+    got = regression.twfe(df, "y", "d").first()
+    kept = [r for r in rows if r[3] is not None]
+    means = lambda k, i: np.array([np.mean([q[i] for q in kept if q[k] == r[k]]) for r in kept])
+    w = lambda i: np.array([r[i] for r in kept]) - means(0, i) - means(2, i) + np.mean([r[i] for r in kept])
+    assert got.coef == pytest.approx(float(w(4) @ w(3) / (w(4) @ w(4)))) and got.n_obs == 15
+
+
+def _within(rows, unit, period, x):
+    import numpy as np
+
+    x = np.asarray(x, dtype=float)
+    mean = lambda keys: np.array([x[[k == j for k in keys]].mean() for j in keys])
+    return x - mean(unit) - mean(period) + x.mean()
+
+
+@pytest.mark.parametrize("kind", ["event_study", "dose_bins"])
+def test_several_dummies(spark, kind):
+    """Coefficients and clustered errors of the multi-regressor designs against plain least squares."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(u, t, float(rng.normal()), 5 if u % 3 == 0 else 7 if u % 3 == 1 else 9999, float(rng.random() * (u % 3 > 0))) for u in range(18) for t in range(12)]
+    df = spark.createDataFrame(rows, "unit long, t int, y double, cohort int, dose double")
+    unit, period, y = [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]
+    if kind == "event_study":
+        got = {r.term: r for r in regression.event_study(df, "y").collect()}
+        e = [max(-3, min(3, r[1] - r[3])) if r[3] < 9999 else None for r in rows]
+        dummies = {f"e{'m' if k < 0 else 'p'}{abs(k)}_w": [float(v == k) for v in e] for k in (-3, -2, 0, 1, 2, 3)}
+    else:
+        got = {r.term: r for r in regression.dose_bins(df, "y", "dose", cluster="unit").collect()}
+        edges = np.quantile([r[4] for r in rows if r[4] > 0], [1 / 3, 2 / 3])
+        place = [0 if r[4] <= 0 else 1 + int((r[4] > edges).sum()) for r in rows]
+        dummies = {f"bin_{b}_w": [float(v == b) for v in place] for b in (1, 2, 3)}
+    x = np.column_stack([_within(rows, unit, period, d) for d in dummies.values()])
+    yw = _within(rows, unit, period, y)
+    inv = np.linalg.pinv(x.T @ x)
+    beta = inv @ x.T @ yw
+    scores = np.array([sum(x[i] * (yw[i] - x[i] @ beta) for i in range(len(rows)) if unit[i] == u) for u in sorted(set(unit))])
+    g, n, k = len(scores), len(rows), x.shape[1]
+    se = np.sqrt(np.diag(inv @ (scores.T @ scores * g / (g - 1) * (n - 1) / (n - k)) @ inv))
+    for i, name in enumerate(dummies):
+        assert got[name].coef == pytest.approx(beta[i], abs=1e-8) and got[name].stderr == pytest.approx(se[i], rel=1e-6)
+
+
+def test_synthetic_control(spark):
+    import numpy as np
+
+    from tessella.operators import estimators
+
+    rng = np.random.default_rng(5)
+    y = {u: rng.normal(size=8).cumsum() + 20 + (5 if u == 3 else 0) for u in range(12)}
+    cohort = {u: 5 if u in (2, 3) else 9999 for u in y}
+    rows = [(u, t, float(y[u][t]), cohort[u]) for u in y for t in range(8) if (u, t) != (7, 1)] + [(20, t, None, 9999) for t in range(8)]
+    got = {r.t: r for r in estimators.synthetic_control(spark.createDataFrame(rows, "unit long, t int, y double, cohort int"), "y", 5).collect()}
+    donors = [u for u in y if cohort[u] > 5 and u != 7]
+    pre = np.stack([y[u][:5] for u in donors], axis=1)
+    w = np.maximum(pre.T @ np.linalg.solve(pre @ pre.T + np.eye(5), y[3][:5]), 0)
+    for t in range(8):
+        assert got[t].actual == pytest.approx(y[3][t]) and got[t].synthetic == pytest.approx(sum(y[u][t] * v for u, v in zip(donors, w)) / w.sum())
+
+
+def test_low_rank_counterfactual(spark):
+    import numpy as np
+
+    from tessella.operators import estimators
+
+    rng = np.random.default_rng(7)
+    full = rng.normal(size=(20, 1)) @ rng.normal(size=(1, 8)) * 4 + 10 + rng.normal(size=(20, 8)) * 0.01
+    rows = [(u, t, float(full[u, t]) if (u, t) != (9, 3) else None, 6 if u < 5 else 9999) for u in range(20) for t in range(8)]
+    got = {(r.unit, r.t): r.counterfactual for r in estimators.low_rank_counterfactual(spark.createDataFrame(rows, "unit long, t int, y double, cohort int"), "y", 0.5, rounds=10, tolerance=0).collect()}
+    seen = np.array([[t < (6 if u < 5 else 9999) and (u, t) != (9, 3) for t in range(8)] for u in range(20)])
+    mat = np.where(seen, full, np.array([full[seen[:, t], t].mean() for t in range(8)]))
+    for _ in range(10):
+        a, s, b = np.linalg.svd(mat, full_matrices=False)
+        mat = np.where(seen, full, (a * np.maximum(s - 0.5, 0)) @ b)
+    assert set(got) == {(u, t) for u in range(5) for t in (6, 7)}
+    assert all(v == pytest.approx(mat[k], abs=1e-6) for k, v in got.items())
+
+
+def test_logistic(spark):
+    import numpy as np
+
+    from tessella.operators import learning
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(0.3 + x @ [1.0, -2.0])))).astype(int)
+    df = spark.createDataFrame([(int(b), *map(float, r)) for b, r in zip(y, x)] + [(1, None, 0.0)], "y int, a double, b double")
+    weight = learning.balanced_weights(df, "y")
+    got = learning.logistic(df, "y", ["a", "b"], weight)
+    n, pos = 401, int(y.sum()) + 1
+    w, z, beta = np.where(y == 1, n / 2 / pos, n / 2 / (n - pos)), np.column_stack([np.ones(400), x]), np.zeros(3)
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-z @ beta))
+        beta = beta + np.linalg.solve((z * (w * p * (1 - p))[:, None]).T @ z, z.T @ (w * (y - p)))
+    assert got == pytest.approx(beta, abs=1e-5)
+    both = learning.trained_classifier(df, df, "y", {"a": ["a"], "both": ["a", "b"]}).collect()
+    assert {r.features: r.best for r in both} == {"a": 0, "both": 1}
+    shown = learning.platt(df, df, "y", "b").select("p").na.drop().collect()
+    assert all(0 < r.p < 1 for r in shown)
+
+
+def test_embeddings_and_archetypes(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    rows = [(u, t, float(np.exp(5 + (u % 4) + 0.3 * t * (u % 4 == 3) + rng.normal() * 0.05 * (1 + 5 * (u % 4 == 1))))) for u in range(24) for t in range(10)]
+    f = dynamics.unit_features(spark.createDataFrame(rows, "unit long, t int, value double"))
+    names = ["level", "sd", "trend", "growth", "volatility"]
+    table = sorted(f.collect())
+    z = np.array([[r[c] for c in names] for r in table])
+    z = (z - z.mean(0)) / z.std(0)
+    vec = np.linalg.eigh(z.T @ z / len(z))[1][:, ::-1][:, :2]
+    vec = vec * np.sign(vec[np.abs(vec).argmax(0), [0, 1]])
+    got = {r.unit: (r.e1, r.e2) for r in dynamics.unit_embeddings(f, names).collect()}
+    assert all(got[r.unit] == pytest.approx(tuple(p), abs=1e-8) for r, p in zip(table, z @ vec))
+    kinds = {r.unit: r.archetype for r in dynamics.archetypes(f, names, {"growth": 1.0, "trend": 0.45, "volatility": -0.8}).collect()}
+    assert len({kinds[u] for u in range(24) if u % 4 == 3}) == 1 and kinds[3] == "frontier" and kinds[1] != kinds[3]
+
+
+def test_cusum_over_two_batches(spark, tmp_path):
+    """The running sum is kept from batch to batch."""
+    import datetime
+
+    at = lambda i: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=i)
+    values = [(i, i % 3, float(40 + (i * 37) % 50)) for i in range(90)]
+    want, total = [], {}
+    for i, user, v in values:
+        total[user] = max(0.0, total.get(user, 0.0) + v - 60 - 2)
+        if total[user] > 30:
+            want.append((user, i, round(total[user], 6)))
+            total[user] = 0.0
+    for part in (values[:40], values[40:]):
+        rows = spark.createDataFrame([(i, u, v, at(i)) for i, u, v in part], "event_id long, user_id long, value double, ts timestamp")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        monitor.append_to(monitor.cusum_alarms(stream.select("user_id", "event_id", "ts", "value"), 60.0, 2.0, 30.0), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = spark.read.schema("user_id long, event_id long, ts timestamp, total double").parquet(str(tmp_path / "out")).collect()
+    assert want and sorted((r.user_id, r.event_id, round(r.total, 6)) for r in got) == sorted(want)
+
+
+def test_nowcasts(spark):
+    """The forecast of one series by hand, and that short series have none."""
+    import numpy as np
+
+    from tessella.operators import learning
+
+    y = [10 + 2 * t + 3 * np.sin(2 * np.pi * t / 4) for t in range(14)]
+    rows = [("a", t, float(v)) for t, v in enumerate(y)] + [("b", t, 1.0) for t in range(3)] + [("a", 20, None)]
+    got = learning.nowcasts(spark.createDataFrame(rows, "grp string, t int, score double")).collect()
+    assert [r.grp for r in got] == ["a"] and got[0].t == 14
+    trend = float(np.median(np.diff(y)))
+    for d in np.diff(y):
+        trend = 0.76 * trend + 0.24 * d
+    t = np.arange(15.0)
+    w = 2 * np.pi / got[0].period
+    x = np.stack([t**0, t, np.sin(w * t), np.cos(w * t), np.sin(2 * w * t), np.cos(2 * w * t)], axis=1)
+    beta = np.linalg.solve(x[:14].T @ x[:14] + 1.2 * np.diag([0, 1, 1, 1, 1, 1]), x[:14].T @ np.array(y))
+    assert got[0].trend == pytest.approx(trend) and got[0].nowcast == pytest.approx(0.68 * x[14] @ beta + 0.32 * (y[-1] + trend))
+    assert got[0].directional > 0.6 and got[0].low95 < got[0].low80 < got[0].nowcast < got[0].high80 < got[0].high95
