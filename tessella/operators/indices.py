@@ -138,3 +138,17 @@ def principal_component(df: DataFrame, columns: list[str]) -> DataFrame:
     scored = df.withColumn("_s", reduce(lambda a, b: a + b, [x * float(w) for x, w in zip(z, v, strict=True)]))
     low, high = scored.agg(F.min("_s"), F.max("_s")).first()
     return scored.select(*df.columns, ((F.col("_s") - F.lit(low)) * (100 / (high - low))).alias("component"), F.lit(float(values[-1] / values.sum())).alias("explained"))
+
+
+def scheme_auc(panel: DataFrame, columns: list[str], schemes: dict[str, list[float]], share: float = 0.3) -> DataFrame:
+    """For each scheme of weights: how well a small change of its composite tells (AUC) that the unit's next change is among the least ``share`` of all changes."""
+    from tessella.operators.metrics import auc
+
+    names = list(schemes)
+    parts = [reduce(lambda a, b: a + b, [F.col(c) * w for c, w in zip(columns, ws, strict=True)]).alias(n) for n, ws in schemes.items()]
+    long = panel.select("unit", "t", *parts).select("unit", "t", F.expr(f"stack({len(names)}, {', '.join(f'{n!r}, `{n}`' for n in names)}) AS (scheme, x)"))
+    own = Window.partitionBy("scheme", "unit").orderBy("t")
+    d = long.withColumn("d", F.col("x") - F.lag("x").over(own))
+    cut = d.groupBy("scheme").agg(F.percentile("d", share).alias("cut"))
+    d = d.withColumn("next", F.lead("d").over(own)).join(cut, "scheme").filter("d IS NOT NULL AND next IS NOT NULL").withColumn("stall", (F.col("next") <= F.col("cut")).cast("int"))
+    return auc(d.withColumn("s", -F.col("d")), "stall", "s", "scheme").filter("scope <> 'all'").withColumnRenamed("scope", "scheme")

@@ -170,3 +170,18 @@ def paired_interval(df: DataFrame, y: str, a: str, b: str, naive: str, scope: st
     share = lambda c: F.avg(c.cast("double"))
     ci = parts.groupBy("scope").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("m") <= 0), share(F.col("m") >= 0))).alias("p"))
     return mean.join(ci, "scope")
+
+
+def capped_intervals(calibration: DataFrame, test: DataFrame, y: str, p: str, alpha: float = 0.1, caps: tuple[float, ...] = (1.0, 0.45, 0.4, 0.35, 0.3, 0.25)) -> DataFrame:
+    """``test`` with conformal bounds low and high of a probability: residuals are scaled by sqrt(p (1 - p)), their (1 - alpha) quantile is at most 4, and half the width is at most the
+    cap of largest coverage less .33 of the mean width on the calibration rows (ties: the earlier cap). cap is given too."""
+    scale = lambda: F.sqrt(F.least(F.greatest(F.col(p) * (1 - F.col(p)), F.lit(1e-3)), F.lit(0.25)))
+    q = calibration.agg(F.percentile(F.abs(F.col(y) - F.col(p)) / scale(), 1 - alpha)).first()[0]
+    q = min(max(q or 0.0, 0.0), 4.0)
+    bound = lambda cap, sign: F.least(F.greatest(F.col(p) + sign * F.least(F.lit(q) * scale(), cap), F.lit(0.0)), F.lit(1.0))
+    each = calibration.select(y, p, F.explode(F.lit(list(caps))).alias("cap"))
+    low, high = bound(F.col("cap"), -1), bound(F.col("cap"), 1)
+    tried = each.groupBy("cap").agg((F.avg(F.col(y).between(low, high).cast("double")) - 0.33 * F.avg(high - low)).alias("s")).collect()
+    score = {r.cap: round(r.s, 12) for r in tried}
+    best = max(caps, key=lambda c: (score.get(c, 0.0), -caps.index(c)))
+    return test.select("*", bound(F.lit(best), -1).alias("low"), bound(F.lit(best), 1).alias("high"), F.lit(best).alias("cap"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from tessella.functions.columns import sums_before
+
+
 def own_order() -> WindowSpec:
     """Each unit's rows by period."""
     return Window.partitionBy("unit").orderBy("t")
@@ -67,18 +70,32 @@ def half_life(spell: DataFrame, groups: DataFrame) -> DataFrame:
     return g.select("grp", "spells", "mean_duration", "half_life", F.dense_rank().over(Window.orderBy("half_life")).alias("rank"))
 
 
-def warning_horizon(panel: DataFrame, score: str, event: str, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """For each horizon: rows, base rate of an event within it, and the exact AUC of the score (ties half)."""
+def warned(panel: DataFrame, score: str, event: str, horizons: tuple[int, ...]) -> DataFrame:
+    """(horizon, score, hit) of each row and horizon: hit is 1 if an event is among the unit's next rows up to the horizon; rows whose horizon isn't over are left out."""
     long = None
     for h in horizons:
         hit = F.greatest(*[F.lead(event, k).over(own_order()) for k in range(1, h + 1)], F.lit(None).cast("int")) if h > 1 else F.lead(event, 1).over(own_order())
         rows = panel.select(F.lit(h).alias("horizon"), F.col(score).alias("score"), F.when(F.lead(event, h).over(own_order()).isNotNull(), hit).alias("hit")).filter("score IS NOT NULL AND hit IS NOT NULL")
         long = rows if long is None else long.union(rows)
+    return long
+
+
+def warning_horizon(panel: DataFrame, score: str, event: str, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """For each horizon: rows, base rate of an event within it, and the exact AUC of the score (ties half)."""
+    by = warned(panel, score, event, horizons).groupBy("horizon", "score").agg(F.sum("hit").alias("pos"), F.count("*").alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
+    by = sums_before(by, F.col("score"), ["neg"], ("horizon",))
+    return by.groupBy("horizon").agg(F.sum("n").alias("rows"), (F.sum("pos") / F.sum("n")).alias("base_rate"), (F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+
+
+def warning_scores(panel: DataFrame, score: str, event: str, horizons: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """For each horizon: average precision over distinct scores, the Brier score of the score as a probability (clipped to 0..1), and the lift of rows from its 90 % quantile on."""
+    long = warned(panel, score, event, horizons)
     by = long.groupBy("horizon", "score").agg(F.sum("hit").alias("pos"), F.count("*").alias("n"))
-    below = Window.partitionBy("horizon").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.withColumn("neg", F.col("n") - F.col("pos")).withColumn("neg_below", F.coalesce(F.sum("neg").over(below), F.lit(0)))
-    out = by.groupBy("horizon").agg(F.sum("n").alias("rows"), (F.sum("pos") / F.sum("n")).alias("base_rate"), (F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
-    return out
+    by = sums_before(by, -F.col("score"), ["pos", "n"], ("horizon",))
+    ap = by.groupBy("horizon").agg((F.sum(F.col("pos") * (F.col("before_pos") + F.col("pos")) / (F.col("before_n") + F.col("n"))) / F.sum("pos")).alias("average_precision"))
+    cut = long.groupBy("horizon").agg(F.percentile("score", 0.9).alias("cut"))
+    g = long.join(cut, "horizon").groupBy("horizon").agg(F.avg(F.pow(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0)) - F.col("hit"), 2)).alias("brier"), (F.avg(F.when(F.col("score") >= F.col("cut"), F.col("hit"))) / F.avg("hit")).alias("top_lift"))
+    return ap.join(g, "horizon")
 
 
 def regime_forecast(states: DataFrame, horizons: int = 3, smooth: float = 1.0) -> DataFrame:

@@ -121,3 +121,11 @@ SELECT unit, t, CASE WHEN w > 0 THEN round((coalesce(0.5 * a, 0) + coalesce(0.3
 def d9_composite(spark, sf):
     p = V.panel_sy(spark, sf).select("unit", "t", F.when(F.col("unit") % 3 > 0, F.col("disc") * 10).alias("a"), F.when(F.col("t") % 2 == 0, F.col("qty") / 1000.0).alias("b"))
     return r(p.select("unit", "t", X.weighted_blend([(F.col("a"), 0.5), (F.col("b"), 0.3)]).alias("composite")), "composite")
+
+
+@query(f"""WITH {V.PANEL_SY}, l AS (SELECT unit, t, unnest(['even', 'value', 'disc']) AS scheme, unnest([0.5, 0.9, 0.1]) * value / 1000000 + unnest([0.5, 0.1, 0.9]) * disc * 10 AS x FROM panel), d AS (SELECT *, x - lag(x) OVER (PARTITION BY scheme, unit ORDER BY t) AS d FROM l), n AS (SELECT *, lead(d) OVER (PARTITION BY scheme, unit ORDER BY t) AS nx FROM d),
+q AS (SELECT scheme, quantile_cont(d, 0.3) AS cut FROM d GROUP BY 1), s AS (SELECT scheme, -d AS s, (nx <= cut)::INT AS y FROM n JOIN q USING (scheme) WHERE d IS NOT NULL AND nx IS NOT NULL), k AS (SELECT scheme, y, rank() OVER (PARTITION BY scheme ORDER BY s) + (count(*) OVER (PARTITION BY scheme, s) - 1) / 2 AS rk FROM s)
+SELECT scheme, sum(y)::BIGINT AS pos, (count(*) - sum(y))::BIGINT AS neg, round((sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM k GROUP BY 1""")
+def d11_scheme_auc(spark, sf):
+    p = V.panel_sy(spark, sf).select("unit", "t", (F.col("value") / 1000000).alias("v"), (F.col("disc") * 10).alias("d"))
+    return r(X.scheme_auc(p, ["v", "d"], {"even": [0.5, 0.5], "value": [0.9, 0.1], "disc": [0.1, 0.9]}), "auc")

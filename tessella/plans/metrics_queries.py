@@ -127,3 +127,14 @@ SELECT d.scope, round(avg(g), 6) AS gain, round(avg(s), 6) AS direction_gain, co
 def l6_paired_interval(spark, sf):
     s = V.scores(spark, sf).withColumn("half", F.lit(0.5))
     return r(M.paired_interval(s, "y", "q", "p", "half", "grp"), "gain", "direction_gain", "low", "high", "p")
+
+
+SCALE = "sqrt(least(greatest(p * (1 - p), 1e-3), 0.25))"
+
+
+@query(f"""WITH {V.SCORES}, qt AS (SELECT least(greatest(quantile_cont(abs(y - p) / {SCALE}, 0.9), 0), 4) AS qq FROM scores WHERE id % 2 = 0), c AS (SELECT unnest([1.0, 0.45, 0.4, 0.35, 0.3, 0.25])::DOUBLE AS cap, unnest(range(0, 6)) AS nr),
+b AS (SELECT cap, nr, y, least(greatest(p - least(qq * {SCALE}, cap), 0), 1) AS lo, least(greatest(p + least(qq * {SCALE}, cap), 0), 1) AS hi FROM scores, qt, c WHERE id % 2 = 0), k AS (SELECT cap FROM b GROUP BY cap, nr ORDER BY round(avg((y BETWEEN lo AND hi)::INT) - 0.33 * avg(hi - lo), 12) DESC, nr LIMIT 1)
+SELECT id, round(least(greatest(p - least(qq * {SCALE}, cap), 0), 1), 6) AS low, round(least(greatest(p + least(qq * {SCALE}, cap), 0), 1), 6) AS high, cap FROM scores, qt, k WHERE id % 2 = 1""")
+def m13_capped_intervals(spark, sf):
+    s = V.scores(spark, sf)
+    return r(M.capped_intervals(s.filter("id % 2 = 0"), s.filter("id % 2 = 1"), "y", "p").select("id", "low", "high", "cap"), "low", "high")

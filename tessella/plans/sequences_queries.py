@@ -62,10 +62,12 @@ def i6_half_life(spark, sf):
     return r(Q.half_life(Q.spells(s, "low"), s.select("unit", "grp").distinct()), "mean_duration")
 
 
-@query(f"""WITH {DYN}, e AS (SELECT unit, t, vol_3 AS score, (growth < 0)::INT AS event FROM dyn),
+WARNED = f"""{DYN}, e AS (SELECT unit, t, vol_3 AS score, (growth < 0)::INT AS event FROM dyn),
 l AS (SELECT 1 AS h, score, lead(event) OVER w AS hit FROM e WINDOW w AS (PARTITION BY unit ORDER BY t) UNION ALL SELECT 2, score, CASE WHEN lead(event, 2) OVER w IS NOT NULL THEN greatest(lead(event) OVER w, lead(event, 2) OVER w) END FROM e WINDOW w AS (PARTITION BY unit ORDER BY t)
- UNION ALL SELECT 3, score, CASE WHEN lead(event, 3) OVER w IS NOT NULL THEN greatest(lead(event) OVER w, lead(event, 2) OVER w, lead(event, 3) OVER w) END FROM e WINDOW w AS (PARTITION BY unit ORDER BY t)),
-k AS (SELECT h, hit, rank() OVER (PARTITION BY h ORDER BY score) + (count(*) OVER (PARTITION BY h, score) - 1) / 2 AS rk FROM l WHERE score IS NOT NULL AND hit IS NOT NULL)
+ UNION ALL SELECT 3, score, CASE WHEN lead(event, 3) OVER w IS NOT NULL THEN greatest(lead(event) OVER w, lead(event, 2) OVER w, lead(event, 3) OVER w) END FROM e WINDOW w AS (PARTITION BY unit ORDER BY t))"""
+
+
+@query(f"""WITH {WARNED}, k AS (SELECT h, hit, rank() OVER (PARTITION BY h ORDER BY score) + (count(*) OVER (PARTITION BY h, score) - 1) / 2 AS rk FROM l WHERE score IS NOT NULL AND hit IS NOT NULL)
 SELECT h AS horizon, count(*) AS "rows", round(avg(hit), 6) AS base_rate, round((sum(CASE WHEN hit = 1 THEN rk END) - sum(hit) * (sum(hit) + 1) / 2) / (sum(hit) * (count(*) - sum(hit))), 6) AS auc FROM k GROUP BY 1""")
 def i7_warning_horizon(spark, sf):
     d = D.dynamics_table(V.panel_nm(spark, sf), 60).select("unit", "t", F.col("vol_3").alias("score"), (F.col("growth") < 0).cast("int").alias("event"))
@@ -78,3 +80,11 @@ p2 AS (SELECT a.f, b.x, sum(a.p * b.p) AS p FROM p1 a JOIN p1 b ON a.x = b.f GRO
 SELECT f AS from_state, x AS to_state, round(p, 6) AS p, 1 AS h FROM p1 UNION ALL SELECT f, x, round(p, 6), 2 FROM p2 UNION ALL SELECT f, x, round(p, 6), 3 FROM p3""")
 def i8_regime_forecast(spark, sf):
     return r(Q.regime_forecast(_states(spark, sf)), "p")
+
+
+@query(f"""WITH {WARNED}, w AS (SELECT h, score, hit FROM l WHERE score IS NOT NULL AND hit IS NOT NULL), b AS (SELECT h, score, sum(hit) AS pos, count(*) AS n FROM w GROUP BY ALL), c AS (SELECT h, pos, sum(pos) OVER (PARTITION BY h ORDER BY score DESC) AS tp, sum(n) OVER (PARTITION BY h ORDER BY score DESC) AS k FROM b),
+ap AS (SELECT h, sum(pos * tp / k) / sum(pos) AS ap FROM c GROUP BY 1), q AS (SELECT h, quantile_cont(score, 0.9) AS cut FROM w GROUP BY 1)
+SELECT w.h AS horizon, round(any_value(ap), 6) AS average_precision, round(avg((least(greatest(score, 0), 1) - hit) ** 2), 6) AS brier, round(avg(CASE WHEN score >= cut THEN hit END) / avg(hit), 6) AS top_lift FROM w JOIN q USING (h) JOIN ap USING (h) GROUP BY 1""")
+def i7_warning_scores(spark, sf):
+    d = D.dynamics_table(V.panel_nm(spark, sf), 60).select("unit", "t", F.col("vol_3").alias("score"), (F.col("growth") < 0).cast("int").alias("event"))
+    return r(Q.warning_scores(d, "score", "event"), "average_precision", "brier", "top_lift")
