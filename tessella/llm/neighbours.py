@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,8 @@ MOST_FITTED = 8192
 MOST_PARTS = 256
 #: Rows of vectors, and of queries, that meet in one task at most (about: by a hash).
 BLOCK = 8192
+#: Rows from which on a partition is divided again, and vectors of it that this is fitted on.
+LEAF_ROWS, MOST_FITTED_BELOW = 1 << 20, 4096
 
 
 @dataclass(frozen=True)
@@ -111,9 +114,41 @@ def train_router(x: np.ndarray, part: np.ndarray, n_parts: int, hidden: int = 12
     return Router(*w, probes=1)
 
 
-def fit_router(sample: np.ndarray, n_rows: int, k: int, recall: float = 0.98, checked: int = 512) -> Router:
+@dataclass(frozen=True)
+class Routes:
+    """Partitions, and of those that are too large the partitions below them; a leaf's number is its partition's times ``MOST_PARTS`` plus its own below."""
+
+    top: Router
+    below: dict[int, Router]
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        """Each vector's most probable leaf."""
+        part = self.top.logits(x).argmax(1)
+        leaf = part * MOST_PARTS
+        for p in np.unique(part).tolist():
+            if p in self.below:
+                leaf[part == p] += self.below[p].logits(x[part == p]).argmax(1)
+        return leaf.astype(np.int32)
+
+    def probes(self, x: np.ndarray) -> list[list[int]]:
+        """Each query's leaves: the most probable ones of its most probable partitions."""
+        order = np.argsort(-self.top.logits(x), axis=1, kind="stable")[:, : self.top.probes]
+        out: list[list[int]] = [[] for _ in x]
+        for parts in order.T:
+            for p in np.unique(parts).tolist():
+                rows, below = np.flatnonzero(parts == p), self.below.get(p)
+                subs = np.argsort(-below.logits(x[rows]), axis=1, kind="stable")[:, : below.probes] if below else np.zeros((len(rows), 1), dtype=np.int64)
+                for r, some in zip(rows.tolist(), subs.tolist(), strict=True):
+                    out[r].extend(p * MOST_PARTS + s for s in some)
+        return out
+
+    def leaves(self) -> list[int]:
+        return [p * MOST_PARTS + s for p in range(len(self.top.b2)) for s in range(len(self.below[p].b2) if p in self.below else 1)]
+
+
+def fit_router(sample: np.ndarray, n_parts: int, k: int, recall: float = 0.98, checked: int = 512) -> Router:
     """Partitions the sample's neighbour graph, trains the classifier, and takes as many probes as give ``checked`` sample vectors ``recall`` of their k nearest in the sample."""
-    n_parts = int(max(1, min(MOST_PARTS, np.sqrt(n_rows) / 4, len(sample) / 32)))
+    n_parts = int(max(1, min(MOST_PARTS, n_parts, len(sample) / 32)))
     ids, k = np.arange(len(sample)), min(k, len(sample) - 1)
     if n_parts == 1 or k < 1:
         d = sample.shape[1]
@@ -139,7 +174,7 @@ def _matrix(column, n: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
-def search(embeddings: DataFrame, every: int = 100, k: int = 10, most_fitted: int = MOST_FITTED, block: int = BLOCK) -> DataFrame:
+def search(embeddings: DataFrame, every: int = 100, k: int = 10, most_fitted: int = MOST_FITTED, block: int = BLOCK, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: of each vector of ``embeddings`` (vec_id, embedding) whose vec_id is divisible by ``every``, the k nearest of all others
     that its probes find; where those find fewer than k, of all others. Vectors of different lengths are no candidates for each other: each length is
     searched by itself.
@@ -152,41 +187,77 @@ def search(embeddings: DataFrame, every: int = 100, k: int = 10, most_fitted: in
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy("n").collect()
     if not sizes:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
-    found = [search_length(rows.filter(F.size("v") == r.n), r["count"], every, k, most_fitted, block) for r in sizes]
+    found = [search_length(rows.filter(F.size("v") == r.n), r["count"], every, k, most_fitted, block, leaf_rows) for r in sizes]
     out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out
 
 
-def search_length(rows: DataFrame, n_rows: int, every: int, k: int, most_fitted: int, block: int) -> DataFrame:
+def divided(rows: DataFrame, top: Router, n_rows: int, k: int, leaf_rows: int) -> dict[int, Router]:
+    """Routers of the partitions of more than ``leaf_rows`` of ``rows``, each fitted in a task of its own on a bounded draw of its vectors.
+
+    At most ``MOST_PARTS`` small models reach the driver, so there are at most its square of leaves.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(Routes(top, {}))
+
+    def home(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            if batch.num_rows:
+                part = shared.value.homes(_matrix(batch.column(1), batch.num_rows)) // MOST_PARTS
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part, pa.int32())], ["vec_id", "v", "part"])
+
+    placed = rows.mapInArrow(home, "vec_id long, v array<double>, part int")
+    counts = {r.part: r["count"] for r in placed.groupBy("part").count().filter(F.col("count") > leaf_rows).collect()}
+    if not counts:
+        return {}
+    draw = F.xxhash64(F.lit(5), "vec_id")
+    least = min(counts.values())
+    some = rows.filter(F.pmod(draw, F.lit(max(1, least // (4 * MOST_FITTED_BELOW)))) == 0).mapInArrow(home, "vec_id long, v array<double>, part int").filter(F.col("part").isin(list(counts)))
+    bounded = some.withColumn("_r", F.row_number().over(Window.partitionBy("part").orderBy(draw, "vec_id"))).filter(F.col("_r") <= MOST_FITTED_BELOW).select("part", "v")
+
+    def fit(key, table):
+        import pyarrow as pa
+
+        part = key[0].as_py()
+        x = np.unique(_matrix(table.column("v").combine_chunks(), table.num_rows), axis=0)
+        return pa.table({"part": pa.array([part], pa.int32()), "model": pa.array([pickle.dumps(fit_router(x, -(-counts[part] // leaf_rows), k))], pa.binary())})
+
+    return {r.part: pickle.loads(r.model) for r in bounded.groupBy("part").applyInArrow(fit, "part int, model binary").collect()}  # made by this job
+
+
+def search_length(rows: DataFrame, n_rows: int, every: int, k: int, most_fitted: int, block: int, leaf_rows: int) -> DataFrame:
     """``search`` of ``n_rows`` usable vectors of one length.
 
-    The router is fitted on at most ``most_fitted`` distinct vectors of a draw by hash. Every vector is indexed in its most
-    probable partition. Partitions, and the
-    queries sent to them, are dealt by a hash into blocks of about ``block`` rows, and a
-    task sees one block of each at a time, so that a crowded partition or a vector with many copies is no
+    The router is fitted on at most ``most_fitted`` distinct vectors of a draw by hash; partitions of more than ``leaf_rows`` are divided again in the
+    same way, so that what a query is compared with hardly grows with the table. Every vector is indexed in its most
+    probable leaf. Leaves, and the queries sent to them, are dealt by a hash into blocks of about ``block`` rows, and a
+    task sees one block of each at a time, so that a crowded leaf or a vector with many copies is no
     task's burden.
     """
     work = WorkFolder(rows.sparkSession, "neighbours")
     drawn = rows.filter(F.pmod(F.xxhash64(F.lit(3), "vec_id"), F.lit(max(1, n_rows // (4 * most_fitted)))) == 0)
     found = drawn.groupBy("v").agg(F.min("vec_id").alias("vec_id")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_fitted).select("v").toPandas()
-    router = work.spark.sparkContext.broadcast(fit_router(np.array(found["v"].tolist(), dtype=np.float64), n_rows, k))
-    probes = router.value.probes
+    top = fit_router(np.array(found["v"].tolist(), dtype=np.float64), int(np.sqrt(n_rows) / 4), k)
+    routes = work.spark.sparkContext.broadcast(Routes(top, divided(rows, top, n_rows, k, leaf_rows) if n_rows > leaf_rows else {}))
 
     def route(batches):
         import pyarrow as pa
 
         for batch in batches:
             if batch.num_rows:
-                order = np.argsort(-router.value.logits(_matrix(batch.column(1), batch.num_rows)), axis=1, kind="stable")[:, :probes]
-                parts = pa.ListArray.from_arrays(pa.array(np.arange(0, order.size + 1, order.shape[1]), pa.int32()), pa.array(order.ravel(), pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], ["vec_id", "v", "parts"])
+                x, asked = _matrix(batch.column(1), batch.num_rows), batch.column(0).to_numpy() % every == 0
+                parts = [[h] for h in routes.value.homes(x).tolist()]
+                for i, leaves in zip(np.flatnonzero(asked).tolist(), routes.value.probes(x[asked]), strict=True):
+                    parts[i] = leaves
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.list_(pa.int32()))], ["vec_id", "v", "parts"])
 
     routed = work.cut(rows.mapInArrow(route, "vec_id long, v array<double>, parts array<int>"), "routed")
     base = routed.select("vec_id", "v", F.col("parts")[0].alias("part"))
     asked = routed.filter(F.col("vec_id") % every == 0)
-    # at most MOST_PARTS rows each
+    # a row for each leaf: at most MOST_PARTS squared
     blocks = lambda df, name: df.groupBy("part").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     def rank(vectors, asked):
         import pyarrow as pa
@@ -219,6 +290,6 @@ def search_length(rows: DataFrame, n_rows: int, every: int, k: int, most_fitted:
     short = work.cut(short.select("vec_id"), "short")
     if short.isEmpty():
         return found
-    others = F.array_except(F.sequence(F.lit(0), F.lit(len(router.value.b2) - 1)), "parts")
+    others = F.array_except(F.lit(routes.value.leaves()), "parts")
     more = meet(asked.join(short, "vec_id").select("vec_id", "v", F.explode(others).alias("part")), "more-blocks")
     return first(found.select("query_id", "vec_id", "score").union(more))

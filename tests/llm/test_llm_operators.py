@@ -611,6 +611,29 @@ def test_context_tree_packing():
     assert (context_tree.unpacked(context_tree.packed(values), np.float32) == values).all()
 
 
+def test_neighbours_in_two_levels(spark):
+    """Partitions of more rows than a leaf may have are divided again; recall holds, and every vector is in one leaf."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(40, 12)) * 4
+    x = centres[rng.integers(0, 40, 6000)] + rng.normal(size=(6000, 12))
+    docs = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    rows = neighbours.usable(docs)
+    top = neighbours.fit_router(x[:2000], 8, 10)
+    below = neighbours.divided(rows, top, 6000, 10, 300)
+    routes = neighbours.Routes(top, below)
+    assert len(below) >= 4 and len(routes.leaves()) > 12 and set(routes.homes(x).tolist()) <= set(routes.leaves())
+    assert all(p[0] == h for p, h in zip(routes.probes(x[:50]), routes.homes(x[:50]).tolist(), strict=True))
+    got = defaultdict(set)
+    for r in neighbours.search(docs, every=60, leaf_rows=300).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 6000, 60):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert len(got) == 100 and hits >= 900
+
+
 def test_neighbours_of_a_thin_partition(spark, monkeypatch):
     # part 0: first component above 0; part 1 has three vectors
     router = neighbours.Router(np.array([[1.0, -1.0], [0.0, 0.0]]), np.zeros(2), np.eye(2), np.zeros(2), 1)
