@@ -12,8 +12,8 @@ from tessella.llm.words import mix
 
 N_GRAM = 4
 BUCKETS = 1 << 18
-#: The labelled documents a model may learn from: half of them train the target model, half tell how many documents to take.
-MOST_LABELLED = 40_000
+#: The labelled documents a model may learn from, and the folds they are dealt into to tell how many documents to take.
+MOST_LABELLED, FOLDS = 40_000, 5
 
 
 def hashed_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -28,87 +28,93 @@ def hashed_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def labelled_sample(labels: DataFrame, most: int = MOST_LABELLED) -> DataFrame:
-    """doc_id, good, fold (0: trains the target model, 1: tells the target size) of at most ``most`` labelled documents, by a hash of the id.
+    """doc_id, good, fold (from 0 on) of at most ``most`` labelled documents, by a hash of the id.
 
     Good: quality 1 and not toxic, by all of the document's labels; rows with a null don't count.
     """
     whole = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
     each = whole.groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good"))
     drawn = each.withColumn("h", F.xxhash64(F.lit(23), "doc_id")).orderBy("h", "doc_id").limit(most)
-    return drawn.select("doc_id", "good", (F.col("h") % 2 == 0).cast("int").alias("fold"))
+    return drawn.select("doc_id", "good", F.pmod("h", F.lit(FOLDS)).cast("int").alias("fold"))
 
 
-def fit_ratio(docs: DataFrame, sample: DataFrame, smooth: float = 0.1) -> np.ndarray:
-    """log(target / raw) of each bucket: add-``smooth`` estimates, target from the sample's good documents of fold 0, raw from all of ``docs``.
+def fit_ratios(docs: DataFrame, sample: DataFrame, smooth: float = 0.1) -> np.ndarray:
+    """log(target / raw) of each bucket, a row for each fold and one more: add-``smooth`` estimates, target from the sample's good documents outside the fold (the last: all), raw from all of ``docs``.
 
-    Each task sums its documents' counts; the driver gets two numbers a bucket, however large ``docs`` is.
+    Each task sums its documents' counts; the driver gets a few numbers a bucket, however large ``docs`` is. All 0 without good documents.
     """
-    good = F.broadcast(sample.filter("good AND fold = 0").select("doc_id", F.lit(True).alias("target")))
+    good = F.broadcast(sample.filter("good").select(F.col("doc_id").alias("id"), "fold"))
+    targets = [f"t{k}" for k in range(FOLDS)]
 
     def count(batches):
         import pyarrow as pa
 
-        raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros(BUCKETS, dtype=np.int64)
+        raw, target = np.zeros(BUCKETS, dtype=np.int64), np.zeros((FOLDS, BUCKETS), dtype=np.int64)
         for batch in batches:
-            flags = batch.column(1).to_pylist()
-            for first, texts in slices(batch.column(0).to_pylist()):
+            folds = batch.column(1).to_pylist()
+            for first, texts in slices(x.as_py() for x in batch.column(0)):
                 grams, at = hashed_grams(texts)
                 for d, (a, b) in enumerate(at, first):
-                    if flags[d]:
-                        np.add.at(target, grams[a:b], 1)
+                    if folds[d] is not None:
+                        np.add.at(target[folds[d]], grams[a:b], 1)
                 inside = np.ones(len(grams), dtype=bool)
                 for a, b in zip(at[:, 1], [*at[1:, 0], len(grams)], strict=True):
                     inside[a:b] = False
                 raw += np.bincount(grams[inside], minlength=BUCKETS)
         seen = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), pa.array(target[seen])], ["bucket", "raw", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(raw[seen]), *(pa.array(t[seen]) for t in target)], ["bucket", "raw", *targets])
 
-    flagged = docs.join(good, "doc_id", "left").select(text_of().cast("binary"), F.coalesce("target", F.lit(False)).alias("target"))
-    rows = flagged.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    raw[rows.bucket], target[rows.bucket] = rows.raw, rows.target
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    log_share = lambda c: np.log((c + smooth) / (c.sum() + smooth * BUCKETS))
-    return log_share(target) - log_share(raw)
+    flagged = docs.join(good, F.col("doc_id") == F.col("id"), "left").select(text_of().cast("binary"), "fold")
+    counted = flagged.mapInArrow(count, ", ".join(f"{c} long" for c in ("bucket", "raw", *targets)))
+    rows = counted.groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("raw", *targets)]).toPandas()
+    raw, target = np.zeros(BUCKETS), np.zeros((FOLDS, BUCKETS))
+    raw[rows.bucket], target[:, rows.bucket] = rows.raw, rows[targets].to_numpy().T
+    target = np.vstack([target.sum(0) - target, target.sum(0)])
+    log_share = lambda c: np.log((c + smooth) / (c.sum(-1, keepdims=True) + smooth * BUCKETS))
+    return (log_share(target) - log_share(raw)) * (target.sum(1, keepdims=True) > 0)
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, seed: int = 29) -> DataFrame:
+def weigh(docs: DataFrame, ratios: np.ndarray, model: str | None = None, seed: int = 29) -> DataFrame:
     """Boxed ``docs`` (doc_id, text and others) with log_weight and gumbel_key.
 
-    log_weight, the log of p_target(text) / p_raw(text), sums the log ratios of all the text's n-grams.
-    gumbel_key adds a Gumbel draw by doc_id: the k largest keys are a sample of k documents without replacement, by weight. A null text is empty.
+    log_weight, the log of p_target(text) / p_raw(text), sums the log ratios of all the text's n-grams, by the row of ``ratios`` that the
+    column ``model`` names (None: the last). gumbel_key adds a Gumbel draw by doc_id: the k largest keys are a sample of k documents without
+    replacement, by weight. A null text is empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ratio)
+    shared = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def score(batches):
         import pyarrow as pa
 
         for batch in batches:
-            weights = []
-            for _, texts in slices(x.as_py() for x in batch.column(1)):
+            weights: list[float] = []
+            which = batch.column(2).to_pylist()
+            for first, texts in slices(x.as_py() for x in batch.column(1)):
                 grams, at = hashed_grams(texts)
-                weights.extend(float(shared.value[grams[a:b]].sum()) for a, b in at)
+                weights.extend(float(shared.value[m][grams[a:b]].sum()) for m, (a, b) in zip(which[first:], at, strict=False))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weights, pa.float64())], ["row", "log_weight"])
 
     rows = boxed(docs)
     schema = T.StructType([rows.schema["row"], T.StructField("log_weight", T.DoubleType())])
-    scored = rows.select("row", text_of(in_row("text")).cast("binary").alias("text")).mapInArrow(score, schema)
+    used = in_row(model) if model else F.lit(len(ratios) - 1)
+    scored = rows.select("row", text_of(in_row("text")).cast("binary").alias("text"), used.alias("model")).mapInArrow(score, schema)
     return scored.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(unit_draw(seed, in_row("doc_id")))))
 
 
-def target_share(docs: DataFrame, sample: DataFrame, ratio: np.ndarray, loss: float = 0.01, **weights) -> float:
-    """The share of documents to take: of the sample's fold 1 in the order of their keys, the least share from the top that holds all but ``loss`` of the good ones.
+def target_share(docs: DataFrame, sample: DataFrame, ratios: np.ndarray, loss_ratio: float = 10.0) -> float:
+    """The share of documents to take: of the sample in the order of its keys, each by the model that its fold did not train, the share from the top with the least cost, ``loss_ratio`` times the
+    good ones lost and the bad ones taken, each as a share of its kind (ties: the smaller).
 
-    1 if the fold has no good or no bad documents. At most one key for each labelled document reaches the driver.
+    1 if there are no good or no bad documents. At most one key for each labelled document reaches the driver.
     """
-    met = docs.select("doc_id", "text").join(F.broadcast(sample.filter("fold = 1").select(F.col("doc_id").alias("id"), "good")), F.col("doc_id") == F.col("id"))
-    scored = weigh(met.select("doc_id", "text", "good"), ratio, **weights).groupBy(in_row("doc_id").alias("doc_id")).agg(F.min(in_row("good")).alias("good"), F.min("gumbel_key").alias("key"))
+    met = docs.select("doc_id", "text").join(F.broadcast(sample.select(F.col("doc_id").alias("id"), "good", "fold")), F.col("doc_id") == F.col("id"))
+    scored = weigh(met.select("doc_id", "text", "good", "fold"), ratios, "fold").groupBy(in_row("doc_id").alias("doc_id")).agg(F.min(in_row("good")).alias("good"), F.min("gumbel_key").alias("key"))
     rows = scored.select("good", "key").toPandas().sort_values("key", ascending=False)
     good = rows.good.to_numpy(dtype=bool)
     if not good.any() or good.all():
         return 1.0
-    return float(np.searchsorted(np.cumsum(good), np.ceil((1 - loss) * good.sum())) + 1) / len(good)
+    cost = loss_ratio * (1 - np.cumsum(good) / good.sum()) + np.cumsum(~good) / (~good).sum()
+    return float(np.argmin(np.round(cost, 12)) + 1) / len(good)
 
 
 def kth_largest(scored: DataFrame, k: int, key: str = "gumbel_key") -> float | None:
@@ -156,13 +162,13 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, mos
     work = WorkFolder(docs.sparkSession, "resampling")
     sample = work.cut(labelled_sample(labels, most_labelled), "sample")
     texts = docs.select("doc_id", "text")
-    ratio = fit_ratio(texts, sample)
-    share = target_share(texts, sample, ratio) if share is None else share
+    ratios = fit_ratios(texts, sample)
+    share = target_share(texts, sample, ratios) if share is None else share
     if share >= 1:
-        return weigh(docs, ratio).withColumn("kept", F.lit(True))
-    keys = work.cut(weigh(texts, ratio).select("gumbel_key"), "keys")
+        return weigh(docs, ratios).withColumn("kept", F.lit(True))
+    keys = work.cut(weigh(texts, ratios).select("gumbel_key"), "keys")
     least = kth_largest(keys, int(np.ceil(share * keys.count())))
-    return weigh(docs, ratio).withColumn("kept", F.lit(False) if least is None else F.col("gumbel_key") >= F.lit(least))
+    return weigh(docs, ratios).withColumn("kept", F.lit(False) if least is None else F.col("gumbel_key") >= F.lit(least))
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
