@@ -93,9 +93,9 @@ def f14_indicator_breaks(spark, sf):
     return r(E.indicator_breaks(_np(spark, sf), covered), "z", "intensity")
 
 
-@query(f"""WITH {V.PANEL_SY}, u AS (SELECT unit, avg(CASE WHEN t >= 1999 THEN value END) - avg(CASE WHEN t < 1999 THEN value END) AS j FROM panel GROUP BY 1) SELECT unit, round(j, 2) AS jump, (j >= (SELECT quantile_cont(j, 0.75) FROM u))::INT AS treated FROM u""")
+@query(f"""WITH {V.PANEL_SY}, u AS (SELECT unit, avg(CASE WHEN t >= 1999 THEN value END) - avg(CASE WHEN t < 1999 THEN value END) AS j FROM panel GROUP BY 1) SELECT unit, round(j, 1) AS jump, (j >= (SELECT quantile_cont(j, 0.75) FROM u))::INT AS treated FROM u""")
 def f17_jump_design(spark, sf):
-    return r(E.jump_design(V.panel_sy(spark, sf), 1999), "jump", digits=2)
+    return r(E.jump_design(V.panel_sy(spark, sf), 1999), "jump", digits=1)
 
 
 @query(f"""WITH {V.PANEL_SY}, g AS (SELECT unit, t, value / nullif(lag(value) OVER (PARTITION BY unit ORDER BY t), 0) - 1 AS g FROM panel), n AS (SELECT *, lead(g) OVER (PARTITION BY unit ORDER BY t) AS n FROM g) SELECT unit, min(CASE WHEN g >= 0.05 AND n >= 0.05 THEN t END) AS cohort FROM n GROUP BY 1""")
