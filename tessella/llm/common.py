@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,3 +118,63 @@ def slices(blobs: Iterable[bytes], most: int = 1 << 20) -> Iterator[tuple[int, l
         size += len(blob)
     if run:
         yield first, run
+
+
+def whole_groups(batches: Iterable) -> Iterator:
+    """Tables that each hold whole runs of equal values of the first column, a long or a string; the batches are sorted by it.
+
+    No more than one batch and one run is held at a time.
+    """
+    import pyarrow as pa
+
+    left = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = pa.Table.from_batches([batch])
+        now = pa.concat_tables([left, now]) if left is not None else now
+        keys = now.column(0).combine_chunks().to_numpy(zero_copy_only=False)
+        change = np.flatnonzero(keys[1:] != keys[:-1])
+        if len(change):
+            yield now.slice(0, int(change[-1]) + 1).combine_chunks()
+            now = now.slice(int(change[-1]) + 1).combine_chunks()
+        left = now
+    if left is not None:
+        yield left.combine_chunks()
+
+
+class Sieve:
+    """A Bloom filter of 8 MB over longs, for scans that need the rows of some ids: it lets all of these pass, and few others.
+
+    Its size doesn't grow with the ids: beyond some ten million of them it passes more of the others, so what
+    reads its output must not rely on it. At most 2**20 numbers reach the driver.
+    """
+
+    BITS, TIMES = 26, 3
+
+    def __init__(self, ids: DataFrame) -> None:
+        found = ids.mapInArrow(self._words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+        self.words = np.zeros(1 << (self.BITS - 6), dtype=np.uint64)
+        self.words[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    @classmethod
+    def _places(cls, ids: np.ndarray) -> np.ndarray:
+        from tessella.llm.words import mix
+
+        return np.stack([mix(ids.astype(np.int64).view(np.uint64) + np.uint64(i << 60)) >> np.uint64(64 - cls.BITS) for i in range(1, cls.TIMES + 1)])
+
+    @classmethod
+    def _words(cls, batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            at = np.unique(cls._places(batch.column(0).drop_null().to_numpy(zero_copy_only=False)).ravel())
+            word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
+            start = np.flatnonzero(np.diff(word, prepend=-1))
+            bits = np.bitwise_or.reduceat(bit, start) if len(start) else bit
+            yield pa.RecordBatch.from_arrays([pa.array(word[start], pa.int64()), pa.array(bits.view(np.int64), pa.int64())], ["word", "bits"])
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        """Whether each id may be among those of the filter."""
+        at = self._places(ids)
+        return ((self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import context_tree, fingerprints, mixing, neighbours, packing, parity, resampling, secrets, thresholds, tokens
+from tessella.llm import context_tree, divergence, fingerprints, mixing, neighbours, packing, parity, resampling, secrets, thresholds, tokens
 from tessella.llm.common import table
 
 
@@ -49,5 +49,30 @@ def op10_fingerprint_index(spark, sf_dir):
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_importance_resampling, op2_context_tree_lm, op3_orc_token_ids, op4_risk_thresholds, op5_weighted_epochs, op6_blob_ledger, op7_vector_packing, op8_learned_partitions, op9_parity_join, op10_fingerprint_index)}
-ORACLES = {"op4_risk_thresholds": thresholds.ORACLE, "op5_weighted_epochs": mixing.ORACLE, "op6_blob_ledger": secrets.ORACLE, "op10_fingerprint_index": fingerprints.ORACLE}
+def op11_source_divergence(spark, sf_dir):
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_importance_resampling,
+        op2_context_tree_lm,
+        op3_orc_token_ids,
+        op4_risk_thresholds,
+        op5_weighted_epochs,
+        op6_blob_ledger,
+        op7_vector_packing,
+        op8_learned_partitions,
+        op9_parity_join,
+        op10_fingerprint_index,
+        op11_source_divergence,
+    )
+}
+ORACLES = {
+    "op4_risk_thresholds": thresholds.ORACLE,
+    "op5_weighted_epochs": mixing.ORACLE,
+    "op6_blob_ledger": secrets.ORACLE,
+    "op10_fingerprint_index": fingerprints.ORACLE,
+    "op11_source_divergence": divergence.ORACLE,
+}
