@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.llm import context_tree, divergence, fingerprints, mixing, neighbours, packing, parity, resampling, secrets, thresholds, tokens
+from tessella.llm import chosen_path, context_tree, divergence, fingerprints, mixing, neighbours, packing, parity, resampling, secrets, spelling, thresholds, tokens
 from tessella.llm.common import table
 
 
@@ -53,6 +53,14 @@ def op11_source_divergence(spark, sf_dir):
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_chosen_path_join(spark, sf_dir):
+    return chosen_path.near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=85)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -67,6 +75,8 @@ QUERIES = {
         op9_parity_join,
         op10_fingerprint_index,
         op11_source_divergence,
+        op12_spelling_variants,
+        op13_chosen_path_join,
     )
 }
 ORACLES = {
