@@ -90,3 +90,38 @@ def norm_key(x: Column) -> Column:
     """Lower case without the accents of common Latin letters, & as and, other signs as single spaces."""
     plain = F.translate(F.lower(x), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, "&", " and "), "[^a-z0-9]+", " "))
+
+
+def kth_value(df: DataFrame, column: str, place: int, most: int = 100_000) -> float:
+    """The value at ``place`` (from 0) among the sorted non-null values of a double column.
+
+    Each pass counts 1,024 equal ranges and goes on with the one that holds the place, until ``most`` values are left or all are equal:
+    only counts and so many values reach the driver, whatever the size of the table.
+    """
+    rows = df.select(F.col(column).cast("double").alias("x")).filter("x IS NOT NULL")
+    n, low, high = rows.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    while low < high and n > most:
+        width = (high - low) / 1024
+        bin_ = F.least(F.floor((F.col("x") - F.lit(low)) / F.lit(width)), F.lit(1023)).cast("int")
+        found = sorted(rows.groupBy(bin_.alias("b")).agg(F.count("*"), F.min("x"), F.max("x")).collect())
+        for b, size, least, greatest in found:
+            if place < size:
+                break
+            place -= size
+        if size == n:  # one range holds all: the values are too close for ranges of equal width
+            break
+        rows, n, low, high = rows.filter(bin_ == b), size, least, greatest
+    return low if low == high else rows.orderBy("x").limit(place + 1).agg(F.max("x")).first()[0]
+
+
+def quantiles(df: DataFrame, column: str, shares: list[float], most: int = 1_000_000) -> list[float | None]:
+    """Interpolated quantiles: by one exact aggregate up to ``most`` rows, beyond that by counting ranges; nulls where there is no value."""
+    n = df.agg(F.count(column)).first()[0]
+    if n <= most:
+        return list(df.agg(F.percentile(column, F.array(*[F.lit(float(q)) for q in shares]))).first()[0] or [None] * len(shares))
+    out = []
+    for q in shares:
+        at = q * (n - 1)
+        low = kth_value(df, column, int(at))
+        out.append(low if at == int(at) else low + (at - int(at)) * (kth_value(df, column, int(at) + 1) - low))
+    return out

@@ -60,6 +60,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+class Stages:
+    """Intermediate tables of one computation, as Parquet files in the shared folder: what follows starts from them, also when executors are lost."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, scratch(spark, name)
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{self.path}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, name: str) -> None:
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def signature(df: DataFrame) -> DataFrame:
     """(rows, signature) of a table, whatever the order of its rows: a digest of the count and two sums of the rows' MD5, of their columns in order of names as text."""
     row = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)])
