@@ -166,22 +166,21 @@ def sets_of(table, k):
 
 
 def plain_components(table, k, percent):
-    sets, links = sets_of(table, k), defaultdict(set)
-    at = [(d, s) for d, s in set(sets) if d is not None and s]
-    for d, s in at:
-        for e, t in at:
-            if d < e and 100 * len(s & t) >= percent * len(s | t):
-                links[d].add(e)
-                links[e].add(d)
+    """Each row's component is that of its own text."""
+    rows_ = sets_of(table, k)
     least = {}
-    for d in sorted({d for d, _ in sets if d is not None}):
-        todo = [d] if d not in least else []
+    sets = {s for d, s in rows_ if d is not None and s}
+    links = {s: [t for t in sets if 100 * len(s & t) >= percent * len(s | t)] for s in sets}
+    first = {s: min(d for d, t in rows_ if t == s and d is not None) for s in sets}
+    for s in sorted(sets, key=first.get):
+        todo, root = [s], first[s]
         while todo:
             x = todo.pop()
             if x not in least:
-                least[x] = d
+                least[x] = root
                 todo += links[x]
-    return sorted(((d, len(s), least.get(d), None if d is None else d == least[d]) for d, s in sets), key=str)
+    out = [(d, len(s), None if d is None else least.get(s, d)) for d, s in rows_]
+    return sorted(((d, n, c, None if d is None else d == c) for d, n, c in out), key=str)
 
 
 @pytest.mark.parametrize("small,k,percent", [(chosen_path.SMALL, 5, 85), (4, 5, 85), (3, 3, 60)])
