@@ -3,19 +3,29 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import keyed_draw, numbered
+from tessella.sources.tables import Stages
 
 
-def two_way_within(df: DataFrame, columns: list[str], unit: str = "unit", period: str = "t") -> DataFrame:
-    """x less its unit's and its period's mean plus the overall mean: the two-way effect on balanced panels."""
-    u, p = Window.partitionBy(unit), Window.partitionBy(period)
-    means = df.agg(*[F.avg(c) for c in columns]).first()
-    return df.select(*df.columns, *[(F.col(c) - F.avg(c).over(u) - F.avg(c).over(p) + F.lit(m)).alias(f"{c}_w") for c, m in zip(columns, means, strict=True)])
+def two_way_within(df: DataFrame, columns: list[str], unit: str = "unit", period: str = "t", group: tuple[str, ...] = ()) -> DataFrame:
+    """x less its unit's and its period's mean plus the overall mean, as ``<x>_w``: the two-way effect on balanced panels; all within ``group`` if named.
+
+    Means are aggregates joined back, so no task holds a period or a group. The rows are written once, since all of them are read for each of the means.
+    """
+    d = Stages(df.sparkSession, "within").cut(df, "rows")
+    out, parts = d, {"u": (*group, unit), "p": (*group, period), "g": group}
+    for name, by in parts.items():
+        means = d.groupBy(*[F.col(c).alias(f"_{name}_{c}") for c in by]).agg(*[F.avg(c).alias(f"_{name}{i}") for i, c in enumerate(columns)])
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{name}_{c}")) for c in by], F.lit(True))
+        out = out.join(means, same, "left")  # without by: one row
+    within = [(F.col(c) - F.col(f"_u{i}") - F.col(f"_p{i}") + F.col(f"_g{i}")).alias(f"{c}_w") for i, c in enumerate(columns)]
+    return out.select(*df.columns, *within)
 
 
 def _gram(df: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
@@ -119,16 +129,69 @@ def lead_placebo(panel: DataFrame, outcome: str, did: str, leads: tuple[int, ...
 
 def heterogeneity(panel: DataFrame, outcome: str, did: str, group: str) -> DataFrame:
     """Two-way effects of the treatment inside each group, all groups in one aggregation (one regressor needs only sums)."""
-    u, p, g = Window.partitionBy(group, "unit"), Window.partitionBy(group, "t"), Window.partitionBy(group)
-    w = panel.na.drop(subset=[outcome, did]).select(group, *[(F.col(c) - F.avg(c).over(u) - F.avg(c).over(p) + F.avg(c).over(g)).alias(n) for c, n in ((outcome, "y"), (did, "x"))])
-    s = w.groupBy(group).agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("x") * F.col("x")).alias("xx"), F.count("*").alias("n_obs"))
+    d = panel.na.drop(subset=[outcome, did]).select(group, "unit", "t", F.col(outcome).cast("double").alias("y"), F.col(did).cast("double").alias("x"))
+    w = two_way_within(d, ["y", "x"], group=(group,))
+    s = w.groupBy(group).agg(F.sum(F.col("x_w") * F.col("y_w")).alias("xy"), F.sum(F.col("x_w") * F.col("x_w")).alias("xx"), F.count("*").alias("n_obs"))
     return s.select(group, F.when(F.col("xx") > 1e-9, F.col("xy") / F.col("xx")).alias("coef"), "n_obs")
 
 
 def leave_one_group_out(panel: DataFrame, outcome: str, did: str, group: str) -> DataFrame:
-    groups = panel.select(F.col(group).alias("left_out")).distinct()
-    each = panel.join(groups, F.col(group) != F.col("left_out"))
-    return heterogeneity(each.withColumn("unit", F.col("unit")), outcome, did, "left_out")
+    """The two-way effect without each group in turn. A unit's rows are all of one group, so its means stay.
+
+    Sums of the units' deviations by group and period are all it needs: what is left without a group is the total less the group's sums.
+    """
+    d = panel.na.drop(subset=[outcome, did]).select("unit", "t", F.col(group).alias("grp"), F.col(did).cast("double").alias("x"), F.col(outcome).cast("double").alias("y"))
+    d = Stages(panel.sparkSession, "left_out").cut(d, "rows")
+    means = d.groupBy("unit").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    dev = d.join(means, "unit").withColumns({"a": F.col("x") - F.col("mx"), "b": F.col("y") - F.col("my")})
+    sums = {"n": F.lit(1.0), "x": F.col("x"), "y": F.col("y"), "a": F.col("a"), "b": F.col("b"), "aa": F.col("a") * F.col("a"), "ab": F.col("a") * F.col("b")}
+    own = dev.groupBy("grp", "t").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    every = own.groupBy("t").agg(*[F.sum(k).alias(f"all_{k}") for k in sums])
+    groups = own.select(F.col("grp").alias("left_out")).distinct()
+    grid = groups.join(every.withColumnRenamed("t", "at"), F.lit(True))  # a row for each group and period
+    met = grid.join(own, F.col("left_out").eqNullSafe(F.col("grp")) & (F.col("at") == F.col("t")), "left")
+    rest = met.select("left_out", "at", *[(F.col(f"all_{k}") - F.coalesce(F.col(k), F.lit(0.0))).alias(k) for k in sums]).filter("n > 0.5")
+    total = rest.groupBy(F.col("left_out").alias("_l")).agg(*[F.sum(k).alias(f"t_{k}") for k in ("n", "x", "y")])
+    rest = rest.join(total, F.col("left_out").eqNullSafe(F.col("_l")))
+    rest = rest.withColumns({"p": F.expr("x / n - t_x / t_n"), "q": F.expr("y / n - t_y / t_n")})
+    xx, xy = F.sum(F.expr("aa - 2 * p * a + n * p * p")), F.sum(F.expr("ab - p * b - q * a + n * p * q"))
+    return rest.groupBy("left_out").agg(F.when(xx > 1e-9, xy / xx).alias("coef"), F.sum("n").cast("long").alias("n_obs"))
+
+
+def ols_by(df: DataFrame, group: str, y: str, xs: list[str], cluster: str | None = None) -> DataFrame:
+    """``ols`` in each of a few groups, all in two passes: group, term, coef, stderr, t_value, n_obs, n_clusters, r2 (of the columns as they are)."""
+    c = [F.col(cluster).alias("_c")] if cluster else []
+    names = [f"_x{i}" for i in range(len(xs))]
+    d = df.select(F.col(group).alias("_g"), F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double").alias(n) for x, n in zip(xs, names, strict=True)], *c).na.drop()
+    pairs = [(i, j) for i in range(len(xs)) for j in range(i, len(xs))]
+    sums = [F.sum(F.col(names[i]) * F.col(names[j])) for i, j in pairs] + [F.sum(F.col(n) * F.col("_y")) for n in names]
+    sums += [F.sum(F.col("_y") * F.col("_y")), F.sum("_y"), F.count("*")]
+    fits = {}
+    for r in d.groupBy("_g").agg(*sums).collect():  # k-by-k numbers for each group
+        gram = np.zeros((len(xs),) * 2)
+        for (i, j), v in zip(pairs, r[1:], strict=False):
+            gram[i, j] = gram[j, i] = v
+        xy, (yy, sy, n) = np.array(r[1 + len(pairs) : 1 + len(pairs) + len(xs)]), r[-3:]
+        inv = np.linalg.pinv(gram)
+        fits[r[0]] = (inv @ xy, inv, n, float(1 - (yy - xy @ inv @ xy) / (yy - sy * sy / n)) if yy - sy * sy / n > 0 else None)
+    kind = d.schema["_g"].dataType.simpleString()
+    spark = df.sparkSession
+    betas = spark.createDataFrame([(g, [float(b) for b in f[0]]) for g, f in fits.items()], f"_k {kind}, _b array<double>")
+    fitted = sum((F.col(n) * F.col("_b")[i] for i, n in enumerate(names)), F.lit(0.0))
+    scores = d.join(betas, F.col("_g") == F.col("_k")).select("_g", *[(F.col(n) * (F.col("_y") - fitted)).alias(f"_s{i}") for i, n in enumerate(names)], *(["_c"] if cluster else []))
+    if cluster:
+        scores = scores.groupBy("_g", "_c").agg(*[F.sum(f"_s{i}").alias(f"_s{i}") for i in range(len(xs))])
+    rows = []
+    for r in scores.groupBy("_g").agg(F.count("*"), *[F.sum(F.col(f"_s{i}") * F.col(f"_s{j}")) for i, j in pairs]).collect():
+        beta, inv, n, r2 = fits[r[0]]
+        meat, k = np.zeros_like(inv), len(xs)
+        for (i, j), v in zip(pairs, r[2:], strict=True):
+            meat[i, j] = meat[j, i] = v
+        g = r[1] if cluster else None
+        meat *= g / max(g - 1, 1) * (n - 1) / max(n - k, 1) if cluster else n / max(n - k, 1)
+        se = np.sqrt(np.maximum(np.diag(inv @ meat @ inv), 0))
+        rows += [(r[0], x, float(b), float(s), float(b / s) if s > 0 else None, n, g, r2) for x, b, s in zip(xs, beta, se, strict=True)]
+    return spark.createDataFrame(rows, f"{group} {kind}, term string, coef double, stderr double, t_value double, n_obs long, n_clusters long, r2 double")
 
 
 def p_value(t: float, dof: int) -> float:
@@ -171,8 +234,8 @@ def mechanism(panel: DataFrame, outcomes: list[str], did: str) -> DataFrame:
     """Two-way effect of the treatment on each outcome, standardised over all rows; one aggregation for all."""
     names = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in outcomes)
     long = panel.select("unit", "t", F.col(did).alias("_did"), F.expr(f"stack({len(outcomes)}, {names}) AS (channel, v)")).filter("v IS NOT NULL")
-    w = Window.partitionBy("channel")
-    z = long.withColumn("v", (F.col("v") - F.avg("v").over(w)) / F.nullif(F.stddev_pop("v").over(w), F.lit(0.0)))
+    scale = long.groupBy("channel").agg(F.avg("v").alias("mean"), F.nullif(F.stddev_pop("v"), F.lit(0.0)).alias("sd"))
+    z = long.join(scale, "channel").select("unit", "t", "_did", "channel", ((F.col("v") - F.col("mean")) / F.col("sd")).alias("v"))
     return heterogeneity(z, "v", "_did", "channel")
 
 
