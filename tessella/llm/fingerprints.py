@@ -163,7 +163,8 @@ class FingerprintIndex:
 
     def _drop(self, runs: list[str]) -> None:
         for run in runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(run, 'none')}")
+            if run in self.names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.names.pop(run)}")
             fs, at = self._hadoop(f"runs/{run}")
             fs.delete(at, True)
 

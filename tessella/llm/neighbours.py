@@ -38,21 +38,27 @@ class Router:
 def nearest(base: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each query the ids of its k nearest in ``base``, its own id left out, and their distances; ties to the smaller id.
 
-    Products of matrices find those that may be among the k; their distances are computed anew from the differences.
+    Products of matrices find those that may be among the k, by bounds of their rounding errors, which grow with both
+    norms; their distances are computed anew from the differences. Where a norm leaves the range of doubles all
+    are; a distance that does is infinite, and comes last.
     """
-    out, norms = [], (base**2).sum(1)
-    for at in range(0, len(queries), 256):
-        some = queries[at : at + 256]
-        square = norms + (some**2).sum(1)[:, None] - 2 * some @ base.T
-        square[own[at : at + 256, None] == ids] = np.inf
-        for q, row in zip(some, square, strict=True):
-            near = row < np.inf
-            if near.sum() > k:
-                near &= row <= np.partition(row, k - 1)[k - 1] + 1e-9 * (1 + norms.max())
-            near = np.flatnonzero(near)
-            exact = np.sqrt(((base[near] - q) ** 2).sum(1))
-            order = np.lexsort((ids[near], exact))[:k]
-            out.append((ids[near][order], exact[order]))
+    out, bound = [], 8 * (base.shape[1] + 4) * np.finfo(float).eps
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = (base**2).sum(1)
+        for at in range(0, len(queries), 256):
+            some = queries[at : at + 256]
+            size = norms + (some**2).sum(1)[:, None]
+            square, error = size - 2 * some @ base.T, bound * size
+            others = own[at : at + 256, None] != ids
+            for q, row, wrong, other in zip(some, square, error, others, strict=True):
+                near = other
+                if other.sum() > k and np.isfinite(row + wrong).all():
+                    most = np.partition(np.where(other, row + wrong, np.inf), k - 1)[k - 1]
+                    near = other & (row - wrong <= most)
+                near = np.flatnonzero(near)
+                exact = np.sqrt(((base[near] - q) ** 2).sum(1))
+                order = np.lexsort((ids[near], exact))[:k]
+                out.append((ids[near][order], exact[order]))
     return out
 
 

@@ -32,7 +32,8 @@ BASE = (
 )
 MORE = (
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
+    # what begins like one and isn't is a match that fails, so that a run is looked at twice at most
+    Rule("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*)|eyJ[A-Za-z0-9_-]*", 1, 1, version=2),
     Rule("prefixed", r"(?:gh[opsu]|xox[abp]|sk_live)[_-][A-Za-z0-9_-]{16,}"),
 )
 RULES = BASE + MORE
