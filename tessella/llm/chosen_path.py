@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Sieve, WorkFolder, whole_groups
+from tessella.llm.common import Sieve, WorkFolder
 from tessella.llm.components import components
-from tessella.llm.parity import BITS, bit_sketch, digest, shingle_sets, similar
+from tessella.llm.nodes import bit_sketch, compare, similar, tiles
+from tessella.llm.parity import digest, shingle_sets
 from tessella.llm.words import mix
 
 _U = np.uint64
@@ -19,7 +20,7 @@ TREES = 16
 #: Minwise tokens of a document that branches below a root choose from.
 TOKENS = 64
 #: Members of a node that are compared exhaustively; larger nodes branch.
-SMALL = 512
+SMALL = 2048
 #: Times a node branches; nodes that are large even then are compared tile by tile.
 DEPTH = 8
 #: Shingles that are hashed together.
@@ -108,83 +109,13 @@ def _sized(members: DataFrame) -> DataFrame:
     return members.join(sizes.hint("merge"), "node").select("node", "sid", "size")
 
 
-def forest(near: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that join what the symmetric matrix joins, and no more than that takes; from the members with most neighbours outward."""
-    degree = near.sum(axis=1)
-    left, out = degree > 0, []
-    for root in np.argsort(-degree, kind="stable"):
-        if not left[root]:
-            continue
-        left[root], todo = False, [root]
-        while todo:
-            nxt = []
-            for i in todo:
-                found = np.flatnonzero(near[i] & left)
-                left[found] = False
-                out += [(int(i), int(j)) for j in found]
-                nxt += found.tolist()
-            todo = sorted(nxt, key=lambda j: -degree[j])
-    return out
-
-
-def close_pairs(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """Which of all pairs of members may be similar, by their sizes and their sketches' Hamming distance: never leaves out one that is."""
-    small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    apart = np.zeros((len(n), len(n)), dtype=np.int64)
-    for word in bits.T:
-        apart += np.bitwise_count(word[:, None] ^ word[None, :])
-    near = (small * 100 >= large * percent) & (apart * (100 + percent) <= (small + large) * (100 - percent))
-    np.fill_diagonal(near, False)
-    return near
-
-
-def _compared(batches, percent: int, every: bool):
-    """Pairs (a, b) of the members (leaf, side, sid, label, n, bits) of each leaf, compared exhaustively, that may be similar and have different labels.
-
-    Unless ``every``, of each leaf only so many pairs that all the others are between sets that these pairs join; a
-    row (null, null, leaf) tells that there are others.
-    """
-    import pyarrow as pa
-
-    for some in whole_groups(batches):
-        leaf, side, sid, label, n = (some.column(i).to_numpy() for i in range(5))
-        bits = some.column(5).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS)
-        start = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
-        rows: list = []
-        for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(leaf)], strict=True):
-            if hi - lo < 2 or (label[lo:hi] == label[lo]).all():
-                continue
-            near = close_pairs(n[lo:hi], bits[lo:hi], percent) & (label[lo:hi, None] != label[None, lo:hi])
-            if side[lo:hi].any():  # of two tiles: each is compared with the other
-                near &= side[lo:hi, None] != side[None, lo:hi]
-            if every:
-                pairs = list(zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True))
-            else:
-                pairs = forest(near)
-                if len(pairs) < np.count_nonzero(near) // 2:
-                    rows.append((None, None, int(leaf[lo])))
-            rows += [(*sorted((int(sid[lo + i]), int(sid[lo + j]))), None) for i, j in pairs]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["a", "b", "leaf"])
-
-
-def _tiles(members: DataFrame) -> DataFrame:
-    """Leaves (leaf, side, sid): small nodes as they are; of large ones every tile by itself and with every other one."""
-    tiles = members.select("node", "sid", F.expr(f"cast((size + {SMALL - 1}) div {SMALL} as int)").alias("tiles"))
-    own = tiles.withColumn("own", F.expr("cast(pmod(xxhash64(sid), tiles) as int)"))
-    met = own.select("node", "sid", "own", F.explode(F.expr("sequence(0, tiles - 1)")).alias("other"))
-    lower, upper = F.least("own", "other"), F.greatest("own", "other")
-    met = met.select("node", "sid", lower.alias("lo"), upper.alias("hi"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"))
-    return met.select(F.xxhash64("node", "lo", "hi").alias("leaf"), "side", "sid")
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text); links are Jaccard similarities of k-word shingle sets of ``percent`` / 100 or more.
 
     1. A set's minwise tokens under TREES hashes are its nodes below the roots of as many trees. Copies of a set are one.
     2. A node of more than SMALL sets branches by minwise tokens that it chooses, until its nodes are small, DEPTH times at most. What is
        large even then (sets that are alike, but not as much as asked for) is compared tile by tile.
-    3. In large nodes all sets are compared with the most central one first, which joins most copies of a kind.
-    4. Small nodes are compared exhaustively, by sizes and bit sketches, which leave out no similar pair; of what passes so many pairs as join the rest are
+    3. Small nodes are compared exhaustively, by sizes and bit sketches, which leave out no similar pair; of what passes so many pairs as join the rest are
        confirmed on the full sets, then those that are still in different components.
 
     So links are exact, and a component is found whole unless one of its links that nothing else replaces is missed in every tree. With p the
@@ -194,7 +125,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     a doc_id, whose component_id and kept are null. Equal doc_ids with different texts link by each of their texts. An empty table gives no rows.
     """
     work = WorkFolder(docs.sparkSession, "chosen_path")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     small = work.cut(texts.mapInArrow(lambda b: _roots(b, k), "doc_id long, n long, d1 long, d2 long, nodes array<long>"), "small")
     classes = work.cut(small.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), "classes")
@@ -208,39 +138,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     found = texts.mapInArrow(lambda b: _sets(b, k, sieve), "sid long, n long, bits array<long>, tokens array<long>, shingles array<long>")
     sets = work.cut(found, "sets")
 
-    central = members.groupBy("sid").agg(F.sum("size").alias("central"))
     leaves, large = [members.filter(f"size <= {SMALL}")], members.filter(f"size > {SMALL}")
-    crowds = [large]
     for depth in range(1, DEPTH + 1):
         if large.isEmpty():
             break
         members = work.cut(_sized(_branched(large.select("node", "sid"), sets, percent).distinct()), f"level{depth}")
         leaves.append(members.filter(f"size <= {SMALL}"))
         large = members.filter(f"size > {SMALL}")
-        crowds.append(large)
     leaves.append(large)
-    crowd = reduce(DataFrame.union, crowds).select("node", "sid")
-    leader = crowd.join(central, "sid").groupBy("node").agg(F.max(F.struct("central", F.col("sid").alias("leader"))).alias("l")).select("node", "l.leader")
-    stars = crowd.join(leader, "node").filter("sid <> leader").select(F.least("sid", "leader").alias("a"), F.greatest("sid", "leader").alias("b")).distinct()
-    links = work.cut(similar(stars, sets, percent), "stars")
 
-    tiled = work.cut(_tiles(reduce(DataFrame.union, leaves)), "tiles")
+    tiled = work.cut(tiles(reduce(DataFrame.union, leaves), SMALL), "tiles")
     sketched = sets.select("sid", "n", "bits").dropDuplicates(["sid"])
-    for turn, every in enumerate((False, True)):
-        label = components(links, work, f"part{turn}")
-        rows = tiled.join(label.select(F.col("node").alias("sid"), "label"), "sid", "left").join(sketched, "sid")
-        rows = rows.select("leaf", "side", "sid", F.coalesce("label", "sid").alias("label"), "n", "bits")
-        compared = rows.repartition(parts, "leaf").sortWithinPartitions("leaf").mapInArrow(lambda b, every=every: _compared(b, percent, every), "a long, b long, leaf long")
-        compared = work.cut(compared, f"compared{turn}")
-        confirmed = similar(compared.filter("a IS NOT NULL").select("a", "b").distinct(), sets, percent)
-        links = links.union(work.cut(confirmed, f"links{turn}"))
-        tiled = tiled.join(compared.filter("leaf IS NOT NULL").select("leaf").distinct(), "leaf", "left_semi")
+    compared = work.cut(compare(tiled.select("leaf", "side", "sid", F.col("sid").alias("label")), sketched, percent, False), "compared")
+    links = work.cut(similar(compared.filter("a IS NOT NULL").select("a", "b").distinct(), sets, percent, sketched=True), "links")
+    label = components(links, work, "part").select(F.col("node").alias("sid"), "label")
+    again = tiled.join(compared.filter("leaf IS NOT NULL").select("leaf").distinct(), "leaf", "left_semi")
+    again = again.join(label, "sid", "left").select("leaf", "side", "sid", F.coalesce("label", "sid").alias("label"))
+    others = work.cut(compare(again, sketched, percent, True).select("a", "b").distinct(), "others")
+    links = links.union(work.cut(similar(others, sets, percent, sketched=True), "more"))
     joined = components(links, work, "all")
 
     by_set = classes.join(joined.select(F.col("node").alias("d1"), "label"), "d1", "left").select("n", "d1", "d2", "rep", F.coalesce("label", "d1").alias("label"))
     least = by_set.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = work.cut(by_set.join(least, "label").select("n", "d1", "d2", "component_id"), "components")
-    work.drop("sets", "tiles", "stars", "links0", "links1", "compared0", "compared1", "classes", *(f"level{i}" for i in range(DEPTH + 1)))
+    work.drop("sets", "tiles", "links", "compared", "others", "more", "classes", *(f"level{i}" for i in range(DEPTH + 1)))
     out = small.join(final.hint("merge"), ["n", "d1", "d2"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

@@ -6,13 +6,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.common import WorkFolder, slices
+from tessella.llm.common import WorkFolder, boxed, in_row, slices, unboxed
 from tessella.llm.components import components
+from tessella.llm.nodes import bit_sketch, compare, needed, passes, similar, tiles
 from tessella.llm.words import Words, mix
 
 _U = np.uint64
-#: 64-bit words of the one-bit-a-shingle sketch that candidates are first compared by.
-BITS = 16
+#: Members of a key's group that are compared together.
+SMALL = 2048
 
 
 def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
@@ -85,13 +86,6 @@ def digest(shingles: np.ndarray) -> tuple[int, int]:
     return int(mix(shingles).sum(dtype=np.uint64).astype(np.int64)), int(np.bitwise_xor.reduce(mix(shingles ^ _U(0xA5A5A5A5A5A5A5A5))).astype(np.int64))
 
 
-def bit_sketch(shingles: np.ndarray) -> np.ndarray:
-    """Parities of the shingles at 64 * BITS places: their Hamming distance is at most the symmetric difference."""
-    place = mix(shingles ^ _U(0x5DEECE66D5DEECE6))
-    parity = np.bincount((place % _U(64 * BITS)).astype(np.int64), minlength=64 * BITS) & 1
-    return np.packbits(parity.astype(np.uint8)).view(np.int64)
-
-
 def _small(batches, k: int, bands: Bands):
     import pyarrow as pa
 
@@ -140,22 +134,6 @@ def _rows(pa, rows):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), longs, longs, fine), strict=True)], ["sid", "n", "bits", "shingles", "fine"])
 
 
-def _far(a: str, b: str, percent: int) -> str:
-    """SQL: the sketches alone rule the pair out."""
-    hamming = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(BITS))
-    return f"least({a}.n, {b}.n) * 100 < greatest({a}.n, {b}.n) * {percent} OR ({hamming}) * {100 + percent} > ({a}.n + {b}.n) * {100 - percent}"
-
-
-def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose sets (sid, n, bits, shingles) are similar: first by size and sketches, then exactly."""
-    light = sets.select("sid", "n", "bits")
-    near = pairs.join(light.select(F.col("sid").alias("a"), F.struct("n", "bits").alias("x")), "a").join(light.select(F.col("sid").alias("b"), F.struct("n", "bits").alias("y")), "b")
-    near = near.filter(f"NOT ({_far('x', 'y', percent)})").select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
-    met = near.join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return met.select("a", "b", (F.col("na") + F.col("nb")).alias("sum"), both.alias("both")).filter(f"100 * both >= {percent} * (sum - both)").select("a", "b")
-
-
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text); links are Jaccard similarities of k-word shingle sets of ``percent`` / 100 or more.
 
@@ -164,7 +142,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     2. Of those, finer sketches: their keys in order of how many sets have them, rarest first. Of t + 1 more
        than the pair may differ in, similar pairs share one of the first; sets with so many keys of their own are alone.
     3. In each key's group every set is compared with the most central one; components of these
-       links; then only pairs in different components, if size and bit sketches allow.
+       links; then only pairs in different components, in tiles of SMALL sets, if size and bit sketches allow.
        So all members of a component are found, but within a component not every pair is looked at.
 
     The large joins are sort-merge joins at every size: their sides grow with the documents.
@@ -186,7 +164,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     small = work.cut(small.drop("keys"), "narrow")
     work.drop("small")
 
-    met = texts.join(chosen.hint("merge"), "doc_id").dropDuplicates(["doc_id", "sid", "text"])
+    passed = needed(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", chosen.select("doc_id"))
+    met = passed.join(chosen.hint("merge"), "doc_id").dropDuplicates(["doc_id", "sid", "text"])
     schema = "sid long, n long, bits array<long>, shingles array<long>, fine array<struct<band:int,need:int,blocks:int,keys:array<long>>>"
     sets = work.cut(met.select("sid", "text").mapInArrow(lambda b: _full(b, k, bands), schema), "sets")
 
@@ -202,17 +181,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     links = work.cut(similar(pairs, sets, percent), "links")
     found = components(links, work, "star")
     placed = first.join(found.select(F.col("node").alias("sid"), "label"), "sid", "left").select("key", "sid", F.coalesce("label", "sid").alias("label"))
-    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-    open_ = work.cut(placed.join(mixed, "key", "left_semi").join(sets.select("sid", "n", "bits"), "sid"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    apart = x.join(y, F.expr(f"x.key = y.key AND x.label <> y.label AND x.sid < y.sid AND NOT ({_far('x', 'y', percent)})"))
-    more = similar(apart.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), sets, percent)
+    mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
+    open_ = work.cut(placed.join(mixed, "key").select(F.col("key").alias("node"), "sid", "label", "size"), "open")
+    leaves = tiles(open_, SMALL).join(open_.select("sid", "label").distinct(), "sid")
+    apart = work.cut(compare(leaves, sets.select("sid", "n", "bits"), percent, True).select("a", "b").distinct(), "apart")
+    more = similar(apart, sets, percent, sketched=True)
     joined = components(links.union(work.cut(more, "more")), work, "all")
 
     by_set = classes.join(joined.select(F.col("node").alias("d1"), "label"), "d1", "left").select("n", "d1", "d2", "rep", F.coalesce("label", "d1").alias("label"))
     least = by_set.groupBy("label").agg(F.min("rep").alias("component_id"))
     final = work.cut(by_set.join(least, "label").select("n", "d1", "d2", "component_id"), "components")
-    work.drop("sets", "first", "links", "open", "more", "classes")
+    work.drop("sets", "first", "links", "open", "apart", "more", "classes")
     out = small.join(final.hint("merge"), ["n", "d1", "d2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
@@ -222,6 +201,15 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without a doc_id all stay.
     """
-    kept = near_duplicates(docs.select("doc_id", "text"), k, percent).filter("doc_id = component_id").select("doc_id").distinct()
-    stay = docs.filter("doc_id IS NOT NULL").join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return stay.union(docs.filter("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    work = WorkFolder(docs.sparkSession, "one-of-each")
+    found = work.cut(near_duplicates(docs.select("doc_id", "text"), k, percent).filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "component_id"), "components")
+    # rows that can't go as they are, a part of all: of those of repeated ids one stays, of those with a smaller one in their component none
+    odd = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("kept"))
+    odd = work.cut(odd.filter("n > 1 OR kept = 0").select(F.col("doc_id").alias("odd"), "kept"), "odd")
+    rows = boxed(docs).withColumn("id", in_row("doc_id").cast("long"))
+    sieve = passes(odd.select("odd"))
+    maybe, plain = rows.filter(sieve("id")), rows.filter(~sieve("id"))
+    met = maybe.join(odd.hint("merge"), F.col("id") == F.col("odd"), "left")
+    alone = met.filter("odd IS NULL").select("row")
+    one = met.filter("kept = 1").dropDuplicates(["id"]).select("row")
+    return unboxed(plain.select("row").union(alone).union(one))

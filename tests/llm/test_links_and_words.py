@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from test_llm_operators import SCHEMA, lower, rows, words
 
-from tessella.llm import chosen_path, divergence, spelling
+from tessella.llm import chosen_path, divergence, nodes, spelling
 from tessella.llm.common import Sieve, WorkFolder
 
 WIDE = SCHEMA + ", g long, node long, v long, term string, form string, size long, leaf long, label long"
@@ -210,7 +210,7 @@ def test_forest_joins_what_the_pairs_join():
     for _ in range(50):
         near = np.triu(rng.random((12, 12)) < 0.1, 1)
         near |= near.T
-        edges = chosen_path.forest(near)
+        edges = nodes.forest(near)
         assert all(near[i, j] for i, j in edges)
         reach, part = np.linalg.matrix_power(near.astype(int) + np.eye(12, dtype=int), 12) > 0, np.eye(12, dtype=int)
         for i, j in edges:
@@ -224,7 +224,7 @@ def test_close_pairs_keep_every_similar_pair():
     for _ in range(40):
         base = rng.integers(0, 1 << 63, 400).astype(np.uint64)
         sets += [np.unique(base[: rng.integers(330, 401)]) for _ in range(3)]
-    near = chosen_path.close_pairs(np.array([len(s) for s in sets]), np.array([chosen_path.bit_sketch(s).view(np.uint64) for s in sets]), 85)
+    near = nodes.close_pairs(np.array([len(s) for s in sets]), np.array([nodes.bit_sketch(s).view(np.uint64) for s in sets]), 85)
     for i, s in enumerate(sets):
         for j, t in enumerate(sets[:i]):
             both = len(np.intersect1d(s, t))
