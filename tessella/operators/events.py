@@ -170,28 +170,33 @@ def project_events(projects: DataFrame, refs: int = 6) -> DataFrame:
     return (g if kept.isEmpty() else kept).drop("_q")
 
 
-def core_design(registry: DataFrame, panel: DataFrame, cap: int, threshold: float = 0.7, fallback: float = 0.6) -> DataFrame:
+#: Tracks of treatment in the order they are tried: (name, whose cohorts, least and most share of the panel's clusters); fixed values.
+TRACKS = (
+    ("direct_core", "core", 0.08, 0.70),
+    ("external_direct", "external", 0.05, 0.70),
+    ("direct_non_ai_fallback", "all", 0.05, 0.80),
+    ("external_direct_high_coverage_fallback", "external", 0.0, 1.0),
+    ("direct_non_ai_fallback", "all", 0.0, 1.0),
+)
+
+
+def core_design(registry: DataFrame, panel: DataFrame, cap: int, threshold: float = 0.7, fallback: float = 0.6, tracks: tuple = TRACKS) -> DataFrame:
     """(cl, cohort, track) of the principal track. ``registry``: cl, start_t, intensity, grade, external (boolean).
 
     Core events: of grade A (or external, or all, where there are none), of ``threshold`` intensity or more and begun by ``cap``; none left, from the ``fallback`` quantile on.
-    The first track that covers a fitting share of the panel's clusters is taken: core (8 to 70 %), external (5 to 70 %), all (5 to 80 %), then external or all, whatever their share.
+    The first of ``tracks`` that has a cohort and covers a fitting share of the panel's clusters is taken. Two aggregates of conditional counts decide.
     """
-    grade_a, outside = registry.filter("grade = 'A'"), registry.filter("external")
-    base, early = grade_a, F.col("start_t") <= cap
-    for other in (outside, registry):
-        if base.isEmpty():
-            base = other
-    core = base.filter((F.col("intensity") >= threshold) & early)
-    if core.isEmpty():
-        cut = base.agg(F.percentile("intensity", fallback)).first()[0]
-        core = base.filter((F.col("intensity") >= F.lit(cut)) & early)
-    clusters = panel.select("cl").distinct()
-    n = clusters.count()
-    tracks = {}
-    for name, rows in (("core", core), ("external", outside), ("all", registry)):
-        first = rows.groupBy("cl").agg(F.min("start_t").alias("cohort"))
-        tracks[name] = (first, clusters.join(first, "cl", "left_semi").count() / max(n, 1), not first.isEmpty())
-    picks = [(k, k) for k, low, high in (("core", 0.08, 0.7), ("external", 0.05, 0.7), ("all", 0.05, 0.8)) if tracks[k][2] and low <= tracks[k][1] <= high]
-    picks += [(k, f"{k}_any_share") for k in ("external", "all") if tracks[k][2]] or [("all", "none")]
-    kind, name = picks[0]
-    return tracks[kind][0].select("cl", "cohort", F.lit(name).alias("track"))
+    outside, grade_a = F.coalesce(F.col("external"), F.lit(False)), F.coalesce(F.col("grade") == "A", F.lit(False))
+    some = registry.agg(F.max(grade_a).alias("a"), F.max(outside).alias("e"), *[F.percentile(F.when(c, F.col("intensity")), fallback).alias(n) for n, c in (("qa", grade_a), ("qe", outside), ("qall", F.lit(True)))],
+                        *[F.max(c & (F.col("intensity") >= threshold) & (F.col("start_t") <= cap)).alias(n) for n, c in (("ca", grade_a), ("ce", outside), ("call", F.lit(True)))]).first()
+    base, has, cut = (grade_a, some.ca, some.qa) if some.a else (outside, some.ce, some.qe) if some.e else (F.lit(True), some["call"], some.qall)
+    least = threshold if has or cut is None else cut
+    core = base & (F.col("intensity") >= F.lit(least)) & (F.col("start_t") <= cap)
+    kinds = {"core": core, "external": outside, "all": F.lit(True)}
+    first = registry.groupBy("cl").agg(*[F.min(F.when(c, F.col("start_t"))).alias(k) for k, c in kinds.items()])
+    clusters = panel.select("cl").distinct().withColumn("_in", F.lit(1))
+    met = clusters.join(first, "cl", "full").agg(F.sum("_in").alias("n"), *[F.count(k).alias(f"any_{k}") for k in kinds], *[F.count(F.when(F.col("_in") == 1, F.col(k))).alias(f"in_{k}") for k in kinds]).first()
+    share = {k: met[f"in_{k}"] / max(met.n or 0, 1) for k in kinds}
+    picks = [(name, kind) for name, kind, low, high in tracks if met[f"any_{kind}"] and low <= share[kind] <= high]
+    name, kind = picks[0] if picks else ("all_sources_fallback", "all")
+    return first.filter(F.col(kind).isNotNull()).select("cl", F.col(kind).alias("cohort"), F.lit(name).alias("track"))

@@ -191,73 +191,3 @@ def permutation_importance(df: DataFrame, y: str, betas: dict[str, float], key:
         row = auc(d, y, "p").join(base, F.lit(True)).select(F.lit(feature).alias("feature"), (F.col("base") - F.col("auc")).alias("auc_drop"))  # one row each
         out = row if out is None else out.union(row)
     return out
-
-
-NOWCAST = "grp string, t int, level double, nowcast double, low80 double, high80 double, low95 double, high95 double, trend double, period double, p_up double, p_down double, signal string, n_backtest int, mae double, rmse double, directional double, coverage95 double"
-#: Candidate periods of the harmonics; share of the harmonic forecast; weight of the last change in the trend.
-PERIODS, HARMONIC_SHARE, LAST_CHANGE, RIDGE = np.arange(2.0, 6.76, 0.25), 0.68, 0.24, 1.2
-
-
-def harmonic_fit(t: np.ndarray, y: np.ndarray, at: float, period: float) -> float:
-    """The forecast at ``at`` of a ridge regression on a line and two harmonics; the constant is free."""
-    basis = lambda x: np.column_stack([np.ones_like(x), x, *(f(k * 2 * np.pi / period * x) for k in (1, 2) for f in (np.sin, np.cos))])
-    x = basis(t)
-    if len(t) < x.shape[1]:
-        beta = np.linalg.lstsq(x, y, rcond=None)[0]
-    else:
-        beta = np.linalg.solve(x.T @ x + RIDGE * np.diag([0.0, *[1.0] * 5]), x.T @ y)
-    return float((basis(np.array([at])) @ beta)[0])
-
-
-def back_test(t: np.ndarray, y: np.ndarray, period: float, first: int) -> tuple[np.ndarray, float]:
-    """One-step forecasts for every row but the first (from row ``first`` on blended with the harmonics' one), and the last trend."""
-    trend, out = float(np.median(np.diff(y))), np.full(len(y), np.nan)
-    for i in range(1, len(y)):
-        out[i] = y[i - 1] + trend
-        if i >= first:
-            out[i] = HARMONIC_SHARE * harmonic_fit(t[:i], y[:i], t[i], period) + (1 - HARMONIC_SHARE) * out[i]
-        trend = (1 - LAST_CHANGE) * trend + LAST_CHANGE * (y[i] - y[i - 1])
-    return out, trend
-
-
-def nowcast_series(rows, band: float = 2.0):
-    """A pandas frame (grp, t, score) of one series to its row of ``NOWCAST``; none for under 4 values."""
-    import math
-
-    import pandas as pd
-
-    rows = rows.dropna(subset=["score"]).sort_values("t")
-    y, when = rows["score"].to_numpy(dtype=float), rows["t"].to_numpy()
-    if len(y) < 4:
-        return pd.DataFrame(columns=[c.split()[0] for c in NOWCAST.split(", ")])
-    t, first = (when - when[0]).astype(float), max(5, len(y) // 2)
-    scale = float(np.std(y)) if np.std(y) > 1e-6 else 1.0
-    best, found = -1.0, None
-    for period in PERIODS:
-        pred, trend = back_test(t, y, period, first)
-        score = 0.0
-        if len(y) > first:
-            right = np.mean(np.sign(np.diff(y)[first - 1 :]) == np.sign(pred[first:] - y[first - 1 : -1]))
-            score = 0.78 * right + 0.22 * min(1.0, max(0.0, 1 - float(np.sqrt(np.mean((y[first:] - pred[first:]) ** 2))) / scale))
-        if score > best:
-            best, found = score, (float(period), pred, trend)
-    period, pred, trend = found
-    errors_, changes = (y - pred)[1:], np.diff(y)
-    sd = float(np.std(errors_))
-    sd = max(0.8, sd if sd > 1e-6 else float(np.std(changes)))
-    now = HARMONIC_SHARE * harmonic_fit(t, y, t[-1] + 1, period) + (1 - HARMONIC_SHARE) * (y[-1] + trend)
-    spread = max(0.5, float(np.std(changes)))
-    cdf = lambda z: 0.5 * (1 + math.erf(z / math.sqrt(2)))
-    down, up = cdf((-band - trend) / spread), 1 - cdf((band - trend) / spread)
-    signal = "decelerate" if down >= max(0.45, up + 0.1) else "accelerate" if up >= max(0.45, down + 0.1) else "mixed"
-    row = (str(rows["grp"].iloc[0]), int(when[-1]) + 1, float(y[-1]), now, now - 1.28155 * sd, now + 1.28155 * sd, now - 1.96 * sd, now + 1.96 * sd, trend, period, up, down, signal, len(errors_))
-    back = (float(np.mean(np.abs(errors_))), float(np.sqrt(np.mean(errors_**2))), float(np.mean(np.sign(changes) == np.sign(pred[1:] - y[:-1]))), float(np.mean(np.abs(errors_) <= 1.96 * sd)))
-    return pd.DataFrame([row + back], columns=[c.split()[0] for c in NOWCAST.split(", ")])
-
-
-def nowcasts(series: DataFrame) -> DataFrame:
-    """One row for each ``grp`` of ``series`` (grp, t, score): the forecast for the period after its last, its bounds, the chances of a rise or fall beyond 2, and back-test errors.
-
-    A series is as long as there are periods, so a group is small; the number of series is what grows.
-    """
-    return series.select(F.col("grp").cast("string").alias("grp"), F.col("t").cast("int").alias("t"), F.col("score").cast("double").alias("score")).groupBy("grp").applyInPandas(lambda rows: nowcast_series(rows), NOWCAST)

@@ -159,7 +159,8 @@ def f5_project_events(spark, sf):
 c0 AS (SELECT * FROM base WHERE intensity >= 0.7 AND start_t <= 60), core AS (SELECT * FROM c0 UNION ALL SELECT * FROM base WHERE NOT EXISTS (SELECT 1 FROM c0) AND start_t <= 60 AND intensity >= (SELECT quantile_cont(intensity, 0.6) FROM base)),
 n AS (SELECT count(DISTINCT cl) AS n FROM np), tr AS (SELECT 'core' AS k, cl, min(start_t) AS cohort FROM core GROUP BY ALL UNION ALL SELECT 'external', cl, min(start_t) FROM g WHERE external GROUP BY ALL UNION ALL SELECT 'all', cl, min(start_t) FROM g GROUP BY ALL),
 sh AS (SELECT k, count(*) / any_value(n) AS s FROM tr, n WHERE cl IN (SELECT cl FROM np) GROUP BY 1),
-pick AS (SELECT k, name FROM (SELECT k, k AS name, CASE k WHEN 'core' THEN 1 WHEN 'external' THEN 2 ELSE 3 END AS o FROM sh WHERE s BETWEEN CASE k WHEN 'core' THEN 0.08 ELSE 0.05 END AND CASE k WHEN 'all' THEN 0.8 ELSE 0.7 END UNION ALL SELECT k, k || '_any_share', CASE k WHEN 'external' THEN 4 ELSE 5 END FROM sh WHERE k <> 'core') ORDER BY o LIMIT 1)
+opts AS (SELECT * FROM (VALUES (1, 'direct_core', 'core', 0.08, 0.7), (2, 'external_direct', 'external', 0.05, 0.7), (3, 'direct_non_ai_fallback', 'all', 0.05, 0.8), (4, 'external_direct_high_coverage_fallback', 'external', 0, 1), (5, 'direct_non_ai_fallback', 'all', 0, 1)) v(o, name, k, low, high)),
+pick AS (SELECT k, name FROM opts JOIN sh USING (k) WHERE s BETWEEN low AND high ORDER BY o LIMIT 1)
 SELECT cl, cohort, name AS track FROM tr JOIN pick USING (k)""")
 def f9_core_design(spark, sf):
     g = V.registry(spark, sf)

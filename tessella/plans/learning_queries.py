@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.operators import learning as L
+from tessella.operators.nowcast import nowcasts
 from tessella.plans import views as V
 from tessella.plans.registry import query
 from tessella.plans.regression_queries import SYD, U32, _syd
@@ -119,4 +120,4 @@ def n1_nowcast(spark, sf):
     g = V.panel_sy(spark, sf).groupBy(F.col("cl").alias("grp"), "t").agg((F.sum(V.cents("value")) / 100.0).alias("value"))
     series = g.select("grp", "t", (100 * F.col("value") / F.max("value").over(Window.partitionBy("t"))).alias("score"))
     numbers = ("level", "nowcast", "low80", "high80", "low95", "high95", "trend", "p_up", "p_down", "mae", "rmse", "directional", "coverage95")
-    return r(L.nowcasts(series), *numbers, digits=4)
+    return r(nowcasts(series), *numbers, digits=4)

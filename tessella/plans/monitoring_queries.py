@@ -98,11 +98,11 @@ def p1_trend_state(spark, sf):
 
 @query(f"""WITH {STATE}, pts AS (SELECT *, least(greatest(50 + 2 * slope, 0), 100) AS accel, slope AS accel_shift, least(greatest(55 - (level - prev), 0), 100) AS risk, -slope AS risk_shift, vol / 4 AS width, CASE WHEN unit % 4 > 0 THEN (unit % 5) / 4.0 END AS verified FROM state),
 n AS (SELECT *, least(greatest(level + slope * 0.25, 0), 100) AS nowcast, least(greatest(accel + 0.35 * accel_shift, 0), 100) AS na, least(greatest(risk + 0.8 * risk_shift * 0.25, 0), 100) AS nr, least(greatest(3.2 * width + 1.6 * vol, 0), 100) AS unc, least(greatest(coalesce(verified * 100, 65), 0), 100) AS q, level - prev AS drift FROM pts),
-k AS (SELECT *, CASE WHEN nr >= 85 AND na <= 45 THEN 'critical' WHEN nr >= 70 THEN 'warning' WHEN na >= 70 AND nr <= 40 THEN 'opportunity' WHEN q < 75 THEN 'data_watch' ELSE 'stable' END AS alert,
- CASE WHEN shock_z <= -2 AND nr >= 70 THEN 'down_break' WHEN shock_z >= 2 AND na >= 70 AND nr <= 70 THEN 'up_break' WHEN cp >= 0.72 AND nr >= 70 THEN 'fragile' WHEN abs(shock_z) >= 2 THEN 'jump' WHEN drift <= -2 AND nr >= 60 THEN 'slowdown' WHEN cp >= 0.57 THEN 'transition' ELSE 'steady' END AS sentinel,
+k AS (SELECT *, CASE WHEN nr >= 85 AND na <= 45 THEN 'critical_stall' WHEN nr >= 70 THEN 'stall_warning' WHEN na >= 70 AND nr <= 40 THEN 'acceleration_opportunity' WHEN q < 75 THEN 'data_watch' ELSE 'stable_watch' END AS alert,
+ CASE WHEN shock_z <= -2 AND nr >= 70 THEN 'downshift_break' WHEN shock_z >= 2 AND na >= 70 AND nr <= 70 THEN 'upshift_break' WHEN cp >= 0.72 AND nr >= 70 THEN 'fragile_transition' WHEN abs(shock_z) >= 2 THEN 'volatility_jump' WHEN drift <= -2 AND nr >= 60 THEN 'slowdown_watch' WHEN cp >= 0.57 THEN 'transition_watch' ELSE 'steady_transition' END AS sentinel,
  least(greatest(nr - 0.55 * na + 0.25 * unc + 0.18 * (100 - q), 0), 200) AS a, least(greatest(0.36 * nr + 0.24 * least(greatest(-drift * 8, 0), 100) + 0.18 * least(greatest(cp * 100, 0), 100) + 0.12 * least(greatest(abs(shock_z) * 25, 0), 100) + 0.06 * unc + 0.04 * least(greatest(100 - q, 0), 100), 0), 200) AS s FROM n)
 SELECT unit, round(nowcast, 6) AS nowcast, round(na, 6) AS now_accel, round(nr, 6) AS now_risk, round(unc, 6) AS uncertainty, round(q, 6) AS quality, alert, sentinel, round(a, 6) AS alert_score, round(s, 6) AS sentinel_score,
- row_number() OVER (ORDER BY list_position(['critical', 'warning', 'data_watch', 'opportunity', 'stable'], alert), round(a, 9) DESC, unit) AS alert_rank, row_number() OVER (ORDER BY list_position(['down_break', 'fragile', 'jump', 'slowdown', 'transition', 'up_break', 'steady'], sentinel), round(s, 9) DESC, unit) AS sentinel_rank FROM k""")
+ row_number() OVER (ORDER BY list_position(['critical_stall', 'stall_warning', 'data_watch', 'acceleration_opportunity', 'stable_watch'], alert), round(a, 9) DESC, unit) AS alert_rank, row_number() OVER (ORDER BY list_position(['downshift_break', 'fragile_transition', 'volatility_jump', 'slowdown_watch', 'transition_watch', 'upshift_break', 'steady_transition'], sentinel), round(s, 9) DESC, unit) AS sentinel_rank FROM k""")
 def p1_unit_watch(spark, sf):
     s, slope = _state(spark, sf), F.col("slope")
     hundred = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0))

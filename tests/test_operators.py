@@ -323,7 +323,7 @@ def test_nowcasts(spark):
     """The forecast of one series by hand, and that short series have none."""
     import numpy as np
 
-    from tessella.operators import learning
+    from tessella.operators import nowcast as learning
 
     y = [10 + 2 * t + 3 * np.sin(2 * np.pi * t / 4) for t in range(14)]
     rows = [("a", t, float(v)) for t, v in enumerate(y)] + [("b", t, 1.0) for t in range(3)] + [("a", 20, None)]
