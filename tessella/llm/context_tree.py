@@ -15,6 +15,8 @@ from tessella.llm.words import Table, Words, mix
 
 #: Bytes of context.
 DEPTH = 6
+#: Bytes of context by which subtrees are dealt to tasks; the nodes above are summed up by Spark.
+TOP = 3
 #: Bytes of text that are counted and scored together.
 BUCKET_BYTES = 16 << 20
 #: Lists of one chunk that meet in one task.
@@ -70,8 +72,8 @@ def grams(parts: list[bytes], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarra
 
 
 def chunk_of(keys: np.ndarray, n_chunks: int, depth: int) -> np.ndarray:
-    """All grams with the same last two bytes of context share a chunk, so that it holds whole subtrees from depth 2 on."""
-    return (mix(keys >> np.uint64(8 * (depth - 1))) % np.uint64(n_chunks)).astype(np.int64)
+    """All grams with the same last ``TOP`` bytes of context share a chunk, so that it holds whole subtrees from that depth on."""
+    return (mix(keys >> np.uint64(8 * (depth - TOP + 1))) % np.uint64(n_chunks)).astype(np.int64)
 
 
 def normal(text: bytes) -> bytes:
@@ -250,13 +252,17 @@ def level_of(grams_: np.ndarray, n: np.ndarray, depth: int, d: int, part: int =
     return Level(key, *(np.bincount(parent, np.concatenate(x), len(key)) for x in ([f.n0 for f in found], [f.n1 for f in found], [f.w for f in found])))
 
 
-def top_sums(grams_: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, ...]:
-    """What these subtrees add to the nodes of depth 1: key (last byte of context, bits so far), n0, n1, below."""
-    level = level_of(grams_, n, depth, 2)
+def sums_above(level: Level) -> tuple[np.ndarray, ...]:
+    """What the level's nodes add to their parents: key (last bytes of context, bits so far), n0, n1, below."""
     key, parent = np.unique(up(level.key), return_inverse=True)
     return key, *(np.bincount(parent, x, len(key)) for x in (level.n0, level.n1, level.w))
 
 
+def top_sums(grams_: np.ndarray, n: np.ndarray, depth: int, top: int = 2) -> tuple[np.ndarray, ...]:
+    """What these subtrees, whole from depth ``top`` on, add to the nodes one level above."""
+    return sums_above(level_of(grams_, n, depth, top))
+
+
 def top_paths(key: np.ndarray, n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> np.ndarray:
     """mixed, rest and shorter for the children of every node of depth 1, at [:, last byte of context << 8 | bits so far]."""
     first = Level(key, n0, n1, below)
@@ -314,7 +320,8 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUC
        grams and words with counts in lists by chunk: a chunk has whole subtrees, or words by a hash.
     2. Lists of a chunk are added up ``fanin`` at a time, level by level, until one task can take those that are left:
        it reads no list of a bucket, so a common subtree doesn't grow with the number of buckets.
-    3. Only the at most 65,280 nodes of depth 1 pass through the driver.
+    3. A chunk's subtrees begin at depth ``TOP``. What they add to the nodes above is summed up by Spark, level by level; only the at most 65,280
+       nodes of depth 1 pass through the driver.
     4. Each chunk's values go back down the same levels to the lists of the buckets, which meet their texts.
 
     Trees are in memory for ``PART`` grams at a time. A word is known by 64 bits. Every row is scored: repeated rows and
@@ -381,30 +388,53 @@ def score_documents(docs: DataFrame, depth: int = DEPTH, bucket_bytes: int = BUC
 
     def tops(key, table):
         keys, n = merged(table)
-        node, *sums = ([-1], [np.count_nonzero(n)], [0], [0]) if of_words(key[0].as_py()) else top_sums(keys, n, depth)
-        return pa.table({"node": pa.array(node, pa.int32()), **{c: pa.array(x, pa.float64()) for c, x in zip(("n0", "n1", "below"), sums, strict=True)}})
+        node, *sums = ([-1], [np.count_nonzero(n)], [0], [0]) if of_words(key[0].as_py()) else top_sums(keys, n, depth, TOP)
+        return pa.table({"chunk": pa.array(np.full(len(node), key[0].as_py()), pa.int32()), "node": pa.array(node, pa.int64()), **{c: pa.array(x, pa.float64()) for c, x in zip(("n0", "n1", "below"), sums, strict=True)}})
+
+    def level(batch):
+        """The nodes of a batch (node, n0, n1, below)."""
+        return Level(*(batch.column(i).to_numpy() for i in range(4)))
 
-    by_node = work.cut(levels[-1].groupBy("chunk").applyInArrow(tops, "node int, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")), "nodes")
-    top = by_node.orderBy("node").collect()
-    distinct = sum(int(r[1]) for r in top if r[0] < 0)
-    nodes = [r for r in top if r[0] >= 0]
+    def lift(batches):
+        for batch in batches:
+            if batch.num_rows:
+                key, *sums = sums_above(level(batch))
+                yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), *(pa.array(x, pa.float64()) for x in sums)], ["node", "n0", "n1", "below"])
+
+    def lower_(batches):
+        for batch in batches:
+            if batch.num_rows:
+                handed = level(batch).read(*paths.value[:, up(batch.column(0).to_numpy())])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.float64()) for x in handed)], ["node", "mixed", "rest", "shorter"])
+
+    # nodes of depth TOP - 1 by chunk: no more than there are nodes of depth TOP, each of which is in one chunk
+    sums, added = "node long, n0 double, n1 double, below double", [F.sum(c).alias(c) for c in ("n0", "n1", "below")]
+    by_chunk = work.cut(levels[-1].groupBy("chunk").applyInArrow(tops, f"chunk int, {sums}"), "nodes")
+    distinct = int(by_chunk.filter("node < 0").agg(F.sum("n0")).first()[0] or 0)
+    by_node = work.cut(by_chunk.filter("node >= 0").groupBy("node").agg(*added), "tops")
+    nodes = by_node.mapInArrow(lift, sums).groupBy("node").agg(*added).orderBy("node").collect()
     paths = spark.sparkContext.broadcast(top_paths(np.array([r[0] for r in nodes], dtype=np.int64), *(np.array([r[i] for r in nodes], dtype=np.float64) for i in (1, 2, 3))))
+    handed = by_chunk.filter("node >= 0").select("chunk", "node").join(by_node.mapInArrow(lower_, "node long, mixed double, rest double, shorter double"), "node")
 
     def answered(table, key, value):
         """The lists of ``table`` with the values of their keys."""
         each = [packed(value[np.searchsorted(key, unpacked_keys(k.as_py()))]) for k in table.column("keys")]
         return pa.table({"bucket": table.column("bucket"), "chunk": table.column("chunk"), "keys": table.column("keys"), "value": pa.array(each, pa.binary())})
 
-    def values(key, table):
+    def values(key, table, above):
         keys, n = merged(table)
-        return answered(table, keys, n if of_words(key[0].as_py()) else gram_values(keys, n, np.arange(1 << 16), paths.value, depth).astype(np.float32))
+        if of_words(key[0].as_py()):
+            return answered(table, keys, n)
+        above = above.sort_by("node")
+        path = np.stack([above.column(c).to_numpy() for c in ("mixed", "rest", "shorter")])
+        return answered(table, keys, gram_values(keys, n, above.column("node").to_numpy(), path, depth, TOP).astype(np.float32))
 
     def hand_down(key, table, model):
         kind = np.int64 if of_words(key[0].as_py()) else np.float32
         return answered(table, unpacked_keys(model.column("keys")[0].as_py()), unpacked(model.column("value")[0].as_py(), kind))
 
     schema = "bucket long, chunk int, keys binary, value binary"
-    model = levels[-1].groupBy("chunk").applyInArrow(values, schema)
+    model = levels[-1].groupBy("chunk").cogroup(handed.groupBy("chunk")).applyInArrow(values, schema)
     for lower in reversed(levels[:-1]):
         model = lower.groupBy("chunk", "group").cogroup(model.groupBy("chunk", "bucket")).applyInArrow(hand_down, schema)
 
