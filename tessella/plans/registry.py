@@ -22,6 +22,6 @@ def query(oracle: str | None = None) -> Callable:
     return add
 
 
-MODULES = ("shaping", "imputation", "indices", "spatial", "events", "quality", "dynamics", "sequences", "shocks", "regression", "metrics", "monitoring", "sources", "estimators", "learning", "trajectories", "phase", "inferred", "validity", "responses")
+MODULES = ("shaping", "imputation", "indices", "spatial", "events", "quality", "dynamics", "sequences", "shocks", "regression", "metrics", "monitoring", "sources", "estimators", "learning", "trajectories", "phase", "inferred", "validity", "responses", "trees")
 for _module in MODULES:
     importlib.import_module(f"tessella.plans.{_module}_queries")
