@@ -82,10 +82,11 @@ def _sets(batches, k: int, wanted: Sieve):
             size, end = np.cumsum([len(s) for s in found]), 1
             end = max(1, int(np.searchsorted(size, HASHED)))
             some, found = found[:end], found[end:]
-            columns = [pa.array([digest(s)[0] for s in some], pa.int64()), pa.array([len(s) for s in some], pa.int64())]
-            tokens = list(minwise(some, TREES, TOKENS).view(np.int64))
-            columns += [pa.array(c, longs) for c in ([bit_sketch(s) for s in some], tokens, [s.view(np.int64) for s in some])]
-            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "bits", "tokens", "shingles"])
+            tokens = minwise(some, TREES, TOKENS)
+            marks = [m.tobytes() for m in mix(tokens).astype(np.uint8)]
+            columns = [pa.array([digest(s)[0] for s in some], pa.int64()), pa.array([len(s) for s in some], pa.int64()), pa.array(marks, pa.binary())]
+            columns += [pa.array(c, longs) for c in ([bit_sketch(s) for s in some], list(tokens.view(np.int64)), [s.view(np.int64) for s in some])]
+            yield pa.RecordBatch.from_arrays(columns, names=["sid", "n", "mark", "bits", "tokens", "shingles"])
 
 
 def _branched(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -115,7 +116,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     1. A set's minwise tokens under TREES hashes are its nodes below the roots of as many trees. Copies of a set are one.
     2. A node of more than SMALL sets branches by minwise tokens that it chooses, until its nodes are small, DEPTH times at most. What is
        large even then (sets that are alike, but not as much as asked for) is compared tile by tile.
-    3. Small nodes are compared exhaustively, by sizes and bit sketches, which leave out no similar pair; of what passes so many pairs as join the rest are
+    3. Small nodes are compared exhaustively, by sizes and bit sketches, which leave out no similar pair, and by a byte of each minwise token, which leave
+       out one with a chance below 1e-13; of what passes so many pairs as join the rest are
        confirmed on the full sets, then those that are still in different components.
 
     So links are exact, and a component is found whole unless one of its links that nothing else replaces is missed in every tree. With p the
@@ -135,7 +137,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     sieve = Sieve(wanted)
     small = work.cut(small.drop("nodes"), "narrow")
     work.drop("small", "wanted")
-    found = texts.mapInArrow(lambda b: _sets(b, k, sieve), "sid long, n long, bits array<long>, tokens array<long>, shingles array<long>")
+    found = texts.mapInArrow(lambda b: _sets(b, k, sieve), "sid long, n long, mark binary, bits array<long>, tokens array<long>, shingles array<long>")
     sets = work.cut(found, "sets")
 
     leaves, large = [members.filter(f"size <= {SMALL}")], members.filter(f"size > {SMALL}")
@@ -148,7 +150,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 85) -> DataFrame
     leaves.append(large)
 
     tiled = work.cut(tiles(reduce(DataFrame.union, leaves), SMALL), "tiles")
-    sketched = sets.select("sid", "n", "bits").dropDuplicates(["sid"])
+    sketched = sets.select("sid", "n", "bits", "mark").dropDuplicates(["sid"])
     compared = work.cut(compare(tiled.select("leaf", "side", "sid", F.col("sid").alias("label")), sketched, percent, False), "compared")
     links = work.cut(similar(compared.filter("a IS NOT NULL").select("a", "b").distinct(), sets, percent, sketched=True), "links")
     label = components(links, work, "part").select(F.col("node").alias("sid"), "label")

@@ -53,8 +53,28 @@ def close_pairs(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
     return near
 
 
+def least_agreeing(marks: int, percent: int) -> int:
+    """Of so many minwise tokens, how many two sets that are as similar as asked for share at least, but for a chance below 1e-13: eight deviations under the mean."""
+    p = percent / 100
+    return max(0, int(np.floor(marks * p - 8 * np.sqrt(marks * p * (1 - p)))))
+
+
+def agreeing(near: np.ndarray, marks: list, percent: int) -> np.ndarray:
+    """``near`` without pairs whose marks, a byte of each minwise token, agree too seldom: tells sets apart that are too large for their sketches."""
+    i, j = np.nonzero(np.triu(near))
+    if not len(i) or marks[0] is None:
+        return near
+    each = np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(len(marks), -1)
+    least = least_agreeing(each.shape[1], percent)
+    out = np.zeros_like(near)
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        out[a, b] = (each[a] == each[b]).sum(axis=1) >= least
+    return out | out.T
+
+
 def _compared(batches, percent: int, every: bool):
-    """Pairs (a, b) of the members (leaf, side, sid, label, n, bits) of each leaf, compared exhaustively, that may be similar and have different labels.
+    """Pairs (a, b) of the members (leaf, side, sid, label, n, bits, mark) of each leaf, compared exhaustively, that may be similar and have different labels.
 
     Unless ``every``, of each leaf only so many pairs that all the others are between sets that these pairs join; a
     row (null, null, leaf) tells that there are others.
@@ -64,6 +84,7 @@ def _compared(batches, percent: int, every: bool):
     for some in whole_groups(batches):
         leaf, side, sid, label, n = (some.column(i).to_numpy() for i in range(5))
         bits = some.column(5).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITS)
+        marks = some.column(6).to_pylist()
         start = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
         rows: list = []
         for lo, hi in zip(start.tolist(), [*start[1:].tolist(), len(leaf)], strict=True):
@@ -72,6 +93,7 @@ def _compared(batches, percent: int, every: bool):
             near = close_pairs(n[lo:hi], bits[lo:hi], percent) & (label[lo:hi, None] != label[None, lo:hi])
             if side[lo:hi].any():  # of two tiles: each is compared with the other
                 near &= side[lo:hi, None] != side[None, lo:hi]
+            near = agreeing(near, marks[lo:hi], percent)
             if every:
                 pairs = list(zip(*(x.tolist() for x in np.nonzero(np.triu(near))), strict=True))
             else:
@@ -85,7 +107,7 @@ def _compared(batches, percent: int, every: bool):
 def compare(rows: DataFrame, sketched: DataFrame, percent: int, every: bool) -> DataFrame:
     """(a, b, leaf) of ``rows`` (leaf, side, sid, label), as ``_compared`` tells."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = rows.join(sketched, "sid").select("leaf", "side", "sid", "label", "n", "bits").repartition(parts, "leaf").sortWithinPartitions("leaf")
+    met = rows.join(sketched, "sid").select("leaf", "side", "sid", "label", "n", "bits", "mark").repartition(parts, "leaf").sortWithinPartitions("leaf")
     return met.mapInArrow(lambda b: _compared(b, percent, every), "a long, b long, leaf long")
 
 

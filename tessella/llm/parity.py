@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     mixed = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo < hi").select("key", "size")
     open_ = work.cut(placed.join(mixed, "key").select(F.col("key").alias("node"), "sid", "label", "size"), "open")
     leaves = tiles(open_, SMALL).join(open_.select("sid", "label").distinct(), "sid")
-    apart = work.cut(compare(leaves, sets.select("sid", "n", "bits"), percent, True).select("a", "b").distinct(), "apart")
+    apart = work.cut(compare(leaves, sets.select("sid", "n", "bits", F.lit(None).cast("binary").alias("mark")), percent, True).select("a", "b").distinct(), "apart")
     more = similar(apart, sets, percent, sketched=True)
     joined = components(links.union(work.cut(more, "more")), work, "all")
 

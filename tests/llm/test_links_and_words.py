@@ -231,6 +231,18 @@ def test_close_pairs_keep_every_similar_pair():
             assert near[i, j] or 100 * both < 85 * (len(s) + len(t) - both)
 
 
+def test_marks_keep_similar_pairs_and_tell_large_sets_apart():
+    rng = np.random.default_rng(8)
+    base, sets = rng.integers(0, 1 << 63, 9000).astype(np.uint64), []
+    for similar in (0.86, 0.99, 0.3, 0.0):
+        kept = int(9000 * 2 * similar / (1 + similar))
+        sets.append(np.unique(np.concatenate([base[:kept], rng.integers(0, 1 << 63, 9000 - kept).astype(np.uint64)])))
+    marks = [m.tobytes() for m in chosen_path.mix(chosen_path.minwise([np.unique(base), *sets], 16, 64)).astype(np.uint8)]
+    near = nodes.agreeing(~np.eye(5, dtype=bool), marks, 85)
+    assert near[0].tolist() == [False, True, True, False, False] and (near == near.T).all()
+    assert nodes.least_agreeing(64, 85) == 31 and nodes.agreeing(~np.eye(5, dtype=bool), [None] * 5, 85).sum() == 20
+
+
 def test_sieve(spark):
     ids = list(range(0, 20_000, 7)) + [-1, (1 << 63) - 1]
     made = Sieve(spark.createDataFrame([(i,) for i in [*ids, None]], "id long"))
