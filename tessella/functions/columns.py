@@ -55,6 +55,21 @@ def keyed_draw(*keys: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[k.cast("string") for k in keys])), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def poisson_edges() -> list[float]:
+    """The chances that a Poisson count of mean 1 is 0, at most 1, at most 2 and so on, until the rest is less than a keyed draw can tell (2**-32)."""
+    edges, mass, k = [], 0.36787944117144233, 0
+    while not edges or 1 - edges[-1] >= 2.0**-32:
+        edges.append((edges[-1] if edges else 0.0) + mass)
+        k += 1
+        mass /= k
+    return edges
+
+
+def poisson_weight(u: Column) -> Column:
+    """A Poisson count of mean 1 by a draw from [0, 1)."""
+    return sum(((u >= edge).cast("int") for edge in poisson_edges()), F.lit(0))
+
+
 def numbered(df: DataFrame, draw: Column, tie: str, name: str, within: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with each row's place from 1 on by ``draw`` (in [0, 1)) and ``tie``; places are counted in 256 ranges of the draw and the ranges' counts summed on top."""
     d = df.withColumn("_u", draw).withColumn("_range", F.floor(F.col("_u") * 256).cast("int"))

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import keyed_draw
+from tessella.functions.columns import keyed_draw, poisson_weight
 from tessella.operators.estimators import by_key, grams, linear, solved
 
 
@@ -165,11 +165,7 @@ def bootstrap_brier_gain(df: DataFrame, y: str, a: str, b: str, key: str, draws:
     d = df.select(F.col(key), (F.pow(F.col(b) - F.col(y), 2) - F.pow(F.col(a) - F.col(y), 2)).alias("g")).na.drop()
     point = d.agg(F.avg("g").alias("gain"), F.count("*").alias("n"))
     each = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u, weight, edge, mass = keyed_draw(F.col("draw"), F.col(key)), F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        edge += mass
-        weight = weight + (u >= edge).cast("int")
-        mass /= k + 1
+    weight = poisson_weight(keyed_draw(F.col("draw"), F.col(key)))
     null = each.withColumn("w", weight).groupBy("draw").agg((F.sum(F.col("w") * F.col("g")) / F.nullif(F.sum("w"), F.lit(0))).alias("b"))
     share = lambda c: F.avg(c.cast("double"))
     ci = null.agg(F.percentile("b", 0.025).alias("low"), F.percentile("b", 0.975).alias("high"), F.least(F.lit(1.0), 2 * F.least(share(F.col("b") <= 0), share(F.col("b") >= 0))).alias("p"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import keyed_draw, numbered, sums_before
+from tessella.functions.columns import keyed_draw, numbered, poisson_weight, sums_before
 
 
 def auc(df: DataFrame, y: str, p: str, group: str | None = None) -> DataFrame:
@@ -86,11 +86,7 @@ def cluster_bootstrap(df: DataFrame, value: str, cluster: str, draws: int) -> Da
     """Mean of ``value`` in each of ``draws`` resamples of clusters: cluster sums first, then Poisson(1) weights by keyed draw."""
     sums = df.groupBy(F.col(cluster).cast("string").alias("c")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
     d = sums.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u, weight, edge, mass = keyed_draw(F.col("draw"), F.col("c")), F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        edge += mass
-        weight = weight + (u >= edge).cast("int")
-        mass /= k + 1
+    weight = poisson_weight(keyed_draw(F.col("draw"), F.col("c")))
     w = d.withColumn("w", weight)
     return w.groupBy("draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("mean"))
 
@@ -134,11 +130,7 @@ def paired_delta(df: DataFrame, y: str, a: str, b: str, scope: str, draws: int)
     d = df.withColumn("_d", F.abs(F.col(a) - F.col(y)) - F.abs(F.col(b) - F.col(y)))
     mean = d.groupBy(scope).agg(F.avg("_d").alias("gain"), F.count("*").alias("n"))
     boots = d.select(scope, "id", "_d", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    u, weight, edge, mass = keyed_draw(F.col("draw"), F.col("id")), F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        edge += mass
-        weight = weight + (u >= edge).cast("int")
-        mass /= k + 1
+    weight = poisson_weight(keyed_draw(F.col("draw"), F.col("id")))
     parts = boots.withColumn("w", weight).groupBy(scope, "draw").agg((F.sum(F.col("w") * F.col("_d")) / F.nullif(F.sum("w"), F.lit(0))).alias("g"))
     share = parts.groupBy(scope).agg(F.avg((F.col("g") > 0).cast("double")).alias("share_better"))
     return mean.join(share, scope)
@@ -160,11 +152,7 @@ def paired_interval(df: DataFrame, y: str, a: str, b: str, naive: str, scope: st
     right = lambda c: (F.signum(F.col(c) - F.col(naive)) == F.signum(F.col(y) - F.col(naive))).cast("double")
     d = df.select("id", F.explode(F.array(F.lit("all"), F.col(scope).cast("string"))).alias("scope"), (F.abs(F.col(a) - F.col(y)) - F.abs(F.col(b) - F.col(y))).alias("g"), (right(b) - right(a)).alias("s"))
     mean = d.groupBy("scope").agg(F.avg("g").alias("gain"), F.avg("s").alias("direction_gain"), F.count("*").alias("n"))
-    u, weight, edge, mass = keyed_draw(F.col("draw"), F.col("id")), F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        edge += mass
-        weight = weight + (u >= edge).cast("int")
-        mass /= k + 1
+    weight = poisson_weight(keyed_draw(F.col("draw"), F.col("id")))
     boots = d.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("w", weight)
     parts = boots.groupBy("scope", "draw").agg((F.sum(F.col("w") * F.col("g")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     share = lambda c: F.avg(c.cast("double"))

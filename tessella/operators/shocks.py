@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.columns import keyed_draw
+from tessella.functions.columns import keyed_draw, poisson_weight
 
 
 def shock_index(registry: DataFrame, low: int, high: int, clusters: int) -> DataFrame:
@@ -115,11 +115,7 @@ def shift_share(panel: DataFrame, exposure: DataFrame, shocks: DataFrame) -> Dat
 
 def envelope_bootstrap(points: DataFrame, draws: int) -> DataFrame:
     """By event time: mean contrast, its 2.5 and 97.5 % quantiles over resamples of variants by keyed Poisson weights, and signal to noise."""
-    u, weight, edge, mass = keyed_draw(F.col("draw"), F.col("shock")), F.lit(0), 0.0, 0.36787944117144233
-    for k in range(8):
-        edge += mass
-        weight = weight + (u >= edge).cast("int")
-        mass /= k + 1
+    weight = poisson_weight(keyed_draw(F.col("draw"), F.col("shock")))
     p = points.filter("contrast IS NOT NULL")
     b = p.select("shock", "event_t", "contrast", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
     m = b.groupBy("event_t", "draw").agg((F.sum(F.col("w") * F.col("contrast")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
@@ -136,10 +132,18 @@ def pretrend(points: DataFrame) -> DataFrame:
     return pre.select("shock", "n", "slope", t.alias("t"), "largest", (F.coalesce(F.abs(t), F.lit(0.0)) < 2).cast("int").alias("passed"))
 
 
-def concordance(estimates: DataFrame) -> DataFrame:
-    """Pairs of designs (name, coef, stderr): equal sign, overlap of 95 % intervals, distance in standard errors."""
-    a, b = estimates.select(*[F.col(c).alias(f"{c}_a") for c in ("name", "coef", "stderr")]), estimates.select(*[F.col(c).alias(f"{c}_b") for c in ("name", "coef", "stderr")])
+def concordance(estimates: DataFrame, significant: float = 1.645) -> DataFrame:
+    """Pairs of designs (name, coef, stderr): equal sign, overlap of 95 % intervals, equal class (|t| of ``significant`` or more, or not), distance in standard errors, closeness
+    (1 - |a - b| / (|a| + |b|), at least 0), and the mean of sign, overlap, class and closeness, without those that a missing stderr leaves null."""
+    a, b = (estimates.select(*[F.col(c).alias(f"{c}_{k}") for c in ("name", "coef", "stderr")]) for k in "ab")
     p = a.join(b, F.col("name_a") < F.col("name_b"))  # a handful of designs
-    reach = 1.96 * (F.col("stderr_a") + F.col("stderr_b"))
     gap = F.abs(F.col("coef_a") - F.col("coef_b"))
-    return p.select("name_a", "name_b", (F.signum("coef_a") == F.signum("coef_b")).cast("int").alias("same_sign"), (gap <= reach).cast("int").alias("overlap"), (gap / F.sqrt(F.col("stderr_a") ** 2 + F.col("stderr_b") ** 2)).alias("distance"))
+    clear = lambda k: F.abs(F.col(f"coef_{k}")) >= significant * F.col(f"stderr_{k}")
+    p = p.select(
+        "name_a", "name_b", (F.signum("coef_a") == F.signum("coef_b")).cast("int").alias("same_sign"), (gap <= 1.96 * (F.col("stderr_a") + F.col("stderr_b"))).cast("int").alias("overlap"),
+        (clear("a") == clear("b")).cast("int").alias("same_class"), (gap / F.sqrt(F.col("stderr_a") ** 2 + F.col("stderr_b") ** 2)).alias("distance"),
+        F.greatest(1 - gap / (F.abs("coef_a") + F.abs("coef_b") + 1e-6), F.lit(0.0)).alias("closeness"),
+    )
+    parts = [F.col(c) for c in ("same_sign", "overlap", "same_class", "closeness")]
+    total, known = sum((F.coalesce(c.cast("double"), F.lit(0.0)) for c in parts), F.lit(0.0)), sum((c.isNotNull().cast("int") for c in parts), F.lit(0))
+    return p.withColumn("concordance", total / known)

@@ -139,3 +139,42 @@ def external_validity(panel: DataFrame, score: str, controls: list[str], indicat
     rho = by.groupBy("indicator").agg(F.avg("rho").alias("rank_correlation"), F.count("*").alias("periods"))
     out = fit.join(uplift, "indicator", "left").join(rho, "indicator", "left")
     return out.select("indicator", "coef", "stderr", "t_value", "n_obs", "r2", "r2_base", "r2_plus", (F.col("r2_plus") - F.col("r2_base")).alias("uplift"), "rank_correlation", "periods")
+
+
+def stacked_placebo(panel: DataFrame, outcome: str, leads: tuple[int, ...] = (2, 3), pre: int = 2, post: int = 2, controls: tuple[str, ...] = (), least_treated: int = 3, least_members: int = 6, least_rows: int = 60, cluster: str = "cl") -> DataFrame:
+    """lead, cell, coef, stderr, t_value, n_treated, n_members, n_obs of two-way effects of treatments that never were, and (cell null) their mean by treated units.
+
+    ``panel``: unit, t, cohort (9999: never), ``cluster``, the outcome and controls. Every cohort is moved ``lead`` periods ahead, not before the first period plus ``pre``; a cell is a
+    lead and a moved start, with ``least_treated`` units that have it and ``least_members`` with a true start after it (those of the cell among them), in the periods from ``pre`` before to
+    ``post`` after. Treated units have a trend of their own. Cells of under ``least_rows`` rows, 10 units or 4 periods are left out. All cells are estimated in the same passes; the pooled
+    error takes cells as independent.
+    """
+    work = Stages(panel.sparkSession, "stacked")
+    names = list(dict.fromkeys([outcome, *controls]))
+    d = work.cut(panel.select("unit", F.col(cluster).alias("cl"), "t", "cohort", *names).na.drop(), "panel")
+    low, high = d.agg(F.min("t"), F.max("t")).first()
+    units = work.cut(d.groupBy("unit").agg(F.min("cohort").alias("cohort")), "units")
+    moved = F.greatest(F.col("cohort") - F.col("lead"), F.lit((low or 0) + max(1, pre)))
+    fake = units.filter("cohort < 9999").withColumn("lead", F.explode(F.array(*[F.lit(k) for k in leads]))).withColumn("g", moved).filter(F.col("g") <= (high or 0) - max(1, post))
+    fake = work.cut(fake.select("lead", "g", "unit"), "fake")
+    cells = fake.groupBy("lead", "g").agg(F.count("*").alias("n_treated")).filter(F.col("n_treated") >= least_treated)
+    member = cells.join(units, F.col("cohort") > F.col("g")).join(fake.withColumn("own", F.lit(1)), ["lead", "g", "unit"], "left").fillna(0, ["own"])  # few cells: leads x cohorts
+    sizes = member.groupBy("lead", "g").agg(F.count("*").alias("n_members")).filter(F.col("n_members") >= least_members)
+    member = work.cut(member.join(sizes, ["lead", "g"]).select(F.concat_ws(":", "lead", "g").alias("cell"), "lead", "g", "unit", "own", "n_treated", "n_members"), "members")
+    x = d.join(member, "unit").filter(F.col("t").between(F.col("g") - pre, F.col("g") + post))
+    x = x.withColumns({"did": (F.col("own") * (F.col("t") >= F.col("g")).cast("int")).cast("double"), "trend": (F.col("own") * (F.col("t") - F.col("g"))).cast("double")})
+    x = work.cut(x, "rows")
+    enough = x.groupBy("cell").agg(F.count("*").alias("n"), F.countDistinct("unit").alias("u"), F.countDistinct("t").alias("p")).filter((F.col("n") >= least_rows) & (F.col("u") >= 10) & (F.col("p") >= 4)).select("cell")
+    xs = ["did", *controls, "trend"]
+    w = work.cut(two_way_within(x.join(enough, "cell").select("cell", "unit", "cl", "t", outcome, *xs), [outcome, *xs], group=("cell",)), "within")
+    fit = ols_by(w, "cell", f"{outcome}_w", [f"{c}_w" for c in xs], "cl").filter("term = 'did_w'").select("cell", "coef", "stderr", "n_obs")
+    told = fit.join(member.groupBy("cell").agg(*[F.first(c).alias(c) for c in ("lead", "n_treated", "n_members")]), "cell")
+    told = work.cut(told, "cells")
+    share = told.groupBy("lead").agg(F.sum("n_treated").alias("total"))
+    v = F.col("n_treated") / F.col("total")
+    both = told.join(share, "lead").groupBy("lead").agg(
+        F.sum(v * F.col("coef")).alias("coef"), F.sqrt(F.sum(v * v * F.col("stderr") * F.col("stderr"))).alias("stderr"), F.sum("n_treated").alias("n_treated"), F.sum("n_members").alias("n_members"), F.sum("n_obs").alias("n_obs"),
+    )
+    columns = ["lead", "cell", "coef", "stderr", "n_treated", "n_members", "n_obs"]
+    out = told.select(columns).union(both.withColumn("cell", F.lit(None).cast("string")).select(columns))
+    return out.withColumn("t_value", F.col("coef") / F.nullif(F.col("stderr"), F.lit(0.0)))

@@ -161,10 +161,10 @@ FEATURES = ["level", "sd", "trend", "growth", "volatility"]
 @query()
 def h18_unit_embeddings(spark, sf):
     """Eigenvectors of a matrix of moments; tested against plain Python."""
-    return r(D.unit_embeddings(D.unit_features(V.panel_nm(spark, sf)), FEATURES), "e1", "e2", digits=4)
+    return r(D.unit_embeddings(D.unit_features(V.panel_sy(spark, sf)), FEATURES), "e1", "e2", digits=4)
 
 
 @query()
 def i11_archetypes(spark, sf):
     """k-means; tested by what its clusters are."""
-    return D.archetypes(D.unit_features(V.panel_nm(spark, sf)), FEATURES, {"growth": 1.0, "trend": 0.45, "volatility": -0.8})
+    return D.archetypes(D.unit_features(V.panel_sy(spark, sf)), FEATURES, {"growth": 1.0, "trend": 0.45, "volatility": -0.8})

@@ -11,6 +11,7 @@ from tessella.plans import views as V
 from tessella.plans.registry import query
 from tessella.plans.regression_queries import SYD, U32, _syd
 from tessella.plans.shaping_queries import r
+from tessella.plans.sql import POISSON
 
 NEXT = f"{SYD}, q AS (SELECT * FROM (SELECT *, cl % 5 AS grp, lead(y) OVER (PARTITION BY unit ORDER BY t) AS target FROM p) WHERE target IS NOT NULL)"
 E3 = "round(sqrt(avg(({p} - target) ** 2)), 6) AS {n}_rmse, round(avg(abs({p} - target)), 6) AS {n}_mae, round(1 - sum(({p} - target) ** 2) / nullif(var_pop(target) * count(*), 0), 6) AS {n}_r2"
@@ -108,7 +109,7 @@ def n2_rolling_forecasts(spark, sf):
 
 
 @query(f"""WITH {V.SCORES}, d AS (SELECT id, (q - y) ** 2 - (p - y) ** 2 AS g FROM scores), b AS (SELECT *, unnest(range(1, 201))::INT AS draw FROM d), u AS (SELECT *, {U32.format(k="draw || ':' || id")} AS u FROM b),
-w AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.73575888234288467)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.98101184312384615)::INT + (u >= 0.99634015317265634)::INT + (u >= 0.99940581518241833)::INT + (u >= 0.99991675885071199)::INT + (u >= 0.99998975080332538)::INT AS w FROM u),
+w AS (SELECT *, {POISSON} AS w FROM u),
 n AS (SELECT draw, sum(w * g) / nullif(sum(w), 0) AS b FROM w GROUP BY 1) SELECT (SELECT round(avg(g), 6) FROM d) AS gain, (SELECT count(*) FROM d) AS n, round(quantile_cont(b, 0.025), 6) AS low, round(quantile_cont(b, 0.975), 6) AS high, round(least(1.0, 2 * least(avg((b <= 0)::INT), avg((b >= 0)::INT))), 6)::DOUBLE AS p FROM n""")
 def l4_brier_gain(spark, sf):
     return r(L.bootstrap_brier_gain(V.scores(spark, sf), "y", "p", "q", "id"), "gain", "low", "high", "p")

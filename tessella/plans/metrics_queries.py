@@ -8,6 +8,7 @@ from tessella.operators import metrics as M
 from tessella.plans import views as V
 from tessella.plans.registry import query
 from tessella.plans.shaping_queries import r
+from tessella.plans.sql import POISSON
 
 
 @query(f"""WITH {V.SCORES}, s AS (SELECT 'all' AS scope, p, y FROM scores UNION ALL SELECT grp, p, y FROM scores), k AS (SELECT scope, y, rank() OVER (PARTITION BY scope ORDER BY p) + (count(*) OVER (PARTITION BY scope, p) - 1) / 2 AS rk FROM s)
@@ -70,7 +71,7 @@ def l5_bh_adjust(spark, sf):
 
 
 @query(f"""WITH {V.SCORES}, c AS (SELECT (id % 40)::VARCHAR AS c, sum(y) AS s, count(y) AS n FROM scores GROUP BY 1), d AS (SELECT *, unnest(range(1, 21))::INT AS draw FROM c), u AS (SELECT *, ('0x' || substr(md5(draw || ':' || c), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d),
-w AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.73575888234288467)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.98101184312384615)::INT + (u >= 0.99634015317265634)::INT + (u >= 0.99940581518241833)::INT + (u >= 0.99991675885071199)::INT + (u >= 0.99998975080332538)::INT AS w FROM u)
+w AS (SELECT *, {POISSON} AS w FROM u)
 SELECT draw, round(sum(w * s) / nullif(sum(w * n), 0), 6) AS mean FROM w GROUP BY 1""")
 def l1_cluster_bootstrap(spark, sf):
     return r(M.cluster_bootstrap(V.scores(spark, sf).withColumn("c", F.col("id") % 40), "y", "c", 20), "mean")
@@ -106,7 +107,7 @@ def l2_permutation(spark, sf):
 
 
 @query(f"""WITH {V.SCORES}, d AS (SELECT id, grp, abs(q - y) - abs(p - y) AS d FROM scores), m AS (SELECT grp, avg(d) AS gain, count(*) AS n FROM d GROUP BY 1), b AS (SELECT *, unnest(range(1, 21))::INT AS draw FROM d), u AS (SELECT *, ('0x' || substr(md5(draw || ':' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM b),
-w AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.73575888234288467)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.98101184312384615)::INT + (u >= 0.99634015317265634)::INT + (u >= 0.99940581518241833)::INT + (u >= 0.99991675885071199)::INT + (u >= 0.99998975080332538)::INT AS w FROM u), g AS (SELECT grp, draw, sum(w * d) / nullif(sum(w), 0) AS g FROM w GROUP BY ALL)
+w AS (SELECT *, {POISSON} AS w FROM u), g AS (SELECT grp, draw, sum(w * d) / nullif(sum(w), 0) AS g FROM w GROUP BY ALL)
 SELECT m.grp, round(any_value(gain), 6) AS gain, any_value(n) AS n, round(avg((g > 0)::INT), 6) AS share_better FROM m JOIN g USING (grp) GROUP BY 1""")
 def l6_paired_delta(spark, sf):
     return r(M.paired_delta(V.scores(spark, sf), "y", "q", "p", "grp", 20), "gain", "share_better")
@@ -121,7 +122,7 @@ def m17_doubly_robust(spark, sf):
 
 
 @query(f"""WITH {V.SCORES}, d0 AS (SELECT id, grp, abs(q - y) - abs(p - y) AS g, (sign(p - 0.5) = sign(y - 0.5))::INT - (sign(q - 0.5) = sign(y - 0.5))::INT AS s FROM scores), d AS (SELECT id, 'all' AS scope, g, s FROM d0 UNION ALL SELECT id, grp, g, s FROM d0), b AS (SELECT *, unnest(range(1, 201))::INT AS draw FROM d), u AS (SELECT *, ('0x' || substr(md5(draw || ':' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM b),
-w AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.73575888234288467)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.98101184312384615)::INT + (u >= 0.99634015317265634)::INT + (u >= 0.99940581518241833)::INT + (u >= 0.99991675885071199)::INT + (u >= 0.99998975080332538)::INT AS w FROM u),
+w AS (SELECT *, {POISSON} AS w FROM u),
 n AS (SELECT scope, draw, sum(w * g) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL), ci AS (SELECT scope, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, least(1.0, 2 * least(avg((m <= 0)::INT), avg((m >= 0)::INT))) AS p FROM n GROUP BY 1)
 SELECT d.scope, round(avg(g), 6) AS gain, round(avg(s), 6) AS direction_gain, count(*) AS n, round(any_value(lo), 6) AS low, round(any_value(hi), 6) AS high, round(any_value(ci.p), 6)::DOUBLE AS p FROM d JOIN ci USING (scope) GROUP BY 1""")
 def l6_paired_interval(spark, sf):

@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import regression as R
+from tessella.operators import spatial
 from tessella.operators.events import timing_ready
 from tessella.plans import views as V
-from tessella.plans.events_queries import READY, _did
+from tessella.plans.events_queries import DID, READY, _did
 from tessella.plans.registry import query
 from tessella.plans.shaping_queries import r
+from tessella.plans.spatial_queries import PAIRS
+from tessella.plans.sql import every, within
 
 SYD = f"""{V.PANEL_SY}, p AS (SELECT unit, cl, t, ln(value) AS y, ln(qty) AS x, (unit % 3 = 0 AND t >= 1999)::INT::DOUBLE AS did FROM panel)"""
 WITHIN = """({c} - avg({c}) OVER (PARTITION BY unit) - avg({c}) OVER (PARTITION BY t) + avg({c}) OVER ())"""
@@ -94,7 +97,12 @@ def k16_event_time_att(spark, sf):
     return r(R.event_time_att(R.staggered_att(_ready(spark, sf))), "att", digits=3)
 
 
-@query()
+TIMES = {k: f"e{'m' if k < 0 else 'p'}{abs(k)}" for k in (-3, -2, 0, 1, 2, 3)}
+DUMMIES = ", ".join(f"coalesce((e = {k})::INT, 0)::DOUBLE AS {n}" for k, n in TIMES.items())
+
+
+@query(f"""WITH {READY}, et AS (SELECT unit, t, ln(1 + value) AS y, CASE WHEN cohort < 9999 THEN greatest(least(t - cohort, 3), -3) END AS e FROM ready),
+d AS (SELECT 1 AS one, unit, t, y, {DUMMIES} FROM et), w AS ({within("d", ["y", *TIMES.values()], "unit", "one")}), {every({n: f"{n}_w" for n in TIMES.values()}, "w", "y", "unit")}""")
 def k17_event_study(spark, sf):
     p = _ready(spark, sf).withColumn("y", F.log1p("value"))
     return r(R.event_study(p, "y"), "coef", "stderr", "t_value")
@@ -116,7 +124,9 @@ def k29_leave_one_group_out(spark, sf):
     return r(R.leave_one_group_out(_syd(spark, sf).withColumn("grp", F.col("cl") % 5), "y", "did", "grp"), "coef")
 
 
-@query()
+@query(f"""WITH {SYD}, ds AS (SELECT p.*, did * disc AS dose FROM p JOIN panel USING (unit, t)), q AS (SELECT quantile_cont(dose, 1.0 / 3) AS a, quantile_cont(dose, 2.0 / 3) AS b FROM ds WHERE dose > 0),
+bn AS (SELECT 1 AS one, ds.unit, ds.cl, t, y, CASE WHEN dose > 0 THEN 1 + (dose > q.a)::INT + (dose > q.b)::INT ELSE 0 END AS bin FROM ds, q),
+d AS (SELECT *, (bin = 1)::INT::DOUBLE AS b1, (bin = 2)::INT::DOUBLE AS b2, (bin = 3)::INT::DOUBLE AS b3 FROM bn), w AS ({within("d", ["y", "b1", "b2", "b3"], "unit", "one")}), {every({f"b{i}": f"bin_{i}_w" for i in (1, 2, 3)}, "w", "y", "cl")}""")
 def k7_dose_bins(spark, sf):
     d = _syd(spark, sf).join(V.panel_sy(spark, sf).select("unit", "t", F.col("disc")), ["unit", "t"]).withColumn("dose", F.col("did") * F.col("disc"))
     return r(R.dose_bins(d, "y", "dose"), "coef", "stderr", "t_value")
@@ -159,10 +169,9 @@ def l2_schedule_permutation(spark, sf):
     return r(r(R.schedule_permutation(_syd(spark, sf), "y", "did"), "coef", "null_mean", "null_sd", "p_coef", "p_t"), "t_value", "null_t95", digits=5)
 
 
-@query()
+@query(f"""WITH {PAIRS}, {DID}, ex AS (SELECT src AS unit, t + 1 AS t, avg(did) AS near FROM near JOIN did ON near.dst = did.unit GROUP BY ALL),
+d AS (SELECT 1 AS one, did.unit, cl, did.t, ln(1 + value) AS y, did::DOUBLE AS own, ex.near AS nb FROM did JOIN ex ON did.unit = ex.unit AND did.t = ex.t), w AS ({within("d", ["y", "own", "nb"], "unit", "one")}), {every({"own": "did_w", "nb": "near_w"}, "w", "y", "cl")}""")
 def k8_spillover(spark, sf):
-    from tessella.operators import spatial
-
     near = spatial.nearest_edges(spatial.near_pairs(V.coords(spark, sf), 6000.0), 4)
     p = _did(spark, sf).withColumn("y", F.log1p("value")).withColumn("did", F.col("did").cast("double"))
     seen = spatial.neighbour_exposure(near, p, "did")

@@ -10,6 +10,7 @@ from tessella.plans.dynamics_queries import STATES, _states
 from tessella.plans.events_queries import NM, _np
 from tessella.plans.registry import query
 from tessella.plans.shaping_queries import r
+from tessella.plans.sql import POISSON
 
 SHOCK = f"""{V.REGISTRY}, {NM}, st AS (SELECT start_t AS t, count(*) AS events, count(DISTINCT cl) / 25.0::DOUBLE AS covered, avg(intensity) AS intensity FROM registry GROUP BY 1), gr AS (SELECT unnest(range(0, 80))::INT AS t),
 g AS (SELECT gr.t, coalesce(events, 0) AS events, coalesce(covered, 0) AS covered, coalesce(intensity, 0) AS intensity FROM gr LEFT JOIN st ON gr.t = st.t),
@@ -116,7 +117,7 @@ def j8_shift_share(spark, sf):
 
 
 @query(f"""WITH {RESP}, c AS (SELECT shock, event_t, high - low AS c FROM resp WHERE high - low IS NOT NULL), d AS (SELECT *, unnest(range(1, 801))::INT AS draw FROM c), uu AS (SELECT *, ('0x' || substr(md5(draw || ':' || shock), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d),
-w AS (SELECT *, (u >= 0.36787944117144233)::INT + (u >= 0.73575888234288467)::INT + (u >= 0.9196986029286058)::INT + (u >= 0.98101184312384615)::INT + (u >= 0.99634015317265634)::INT + (u >= 0.99940581518241833)::INT + (u >= 0.99991675885071199)::INT + (u >= 0.99998975080332538)::INT AS w FROM uu),
+w AS (SELECT *, {POISSON} AS w FROM uu),
 mm AS (SELECT event_t, draw, sum(w * c) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL), ci AS (SELECT event_t, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, stddev_samp(m) AS sd FROM mm GROUP BY 1), me AS (SELECT event_t, avg(c) AS mean FROM c GROUP BY 1)
 SELECT event_t, round(mean, 6) AS mean, round(lo, 6) AS low, round(hi, 6) AS high, round(abs(mean) / nullif(sd, 0), 4) AS signal_to_noise FROM me JOIN ci USING (event_t)""")
 def j13_envelope_bootstrap(spark, sf):
@@ -131,8 +132,10 @@ def j15_pretrend(spark, sf):
     return r(r(K.pretrend(resp), "slope", "largest"), "t", digits=4)
 
 
-@query(f"""WITH {SHOCK}, e AS (SELECT kind AS name, avg(intensity) AS coef, stddev_samp(intensity) / sqrt(count(*)) AS stderr FROM registry GROUP BY 1)
-SELECT a.name AS name_a, b.name AS name_b, (sign(a.coef) = sign(b.coef))::INT AS same_sign, (abs(a.coef - b.coef) <= 1.96 * (a.stderr + b.stderr))::INT AS overlap, round(abs(a.coef - b.coef) / sqrt(a.stderr ** 2 + b.stderr ** 2), 5) AS distance FROM e a JOIN e b ON a.name < b.name""")
+@query(f"""WITH {SHOCK}, e AS (SELECT kind AS name, avg(intensity) AS coef, stddev_samp(intensity) / sqrt(count(*)) AS stderr FROM registry GROUP BY 1),
+j AS (SELECT a.name AS name_a, b.name AS name_b, (sign(a.coef) = sign(b.coef))::INT AS same_sign, (abs(a.coef - b.coef) <= 1.96 * (a.stderr + b.stderr))::INT AS overlap, ((abs(a.coef) >= 1.645 * a.stderr) = (abs(b.coef) >= 1.645 * b.stderr))::INT AS same_class,
+ abs(a.coef - b.coef) / sqrt(a.stderr ** 2 + b.stderr ** 2) AS distance, greatest(1 - abs(a.coef - b.coef) / (abs(a.coef) + abs(b.coef) + 1e-6), 0) AS closeness FROM e a JOIN e b ON a.name < b.name)
+SELECT name_a, name_b, same_sign, overlap, same_class, round(distance, 5) AS distance, round(closeness, 5) AS closeness, round((same_sign + overlap + same_class + closeness) / 4, 5) AS concordance FROM j""")
 def j16_concordance(spark, sf):
     e = V.registry(spark, sf).groupBy(F.col("kind").alias("name")).agg(F.avg("intensity").alias("coef"), (F.stddev_samp("intensity") / F.sqrt(F.count("*"))).alias("stderr"))
-    return r(K.concordance(e), "distance", digits=5)
+    return r(K.concordance(e), "distance", "closeness", "concordance", digits=5)

@@ -14,6 +14,8 @@ KM = "2 * 6371.0 * asin(sqrt(least(1.0, sin(radians({c} - {a}) / 2) ** 2 + cos(r
 _KM = KM.format(a="a.lat", b="a.lon", c="b.lat", d="b.lon")
 PAIRS = f"""{V.COORDS}, pairs AS (SELECT a.unit AS src, b.unit AS dst, {_KM} AS km FROM coords a JOIN coords b ON a.unit <> b.unit WHERE {_KM} <= 6000),
 near AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY src ORDER BY km, dst) <= 4), idw AS (SELECT src, dst, km, (1 / greatest(km, 1)) / sum(1 / greatest(km, 1)) OVER (PARTITION BY src) AS w FROM near)"""
+#: The same of customers' places, within 1,000 km.
+PLACE_PAIRS = PAIRS.replace(V.COORDS, V.PLACES).replace("<= 6000", "<= 1000")
 #: The supplier panel by nation, and the nations' order panel by nation key.
 PANEL_NK = f"""{V.PANEL_SY}, np AS (SELECT cl AS unit, t, sum(qty)::BIGINT AS qty FROM panel GROUP BY ALL)"""
 
@@ -22,36 +24,40 @@ def _near(spark, sf):
     return S.nearest_edges(S.near_pairs(V.coords(spark, sf), 6000.0), 4)
 
 
+def _near_places(spark, sf):
+    return S.nearest_edges(S.near_pairs(V.places(spark, sf), 1000.0), 4)
+
+
 def _panel(spark, sf):
     return V.panel_sy(spark, sf).groupBy(F.col("cl").alias("unit"), "t").agg(F.sum("qty").alias("qty"))
 
 
-@query(f"""WITH {V.COORDS} SELECT unit, round({KM.format(a="lat", b="lon", c="10.0", d="20.0")}, 4) AS km, round({KM.format(a="lat", b="lon", c="-lat", d="lon + 90")}, 4) AS far FROM coords""")
+@query(f"""WITH {V.PLACES} SELECT unit, round({KM.format(a="lat", b="lon", c="10.0", d="20.0")}, 4) AS km, round({KM.format(a="lat", b="lon", c="-lat", d="lon + 90")}, 4) AS far FROM coords""")
 def e2_great_circle(spark, sf):
-    c = V.coords(spark, sf)
+    c = V.places(spark, sf)
     return r(c.select("unit", haversine_km(F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0)).alias("km"), haversine_km(F.col("lat"), F.col("lon"), -F.col("lat"), F.col("lon") + 90).alias("far")), "km", "far", digits=4)
 
 
-@query(f"""WITH {V.COORDS}, k AS (SELECT 111.19492664455873 AS ky, 111.19492664455873 * cos(radians(-10.0)) AS kx), s AS (SELECT unit, (lon + 20) * kx AS x, (lat + 10) * ky AS y, 60 * kx AS dx, 30 * ky AS dy FROM coords, k),
+@query(f"""WITH {V.PLACES}, k AS (SELECT 111.19492664455873 AS ky, 111.19492664455873 * cos(radians(-10.0)) AS kx), s AS (SELECT unit, (lon + 20) * kx AS x, (lat + 10) * ky AS y, 60 * kx AS dx, 30 * ky AS dy FROM coords, k),
 a AS (SELECT *, least(greatest((x * dx + y * dy) / (dx * dx + dy * dy), 0), 1) AS f FROM s) SELECT unit, round(sqrt((x - f * dx) ** 2 + (y - f * dy) ** 2), 4) AS km, (sqrt((x - f * dx) ** 2 + (y - f * dy) ** 2) <= 2500)::INT AS treated FROM a""")
 def e3_segment_distance(spark, sf):
-    c = V.coords(spark, sf).withColumn("km", S.segment_km(F.col("lat"), F.col("lon"), (-10.0, -20.0), (20.0, 40.0)))
+    c = V.places(spark, sf).withColumn("km", S.segment_km(F.col("lat"), F.col("lon"), (-10.0, -20.0), (20.0, 40.0)))
     return r(c.select("unit", "km", (F.col("km") <= 2500).cast("int").alias("treated")), "km", digits=4)
 
 
-@query(f"WITH {PAIRS} SELECT src, dst, round(km, 4) AS km, row_number() OVER (PARTITION BY src ORDER BY km, dst)::INT AS rank FROM near")
+@query(f"WITH {PLACE_PAIRS} SELECT src, dst, round(km, 4) AS km, row_number() OVER (PARTITION BY src ORDER BY km, dst)::INT AS rank FROM near")
 def e4_nearest_units(spark, sf):
-    return r(_near(spark, sf), "km", digits=4)
+    return r(_near_places(spark, sf), "km", digits=4)
 
 
-@query(f"WITH {PAIRS} SELECT src, dst, round(w, 6) AS w FROM idw")
+@query(f"WITH {PLACE_PAIRS} SELECT src, dst, round(w, 6) AS w FROM idw")
 def e5_inverse_distance(spark, sf):
-    return r(S.inverse_distance(_near(spark, sf)).select("src", "dst", "w"), "w")
+    return r(S.inverse_distance(_near_places(spark, sf)).select("src", "dst", "w"), "w")
 
 
-@query(f"""WITH {PAIRS}, g AS (SELECT n.src, n.dst, 1 / greatest(abs(a.mass - b.mass), 2) AS w FROM near n JOIN coords a ON n.src = a.unit JOIN coords b ON n.dst = b.unit) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS w FROM g""")
+@query(f"""WITH {PLACE_PAIRS}, g AS (SELECT n.src, n.dst, 1 / greatest(abs(a.mass - b.mass), 2) AS w FROM near n JOIN coords a ON n.src = a.unit JOIN coords b ON n.dst = b.unit) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS w FROM g""")
 def e6_similarity_weights(spark, sf):
-    return r(S.similarity_weights(_near(spark, sf).select("src", "dst"), V.coords(spark, sf), "mass", 2.0), "w")
+    return r(S.similarity_weights(_near_places(spark, sf).select("src", "dst"), V.places(spark, sf), "mass", 2.0), "w")
 
 
 @query(f"WITH {V.ROUTES} SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst)::INT AS rank FROM routes QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 3")
@@ -86,10 +92,10 @@ def e12_route_weights(spark, sf):
     return r(S.route_weights(V.routes(spark, sf), 5), "w")
 
 
-@query(f"""WITH {PAIRS}, s AS (SELECT src, dst, sqrt(a.mass * b.mass) / greatest(km, 25) AS w FROM pairs JOIN coords a ON src = a.unit JOIN coords b ON dst = b.unit WHERE a.grp = b.grp), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank FROM s)
+@query(f"""WITH {PLACE_PAIRS}, s AS (SELECT src, dst, sqrt(a.mass * b.mass) / greatest(km, 25) AS w FROM pairs JOIN coords a ON src = a.unit JOIN coords b ON dst = b.unit WHERE a.grp = b.grp), k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) AS rank FROM s)
 SELECT src, dst, rank::INT AS rank, round(w / sum(w) OVER (PARTITION BY src), 6) AS w FROM k WHERE rank <= 3""")
 def e13_proxy_access(spark, sf):
-    return r(S.proxy_access(V.coords(spark, sf), 6000.0, 3), "w")
+    return r(S.proxy_access(V.places(spark, sf), 1000.0, 3), "w")
 
 
 @query(f"""WITH {V.ROUTES}, {V.COORDS}, j AS (SELECT src, dst, w, a.grp <> b.grp AS far FROM routes JOIN coords a ON src = a.unit JOIN coords b ON dst = b.unit), e AS (SELECT src AS unit, dst AS other, w, 1 AS o, far FROM j UNION ALL SELECT dst, src, w, 0, far FROM j)
@@ -144,9 +150,9 @@ def e18_way_metrics(spark, sf):
     return r(S.way_metrics(ways, nodes), "km", digits=3)
 
 
-@query(f"""WITH {V.COORDS} SELECT unit, place::INT AS place, lat + a * 0.25 AS lat, lon + b * 0.25 AS lon FROM coords, (VALUES (0, 0, 0), (1, 1, 0), (2, -1, 0), (3, 0, 1), (4, 0, -1)) o(place, a, b)""")
+@query(f"""WITH {V.PLACES} SELECT unit, place::INT AS place, lat + a * 0.25 AS lat, lon + b * 0.25 AS lon FROM coords, (VALUES (0, 0, 0), (1, 1, 0), (2, -1, 0), (3, 0, 1), (4, 0, -1)) o(place, a, b)""")
 def e19_sample_points(spark, sf):
-    return S.sample_points(V.coords(spark, sf), 0.25)
+    return S.sample_points(V.places(spark, sf), 0.25)
 
 
 @query(f"WITH {PAIRS}, {PANEL_NK} SELECT unit, t, qty FROM np WHERE unit IN (SELECT src FROM near GROUP BY 1 HAVING count(*) >= 4)")

@@ -9,34 +9,13 @@ from tessella.operators import phase as P
 from tessella.operators import validity as X
 from tessella.plans import views as V
 from tessella.plans.phase_queries import PHASE
+from tessella.plans.regression_queries import SYD, _syd
 from tessella.plans.registry import query
 from tessella.plans.shaping_queries import r
+from tessella.plans.sql import solved, within
 from tessella.sources.tables import Stages
 
 
-def solved(name: str, src: str, by: str, y: str, xs: list[str], cluster: str | None = None) -> str:
-    """SQL: ``name`` (by, coef, stderr, n, g, r2) of the last of ``xs`` in least squares of y, in each group: each x less its projections on those before it."""
-    steps = [f"{name}0 AS (SELECT *, {xs[0]} AS o0 FROM {src})"]
-    for j in range(1, len(xs)):
-        less = " - ".join(f"o{i} * (sum({xs[j]} * o{i}) OVER q / sum(o{i} * o{i}) OVER q)" for i in range(j))
-        steps.append(f"{name}{j} AS (SELECT *, {xs[j]} - {less} AS o{j} FROM {name}{j - 1} WINDOW q AS (PARTITION BY {by}))")
-    k = len(xs)
-    left = " - ".join(f"o{i} * (sum({y} * o{i}) OVER q / sum(o{i} * o{i}) OVER q)" for i in range(k))
-    steps.append(f"{name}e AS (SELECT *, {y} - {left} AS e FROM {name}{k - 1} WINDOW q AS (PARTITION BY {by}))")
-    last = f"o{k - 1}"
-    steps.append(f"{name}b AS (SELECT {by}, sum({y} * {last}) / sum({last} * {last}) AS coef, sum({last} * {last}) AS oo, count(*) AS n, 1 - sum(e * e) / (sum({y} * {y}) - sum({y}) ** 2 / count(*)) AS r2 FROM {name}e GROUP BY 1)")
-    unit = cluster or "row_number() OVER ()"
-    steps.append(f"{name}c AS (SELECT {by}, c, sum(s) AS s FROM (SELECT {by}, {unit} AS c, {last} * e AS s FROM {name}e) GROUP BY ALL), {name}m AS (SELECT {by}, sum(s * s) AS m, count(*) AS g FROM {name}c GROUP BY 1)")
-    factor = f"g / (g - 1) * (n - 1) / (n - {k})" if cluster else f"n / (n - {k})"
-    steps.append(f"{name} AS (SELECT {by}, coef, sqrt(m * {factor}) / oo AS stderr, n, g, r2 FROM {name}b JOIN {name}m USING ({by}))")
-    return ", ".join(steps)
-
-
-def within(src: str, cols: list[str], unit: str, by: str) -> str:
-    means = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {by}, {unit}) - avg({c}) OVER (PARTITION BY {by}, t) + avg({c}) OVER (PARTITION BY {by}) AS {c}" for c in cols)
-    return f"SELECT * REPLACE ({means}) FROM {src}"
-
-
 START = 48
 
 
@@ -105,3 +84,18 @@ def k30_external_validity(spark, sf):
     p = p.select("unit", "cl", "t", F.log1p("value").alias("score"), F.col("qty").cast("double").alias("qty"), "disc", n.alias("n"), (F.col("value") / n).alias("ind_price"), F.col("value").alias("ind_value"))
     found = X.external_validity(p, "score", ["qty", "disc", "n"], list(INDICATORS), least=60)
     return r(r(r(found, "r2", "r2_base", "r2_plus", "uplift", "rank_correlation"), "coef", "stderr", digits=2), "t_value", digits=5)
+
+
+@query(f"""WITH {SYD}, pc AS (SELECT unit, cl, t, y, x, CASE unit % 4 WHEN 0 THEN 1999 WHEN 1 THEN 2000 ELSE 9999 END AS cohort FROM p), lim AS (SELECT min(t) AS low, max(t) AS high FROM pc),
+us AS (SELECT DISTINCT unit, cohort FROM pc), fk AS (SELECT lead, unit, greatest(cohort - lead, low + 2) AS g FROM us, lim, (VALUES (2), (3)) l(lead) WHERE cohort < 9999 AND greatest(cohort - lead, low + 2) <= high - 2),
+ce AS (SELECT lead, g, count(*) AS n_treated FROM fk GROUP BY ALL HAVING count(*) >= 3), mb AS (SELECT ce.lead, ce.g, us.unit, n_treated, (fk.unit IS NOT NULL)::INT AS own, count(*) OVER (PARTITION BY ce.lead, ce.g) AS n_members FROM ce JOIN us ON cohort > ce.g LEFT JOIN fk ON fk.unit = us.unit AND fk.lead = ce.lead AND fk.g = ce.g),
+xr AS (SELECT mb.lead || ':' || mb.g AS cell, mb.lead, pc.unit, pc.cl, pc.t, y, x, (own * (pc.t >= g)::INT)::DOUBLE AS did, (own * (pc.t - g))::DOUBLE AS trend, n_treated, n_members FROM mb JOIN pc ON pc.unit = mb.unit AND pc.t BETWEEN g - 2 AND g + 2 WHERE n_members >= 6),
+ok AS (SELECT cell FROM xr GROUP BY 1 HAVING count(*) >= 60 AND count(DISTINCT unit) >= 10 AND count(DISTINCT t) >= 4), d AS (SELECT cell, unit, cl, t, y, x, did, trend FROM xr WHERE cell IN (SELECT cell FROM ok)),
+w AS ({within("d", ["y", "x", "did", "trend"], "unit", "cell")}), {solved("f", "w", "cell", "y", ["x", "trend", "did"], "cl")},
+told AS (SELECT i.lead, f.cell, coef, stderr, i.n_treated, i.n_members, n AS n_obs FROM f JOIN (SELECT DISTINCT cell, lead, n_treated, n_members FROM xr) i USING (cell)),
+every AS (SELECT * FROM told UNION ALL SELECT lead, NULL, sum(n_treated * coef) / sum(n_treated), sqrt(sum((n_treated * stderr) ** 2)) / sum(n_treated), sum(n_treated)::BIGINT, sum(n_members)::BIGINT, sum(n_obs)::BIGINT FROM told GROUP BY lead)
+SELECT lead, cell, round(coef, 6) AS coef, round(stderr, 6) AS stderr, n_treated, n_members, n_obs, round(coef / stderr, 5) AS t_value FROM every""")
+def k9_stacked_placebo(spark, sf):
+    cohort = F.when(F.col("unit") % 4 == 0, 1999).when(F.col("unit") % 4 == 1, 2000).otherwise(9999)
+    found = X.stacked_placebo(_syd(spark, sf).withColumn("cohort", cohort), "y", controls=("x",))
+    return r(r(found, "coef", "stderr"), "t_value", digits=5)

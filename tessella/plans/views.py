@@ -100,6 +100,19 @@ COORDS = """coords AS (
   SELECT n_nationkey AS unit, n_regionkey AS grp, ((n_nationkey * 37) % 121 - 60)::DOUBLE AS lat, ((n_nationkey * 71) % 351 - 175)::DOUBLE AS lon, (n_nationkey + 1)::DOUBLE AS mass FROM nation)"""
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of the customers, by digests of their keys: unit, grp, lat, lon, mass."""
+    c = table(spark, sf_dir, "customer")
+    part = lambda i: F.conv(F.substring(F.md5(F.col("c_custkey").cast("string")), i, 8), 16, 10).cast("long")
+    lat, lon = part(1) % 140_000 / 1000.0 - 70, part(9) % 360_000 / 1000.0 - 180
+    return c.select(F.col("c_custkey").alias("unit"), F.col("c_nationkey").alias("grp"), lat.alias("lat"), lon.alias("lon"), (F.col("c_custkey") % 17 + 1).cast("double").alias("mass"))
+
+
+PLACES = """coords AS (
+  SELECT c_custkey AS unit, c_nationkey AS grp, ('0x' || substr(md5(c_custkey::VARCHAR), 1, 8))::BIGINT % 140000 / 1000.0::DOUBLE - 70 AS lat,
+         ('0x' || substr(md5(c_custkey::VARCHAR), 9, 8))::BIGINT % 360000 / 1000.0::DOUBLE - 180 AS lon, (c_custkey % 17 + 1)::DOUBLE AS mass FROM customer)"""
+
+
 def routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directed network: src (supplier nation), dst (customer nation), w (line items)."""
     li, s, o, c = (table(spark, sf_dir, x) for x in ("lineitem", "supplier", "orders", "customer"))
