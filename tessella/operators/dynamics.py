@@ -117,11 +117,28 @@ def pulse_index(panel: DataFrame) -> DataFrame:
     return i.select("unit", "grp", "t", "index", (F.col("index") - F.lag("index").over(own_order())).alias("delta"), ((F.col("index") - F.lag("index", 3).over(own_order())) / 3).alias("trend"), state.alias("state"))
 
 
-def quadrants(latest: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows by the 35 and 65 % quantiles of two scores: leading, catching_up, slowing, lagging, middle."""
-    qs = latest.agg(*[F.percentile(c, q) for c in (a, b) for q in (0.35, 0.65)]).first()
-    high_a, low_a, high_b, low_b = F.col(a) >= qs[1], F.col(a) <= qs[0], F.col(b) >= qs[3], F.col(b) <= qs[2]
-    return latest.select("*", F.when(high_a & high_b, "leading").when(low_a & high_b, "catching_up").when(high_a & low_b, "slowing").when(low_a & low_b, "lagging").otherwise("middle").alias("quadrant"))
+def quadrant_cuts(latest: DataFrame, columns: list[str], spread: float = 8.0, step: float = 5.0) -> dict[str, tuple[float, float]]:
+    """Low and high cut of each score of 0 to 100: its 35 and 65 % quantiles; ``spread`` / 2 around the median, where they are no farther apart than ``spread``; low within 8 to 92,
+    high at least ``step`` above it and at most 96. 35 and 65, where a score has no values."""
+    qs = latest.agg(*[F.percentile(c, q) for c in columns for q in (0.35, 0.5, 0.65)]).first()
+    out = {}
+    for i, c in enumerate(columns):
+        low, middle, high = qs[3 * i : 3 * i + 3]
+        if None in qs[:]:
+            low, high = 35.0, 65.0
+        elif high <= low + spread:
+            low, high = min(low, middle - spread / 2), max(high, middle + spread / 2)
+        low = min(max(low, 8.0), 92.0)
+        out[c] = (low, min(max(high, low + step), 96.0))
+    return out
+
+
+def quadrants(latest: DataFrame, accel: str, risk: str) -> DataFrame:
+    """Rows by the cuts of two scores of 0 to 100: accelerating (fast, safe), stalling (slow, at risk), fragile_boom (fast, at risk), recovery_window (slow, safe), steady."""
+    cuts = quadrant_cuts(latest, [accel, risk])
+    low, high = (lambda c: F.col(c) <= F.lit(cuts[c][0])), (lambda c: F.col(c) >= F.lit(cuts[c][1]))
+    kind = F.when(high(accel) & low(risk), "accelerating").when(low(accel) & high(risk), "stalling").when(high(accel) & high(risk), "fragile_boom").when(low(accel) & low(risk), "recovery_window")
+    return latest.select("*", kind.otherwise("steady").alias("quadrant"))
 
 
 def global_cycle(index: DataFrame) -> DataFrame:
@@ -151,16 +168,32 @@ def trend_shock(panel: DataFrame, recent: int = 6) -> DataFrame:
     return a.select("unit", "slope", F.when(ok, (F.col("last") - F.col("m")) / F.col("s")).alias("shock_z"), F.when(ok, fold(1)).alias("cusum_up"), F.when(ok, fold(-1)).alias("cusum_down"))
 
 
+#: Weights of the envelope's parts, and whether little of them is good; fixed values.
+ENVELOPE = {"trend": (0.26, False), "volatility": (0.19, True), "drawdown": (0.13, True), "rises": (0.15, False), "gap": (0.11, False), "risk": (0.16, True)}
+
+
 def unit_envelope(panel: DataFrame) -> DataFrame:
-    """Per unit: volatility of log growth, largest fall from the peak, share of rises, momentum gap; each scaled over units, and their mean."""
-    g = panel.select("unit", "t", "value", (F.log1p("value") - F.lag(F.log1p("value")).over(own_order())).alias("g"), F.max("value").over(own_order().rowsBetween(Window.unboundedPreceding, 0)).alias("peak"), F.row_number().over(Window.partitionBy("unit").orderBy(F.col("t").desc())).alias("back"))
-    u = g.groupBy("unit").agg(F.stddev_samp("g").alias("volatility"), F.max(1 - F.col("value") / F.col("peak")).alias("drawdown"), F.avg((F.col("g") > 0).cast("double")).alias("rises"), (F.avg(F.when(F.col("back") <= 3, F.col("g"))) - F.avg("g")).alias("gap"))
-    names = ("volatility", "drawdown", "rises", "gap")
-    ends = u.agg(*[f(c).alias(f"_{e}_{c}") for c in names for e, f in (("low", F.min), ("high", F.max))])
-    low, high = (lambda c: F.col(f"_low_{c}")), (lambda c: F.col(f"_high_{c}"))
-    scaled = [F.when(F.col(c).isNotNull(), F.when(high(c) > low(c), (F.col(c) - low(c)) / (high(c) - low(c))).otherwise(0.5)) for c in names]
-    parts = [1 - scaled[0], 1 - scaled[1], *scaled[2:]]
-    return u.join(ends, F.lit(True)).select(*[F.col(c) for c in u.columns], (sum(parts[1:], parts[0]) / 4).alias("score"))
+    """Per unit of ``panel`` (unit, t, index, accel_velocity, risk_velocity, risk): change of the index over the last three rows, deviation of its last five changes, fall from the last five rows' peak,
+    share of rises among those changes, momentum gap (the last row's velocities, nulls 0) and last risk; their blend of 0 to 100 (each part scaled over units, 0.5 where all are equal
+    or it is null), the gap of risk over it, and a class by both."""
+    d = panel.select("*", (F.col("index") - F.lag("index").over(own_order())).alias("d"), F.row_number().over(Window.partitionBy("unit").orderBy(F.col("t").desc())).alias("back"))
+    late, last = F.col("back") <= 5, lambda c: F.max(F.when(F.col("back") == 1, F.col(c)))
+    three = F.max(F.when(F.col("back") == F.least(F.lit(3), F.col("_n")), F.col("index")))
+    d = d.withColumn("_n", F.count("*").over(one_unit()))
+    u = d.groupBy("unit").agg(
+        (last("index") - three).alias("trend"), F.stddev_pop(F.when(late, F.col("d"))).alias("volatility"), (F.max(F.when(late, F.col("index"))) - last("index")).alias("drawdown"),
+        F.avg(F.when(late, (F.col("d") > 0).cast("double"))).alias("rises"), (F.coalesce(last("accel_velocity"), F.lit(0.0)) - F.coalesce(last("risk_velocity"), F.lit(0.0))).alias("gap"), last("risk").alias("risk"),
+    )
+    ends = u.agg(*[f(c).alias(f"_{e}_{c}") for c in ENVELOPE for e, f in (("low", F.min), ("high", F.max))])
+    score = F.lit(0.0)
+    for c, (weight, less) in ENVELOPE.items():
+        low, high = F.col(f"_low_{c}"), F.col(f"_high_{c}")
+        part = F.coalesce(F.when(high - low > 1e-12, (F.col(c) - low) / (high - low)), F.lit(0.5))
+        score = score + weight * ((1 - part) if less else part)
+    e, risk = F.col("envelope"), F.coalesce("risk", F.lit(50.0))
+    kind = F.when((e >= 70) & (risk <= 45), "resilient_accelerator").when((e >= 58) & (risk > 45), "pressured_growth").when((e < 45) & (risk >= 60), "stall_trap").when(F.col("gap") >= 0, "adaptive_transition")
+    out = u.join(ends, F.lit(True)).withColumn("envelope", 100 * score)  # one row
+    return out.select("unit", *ENVELOPE, "envelope", (risk - e).alias("fragility"), kind.otherwise("fragile_transition").alias("class"))
 
 
 def group_envelope(panel: DataFrame) -> DataFrame:

@@ -63,6 +63,27 @@ def spell_hazard(spell: DataFrame) -> DataFrame:
     return h.select("*", survival.alias("survival"))
 
 
+def resilience(bad: DataFrame, good: DataFrame, groups: DataFrame, span: float = 4.0) -> DataFrame:
+    """Per group and over all (grp null): of the spells of the bad and of the good state (``spells``) their number, mean duration, half life (least duration at whose end half or fewer
+    survive) and survival at the longest one; good half life less bad; a score of 0 to 100, half for a short bad half life and half for a long good one, up to ``span`` periods (0 for one without); dense rank."""
+    out = None
+    for name, some in (("bad", bad), ("good", good)):
+        each = some.join(groups, "unit").select("grp", "duration", "left").union(some.select(F.lit(None).cast(groups.schema["grp"].dataType).alias("grp"), "duration", "left"))
+        d = each.groupBy("grp", "duration").agg(F.count("*").alias("ends"), F.sum("left").alias("exits"), F.sum("duration").alias("total"))
+        w = Window.partitionBy("grp")  # a row for each duration
+        d = d.withColumn("h", F.col("exits") / F.sum("ends").over(w.orderBy(F.desc("duration")).rowsBetween(Window.unboundedPreceding, 0)))
+        upto = w.orderBy("duration").rowsBetween(Window.unboundedPreceding, 0)
+        alive = F.when(F.max((F.col("h") >= 1).cast("int")).over(upto) == 1, 0.0).otherwise(F.exp(F.sum(F.log(F.when(F.col("h") < 1, 1 - F.col("h")))).over(upto)))
+        d = d.withColumn("alive", alive)
+        half = F.min(F.when(F.round("alive", 9) <= 0.5, F.col("duration")))
+        g = d.groupBy(F.coalesce("grp", F.lit("")).alias("_k")).agg(F.sum("ends").alias(f"{name}_spells"), (F.sum("total") / F.sum("ends")).alias(f"{name}_mean"), half.alias(f"{name}_half_life"), F.max_by("alive", "duration").alias(f"{name}_survival"))
+        out = g if out is None else out.join(g, "_k", "full")
+    part = lambda x: F.coalesce(0.5 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)), F.lit(0.0))
+    score = 100 * (part((span - F.col("bad_half_life")) / span) + part(F.col("good_half_life") / span))
+    out = out.select(F.nullif("_k", F.lit("")).alias("grp"), *[F.coalesce(f"{n}_spells", F.lit(0)).alias(f"{n}_spells") for n in ("bad", "good")], *[f"{n}_{c}" for n in ("bad", "good") for c in ("mean", "half_life", "survival")], (F.col("good_half_life") - F.col("bad_half_life")).alias("gap"), score.alias("score"))
+    return out.withColumn("rank", F.dense_rank().over(Window.orderBy(F.round("score", 9).desc())))  # a row a group
+
+
 def half_life(spell: DataFrame, groups: DataFrame) -> DataFrame:
     """Per group: spells, mean duration, the least duration that half of them don't outlast, and a dense rank by it."""
     g = spell.join(groups, "unit").groupBy("grp").agg(F.count("*").alias("spells"), F.avg("duration").alias("mean_duration"), F.percentile("duration", 0.5).alias("median"))

@@ -86,10 +86,18 @@ def h8_pulse_index(spark, sf):
     return r(D.pulse_index(V.panel_nm(spark, sf)), "index", "delta", "trend")
 
 
-@query(f"""WITH {V.PANEL_SY}, l AS (SELECT unit, value, disc FROM panel QUALIFY row_number() OVER (PARTITION BY unit ORDER BY t DESC) = 1), q AS (SELECT quantile_cont(value, 0.35) AS al, quantile_cont(value, 0.65) AS ah, quantile_cont(disc, 0.35) AS bl, quantile_cont(disc, 0.65) AS bh FROM l)
-SELECT unit, CASE WHEN value >= ah AND disc >= bh THEN 'leading' WHEN value <= al AND disc >= bh THEN 'catching_up' WHEN value >= ah AND disc <= bl THEN 'slowing' WHEN value <= al AND disc <= bl THEN 'lagging' ELSE 'middle' END AS quadrant FROM l, q""")
+def _cuts(c: str) -> str:
+    """Low and high cut of a score of l."""
+    q = f"(SELECT quantile_cont({c}, 0.35) AS lo, quantile_cont({c}, 0.5) AS m, quantile_cont({c}, 0.65) AS hi FROM l)"
+    w = f"(SELECT CASE WHEN hi <= lo + 8 THEN least(lo, m - 4) ELSE lo END AS lo, CASE WHEN hi <= lo + 8 THEN greatest(hi, m + 4) ELSE hi END AS hi FROM {q})"
+    return f"(SELECT least(greatest(lo, 8), 92) AS {c}l, least(greatest(hi, least(greatest(lo, 8), 92) + 5), 96) AS {c}h FROM {w})"
+
+
+@query(f"""WITH {V.PANEL_SY}, l AS (SELECT unit, value / 4000000.0 AS a, disc * 1000 AS r FROM panel QUALIFY row_number() OVER (PARTITION BY unit ORDER BY t DESC) = 1)
+SELECT unit, CASE WHEN a >= ah AND r <= rl THEN 'accelerating' WHEN a <= al AND r >= rh THEN 'stalling' WHEN a >= ah AND r >= rh THEN 'fragile_boom' WHEN a <= al AND r <= rl THEN 'recovery_window' ELSE 'steady' END AS quadrant FROM l, {_cuts('a')}, {_cuts('r')}""")
 def h9_quadrants(spark, sf):
-    return D.quadrants(V.edge_rows(V.panel_sy(spark, sf)), "value", "disc").select("unit", "quadrant")
+    p = V.panel_sy(spark, sf).select("unit", "t", (F.col("value") / 4000000.0).alias("a"), (F.col("disc") * 1000).alias("r"))
+    return D.quadrants(V.edge_rows(p), "a", "r").select("unit", "quadrant")
 
 
 @query(f"""WITH {INDEX}, p AS (SELECT t, avg(idx) AS mean, avg((state = 'weak')::INT) AS weak, avg((state = 'steady')::INT) AS steady, avg((state = 'strong')::INT) AS strong FROM st GROUP BY 1), z AS (SELECT quantile_cont(mean, 0.33) AS lo, quantile_cont(mean, 0.67) AS hi FROM p)
@@ -112,13 +120,20 @@ def h12_trend_shock(spark, sf):
     return r(r(D.trend_shock(V.panel_nm(spark, sf)), "shock_z", "cusum_up", "cusum_down"), "slope", digits=2)
 
 
-@query(f"""WITH {V.PANEL_SY}, g AS (SELECT unit, t, value, ln(1 + value) - lag(ln(1 + value)) OVER {W} AS g, max(value) OVER {W} AS peak, row_number() OVER (PARTITION BY unit ORDER BY t DESC) AS back FROM panel),
-u AS (SELECT unit, stddev_samp(g) AS volatility, max(1 - value / peak) AS drawdown, avg((g > 0)::INT) AS rises, avg(CASE WHEN back <= 3 THEN g END) - avg(g) AS gap FROM g GROUP BY 1),
-b AS (SELECT min(volatility) AS a0, max(volatility) AS a1, min(drawdown) AS b0, max(drawdown) AS b1, min(rises) AS c0, max(rises) AS c1, min(gap) AS d0, max(gap) AS d1 FROM u)
-SELECT unit, round(volatility, 6) AS volatility, round(drawdown, 6) AS drawdown, round(rises, 6) AS rises, round(gap, 6) AS gap,
- round((1 - (volatility - a0) / (a1 - a0) + 1 - (drawdown - b0) / (b1 - b0) + (rises - c0) / (c1 - c0) + (gap - d0) / (d1 - d0)) / 4, 6) AS score FROM u, b""")
+PARTS = " + ".join(f"{w} * coalesce({'1 - ' if less else ''}({c} - min({c}) OVER ()) / nullif(max({c}) OVER () - min({c}) OVER (), 0), 0.5)" for c, (w, less) in D.ENVELOPE.items())
+
+
+@query(f"""WITH {V.PANEL_SY}, ix AS (SELECT unit, t, 10 * ln(1 + value) AS "index", disc * 1000 AS risk, qty / 100.0 AS q FROM panel),
+dl AS (SELECT *, "index" - lag("index") OVER {W} AS d, q - lag(q) OVER {W} AS av, risk - lag(risk) OVER {W} AS rv, row_number() OVER (PARTITION BY unit ORDER BY t DESC) AS back, count(*) OVER (PARTITION BY unit) AS n FROM ix),
+u AS (SELECT unit, max("index") FILTER (back = 1) - max("index") FILTER (back = least(3, n)) AS trend, stddev_pop(d) FILTER (back <= 5) AS volatility, max("index") FILTER (back <= 5) - max("index") FILTER (back = 1) AS drawdown,
+ avg((d > 0)::INT) FILTER (back <= 5) AS rises, coalesce(max(av) FILTER (back = 1), 0) - coalesce(max(rv) FILTER (back = 1), 0) AS gap, max(risk) FILTER (back = 1) AS risk FROM dl GROUP BY 1), e AS (SELECT *, 100 * ({PARTS}) AS envelope FROM u)
+SELECT unit, round(trend, 6) AS trend, round(volatility, 6) AS volatility, round(drawdown, 6) AS drawdown, round(rises, 6) AS rises, round(gap, 6) AS gap, round(risk, 6) AS risk, round(envelope, 5) AS envelope, round(risk - envelope, 5) AS fragility,
+ CASE WHEN envelope >= 70 AND risk <= 45 THEN 'resilient_accelerator' WHEN envelope >= 58 AND risk > 45 THEN 'pressured_growth' WHEN envelope < 45 AND risk >= 60 THEN 'stall_trap' WHEN gap >= 0 THEN 'adaptive_transition' ELSE 'fragile_transition' END AS class FROM e""")
 def h13_unit_envelope(spark, sf):
-    return r(D.unit_envelope(V.panel_sy(spark, sf)), "volatility", "drawdown", "rises", "gap", "score")
+    own = D.own_order()
+    p = V.panel_sy(spark, sf).select("unit", "t", (10 * F.log1p("value")).alias("index"), (F.col("disc") * 1000).alias("risk"), (F.col("qty") / 100.0).alias("q"))
+    p = p.select("unit", "t", "index", "risk", (F.col("q") - F.lag("q").over(own)).alias("accel_velocity"), (F.col("risk") - F.lag("risk").over(own)).alias("risk_velocity"))
+    return r(r(D.unit_envelope(p), "trend", "volatility", "drawdown", "rises", "gap", "risk"), "envelope", "fragility", digits=5)
 
 
 @query(f"""WITH {V.PANEL_NM}, g AS (SELECT grp, t, avg(value) AS mean, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.75) AS p75, stddev_samp(value) AS sd FROM panel GROUP BY ALL)

@@ -62,6 +62,26 @@ def i6_half_life(spark, sf):
     return r(Q.half_life(Q.spells(s, "low"), s.select("unit", "grp").distinct()), "mean_duration")
 
 
+def _spells(state: str) -> str:
+    return f"""{state}_n AS (SELECT *, lead(t) OVER {W} AS nt FROM states), {state}_i AS (SELECT *, t - row_number() OVER (PARTITION BY unit ORDER BY t) AS island FROM {state}_n WHERE state = '{state}'),
+{state}_s AS (SELECT unit, (max(t) - min(t) + 1)::INT AS duration, coalesce((max_by(coalesce(nt, -1), t) = max(t) + 1)::INT, 0) AS "left" FROM {state}_i GROUP BY unit, island),
+{state}_e AS (SELECT grp, duration, "left" FROM {state}_s JOIN g USING (unit) UNION ALL SELECT '', duration, "left" FROM {state}_s),
+{state}_d AS (SELECT grp, duration, count(*) AS ends, sum("left") AS exits FROM {state}_e GROUP BY ALL), {state}_h AS (SELECT *, exits / sum(ends) OVER (PARTITION BY grp ORDER BY duration DESC) AS h FROM {state}_d),
+{state}_a AS (SELECT *, product(1 - h) OVER (PARTITION BY grp ORDER BY duration) AS alive FROM {state}_h),
+{state}_g AS (SELECT grp, sum(ends)::BIGINT AS spells, sum(ends * duration) / sum(ends) AS mean, min(duration) FILTER (round(alive, 9) <= 0.5) AS half, max_by(alive, duration) AS survival FROM {state}_a GROUP BY 1)"""
+
+
+@query(f"""WITH {STATES}, g AS (SELECT DISTINCT unit, grp FROM states), {_spells('low')}, {_spells('high')},
+j AS (SELECT coalesce(b.grp, a.grp) AS grp, coalesce(b.spells, 0) AS bs, coalesce(a.spells, 0) AS gs, b.mean AS bm, b.half AS bh, b.survival AS bv, a.mean AS gm, a.half AS gh, a.survival AS gv FROM low_g b FULL JOIN high_g a ON b.grp = a.grp),
+s AS (SELECT *, 100 * (coalesce(0.5 * least(1, greatest(0, (4 - bh) / 4)), 0) + coalesce(0.5 * least(1, greatest(0, gh / 4)), 0)) AS score FROM j)
+SELECT nullif(grp, '') AS grp, bs AS bad_spells, gs AS good_spells, round(bm, 6) AS bad_mean, bh AS bad_half_life, round(bv, 6) AS bad_survival, round(gm, 6) AS good_mean, gh AS good_half_life, round(gv, 6) AS good_survival, gh - bh AS gap, round(score, 5) AS score,
+ dense_rank() OVER (ORDER BY round(score, 9) DESC)::INT AS rank FROM s""")
+def i6_resilience(spark, sf):
+    s = _states(spark, sf)
+    found = Q.resilience(Q.spells(s, "low"), Q.spells(s, "high"), s.select("unit", "grp").distinct())
+    return r(r(found, "bad_mean", "bad_survival", "good_mean", "good_survival"), "score", digits=5)
+
+
 WARNED = f"""{DYN}, e AS (SELECT unit, t, vol_3 AS score, (growth < 0)::INT AS event FROM dyn),
 l AS (SELECT 1 AS h, score, lead(event) OVER w AS hit FROM e WINDOW w AS (PARTITION BY unit ORDER BY t) UNION ALL SELECT 2, score, CASE WHEN lead(event, 2) OVER w IS NOT NULL THEN greatest(lead(event) OVER w, lead(event, 2) OVER w) END FROM e WINDOW w AS (PARTITION BY unit ORDER BY t)
  UNION ALL SELECT 3, score, CASE WHEN lead(event, 3) OVER w IS NOT NULL THEN greatest(lead(event) OVER w, lead(event, 2) OVER w, lead(event, 3) OVER w) END FROM e WINDOW w AS (PARTITION BY unit ORDER BY t))"""

@@ -238,3 +238,58 @@ def test_enrichment(spark):
     q = {(r.measure, r.item): r.value for r in N.quality_report(e).collect()}
     assert q["rows", ""] == 4 and q["repeats_removed", ""] == 1 and q["without_intensity", ""] == 1 and q["ends_before_start", ""] == 1 and q["intensity_outside", ""] == 1 and q["linked_share", ""] == 0.75 and q["track", "direct"] == 2
     assert N.enrich(df.limit(0), tracks).count() == 0
+
+
+def test_envelopes_of_units(spark):
+    from tessella.operators import dynamics as D
+
+    rows = [(1, t, 10.0 + t, 1.0, 0.5, 20.0) for t in range(8)] + [(2, t, 30.0 - 2 * t, None, 3.0, 80.0) for t in range(8)] + [(3, 0, 5.0, None, None, None)]
+    df = spark.createDataFrame(rows, "unit long, t int, index double, accel_velocity double, risk_velocity double, risk double")
+    got = {r.unit: r for r in D.unit_envelope(df).collect()}
+    assert (got[1].trend, got[1].drawdown, got[1].rises, got[1].gap) == (2.0, 0.0, 1.0, 0.5) and (got[2].trend, got[2].drawdown, got[2].rises, got[2].gap) == (-4.0, 8.0, 0.0, -3.0)
+    assert got[1]["class"] == "resilient_accelerator" and got[2]["class"] == "stall_trap" and got[3].trend == 0.0 and got[3].volatility is None and got[3].rises is None
+    assert D.unit_envelope(df.limit(0)).count() == 0
+
+
+def test_quadrant_cuts(spark):
+    from tessella.operators import dynamics as D
+
+    same = spark.createDataFrame([(i, 50.0, float(i)) for i in range(101)] + [(200, None, None)], "unit long, a double, r double")
+    cuts = D.quadrant_cuts(same, ["a", "r"])
+    assert cuts == {"a": (46.0, 54.0), "r": (35.0, 65.0)} and D.quadrant_cuts(same.limit(0), ["a"]) == {"a": (35.0, 65.0)}
+    high = spark.createDataFrame([(i, 99.0) for i in range(5)], "unit long, a double")
+    assert D.quadrant_cuts(high, ["a"]) == {"a": (92.0, 96.0)}
+    assert {r.quadrant for r in D.quadrants(same, "a", "r").collect()} == {"steady"}
+
+
+def test_resilience(spark):
+    from tessella.operators import sequences as Q
+
+    spells = lambda rows: spark.createDataFrame(rows, "unit long, start int, end int, duration int, left int")
+    groups = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "unit long, grp string")
+    bad = spells([(1, 0, 0, 1, 1), (2, 0, 0, 1, 1), (3, 0, 2, 3, 0)])
+    good = spells([(1, 0, 3, 4, 1), (2, 0, 7, 8, 1)])
+    got = {r.grp: r for r in Q.resilience(bad, good, groups).collect()}
+    assert (got["a"].bad_half_life, got["a"].good_half_life, got["a"].gap, got["a"].score) == (1, 4, 3, pytest.approx(100 * (0.375 + 0.5)))
+    assert (got["b"].bad_half_life, got["b"].bad_survival, got["b"].good_spells, got["b"].score) == (None, 1.0, 0, 0.0)
+    assert got[None].bad_spells == 3 and got["a"]["rank"] <= got["b"]["rank"] and Q.resilience(bad.limit(0), good.limit(0), groups).count() == 0
+
+
+def test_concordance_without_errors(spark):
+    from tessella.operators import shocks as K
+
+    df = spark.createDataFrame([("a", 1.0, 0.2), ("b", -1.0, None), ("c", 1.1, 0.2)], "name string, coef double, stderr double")
+    got = {(r.name_a, r.name_b): r for r in K.concordance(df).collect()}
+    assert got["a", "b"].overlap is None and got["a", "b"].concordance < 1e-6 and got["a", "c"].same_class == 1 and got["a", "c"].concordance > 0.95
+
+
+def test_stacked_placebo_of_no_effect(spark):
+    rng = np.random.default_rng(3)
+    rows = [(u, u % 8, t, float(rng.normal() + u), 5 if u % 3 == 0 else 6 if u % 3 == 1 else 9999) for u in range(60) for t in range(9)]
+    df = spark.createDataFrame([*rows, (99, 1, 1, None, 5)], "unit long, cl long, t int, y double, cohort int")
+    got = X.stacked_placebo(df, "y", leads=(2,)).collect()
+    cells = {r.cell: r for r in got if r.cell}
+    assert set(cells) == {"2:3", "2:4"} and cells["2:3"].n_treated == 20 and cells["2:3"].n_members == 60
+    (pooled,) = [r for r in got if r.cell is None]
+    assert abs(pooled.t_value) < 4 and pooled.coef == pytest.approx(sum(r.coef for r in cells.values()) / 2)
+    assert X.stacked_placebo(df.limit(0), "y").count() == 0
