@@ -106,7 +106,7 @@ def _distance(table: str, of: str, name: str, names: list[str]) -> str:
 
 
 Z = [f"z_{s}" for s in SIGNALS]
-FIRST = " + ".join(f"((z.{c} - m_{c}) / (1.4826 * s_{c})) ** 2" for c in Z)
+FIRST = " + ".join(f"CASE WHEN s_{c} > 1e-8 THEN ((z.{c} - m_{c}) / (1.4826 * s_{c})) ** 2 ELSE 0 END" for c in Z)
 CHI = (I.CHI_MEDIAN[len(Z) - 1], I.CHI_HIGH[len(Z) - 1])
 ROBUST = f"""{V.REGISTRY}, {MACRO}, {_signals(ANOMALY_RULE)}, md AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}' for c in Z)} FROM z),
 mad AS (SELECT {', '.join(f'quantile_cont(abs({c} - m_{c}), 0.5) AS s_{c}' for c in Z)} FROM z, md), a AS (SELECT z.*, {FIRST} AS d0 FROM z, md, mad),
