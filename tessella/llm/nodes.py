@@ -42,13 +42,16 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def close_pairs(n: np.ndarray, bits: np.ndarray, percent: int) -> np.ndarray:
-    """Which of all pairs of members may be similar, by their sizes and their sketches' Hamming distance: never leaves out one that is."""
-    small, large = np.minimum(n[:, None], n[None, :]), np.maximum(n[:, None], n[None, :])
-    apart = np.zeros((len(n), len(n)), dtype=np.int64)
-    for word in bits.T:
-        apart += np.bitwise_count(word[:, None] ^ word[None, :])
-    near = (small * 100 >= large * percent) & (apart * (100 + percent) <= (small + large) * (100 - percent))
+def close_pairs(n: np.ndarray, bits: np.ndarray, percent: int, rows: int = 256) -> np.ndarray:
+    """Which of all pairs of members may be similar, by their sizes and their sketches' Hamming distance, ``rows`` of them at a time: never leaves out one that is."""
+    near = np.zeros((len(n), len(n)), dtype=bool)
+    for at in range(0, len(n), rows):
+        own = n[at : at + rows, None]
+        small, large = np.minimum(own, n), np.maximum(own, n)
+        apart = np.zeros(small.shape, dtype=np.int64)
+        for word in bits.T:
+            apart += np.bitwise_count(word[at : at + rows, None] ^ word)
+        near[at : at + rows] = (small * 100 >= large * percent) & (apart * (100 + percent) <= (small + large) * (100 - percent))
     np.fill_diagonal(near, False)
     return near
 
