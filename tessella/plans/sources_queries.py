@@ -92,3 +92,22 @@ def p5_stream_cusum(spark, sf):
     path = S.scratch(spark, "cusum")
     monitor.append_to(monitor.cusum_alarms(monitor.read_events(spark, sf).select("user_id", "event_id", "ts", "value"), 50.0, 5.0, 150.0), f"{path}/out", f"{path}/check").awaitTermination()
     return r(spark.read.schema("user_id long, event_id long, ts timestamp, total double").parquet(f"{path}/out").select("user_id", "event_id", "total"), "total", digits=4)
+
+
+@query("""WITH w AS (SELECT date_trunc('day', ts) - to_days(o) AS start, event_type, value FROM events, (VALUES (0), (1), (2)) v(o))
+SELECT strftime(start, '%Y-%m-%d') AS day, event_type, count(*) AS n, (sum(round(value * 100)::BIGINT) / 100.0)::DOUBLE AS total FROM w GROUP BY ALL""")
+def p5_stream_sliding(spark, sf):
+    """The whole table as a stream, in windows of three days that begin every day."""
+    path = S.scratch(spark, "sliding")
+    monitor.all_windows(monitor.sliding_alerts(monitor.read_events(spark, sf)), path)
+    return spark.read.parquet(f"{path}/out").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
+
+
+@query("SELECT event_id, user_id, event_type, round(value, 2) AS value FROM events")
+def p5_stream_dedup(spark, sf):
+    """The table delivered twice; each event comes out once."""
+    path = S.scratch(spark, "dedup")
+    twice = monitor.read_events(spark, sf).union(monitor.read_events(spark, sf))
+    once = monitor.deduplicated(twice).select("event_id", "user_id", "event_type", F.round("value", 2).alias("value"))
+    monitor.append_to(once, f"{path}/out", f"{path}/check").awaitTermination()
+    return spark.read.parquet(f"{path}/out")

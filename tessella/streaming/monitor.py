@@ -22,6 +22,18 @@ def windowed_alerts(events: DataFrame, size: str = "1 day", late: str = "1 day",
     return rows.select(F.col("window.start").alias("start"), "event_type", "n", (F.col("cents") / 100.0).alias("total"), mean.alias("mean"), (mean >= threshold).cast("int").alias("alert"))
 
 
+def sliding_alerts(events: DataFrame, size: str = "3 days", slide: str = "1 day", late: str = "1 day") -> DataFrame:
+    """By overlapping window and event type: rows, users (approximately, as exact distinct counts need all of a window's rows) and total value; each event counts in every window that holds it."""
+    g = events.withWatermark("ts", late).groupBy(F.window("ts", size, slide), "event_type")
+    rows = g.agg(F.count("*").alias("n"), F.approx_count_distinct("user_id").alias("users"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents"))
+    return rows.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "event_type", "n", "users", (F.col("cents") / 100.0).alias("total"))
+
+
+def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Each event once, however often it is delivered: what has been seen is kept until the watermark passes its time, so the state is bounded. Rows later than that are dropped."""
+    return events.withWatermark("ts", late).dropDuplicates(["event_id", "ts"])
+
+
 def all_windows(stream: DataFrame, path: str) -> None:
     """All that has arrived, windows still open too, to Parquet under ``path``: each run's batch replaces the last one's, so only the newest state is there."""
 

@@ -293,3 +293,24 @@ def test_stacked_placebo_of_no_effect(spark):
     (pooled,) = [r for r in got if r.cell is None]
     assert abs(pooled.t_value) < 4 and pooled.coef == pytest.approx(sum(r.coef for r in cells.values()) / 2)
     assert X.stacked_placebo(df.limit(0), "y").count() == 0
+
+
+def test_streams_drop_repeats_and_late_rows(spark, tmp_path):
+    """Four files, a batch each: repeats within the watermark go, a row that comes two batches after it has passed goes as late, and the windows it would be in are closed."""
+    import datetime as dt
+
+    from tessella.streaming import monitor
+
+    at = lambda day, hour=0: dt.datetime(2024, 1, day, hour)
+    batches = [[(1, at(1), 7, "a", 1.0), (1, at(1), 7, "a", 1.0), (2, at(2), 7, "b", 2.0)], [(2, at(2), 7, "b", 2.0), (3, at(9), 8, "a", 3.0)], [(6, at(9, 6), 8, "a", 6.0)], [(4, at(1, 5), 8, "a", 4.0), (5, at(9, 5), 8, "a", 5.0)]]
+    schema = "event_id long, ts timestamp, user_id long, event_type string, value double"
+    folder = tmp_path / "in"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / f"b{i}"))
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(folder))
+    monitor.append_to(monitor.deduplicated(read()).select("event_id"), str(tmp_path / "once"), str(tmp_path / "c1")).awaitTermination()
+    got = sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "once")).collect())
+    assert got == [1, 2, 3, 5, 6]
+    monitor.append_to(monitor.sliding_alerts(read(), "2 days", "1 day").select("start", "event_type", "n"), str(tmp_path / "slide"), str(tmp_path / "c2")).awaitTermination()
+    closed = {(r.start.day, r.event_type): r.n for r in spark.read.parquet(str(tmp_path / "slide")).collect()}
+    assert closed[(1, "b")] == 2 and closed[(2, "b")] == 2 and closed[(1, "a")] == 2  # the late one isn't in it
