@@ -111,7 +111,7 @@ def _small(batches, k: int, bands: Bands):
 def _full(batches, k: int, bands: Bands):
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):  # few sets at a time, however large the batch
         rows = []
         for sid, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k), strict=True):
             if not len(s) or digest(s)[0] != sid:
@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     passed = needed(texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id", chosen.select("doc_id"))
     met = passed.join(chosen.hint("merge"), "doc_id").dropDuplicates(["doc_id", "sid", "text"])
     schema = "sid long, n long, bits array<long>, shingles array<long>, fine array<struct<band:int,need:int,blocks:int,keys:array<long>>>"
-    sets = work.cut(met.select("sid", "text").mapInArrow(lambda b: _full(b, k, bands), schema), "sets")
+    sets = work.cut(met.select("sid", "text").repartition(parts, "sid").mapInArrow(lambda b: _full(b, k, bands), schema), "sets")
 
     fine = sets.select("sid", F.explode("fine").alias("f")).select("sid", "f.band", "f.need", "f.blocks", F.explode("f.keys").alias("key")).repartition(parts, "key")
     often = fine.groupBy("key").agg(F.count("*").alias("often")).filter("often > 1")
