@@ -20,25 +20,94 @@ def near_pairs(places: DataFrame, radius_km: float) -> DataFrame:
     Rows of latitude are ``radius_km`` high and cut into cells as wide, where the row is narrowest, as the largest difference of longitude of such a pair, so pairs
     lie in the same or adjoining rows and cells; the distance decides the rest.
     """
-    band = F.floor(F.col("lat") / (radius_km / KM_A_DEGREE))
-    a = places.select(F.col("unit").alias("src"), F.col("lat").alias("a"), F.col("lon").alias("b"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
-    n, at = _cells(F.col("band"), radius_km), lambda n, lon: F.floor((F.col(lon) + 180) / 360 * n)
-    a = a.withColumn("n", n).select("src", "a", "b", "band", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(at(F.col("n"), "b") + i, F.col("n"))))).alias("cell"))
-    b = places.select(F.col("unit").alias("dst"), F.col("lat").alias("c"), F.col("lon").alias("d"), band.alias("band"))
-    b = b.withColumn("n", n).select("dst", "c", "d", "band", F.pmod(at(F.col("n"), "d"), F.col("n")).alias("cell"))
+    radius = F.lit(float(radius_km))
+    a = _around(places.select(F.col("unit").alias("src"), F.col("lat").alias("a"), F.col("lon").alias("b")), "a", "b", radius)
+    b = _cell_of(places.select(F.col("unit").alias("dst"), F.col("lat").alias("c"), F.col("lon").alias("d")), "c", "d", radius)
     km = haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
     return a.join(b, ["band", "cell"]).filter("src <> dst").select("src", "dst", km.alias("km")).filter(F.col("km") <= radius_km)
 
 
-def _cells(band: Column, radius_km: float) -> Column:
+def _cell_of(df: DataFrame, lat: str, lon: str, radius: Column) -> DataFrame:
+    """``df`` with the band (row of latitude) and cell of its place."""
+    d = df.withColumn("band", F.floor(F.col(lat) / (radius / KM_A_DEGREE)))
+    n = _cells(F.col("band"), radius)
+    return d.withColumn("cell", F.pmod(F.floor((F.col(lon) + 180) / 360 * n), n))
+
+
+def _around(df: DataFrame, lat: str, lon: str, radius: Column) -> DataFrame:
+    """``df`` once for each band and cell that holds places within ``radius``."""
+    band = F.floor(F.col(lat) / (radius / KM_A_DEGREE))
+    d = df.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("n", _cells(F.col("band"), radius))
+    at = F.floor((F.col(lon) + 180) / 360 * F.col("n"))
+    return d.withColumn("cell", F.explode(F.array_distinct(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(at + i, F.col("n")))))).drop("n")
+
+
+def _cells(band: Column, radius: Column) -> Column:
     """The number of cells of a row of latitude: 1 near the poles, and where there would be under three."""
-    high = radius_km / KM_A_DEGREE
+    high = radius / KM_A_DEGREE
     widest = F.least(F.lit(89.9), (F.greatest(F.abs(band), F.abs(band + 1)) + 1) * high)
-    reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(F.lit(radius_km / 2 / 6371.0)) / F.cos(F.radians(widest)))))
+    reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), F.sin(radius / 2 / 6371.0) / F.cos(F.radians(widest)))))
     n = F.floor(360 / reach)
     return F.when(n >= 3, n).otherwise(F.lit(1).cast("long"))
 
 
+#: Radii are halved so often at most: down to 1 / 4,096 of the largest.
+HALVINGS = 12
+
+
+def _radius_at(level: Column, most_km: float) -> Column:
+    return F.lit(float(most_km)) / F.pow(F.lit(2.0), level)
+
+
+def _searches(places: DataFrame, most_km: float, k: int, floor_km: float, group: list[str]) -> DataFrame:
+    """``places`` with the level of radius (0: ``most_km``, halved at each next one) that is sure to hold its ``k`` best others, by sqrt of the masses' product over the distance (``floor_km`` at least).
+
+    At each level places are put into squares whose diagonal is within the radius. Where the square of a place holds more than ``k`` of its group, the k + 1st mass bounds its
+    k-th best score from below, and this and the group's largest mass the distance of all that may score as well. The level of the least such distance is taken; places
+    without one, or whose own mass is not above 0, search ``most_km``. ``places``: unit, lat, lon, mass and ``group``; masses are not negative.
+    """
+    levels = places.select("unit", "lat", "lon", "mass", *group, F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("level"))
+    radius = _radius_at(F.col("level"), most_km)
+    side = 0.999 * 2**0.5 * F.sin(F.least(radius / 2 / 6371.0, F.lit(1.5707963))) * 6371.0 / KM_A_DEGREE  # degrees of latitude
+    row = F.floor(F.col("lat") / side)
+    nearest = F.least(F.abs(row), F.abs(row + 1)) * side  # to the equator, where the row is widest
+    across = F.greatest(F.lit(1.0), F.ceil(360 * F.cos(F.radians(F.least(nearest, F.lit(90.0)))) / side))
+    keyed = levels.withColumn("_row", row).withColumn("_square", F.floor((F.col("lon") + 180) / 360 * across))
+    square = ["level", *group, "_row", "_square"]
+    place = F.row_number().over(Window.partitionBy(*square).orderBy(F.col("mass").desc_nulls_last()))
+    full = keyed.filter("mass > 0").withColumn("_p", place).filter(F.col("_p") <= k + 1).filter(F.col("_p") == k + 1).select(*square, F.col("mass").alias("_kth"))
+    top = places.groupBy(*group).agg(F.max("mass").alias("_top"))
+    full = full.join(top, group) if group else full.crossJoin(top)
+    bound = F.greatest(radius, F.lit(float(floor_km)))
+    full = full.withColumn("_reach", F.when((F.col("_top") == F.col("_kth")) & (radius > floor_km * 1.01), radius).otherwise(1.0001 * bound * F.sqrt(F.col("_top") / F.col("_kth"))))
+    found = keyed.filter("mass > 0").join(full, square).groupBy("unit").agg(F.min("_reach").alias("_reach"))
+    level = sum((F.coalesce((F.lit(most_km / 2.0**i) >= F.col("_reach")).cast("int"), F.lit(0)) for i in range(1, HALVINGS + 1)), F.lit(0))
+    return places.join(found, "unit", "left").withColumn("level", level).drop("_reach")
+
+
+def _searched_pairs(searches: DataFrame, most_km: float, group: list[str], kept: DataFrame) -> DataFrame:
+    """(src, dst, km, ms, md): pairs of each place of ``searches`` with those of ``kept`` within its level's radius."""
+    radius = _radius_at(F.col("level"), most_km)
+    a = _around(searches.select(F.col("unit").alias("src"), F.col("lat").alias("a"), F.col("lon").alias("b"), F.col("mass").alias("ms"), *group, "level"), "a", "b", radius)
+    used = searches.select("level").distinct()
+    b = kept.select(F.col("unit").alias("dst"), F.col("lat").alias("c"), F.col("lon").alias("d"), F.col("mass").alias("md"), *group).crossJoin(F.broadcast(used))  # at most 13 levels
+    b = _cell_of(b, "c", "d", radius)
+    km = haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
+    met = a.join(b, ["level", "band", "cell", *group]).filter("src <> dst").select("src", "dst", km.alias("km"), "ms", "md", "level")
+    return met.filter(F.col("km") <= F.when(F.col("level") == 0, F.lit(float(most_km))).otherwise(radius)).drop("level")
+
+
+def nearest_units(places: DataFrame, radius_km: float, k: int) -> DataFrame:
+    """(src, dst, km, rank): each unit's ``k`` nearest others within ``radius_km``, ties to the smaller one.
+
+    Every unit searches a radius by the density around it, so the pairs grow as the units. Of the units at one place the first k + 1 are enough to be found.
+    """
+    p = places.select("unit", "lat", "lon", F.lit(1.0).alias("mass"))
+    kept = p.withColumn("_n", F.row_number().over(Window.partitionBy("lat", "lon").orderBy("unit"))).filter(F.col("_n") <= k + 1).drop("_n")
+    pairs = _searched_pairs(_searches(p, radius_km, k, 0.0, []), radius_km, [], kept)
+    return nearest_edges(pairs.select("src", "dst", "km"), k)
+
+
 def segment_km(lat: Column, lon: Column, a: tuple[float, float], b: tuple[float, float]) -> Column:
     """Distance from points to a segment, on the plane tangent at its first end."""
     import math
@@ -58,7 +127,7 @@ def nearest_edges(pairs: DataFrame, k: int) -> DataFrame:
 
 def standardised(edges: DataFrame, weight: Column) -> DataFrame:
     w = edges.withColumn("w", weight)
-    return w.withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("src")))
+    return w.withColumn("w", F.col("w") / F.nullif(F.sum("w").over(Window.partitionBy("src")), F.lit(0.0)))
 
 
 def inverse_distance(edges: DataFrame, floor_km: float = 1.0) -> DataFrame:
@@ -113,10 +182,15 @@ def route_weights(routes: DataFrame, k: int) -> DataFrame:
 
 
 def proxy_access(places: DataFrame, max_km: float, k: int) -> DataFrame:
-    """Same group, within ``max_km``: sqrt of the masses' product over the distance (25 km at least), the ``k`` strongest, adding to 1."""
-    info = places.select("unit", "grp", "mass")
-    pairs = near_pairs(places, max_km).join(info.select(F.col("unit").alias("src"), F.col("grp").alias("g"), F.col("mass").alias("ms")), "src").join(info.select(F.col("unit").alias("dst"), F.col("grp").alias("h"), F.col("mass").alias("md")), "dst")
-    scored = pairs.filter("g = h").withColumn("w", F.sqrt(F.col("ms") * F.col("md")) / F.greatest(F.col("km"), F.lit(25.0)))
+    """Same group, within ``max_km``: sqrt of the masses' product over the distance (25 km at least), the ``k`` strongest, adding to 1. Masses are not negative.
+
+    Every unit searches a radius by the masses around it. Of a group's units at one place the first k + 1 by mass are enough to be found (and by unit, for where masses don't count).
+    """
+    p = places.select("unit", "lat", "lon", "mass", "grp").filter("grp IS NOT NULL")
+    same = Window.partitionBy("grp", "lat", "lon")
+    first = F.least(F.row_number().over(same.orderBy(F.col("mass").desc_nulls_last(), "unit")), F.row_number().over(same.orderBy("unit")))
+    pairs = _searched_pairs(_searches(p, max_km, k, 25.0, ["grp"]), max_km, ["grp"], p.withColumn("_n", first).filter(F.col("_n") <= k + 1).drop("_n"))
+    scored = pairs.withColumn("w", F.sqrt(F.col("ms") * F.col("md")) / F.greatest(F.col("km"), F.lit(25.0)))
     return standardised(top_edges(scored, k), F.col("w")).select("src", "dst", "rank", "w")
 
 

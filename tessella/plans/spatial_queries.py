@@ -25,7 +25,7 @@ def _near(spark, sf):
 
 
 def _near_places(spark, sf):
-    return S.nearest_edges(S.near_pairs(V.places(spark, sf), 1000.0), 4)
+    return S.nearest_units(V.places(spark, sf), 1000.0, 4)
 
 
 def _panel(spark, sf):
