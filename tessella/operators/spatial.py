@@ -215,14 +215,114 @@ def assign_nearest(points: DataFrame, places: DataFrame, max_km: float) -> DataF
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
-    """Best name of the same block by Levenshtein ratio, with the second best's distance behind it; ties to the smaller id."""
-    r = right.select(F.col("name").alias("other"), F.col("id").alias("other_id"), F.col(block).alias("_b"))
-    ratio = 1 - F.levenshtein("name", "other") / F.greatest(F.length("name"), F.length("other"))
-    scored = left.join(r, F.col(block) == F.col("_b")).withColumn("ratio", ratio)
-    order = Window.partitionBy("id").orderBy(F.col("ratio").desc(), "other_id")
+    """Best name of the same block by Levenshtein ratio, with the second best's distance behind it; ties to the smaller id. Ids of ``left`` are unique.
+
+    Pairs of a block are compared in tiles of some 2,048 by 4,096 names, and each tile gives a name's two best, so blocks of any size are spread over tasks.
+    """
+    sizes = lambda df, n: df.groupBy(F.col(block).alias("_b")).agg(F.ceil(F.count("*") / n).cast("int").alias("_parts"))
+    lefts, rights = sizes(left, 2048).withColumnRenamed("_parts", "_lefts"), sizes(right, 4096).withColumnRenamed("_parts", "_rights")
+    tiles = lefts.join(rights, "_b")
+    dealt = lambda df, own, other, part, copy: df.select("id", "name", F.col(block).alias("_b")).join(tiles, "_b").select(
+        "id", "name", "_b", F.pmod(F.xxhash64("id"), F.col(own)).cast("int").alias(part), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(copy))
+    a = dealt(left, "_lefts", "_rights", "_l", "_r").groupBy("_b", "_l", "_r")
+    b = dealt(right, "_rights", "_lefts", "_r", "_l").groupBy("_b", "_l", "_r")
+    kinds = f"id {left.schema['id'].dataType.simpleString()}, other_id {right.schema['id'].dataType.simpleString()}, ratio double"
+    scored = a.cogroup(b).applyInArrow(_two_best(), kinds)
+    order = Window.partitionBy("id").orderBy(F.col("ratio").desc_nulls_last(), "other_id")
     return scored.select("id", "other_id", "ratio", (F.col("ratio") - F.lead("ratio").over(order)).alias("ahead"), F.row_number().over(order).alias("_r")).filter("_r = 1").drop("_r")
 
 
+def _two_best():
+    """The function of a tile. Inner functions travel to tasks by themselves, so executors need no copy of this package."""
+
+    def distances(names, others, batch: int = 32):
+        """(start, matrix) of the Levenshtein distances of ``batch`` names at a time to all others: Myers' bit vectors in words of 63 code points, one step for each different beginning of the others."""
+        import numpy as np
+
+        texts = [x or "" for x in others]
+        firsts, levels = np.zeros(len(texts), int), []  # each level: the last characters of the different beginnings, and where each continues
+        ends = [(0, 0)] * len(texts)
+        for depth in range(1, max(map(len, texts), default=0) + 1):
+            known, parents, letters = {}, [], []
+            for i, x in enumerate(texts):
+                if len(x) >= depth:
+                    key = (int(firsts[i]), x[depth - 1])
+                    if key not in known:
+                        known[key] = len(known)
+                        parents.append(key[0])
+                        letters.append(key[1])
+                    firsts[i] = known[key]
+                    ends[i] = (depth, known[key])
+            levels.append((np.array(parents), letters))
+        depth_of, node_of = (np.array([e[k] for e in ends], int) for k in (0, 1))
+        one, full = np.uint64(1), np.uint64((1 << 63) - 1)
+        for start in range(0, len(names), batch):
+            part = [x or "" for x in names[start : start + batch]]
+            words = max(1, max((len(x) + 62) // 63 for x in part))
+            size = np.array([len(x) for x in part], np.int64)
+            alphabet = {c: i for i, c in enumerate(sorted(set("".join(part))))}
+            peq = np.zeros((words, len(part), len(alphabet) + 1), np.uint64)  # the last column: letters of no name
+            for i, x in enumerate(part):
+                for j, c in enumerate(x):
+                    peq[j // 63, i, alphabet[c]] |= one << np.uint64(j % 63)
+            last_word, last_bit = np.maximum(size - 1, 0) // 63, (np.maximum(size - 1, 0) % 63).astype(np.uint64)[:, None]
+            out = np.empty((len(part), len(texts)), np.int64)
+            out[:, depth_of == 0] = size[:, None]
+            plus, minus = [np.full((len(part), 1), full) for _ in range(words)], [np.zeros((len(part), 1), np.uint64) for _ in range(words)]
+            score = size[:, None]
+            for depth, (parents, letters) in enumerate(levels, 1):
+                column = np.array([alphabet.get(c, len(alphabet)) for c in letters])
+                score = score[:, parents]
+                carry_plus, carry_minus = one, np.uint64(0)  # the first row grows by one with each letter
+                for w in range(words):
+                    pv, mv, eq = plus[w][:, parents], minus[w][:, parents], peq[w][:, column]
+                    xv = eq | mv
+                    eq = eq | carry_minus
+                    xh = ((((eq & pv) + pv) ^ pv) | eq) & full
+                    ph, mh = (mv | ~(xh | pv)) & full, pv & xh
+                    own = (last_word == w)[:, None]
+                    if own.any():
+                        score = score + np.where(own, ((ph >> last_bit) & one).astype(np.int64) - ((mh >> last_bit) & one).astype(np.int64), 0)
+                    next_plus, next_minus = (ph >> np.uint64(62)) & one, (mh >> np.uint64(62)) & one
+                    ph, mh = ((ph << one) | carry_plus) & full, ((mh << one) | carry_minus) & full
+                    plus[w], minus[w] = (mh | ~(xv | ph)) & full, ph & xv
+                    carry_plus, carry_minus = next_plus, next_minus
+                done = depth_of == depth
+                out[:, done] = score[:, node_of[done]]
+            empty = size == 0
+            out[empty] = np.array([len(x) for x in texts])
+            yield start, out
+
+    def two_best(left, right):
+        """(id, other_id, ratio) of each left name's two best right ones of a tile; a null ratio where a name is null or both are empty."""
+        import numpy as np
+        import pyarrow as pa
+
+        right = right.sort_by("id")  # so the first of equal ratios has the smallest id
+        names, others = left["name"].to_pylist(), right["name"].to_pylist()
+        met = distances(names, others)
+        lengths, other_lengths = (np.array([0 if x is None else len(x) for x in y], float) for y in (names, others))
+        missing = np.array([x is None for x in others], bool)
+        rows, found, ratios = [], [], []
+        for start, d in met:
+            longest = np.maximum(lengths[start : start + len(d), None], other_lengths)
+            unknown = missing | (longest == 0) | np.array([x is None for x in names[start : start + len(d)]], bool)[:, None]
+            ratio = np.where(unknown, -1.0, 1 - d / np.where(longest == 0, 1, longest))  # ratios are not negative
+            for _ in range(min(2, len(others))):
+                at = ratio.argmax(1)
+                best = ratio[np.arange(len(d)), at]
+                rows.append(np.arange(start, start + len(d)))
+                found.append(at)
+                ratios.append(best)
+                ratio[np.arange(len(d)), at] = -2.0
+        if not rows:
+            return pa.table({"id": left["id"].slice(0, 0), "other_id": right["id"].slice(0, 0), "ratio": pa.array([], pa.float64())})
+        rows, found, ratios = map(np.concatenate, (rows, found, ratios))
+        return pa.table({"id": left["id"].take(pa.array(rows)), "other_id": right["id"].take(pa.array(found)), "ratio": pa.array(ratios, mask=ratios < 0)})
+
+    return two_best
+
+
 def in_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
     """(point, polygon): even-odd rule over each polygon's corner array [(x, y)], inside its bounding box. Unit cells of the box's x range join first."""
     p = polygons.select("polygon", "corners", F.array_min(F.transform("corners", lambda c: c["x"])).alias("x0"), F.array_max(F.transform("corners", lambda c: c["x"])).alias("x1"))

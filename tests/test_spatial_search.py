@@ -50,3 +50,24 @@ def test_dense_places_search_less(spark):
         df = spark.range(n).select(F.col("id").alias("unit"), (F.rand(1) * 20).alias("lat"), (F.rand(2) * 20).alias("lon"), F.lit(1.0).alias("mass"))
         met = spatial._searched_pairs(spatial._searches(df, 1000.0, 4, 0.0, []), 1000.0, [], df).count()
         assert met < 120 * n
+
+
+def test_fuzzy_match(spark):
+    """Against the built-in distance on all pairs: ties, nulls, empty and long names, letters beyond the basic plane, and more than one tile on both sides."""
+    draw = random.Random(3)
+    word = lambda n: "".join(draw.choice("abcé\U0001f600 ") for _ in range(n))
+    some = [word(draw.choice([0, 1, 3, 8, 20])) for _ in range(60)] + [word(n) for n in (62, 63, 64, 65, 126, 127, 140)] + [None]
+    left = [(i, draw.choice(some), i % 3) for i in range(300)] + [(10_000 + i, f"C#{i}", 7) for i in range(2100)] + [(20_000, "alone", 9), (20_001, "one", 11), (20_002, None, 7)]
+    right = [(i, draw.choice(some), i % 3) for i in range(200, 0, -1)] + [(30_000 + i, f"S#{i}", 7) for i in range(4200)] + [(1, "once", 11)]
+    schema = "id long, name string, b int"
+    a, b = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    got = {r.id: (r.other_id, r.ratio, r.ahead) for r in spatial.fuzzy_match(a, b, "b").collect()}
+    some_left = a.filter("id < 300 OR id % 100 = 1 OR id >= 20000")  # the plain way is slow
+    pairs = some_left.join(b.select(F.col("id").alias("other_id"), F.col("name").alias("other"), "b"), "b")
+    longest = F.nullif(F.greatest(F.length("name"), F.length("other")), F.lit(0))
+    best = pairs.withColumn("ratio", F.when(F.col("name").isNotNull() & F.col("other").isNotNull(), 1 - F.levenshtein("name", "other") / longest))
+    want = {}
+    for r in best.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.coalesce("ratio", F.lit(-1.0))).alias("n"), "other_id", "ratio"))), 1, 2).alias("two")).collect():
+        two = r.two
+        want[r.id] = (two[0].other_id, two[0].ratio, two[0].ratio - two[1].ratio if len(two) > 1 and two[0].ratio is not None and two[1].ratio is not None else None)
+    assert len(got) == len(left) - 1 and {k: got[k] for k in want} == want
