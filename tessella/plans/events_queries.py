@@ -72,7 +72,7 @@ def f11_rollout(spark, sf):
     return _did(spark, sf).select("unit", "cl", "t", "value", "cohort", "treated", "post", "did")
 
 
-@query(f"""WITH {V.PANEL_SY}, f AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY unit ORDER BY t) = 1), s AS (SELECT unit, cl, 0.6 * rank() OVER (PARTITION BY cl ORDER BY value) / count(*) OVER (PARTITION BY cl) + 0.4 * (rank() OVER (PARTITION BY cl ORDER BY qty) + (count(*) OVER (PARTITION BY cl, qty) - 1) / 2) / count(*) OVER (PARTITION BY cl) AS s FROM f)
+@query(f"""WITH {V.PANEL_SY}, f AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY unit ORDER BY t) = 1), s AS (SELECT unit, cl, 0.6 * (rank() OVER (PARTITION BY cl ORDER BY value) + (count(*) OVER (PARTITION BY cl, value) - 1) / 2) / count(*) OVER (PARTITION BY cl) + 0.4 * (rank() OVER (PARTITION BY cl ORDER BY qty) + (count(*) OVER (PARTITION BY cl, qty) - 1) / 2) / count(*) OVER (PARTITION BY cl) AS s FROM f)
 SELECT unit, cl, round(s, 6) AS salience, row_number() OVER (PARTITION BY cl ORDER BY round(s, 9) DESC, unit)::INT AS rank, count(*) OVER (PARTITION BY cl) AS units FROM s""")
 def f12_salience(spark, sf):
     return r(E.salience(V.edge_rows(V.panel_sy(spark, sf), last=False), {"value": 0.6, "qty": 0.4}), "salience")
