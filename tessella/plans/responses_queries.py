@@ -111,10 +111,10 @@ def _enriched(spark, sf):
     return Stages(spark, "registry").cut(N.enrich(_registry(spark, sf), TRACKS), "events")
 
 
-@query(f"WITH {ENRICHED} SELECT event, cl, start_t, end_t, name, ref, round(intensity, 6) AS intensity, copies, track, grade, objective, assignment, array_to_string(refs, ' ') AS refs, array_to_string(links, ' ') AS links, host FROM enr")
+@query(f"WITH {ENRICHED} SELECT event, cl, start_t, end_t, name, ref, round(intensity, 9) AS intensity, copies, track, grade, objective, assignment, array_to_string(refs, ' ') AS refs, array_to_string(links, ' ') AS links, host FROM enr")
 def f22_enriched_registry(spark, sf):
     e = _enriched(spark, sf)
-    return r(e.select(*[F.array_join(c, " ").alias(c) if c in ("refs", "links") else F.col(c) for c in e.columns]), "intensity")
+    return r(e.select(*[F.array_join(c, " ").alias(c) if c in ("refs", "links") else F.col(c) for c in e.columns]), "intensity", digits=9)  # cents over 4e7: exact at nine digits, halves at six
 
 
 @query(f"WITH {ENRICHED}, l AS (SELECT event, track, unnest(range(1, len(links) + 1))::INT AS rank, links FROM enr) SELECT event, rank, links[rank] AS url, regexp_extract(links[rank], '^[a-z]+://([^/?#]+)', 1) AS host, track FROM l")
