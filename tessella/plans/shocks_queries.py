@@ -14,7 +14,7 @@ from tessella.plans.sql import POISSON
 
 SHOCK = f"""{V.REGISTRY}, {NM}, st AS (SELECT start_t AS t, count(*) AS events, count(DISTINCT cl) / 25.0::DOUBLE AS covered, avg(intensity) AS intensity FROM registry GROUP BY 1), gr AS (SELECT unnest(range(0, 80))::INT AS t),
 g AS (SELECT gr.t, coalesce(events, 0) AS events, coalesce(covered, 0) AS covered, coalesce(intensity, 0) AS intensity FROM gr LEFT JOIN st ON gr.t = st.t),
-z AS (SELECT *, ((events - avg(events) OVER ()) / stddev_pop(events) OVER () + (covered - avg(covered) OVER ()) / stddev_pop(covered) OVER () + (intensity - avg(intensity) OVER ()) / stddev_pop(intensity) OVER ()) / 3 AS idx FROM g),
+z AS (SELECT *, (coalesce((events - avg(events) OVER ()) / nullif(stddev_pop(events) OVER (), 0), 0) + coalesce((covered - avg(covered) OVER ()) / nullif(stddev_pop(covered) OVER (), 0), 0) + coalesce((intensity - avg(intensity) OVER ()) / nullif(stddev_pop(intensity) OVER (), 0), 0)) / 3 AS idx FROM g),
 sh AS (SELECT *, (idx >= (SELECT quantile_cont(idx, 0.75) FROM z))::INT AS is_shock FROM z)"""
 
 

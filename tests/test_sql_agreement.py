@@ -27,3 +27,20 @@ COPIES = {"supplier": "SELECT * REPLACE (s_suppkey + i * 100000 AS s_suppkey) FR
 
 def test_salience_of_tied_values(spark, tmp_path):
     assert agree(spark, tmp_path, "f12_salience", COPIES)
+
+
+def test_registry_amounts_have_no_halves(spark, tmp_path):
+    """386,772.60 / 400,000 is half way between two numbers of six digits."""
+    rows = agree(spark, tmp_path, "f22_enriched_registry", {"orders": "SELECT * REPLACE (CASE WHEN o_totalprice > 250000 THEN 386772.6 ELSE o_totalprice END AS o_totalprice) FROM orders"})
+    assert {r.intensity for r in rows} - {None} == {0.9669315}
+
+
+EVERYWHERE = "SELECT o_orderkey + 1000000 + m * 25 + n AS o_orderkey, c AS o_custkey, o_orderstatus, 300001.0 + m * 1000 + n AS o_totalprice, (TIMESTAMP '1995-01-05' + to_months(m::INT))::TIMESTAMP AS o_orderdate, '1-URGENT' AS o_orderpriority FROM (SELECT * FROM orders LIMIT 1), range(80) a(m), (SELECT row_number() OVER () - 1 AS n, c FROM (SELECT min(c_custkey) AS c FROM (SELECT * REPLACE (c_custkey % 25 AS c_nationkey) FROM customer) GROUP BY c_nationkey))"
+
+
+@pytest.mark.parametrize("name", ["j1_shock_index", "j4_event_response", "j6_leave_one_out", "j8_shift_share", "j12_envelope", "j13_envelope_bootstrap", "j15_pretrend"])
+def test_a_signal_that_is_the_same_in_all_periods(spark, tmp_path, name):
+    """Every cluster has events in every period, as in large tables."""
+    customer = "SELECT * REPLACE (c_custkey % 25 AS c_nationkey) FROM customer"
+    orders = EVERYWHERE.replace("FROM customer)", f"FROM '{SF}/customer.parquet')")
+    agree(spark, tmp_path, name, {"customer": customer, "orders": f"SELECT * FROM orders UNION ALL ({orders.replace('FROM orders', f'''FROM '{SF}/orders.parquet' ''')})"})
