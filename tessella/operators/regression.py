@@ -39,13 +39,25 @@ def _gram(df: DataFrame, y: str, xs: list[str]) -> tuple[np.ndarray, np.ndarray,
     return gram, np.array([v or 0.0 for v in row[1 + len(pairs) :]]).reshape(k), row[0]
 
 
+def inverse(gram: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (pseudo-)inverse of a matrix of moments, taken at unit scale, and which columns are identified: those that vary, and not only with the others."""
+    size = np.diag(gram)
+    varies = size > 1e-24 * max(n, 1)
+    scale = np.where(varies, 1 / np.sqrt(np.where(varies, size, 1.0)), 0.0)
+    g, k = gram * np.outer(scale, scale), len(gram)
+    rest = [[j for j in range(k) if j != i] for i in range(k)]
+    left = np.array([g[i, i] - g[i, r] @ np.linalg.pinv(g[np.ix_(r, r)], 1e-12, True) @ g[r, i] if r else g[i, i] for i, r in enumerate(rest)])
+    return np.linalg.pinv(g, 1e-12, True) * np.outer(scale, scale), varies & (left > 1e-10)
+
+
 def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, extra_dof: int = 0) -> DataFrame:
     """(term, coef, stderr, t_value, n_obs, n_clusters): least squares with HC1, or CR1 errors by ``cluster``.
 
-    Two passes: moments for the coefficients, then the scores' squares. No intercept is added.
+    Two passes: moments for the coefficients, then the scores' squares. No intercept is added. Terms that don't vary, or only with the others, have nulls.
     """
     gram, xy, n = _gram(df, y, xs)
-    beta, inv = np.linalg.pinv(gram) @ xy, np.linalg.pinv(gram)
+    inv, known = inverse(gram, n)
+    beta = inv @ xy
     d = df.select(F.col(y).cast("double").alias("_y"), *[F.col(x).cast("double") for x in xs], *([F.col(cluster).alias("_c")] if cluster else [])).na.drop()
     fitted = sum((F.col(x) * float(b) for x, b in zip(xs, beta, strict=True)), F.lit(0.0))
     scores = d.select(*[(F.col(x) * (F.col("_y") - fitted)).alias(f"_s{i}") for i, x in enumerate(xs)], *(["_c"] if cluster else []))
@@ -64,7 +76,7 @@ def ols(df: DataFrame, y: str, xs: list[str], cluster: str | None = None, extra_
     else:
         meat *= n / max(n - k, 1)
     se = np.sqrt(np.maximum(np.diag(inv @ meat @ inv), 0))
-    rows = [(x, float(b), float(s), float(b / s) if s > 0 else None, int(n), int(groups) if cluster else None) for x, b, s in zip(xs, beta, se, strict=True)]
+    rows = [(x, float(b) if i else None, float(s) if i else None, float(b / s) if i and s > 0 else None, int(n), int(groups) if cluster else None) for x, b, s, i in zip(xs, beta, se, known, strict=True)]
     return df.sparkSession.createDataFrame(rows, "term string, coef double, stderr double, t_value double, n_obs long, n_clusters long")
 
 
@@ -172,7 +184,7 @@ def ols_by(df: DataFrame, group: str, y: str, xs: list[str], cluster: str | None
         for (i, j), v in zip(pairs, r[1:], strict=False):
             gram[i, j] = gram[j, i] = v
         xy, (yy, sy, n) = np.array(r[1 + len(pairs) : 1 + len(pairs) + len(xs)]), r[-3:]
-        inv = np.linalg.pinv(gram)
+        inv = inverse(gram, n)[0]
         fits[r[0]] = (inv @ xy, inv, n, float(1 - (yy - xy @ inv @ xy) / (yy - sy * sy / n)) if yy - sy * sy / n > 0 else None)
     kind = d.schema["_g"].dataType.simpleString()
     spark = df.sparkSession

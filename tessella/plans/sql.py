@@ -10,19 +10,22 @@ POISSON = " + ".join(f"(u >= {edge!r})::INT" for edge in poisson_edges())
 
 def solved(name: str, src: str, by: str, y: str, xs: list[str], cluster: str | None = None) -> str:
     """SQL: ``name`` (by, coef, stderr, n, g, r2) of the last of ``xs`` in least squares of y, in each group: each x less its projections on those before it."""
+    # A column that doesn't vary, or only with those before it, explains nothing; its own coefficient is null.
+    varies = lambda i, over: f"sum(o{i} * o{i}) {over} > 1e-24 * count(*) {over} + 1e-10 * sum({xs[i]} * {xs[i]}) {over}"
+    share = lambda c, i: f"CASE WHEN {varies(i, 'OVER q')} THEN sum({c} * o{i}) OVER q / sum(o{i} * o{i}) OVER q ELSE 0 END"
     steps = [f"{name}0 AS (SELECT *, {xs[0]} AS o0 FROM {src})"]
     for j in range(1, len(xs)):
-        less = " - ".join(f"o{i} * (sum({xs[j]} * o{i}) OVER q / sum(o{i} * o{i}) OVER q)" for i in range(j))
+        less = " - ".join(f"o{i} * ({share(xs[j], i)})" for i in range(j))
         steps.append(f"{name}{j} AS (SELECT *, {xs[j]} - {less} AS o{j} FROM {name}{j - 1} WINDOW q AS (PARTITION BY {by}))")
     k = len(xs)
-    left = " - ".join(f"o{i} * (sum({y} * o{i}) OVER q / sum(o{i} * o{i}) OVER q)" for i in range(k))
+    left = " - ".join(f"o{i} * ({share(y, i)})" for i in range(k))
     steps.append(f"{name}e AS (SELECT *, {y} - {left} AS e FROM {name}{k - 1} WINDOW q AS (PARTITION BY {by}))")
     last = f"o{k - 1}"
-    steps.append(f"{name}b AS (SELECT {by}, sum({y} * {last}) / sum({last} * {last}) AS coef, sum({last} * {last}) AS oo, count(*) AS n, 1 - sum(e * e) / (sum({y} * {y}) - sum({y}) ** 2 / count(*)) AS r2 FROM {name}e GROUP BY 1)")
+    steps.append(f"{name}b AS (SELECT {by}, CASE WHEN {varies(k - 1, "")} THEN sum({y} * {last}) / sum({last} * {last}) END AS coef, sum({last} * {last}) AS oo, count(*) AS n, 1 - sum(e * e) / (sum({y} * {y}) - sum({y}) ** 2 / count(*)) AS r2 FROM {name}e GROUP BY 1)")
     unit = cluster or "row_number() OVER ()"
     steps.append(f"{name}c AS (SELECT {by}, c, sum(s) AS s FROM (SELECT {by}, {unit} AS c, {last} * e AS s FROM {name}e) GROUP BY ALL), {name}m AS (SELECT {by}, sum(s * s) AS m, count(*) AS g FROM {name}c GROUP BY 1)")
     factor = f"g / (g - 1) * (n - 1) / (n - {k})" if cluster else f"n / (n - {k})"
-    steps.append(f"{name} AS (SELECT {by}, coef, sqrt(m * {factor}) / oo AS stderr, n, g, r2 FROM {name}b JOIN {name}m USING ({by}))")
+    steps.append(f"{name} AS (SELECT {by}, coef, CASE WHEN coef IS NOT NULL THEN sqrt(m * {factor}) / oo END AS stderr, n, g, r2 FROM {name}b JOIN {name}m USING ({by}))")
     return ", ".join(steps)
 
 

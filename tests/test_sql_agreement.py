@@ -44,3 +44,27 @@ def test_a_signal_that_is_the_same_in_all_periods(spark, tmp_path, name):
     customer = "SELECT * REPLACE (c_custkey % 25 AS c_nationkey) FROM customer"
     orders = EVERYWHERE.replace("FROM customer)", f"FROM '{SF}/customer.parquet')")
     agree(spark, tmp_path, name, {"customer": customer, "orders": f"SELECT * FROM orders UNION ALL ({orders.replace('FROM orders', f'''FROM '{SF}/orders.parquet' ''')})"})
+
+
+def test_terms_without_variation_are_null(spark, tmp_path):
+    """All clusters start in the same period, so that event times and treatments are periods."""
+    orders = EVERYWHERE.replace("FROM customer)", f"FROM '{SF}/customer.parquet')").replace("300001.0", "450001.0 * ((m >= 20)::INT)")
+    tables = {"customer": "SELECT * REPLACE (c_custkey % 25 AS c_nationkey) FROM customer", "orders": orders.replace("FROM orders", f"FROM '{SF}/orders.parquet'") + " UNION ALL SELECT * REPLACE (0.0 + o_totalprice % 1000 AS o_totalprice) FROM orders"}
+    for name in ("k17_event_study", "k8_spillover"):
+        folder = tmp_path / name
+        folder.mkdir()
+        assert {r.coef for r in agree(spark, folder, name, tables)} == {None}
+
+
+def test_the_inverse_of_moments(spark):
+    """Columns of very different sizes are inverted alike; of columns that repeat each other none is identified, the rest is."""
+    import numpy as np
+
+    from tessella.operators.regression import inverse
+
+    x = np.random.default_rng(4).normal(size=(500, 3)) * [1e9, 1.0, 1e-6]
+    inv, known = inverse(x.T @ x, 500)
+    unit = np.array([1e9, 1.0, 1e-6])
+    assert known.all() and np.allclose((inv @ (x.T @ x)) * np.outer(unit, 1 / unit), np.eye(3), atol=1e-9)
+    x = np.column_stack([x, 2 * x[:, 1], np.zeros(500)])
+    assert list(inverse(x.T @ x, 500)[1]) == [True, False, True, False, False]
