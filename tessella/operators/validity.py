@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import quantiles, rank_pct
-from tessella.operators.regression import ols_by, p_value, two_way_within
+from tessella.operators.regression import inverse, ols_by, p_value, two_way_within
 from tessella.sources.tables import Stages
 
 #: Labels of the phase portrait that count as fragile; fixed values.
@@ -98,7 +98,7 @@ def _fits(rows: list, names: list[str]) -> dict[str, float]:
     y = names.index("y")
     for key, used in (("base", [n for n in names if n not in ("y", "score")]), ("plus", [n for n in names if n != "y"])):
         at = [names.index(n) for n in used]
-        beta = np.linalg.pinv(train[np.ix_(at, at)]) @ train[at, y]
+        beta = inverse(train[np.ix_(at, at)], train[0, 0])[0] @ train[at, y]
         left = test[y, y] - 2 * beta @ test[at, y] + beta @ test[np.ix_(at, at)] @ beta
         total = test[y, y] - test[0, y] ** 2 / test[0, 0]
         out[key] = float(1 - left / total) if total > 0 else None
@@ -122,6 +122,9 @@ def external_validity(panel: DataFrame, score: str, controls: list[str], indicat
     split = times.filter("size(ts) >= 4").select("indicator", F.expr("CASE WHEN size(ts) >= 5 THEN ts[size(ts) - 3] ELSE ts[size(ts) - 2] END").alias("split"))
     names = ["one", *cs, "score", "y"]
     parted = d.join(split, "indicator").withColumn("one", F.lit(1.0)).withColumn("test", F.col("t") > F.col("split")).na.drop(subset=names)
+    # Moments of deviations: the intercept takes up the shift, and what varies little keeps its digits.
+    centre = parted.groupBy("indicator").agg(*[F.avg(c).alias(f"_m_{c}") for c in names[1:]])
+    parted = parted.join(centre, "indicator").withColumns({c: F.col(c) - F.col(f"_m_{c}") for c in names[1:]})
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     moments: dict = {}
     for r in parted.groupBy("indicator", "test").agg(*[F.sum(F.col(a) * F.col(b)) for a, b in pairs]).collect():  # two rows an indicator
