@@ -43,16 +43,21 @@ def minwise(sets: list[np.ndarray], salt: int, n: int) -> np.ndarray:
     return out
 
 
+def _few(batches, rows: int = 64):
+    """The batches' rows, few at a time, so that few sets are held at once however large a batch is."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
 def _roots(batches, k: int):
     """Each document's size and digest; of a set that the task has not met, its node below each tree's root."""
     import pyarrow as pa
 
     seen: set = set()  # as far as it remembers
     longs = pa.list_(pa.int64())
-    for batch in batches:
+    for batch in _few(batches):
         ids, sets = batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist(), k)
         ds = [digest(s) if len(s) else (0, 0) for s in sets]
-        if len(seen) > 500_000:
+        if len(seen) > 100_000:
             seen.clear()
         fresh = []
         for i, d in enumerate(ds):
@@ -72,7 +77,7 @@ def _sets(batches, k: int, wanted: Sieve):
     import pyarrow as pa
 
     longs = pa.list_(pa.int64())
-    for batch in batches:
+    for batch in _few(batches):
         batch = batch.filter(batch.column(0).is_valid())
         if not batch.num_rows:
             continue
