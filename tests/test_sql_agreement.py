@@ -46,6 +46,21 @@ def test_a_signal_that_is_the_same_in_all_periods(spark, tmp_path, name):
     agree(spark, tmp_path, name, {"customer": customer, "orders": f"SELECT * FROM orders UNION ALL ({orders.replace('FROM orders', f'''FROM '{SF}/orders.parquet' ''')})"})
 
 
+@pytest.mark.parametrize("name", ["j1_shock_index"])
+def test_a_signal_that_is_constant_but_for_rounding(spark, tmp_path, name):
+    """The same 23 of 25 clusters in every period: 0.92 has no exact mean, and its deviation comes to 0 or to 1e-17. The same amounts in every period in another order, too."""
+    customer = "SELECT * REPLACE (c_custkey % 23 AS c_nationkey) FROM customer"
+    orders = EVERYWHERE.replace("FROM customer)", f"FROM '{SF}/customer.parquet')").replace("% 25 AS c_nationkey", "% 23 AS c_nationkey").replace("300001.0 + m * 1000 + n", "300001.1 + (n * 7 + m) % 23 * 1000 + (n = m % 5)::INT * (m % 9) * 3e4 * RAISED")
+    plain_orders = "SELECT * REPLACE (o_totalprice % 1000 AS o_totalprice) FROM orders"
+    for raised in (0, 1):
+        folder = tmp_path / str(raised)
+        folder.mkdir()
+        made = orders.replace("RAISED", str(raised)).replace("FROM orders", f"FROM '{SF}/orders.parquet' ")
+        got = agree(spark, folder, name, {"customer": customer, "orders": f"{plain_orders} UNION ALL ({made})"})
+        if name == "j1_shock_index":
+            assert {r.covered for r in got} == {0.92} and ({r["index"] for r in got} == {0.0}) == (not raised)
+
+
 def test_terms_without_variation_are_null(spark, tmp_path):
     """All clusters start in the same period, so that event times and treatments are periods."""
     orders = EVERYWHERE.replace("FROM customer)", f"FROM '{SF}/customer.parquet')").replace("300001.0", "450001.0 * ((m >= 20)::INT)")
