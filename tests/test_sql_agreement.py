@@ -46,7 +46,7 @@ def test_a_signal_that_is_the_same_in_all_periods(spark, tmp_path, name):
     agree(spark, tmp_path, name, {"customer": customer, "orders": f"SELECT * FROM orders UNION ALL ({orders.replace('FROM orders', f'''FROM '{SF}/orders.parquet' ''')})"})
 
 
-@pytest.mark.parametrize("name", ["j1_shock_index", "j13_envelope_bootstrap", "j15_pretrend", "j4_event_response"])
+@pytest.mark.parametrize("name", ["j1_shock_index", "j13_envelope_bootstrap", "j15_pretrend", "j4_event_response", "j6_leave_one_out"])
 def test_a_signal_that_is_constant_but_for_rounding(spark, tmp_path, name):
     """The same 23 of 25 clusters in every period: 0.92 has no exact mean, and its deviation comes to 0 or to 1e-17. The same amounts in every period in another order, too."""
     customer = "SELECT * REPLACE (c_custkey % 23 AS c_nationkey) FROM customer"
