@@ -122,3 +122,18 @@ def test_quantiles_by_counting(spark):
     want = pytest.approx(list(np.quantile(values, shares)))
     assert quantiles(df, "v", shares, 10) == want and quantiles(df, "v", shares) == want
     assert quantiles(df.filter("v > 1e13"), "v", [0.5]) == [None]
+
+
+def test_tables_of_distances_are_bounded(spark, monkeypatch):
+    """Whatever the size of a batch, a table of warped distances (rows, sample, periods) has at most TABLE numbers."""
+    largest, whole = spark.sparkContext.accumulator(0), T.whole
+
+    def seen(x, m):
+        largest.add(len(x) * m.size > 1 << 21)
+        return whole(x, m)
+
+    monkeypatch.setattr(T, "whole", seen)
+    rng = np.random.default_rng(3)
+    seqs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1500, 30)))], "unit long, seq array<double>").coalesce(1)
+    found = T.assign_regimes(seqs, T.Regimes(list(range(300)), rng.normal(size=(300, 30)), np.arange(3), np.arange(300) % 3))
+    assert found.count() == 1500 and found.filter("distance IS NULL").count() == 0 and largest.value == 0
