@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import clip, keyed_draw
+from tessella.sources.tables import Stages
 
 #: Propensities are kept this far from 0 and 1.
 EDGE = 1e-4
@@ -193,7 +193,7 @@ def low_rank_counterfactual(panel: DataFrame, y: str, shrink: float, rounds: int
     Treated and missing cells are filled by iterated soft-thresholded singular values. A unit's periods are one row; a round takes the periods' moments (period by period, the sum over
     rows), their eigenvectors give the matrix that every row is multiplied by. Rows are cut to files every fifth round.
     """
-    from pyspark.sql.functions import pandas_udf
+    import pyarrow as pa
 
     times = [r.t for r in panel.select("t").distinct().orderBy("t").collect()]
     seen = F.when(F.col("t") < F.col("cohort"), F.col(y).cast("double"))
@@ -203,30 +203,45 @@ def low_rank_counterfactual(panel: DataFrame, y: str, shrink: float, rounds: int
     cells = cells.select("unit", "cohort", F.array(*[F.col("m")[t]["v"] for t in times]).alias("seen"), F.array(*[F.col("m")[t]["y"] for t in times]).alias("all"))
     cells = cells.withColumn("now", F.array(*[F.coalesce(F.col("seen")[i], F.lit(float(mean[t]))) for i, t in enumerate(times)]))
 
+    work = Stages(panel.sparkSession, "low_rank")
+    cells = work.cut(cells.select("unit", "cohort", "all", "seen", "now"), "cells0")
+    pending = []  # the matrices of the rounds since the rows were cut
+
+    def matrix(column):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), len(times))
+
+    def stepped(batch):
+        """The rows after the pending rounds, and those before the last of them: all rounds in one worker, not one for each."""
+        seen, now = matrix(batch.column(3)), matrix(batch.column(4))
+        before = now
+        for w in pending:
+            before, now = now, np.where(np.isnan(seen), now @ w, seen)
+        return before, now
+
     def moments(batches):
         total = np.zeros((len(times), len(times)))
-        for b in batches:
-            if len(b):
-                x = np.stack(b["now"])
-                total += x.T @ x
-        yield pd.DataFrame({"g": [total.ravel().tolist()]})
-
+        for batch in batches:
+            x = stepped(batch)[1]
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["g"])
+
+    def advanced(batches):
+        for batch in batches:
+            before, now = stepped(batch)
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(times))
+            columns = [*batch.columns[:4], pa.ListArray.from_arrays(ends, pa.array(now.ravel())), pa.array(((now - before) ** 2).sum(axis=1))]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:5], "off"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema) + ", off double"
     for turn in range(rounds):
-        gram = sum((np.array(r.g).reshape(len(times), -1) for r in cells.select("now").mapInPandas(moments, "g array<double>").collect()), np.zeros((len(times),) * 2))
+        gram = sum((np.array(r.g).reshape(len(times), -1) for r in cells.mapInArrow(moments, "g array<double>").collect()), np.zeros((len(times),) * 2))
         values, vectors = np.linalg.eigh(gram)
         s = np.sqrt(np.maximum(values, 0))
-        w = (vectors * np.where(s > shrink, 1 - shrink / np.maximum(s, 1e-300), 0.0)) @ vectors.T
-
-        @pandas_udf("array<double>")
-        def times_w(now: pd.Series) -> pd.Series:
-            return pd.Series(list(np.stack(now) @ w)) if len(now) else now  # noqa: B023
-
-        step = cells.withColumn("fit", times_w("now")).withColumn("new", F.expr("transform(seen, (x, i) -> coalesce(x, fit[i]))"))
-        step = step.withColumn("off", F.expr("aggregate(zip_with(new, now, (a, b) -> (a - b) * (a - b)), 0D, (a, x) -> a + x)"))
-        cells = step.select("unit", "cohort", "seen", "all", F.col("new").alias("now"), "off")
-        if turn % 5 == 4:
-            cells = cells.checkpoint() if cells.sparkSession.sparkContext.getCheckpointDir() else cells.persist()
-            if np.sqrt(cells.agg(F.sum("off")).first()[0] or 0.0) < tolerance * max(np.sqrt(np.trace(gram)), 1e-10):
+        pending.append((vectors * np.where(s > shrink, 1 - shrink / np.maximum(s, 1e-300), 0.0)) @ vectors.T)
+        if turn % 5 == 4 or turn == rounds - 1:
+            step = work.cut(cells.mapInArrow(advanced, schema), f"cells{turn + 1}")
+            cells, pending = step.drop("off"), []
+            if np.sqrt(step.agg(F.sum("off")).first()[0] or 0.0) < tolerance * max(np.sqrt(np.trace(gram)), 1e-10):
                 break
     long = cells.select("unit", "cohort", F.explode(F.arrays_zip(F.lit(times).alias("t"), F.col("all").alias("actual"), F.col("now").alias("counterfactual"))).alias("c")).select("unit", "cohort", "c.*")
     return long.filter("t >= cohort AND actual IS NOT NULL").select("unit", "t", "actual", "counterfactual", (F.col("actual") - F.col("counterfactual")).alias("effect"))

@@ -338,3 +338,16 @@ def test_nowcasts(spark):
     beta = np.linalg.solve(x[:14].T @ x[:14] + 1.2 * np.diag([0, 1, 1, 1, 1, 1]), x[:14].T @ np.array(y))
     assert got[0].trend == pytest.approx(trend) and got[0].nowcast == pytest.approx(0.68 * x[14] @ beta + 0.32 * (y[-1] + trend))
     assert got[0].directional > 0.6 and got[0].low95 < got[0].low80 < got[0].nowcast < got[0].high80 < got[0].high95
+
+
+def test_low_rank_rounds_share_a_worker(spark, monkeypatch):
+    """Rounds are not chained in a plan: a task's Python would take a worker for each."""
+    from tessella.operators import estimators
+
+    kind, plans = type(spark.range(1)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), collect(df))[1])
+    rows = [(u, t, float(u % 3 + t), 3 if u % 2 else 9999) for u in range(12) for t in range(5)]
+    assert estimators.low_rank_counterfactual(spark.createDataFrame(rows, "unit long, t int, y double, cohort int"), "y", 0.5, rounds=4, tolerance=0).count() == 12
+    python = [sum(p.count(x) for x in ("MapInArrow", "MapInPandas", "EvalPython")) for p in plans]
+    assert max(python) == 1
