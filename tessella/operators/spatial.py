@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import haversine_km
+from tessella.sources.tables import Stages, spread
 
 KM_A_DEGREE = 111.19492664455873  # 6371 km * pi / 180
 
@@ -336,11 +337,14 @@ def in_polygon(points: DataFrame, polygons: DataFrame) -> DataFrame:
 
 def way_metrics(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Per unit of ways (unit, way, nodes): length in km, and nodes on three or more segment ends."""
-    steps = ways.select("unit", "way", F.posexplode("nodes").alias("pos", "node")).join(nodes, "node")
+    ways = Stages(ways.sparkSession, "ways").cut(ways, "ways")
+    n = ways.agg(F.sum(F.greatest(F.size("nodes"), F.lit(0)))).first()[0] or 0
+    steps = spread(ways.select("unit", "way", F.posexplode("nodes").alias("pos", "node")), n, "node").join(nodes, "node")
+    steps = spread(steps, n, "unit", "way")
     own = Window.partitionBy("unit", "way").orderBy("pos")
     seg = steps.select("unit", "way", "node", F.lead("node").over(own).alias("to"), haversine_km(F.col("lat"), F.col("lon"), F.lead("lat").over(own), F.lead("lon").over(own)).alias("km")).filter("to IS NOT NULL")
-    length = seg.groupBy("unit").agg(F.sum("km").alias("km"), F.countDistinct("way").alias("ways"))
-    degree = seg.select("unit", F.explode(F.array("node", "to")).alias("node")).groupBy("unit", "node").count()
+    length = seg.groupBy("unit", "way").agg(F.sum("km").alias("km")).groupBy("unit").agg(F.sum("km").alias("km"), F.count("way").alias("ways"))
+    degree = spread(seg.select("unit", F.explode(F.array("node", "to")).alias("node")), 2 * n, "unit", "node").groupBy("unit", "node").count()
     crossings = degree.groupBy("unit").agg(F.sum((F.col("count") >= 3).cast("long")).alias("crossings"))
     return length.join(crossings, "unit")
 

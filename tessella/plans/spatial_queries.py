@@ -9,6 +9,7 @@ from tessella.operators import spatial as S
 from tessella.plans import views as V
 from tessella.plans.registry import query
 from tessella.plans.shaping_queries import r
+from tessella.sources.tables import spread
 
 KM = "2 * 6371.0 * asin(sqrt(least(1.0, sin(radians({c} - {a}) / 2) ** 2 + cos(radians({a})) * cos(radians({c})) * sin(radians({d} - {b}) / 2) ** 2)))"
 _KM = KM.format(a="a.lat", b="a.lon", c="b.lat", d="b.lon")
@@ -146,7 +147,8 @@ def e18_way_metrics(spark, sf):
     k = F.col("s_suppkey")
     nodes = V.table(spark, sf, "supplier").select(k.alias("node"), ((k * 53) % 121 - 60).cast("double").alias("lat"), ((k * 91) % 351 - 175).cast("double").alias("lon"))
     li, o = V.table(spark, sf, "lineitem"), V.table(spark, sf, "orders")
-    ways = li.join(o, li.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("unit"), F.col("l_orderkey").alias("way")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("nodes"))
+    n = li.count()
+    ways = spread(li, n, "l_orderkey").join(spread(o, n, "o_orderkey"), li.l_orderkey == o.o_orderkey).groupBy(F.col("o_custkey").alias("unit"), F.col("l_orderkey").alias("way")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda x: x["l_suppkey"]).alias("nodes"))
     return r(S.way_metrics(ways, nodes), "km", digits=3)
 
 

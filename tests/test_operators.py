@@ -351,3 +351,15 @@ def test_low_rank_rounds_share_a_worker(spark, monkeypatch):
     assert estimators.low_rank_counterfactual(spark.createDataFrame(rows, "unit long, t int, y double, cohort int"), "y", 0.5, rounds=4, tolerance=0).count() == 12
     python = [sum(p.count(x) for x in ("MapInArrow", "MapInPandas", "EvalPython")) for p in plans]
     assert max(python) == 1
+
+
+def test_parts_grow_with_the_rows(spark):
+    from tessella.operators import spatial
+    from tessella.sources.tables import spread
+
+    assert spread(spark.range(10), 10, "id").rdd.getNumPartitions() == 4
+    assert spread(spark.range(10), 1000, "id", most=100).rdd.getNumPartitions() == 10
+    ways = spark.createDataFrame([(1, 1, [1, 2, 9, 3]), (1, 2, [3, 1]), (2, 3, [])], "unit long, way long, nodes array<long>")
+    nodes = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, 1.0), (3, 0.0, 2.0)], "node long, lat double, lon double")
+    found = spatial.way_metrics(ways, nodes).collect()  # the unknown node is passed over
+    assert [(r.unit, round(r.km, 1), r.ways, r.crossings) for r in found] == [(1, 444.8, 2, 0)]
