@@ -320,8 +320,11 @@ def schedule_permutation(panel: DataFrame, outcome: str, treatment: str, draws:
     each = cohorts.select("unit", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
     dealt = numbered(each, keyed_draw(F.col("draw"), F.col("unit")), "unit", "_i", ("draw",)).join(slots, "_i").select("draw", "unit", "cohort")
     y = two_way_within(d, ["y"]).select("unit", F.col(cluster).alias("c"), "t", F.col("y_w").alias("y"))
-    x = y.join(dealt, "unit").withColumn("x", ((F.col("cohort") < 9999) & (F.col("t") >= F.col("cohort"))).cast("double"))
-    x = x.withColumn("a", F.col("x") - F.avg("x").over(Window.partitionBy("draw", "unit")))
+    # a unit's few rows go along with its draws in one array: no row of a draw is shuffled or sorted, and the unit's mean is a count
+    on = lambda t: (F.col("cohort") < 9999) & (t >= F.col("cohort"))
+    rows = y.groupBy("unit").agg(F.collect_list(F.struct("c", "t", "y")).alias("rows"))
+    x = dealt.join(rows, "unit").select("draw", "cohort", (F.size(F.filter("rows", lambda row: on(row["t"]))) / F.size("rows")).alias("mean"), F.explode("rows").alias("row"))
+    x = x.select("draw", "row.*", on(F.col("row.t")).cast("double").alias("x"), "mean").withColumn("a", F.col("x") - F.col("mean"))
     one = Window.partitionBy("draw")
     period = x.groupBy("draw", "t").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     period = period.select("draw", "t", (F.col("s") / F.col("n") - F.sum("s").over(one) / F.sum("n").over(one)).alias("p"))

@@ -353,6 +353,13 @@ def test_low_rank_rounds_share_a_worker(spark, monkeypatch):
     assert max(python) == 1
 
 
+def test_dealt_rows_are_not_sorted(spark):
+    """A draw's rows (units times periods) pass without a window by unit: only units are dealt, and sorted, for each draw."""
+    df = spark.createDataFrame([(u, u % 4, t, float(u * t % 7), float(u % 3 == 0 and t >= 2)) for u in range(12) for t in range(4)], "unit long, cl long, t int, y double, did double")
+    plan = regression.schedule_permutation(df, "y", "did", 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [w for w in plan.split("windowspecdefinition(")[1:] if w.startswith("draw#") and w.split(", ")[1].startswith("unit#")]
+
+
 def test_parts_grow_with_the_rows(spark):
     from tessella.operators import spatial
     from tessella.sources.tables import spread
