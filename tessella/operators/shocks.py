@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.columns import keyed_draw, poisson_weight
 
-#: Share of its mean up to which a signal's deviation is rounding: the signal is constant.
+#: Share of a figure up to which a distance from it is rounding: a signal with no more deviation than that from its mean is constant.
 ROUNDING = 1e-9
 
 
@@ -26,10 +26,11 @@ def shock_index(registry: DataFrame, low: int, high: int, clusters: int) -> Data
 
 
 def baseline_exposure(panel: DataFrame, end: int) -> DataFrame:
-    """Unit means up to ``end``; low up to the 30 % quantile, high from the 70 % one, else middle."""
+    """Unit means up to ``end``; low up to the 30 % quantile, high from the 70 % one, else middle. Means that differ from a quantile by rounding alone count as equal to it."""
     u = panel.filter(F.col("t") <= end).groupBy("unit").agg(F.avg("value").alias("base"))
-    low, high = u.agg(F.percentile("base", 0.3), F.percentile("base", 0.7)).first()
-    return u.withColumn("exposure", F.when(F.col("base") <= low, "low").when(F.col("base") >= high, "high").otherwise("middle"))
+    low, high = (F.lit(q).cast("double") for q in u.agg(F.percentile("base", 0.3), F.percentile("base", 0.7)).first())
+    is_low, is_high = F.col("base") <= low + ROUNDING * F.abs(low), F.col("base") >= high - ROUNDING * F.abs(high)
+    return u.withColumn("exposure", F.when(is_low, "low").when(is_high, "high").otherwise("middle"))
 
 
 def event_response(panel: DataFrame, exposure: DataFrame, shocks: DataFrame, window: int) -> DataFrame:

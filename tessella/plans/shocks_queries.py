@@ -27,7 +27,7 @@ def j1_shock_index(spark, sf):
     return r(_index(spark, sf), "covered", "intensity", "index")
 
 
-EXPO = f"""{SHOCK}, u AS (SELECT unit, avg(value) AS base FROM np WHERE t <= 24 GROUP BY 1), q AS (SELECT quantile_cont(base, 0.3) AS lo, quantile_cont(base, 0.7) AS hi FROM u), expo AS (SELECT unit, base, CASE WHEN base <= lo THEN 'low' WHEN base >= hi THEN 'high' ELSE 'middle' END AS exposure FROM u, q)"""
+EXPO = f"""{SHOCK}, u AS (SELECT unit, avg(value) AS base FROM np WHERE t <= 24 GROUP BY 1), q AS (SELECT quantile_cont(base, 0.3) AS lo, quantile_cont(base, 0.7) AS hi FROM u), expo AS (SELECT unit, base, CASE WHEN base <= lo + {K.ROUNDING} * abs(lo) THEN 'low' WHEN base >= hi - {K.ROUNDING} * abs(hi) THEN 'high' ELSE 'middle' END AS exposure FROM u, q)"""
 
 
 @query(f"WITH {EXPO} SELECT unit, round(base, 4) AS base, exposure FROM expo")

@@ -61,6 +61,23 @@ def test_a_signal_that_is_constant_but_for_rounding(spark, tmp_path, name):
             assert {r.covered for r in got} == {0.92} and ({r["index"] for r in got} == {0.0}) == (not raised)
 
 
+#: Copies of all clusters, customers and orders: units tie at the quantiles of exposure but for the rounding of their means.
+CLUSTERS = {
+    "customer": "SELECT * REPLACE (c_custkey + i * 1000000 AS c_custkey, (c_nationkey + i * 25)::INT AS c_nationkey) FROM customer, range(40) c(i)",
+    "orders": "SELECT * REPLACE (o_orderkey + i * 1000000 AS o_orderkey, o_custkey + i * 1000000 AS o_custkey) FROM orders, range(40) c(i) ORDER BY hash(o_orderkey)",
+}
+
+
+@pytest.mark.parametrize("name", ["j3_baseline_exposure", "j4_event_response"])
+def test_units_tied_at_the_quantiles_of_exposure(spark, tmp_path, name):
+    got = agree(spark, tmp_path, name, CLUSTERS)
+    if name == "j3_baseline_exposure":
+        of = {}
+        for row in got:
+            of.setdefault(row.unit % 25, set()).add(row.exposure)
+        assert {len(x) for x in of.values()} == {1}
+
+
 def test_terms_without_variation_are_null(spark, tmp_path):
     """All clusters start in the same period, so that event times and treatments are periods."""
     orders = EVERYWHERE.replace("FROM customer)", f"FROM '{SF}/customer.parquet')").replace("300001.0", "450001.0 * ((m >= 20)::INT)")
