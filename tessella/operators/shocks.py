@@ -12,7 +12,7 @@ ROUNDING = 1e-9
 
 
 def shock_index(registry: DataFrame, low: int, high: int, clusters: int) -> DataFrame:
-    """By period of the full grid: new events, clusters covered, mean intensity, the mean of their z (population), and is_shock from the 75 % quantile on. A constant signal has z 0."""
+    """By period of the full grid: new events, clusters covered, mean intensity, the mean of their z (population), and is_shock from the 75 % quantile on (less ``ROUNDING``, so that periods tied there are on one side). A constant signal has z 0."""
     starts = registry.groupBy(F.col("start_t").alias("t")).agg(F.count("*").alias("events"), (F.countDistinct("cl") / F.lit(float(clusters))).alias("covered"), F.avg("intensity").alias("intensity"))
     grid = registry.sparkSession.range(low, high + 1).select(F.col("id").cast("int").alias("t"))
     g = grid.join(starts, "t", "left").fillna({"events": 0, "covered": 0.0, "intensity": 0.0})
@@ -22,7 +22,7 @@ def shock_index(registry: DataFrame, low: int, high: int, clusters: int) -> Data
     z = sum(((F.col(c) - s[2 * i]) / s[2 * i + 1] if varies[i] else F.lit(0.0) for i, c in enumerate(names)), F.lit(0.0)) / 3
     g = g.withColumn("index", z)
     cut = g.agg(F.percentile("index", 0.75)).first()[0]
-    return g.withColumn("is_shock", (F.col("index") >= F.lit(cut)).cast("int"))
+    return g.withColumn("is_shock", (F.col("index") >= F.lit(cut) - ROUNDING).cast("int"))
 
 
 def baseline_exposure(panel: DataFrame, end: int) -> DataFrame:

@@ -15,7 +15,7 @@ from tessella.plans.sql import POISSON
 SHOCK = f"""{V.REGISTRY}, {NM}, st AS (SELECT start_t AS t, count(*) AS events, count(DISTINCT cl) / 25.0::DOUBLE AS covered, avg(intensity) AS intensity FROM registry GROUP BY 1), gr AS (SELECT unnest(range(0, 80))::INT AS t),
 g AS (SELECT gr.t, coalesce(events, 0) AS events, coalesce(covered, 0) AS covered, coalesce(intensity, 0) AS intensity FROM gr LEFT JOIN st ON gr.t = st.t),
 z AS (SELECT *, (CASE WHEN stddev_pop(events) OVER () > {K.ROUNDING} * abs(avg(events) OVER ()) THEN (events - avg(events) OVER ()) / stddev_pop(events) OVER () ELSE 0 END + CASE WHEN stddev_pop(covered) OVER () > {K.ROUNDING} * abs(avg(covered) OVER ()) THEN (covered - avg(covered) OVER ()) / stddev_pop(covered) OVER () ELSE 0 END + CASE WHEN stddev_pop(intensity) OVER () > {K.ROUNDING} * abs(avg(intensity) OVER ()) THEN (intensity - avg(intensity) OVER ()) / stddev_pop(intensity) OVER () ELSE 0 END) / 3 AS idx FROM g),
-sh AS (SELECT *, (idx >= (SELECT quantile_cont(idx, 0.75) FROM z))::INT AS is_shock FROM z)"""
+sh AS (SELECT *, (idx >= (SELECT quantile_cont(idx, 0.75) FROM z) - {K.ROUNDING})::INT AS is_shock FROM z)"""
 
 
 def _index(spark, sf):

@@ -68,7 +68,7 @@ CLUSTERS = {
 }
 
 
-@pytest.mark.parametrize("name", ["j3_baseline_exposure", "j4_event_response"])
+@pytest.mark.parametrize("name", ["j3_baseline_exposure", "j4_event_response", "j6_leave_one_out"])
 def test_units_tied_at_the_quantiles_of_exposure(spark, tmp_path, name):
     got = agree(spark, tmp_path, name, CLUSTERS)
     if name == "j3_baseline_exposure":
@@ -78,6 +78,20 @@ def test_units_tied_at_the_quantiles_of_exposure(spark, tmp_path, name):
         assert {len(x) for x in of.values()} == {1}
 
 
+@pytest.mark.parametrize("name", ["j1_shock_index", "j6_leave_one_out"])
+def test_periods_tied_at_the_cut_of_shocks(spark, tmp_path, name):
+    """Runs of eight periods have the same amounts in other orders, so that their mean intensities tie but for rounding: a whole run is a shock, or none of it."""
+    customer = "SELECT * REPLACE (c_custkey % 25 AS c_nationkey) FROM customer"
+    orders = EVERYWHERE.replace("FROM customer)", f"FROM '{SF}/customer.parquet')").replace("300001.0 + m * 1000 + n", "300001.1 + n * (m % 8 + 1 + (m % 8 >= 4)::INT) % 25 * 3001.37 + m // 8 * 1013.7")
+    orders = orders.replace("FROM orders", f"FROM '{SF}/orders.parquet' ")
+    plain_orders = "SELECT * REPLACE (0.0 + o_totalprice % 1000 AS o_totalprice) FROM orders"
+    runs = {}
+    for row in agree(spark, tmp_path, name, {"customer": customer, "orders": f"{plain_orders} UNION ALL ({orders})"}):
+        t, found = (row.t, row.is_shock) if name == "j1_shock_index" else (row.shock, row.shock)
+        runs.setdefault(t // 8, set()).add(found)
+    assert {len(x) for x in runs.values()} == {1 if name == "j1_shock_index" else 8}
+
+
 def test_terms_without_variation_are_null(spark, tmp_path):
     """All clusters start in the same period, so that event times and treatments are periods."""
     orders = EVERYWHERE.replace("FROM customer)", f"FROM '{SF}/customer.parquet')").replace("300001.0", "450001.0 * ((m >= 20)::INT)")
