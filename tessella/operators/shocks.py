@@ -119,14 +119,15 @@ def shift_share(panel: DataFrame, exposure: DataFrame, shocks: DataFrame) -> Dat
 
 
 def envelope_bootstrap(points: DataFrame, draws: int) -> DataFrame:
-    """By event time: mean contrast, its 2.5 and 97.5 % quantiles over resamples of variants by keyed Poisson weights, and signal to noise."""
+    """By event time: mean contrast, its 2.5 and 97.5 % quantiles over resamples of variants by keyed Poisson weights, and signal to noise (null where the resamples differ by rounding alone)."""
     weight = poisson_weight(keyed_draw(F.col("draw"), F.col("shock")))
     p = points.filter("contrast IS NOT NULL")
     b = p.select("shock", "event_t", "contrast", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("w", weight)
     m = b.groupBy("event_t", "draw").agg((F.sum(F.col("w") * F.col("contrast")) / F.nullif(F.sum("w"), F.lit(0))).alias("m"))
     ci = m.groupBy("event_t").agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"), F.stddev_samp("m").alias("sd"))
     mean = p.groupBy("event_t").agg(F.avg("contrast").alias("mean"))
-    return mean.join(ci, "event_t").select("event_t", "mean", "low", "high", (F.abs("mean") / F.nullif("sd", F.lit(0.0))).alias("signal_to_noise"))
+    ratio = F.when(F.col("sd") > ROUNDING * F.abs("mean"), F.abs("mean") / F.col("sd"))
+    return mean.join(ci, "event_t").select("event_t", "mean", "low", "high", ratio.alias("signal_to_noise"))
 
 
 def pretrend(points: DataFrame) -> DataFrame:

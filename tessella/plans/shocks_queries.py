@@ -119,7 +119,7 @@ def j8_shift_share(spark, sf):
 @query(f"""WITH {RESP}, c AS (SELECT shock, event_t, high - low AS c FROM resp WHERE high - low IS NOT NULL), d AS (SELECT *, unnest(range(1, 801))::INT AS draw FROM c), uu AS (SELECT *, ('0x' || substr(md5(draw || ':' || shock), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d),
 w AS (SELECT *, {POISSON} AS w FROM uu),
 mm AS (SELECT event_t, draw, sum(w * c) / nullif(sum(w), 0) AS m FROM w GROUP BY ALL), ci AS (SELECT event_t, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi, stddev_samp(m) AS sd FROM mm GROUP BY 1), me AS (SELECT event_t, avg(c) AS mean FROM c GROUP BY 1)
-SELECT event_t, round(mean, 6) AS mean, round(lo, 6) AS low, round(hi, 6) AS high, round(abs(mean) / nullif(sd, 0), 4) AS signal_to_noise FROM me JOIN ci USING (event_t)""")
+SELECT event_t, round(mean, 6) AS mean, round(lo, 6) AS low, round(hi, 6) AS high, round(CASE WHEN sd > {K.ROUNDING} * abs(mean) THEN abs(mean) / sd END, 4) AS signal_to_noise FROM me JOIN ci USING (event_t)""")
 def j13_envelope_bootstrap(spark, sf):
     return r(K.envelope_bootstrap(_response(spark, sf), 800).select("event_t", "mean", "low", "high", F.round("signal_to_noise", 4).alias("signal_to_noise")), "mean", "low", "high")
 
