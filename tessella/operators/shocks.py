@@ -131,10 +131,11 @@ def envelope_bootstrap(points: DataFrame, draws: int) -> DataFrame:
 
 
 def pretrend(points: DataFrame) -> DataFrame:
-    """By shock: slope of the contrast on event time before it, its t, largest size, and whether the slope's t is under 2."""
+    """By shock: slope of the contrast on event time before it, its t (null where nothing but rounding is left beside the slope), largest size, and whether the slope's t is under 2."""
     pre = points.filter("event_t < 0 AND contrast IS NOT NULL").groupBy("shock").agg(F.regr_slope("contrast", "event_t").alias("slope"), F.regr_sxx("contrast", "event_t").alias("sxx"), F.regr_syy("contrast", "event_t").alias("syy"), F.regr_sxy("contrast", "event_t").alias("sxy"), F.count("*").alias("n"), F.max(F.abs("contrast")).alias("largest"))
-    se = F.sqrt((F.col("syy") - F.col("sxy") ** 2 / F.nullif("sxx", F.lit(0.0))) / F.nullif(F.col("n") - 2, F.lit(0)) / F.nullif("sxx", F.lit(0.0)))
-    t = F.col("slope") / F.nullif(se, F.lit(0.0))
+    sxx = F.nullif("sxx", F.lit(0.0))
+    rest = F.col("syy") - F.col("sxy") ** 2 / sxx
+    t = F.col("slope") / F.sqrt(F.when(rest > ROUNDING * F.col("syy"), rest) / F.nullif(F.col("n") - 2, F.lit(0)) / sxx)
     return pre.select("shock", "n", "slope", t.alias("t"), "largest", (F.coalesce(F.abs(t), F.lit(0.0)) < 2).cast("int").alias("passed"))
 
 

@@ -124,8 +124,9 @@ def j13_envelope_bootstrap(spark, sf):
     return r(K.envelope_bootstrap(_response(spark, sf), 800).select("event_t", "mean", "low", "high", F.round("signal_to_noise", 4).alias("signal_to_noise")), "mean", "low", "high")
 
 
-@query(f"""WITH {RESP}, pre AS (SELECT shock, regr_slope(high - low, event_t) AS slope, regr_sxx(high - low, event_t) AS sxx, regr_syy(high - low, event_t) AS syy, regr_sxy(high - low, event_t) AS sxy, count(*) AS n, max(abs(high - low)) AS largest FROM resp WHERE event_t < 1 AND high - low IS NOT NULL GROUP BY 1)
-SELECT shock, n, round(slope, 6) AS slope, round(slope / nullif(sqrt((syy - sxy * sxy / nullif(sxx, 0)) / nullif(n - 2, 0) / nullif(sxx, 0)), 0), 4) AS t, round(largest, 6) AS largest, (coalesce(abs(slope / nullif(sqrt((syy - sxy * sxy / nullif(sxx, 0)) / nullif(n - 2, 0) / nullif(sxx, 0)), 0)), 0) < 2)::INT AS passed FROM pre""")
+@query(f"""WITH {RESP}, pre AS (SELECT shock, regr_slope(high - low, event_t) AS slope, regr_sxx(high - low, event_t) AS sxx, regr_syy(high - low, event_t) AS syy, regr_sxy(high - low, event_t) AS sxy, count(*) AS n, max(abs(high - low)) AS largest FROM resp WHERE event_t < 1 AND high - low IS NOT NULL GROUP BY 1),
+rest AS (SELECT *, syy - sxy * sxy / nullif(sxx, 0) AS rest FROM pre), tt AS (SELECT *, slope / sqrt(CASE WHEN rest > {K.ROUNDING} * syy THEN rest END / nullif(n - 2, 0) / sxx) AS t FROM rest)
+SELECT shock, n, round(slope, 6) AS slope, round(t, 4) AS t, round(largest, 6) AS largest, (coalesce(abs(t), 0) < 2)::INT AS passed FROM tt""")
 def j15_pretrend(spark, sf):
     """Event time 0 counts as before here, so that there are three points."""
     resp = _response(spark, sf).withColumn("event_t", F.col("event_t") - 1)
