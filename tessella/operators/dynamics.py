@@ -33,6 +33,12 @@ def pulse_state(panel: DataFrame) -> DataFrame:
     return m.select("unit", "t", "smooth", "velocity", "acceleration", "volatility", *[f"p_{n}" for n in raw], state.alias("state"))
 
 
+def growths(panel: DataFrame) -> DataFrame:
+    """``panel`` with growth, three-row volatility and next growth, and nothing that takes more than a unit's own rows."""
+    g = panel.withColumn("growth", F.col("value") - F.lag("value").over(own_order()))
+    return g.select("*", rolling(F.stddev_samp, F.col("growth"), own_order(), 3, 2).alias("vol_3"), F.lead("growth").over(own_order()).alias("growth_next"))
+
+
 def dynamics_table(panel: DataFrame, reference_end: int) -> DataFrame:
     """growth, acceleration, three-row volatility, two-row momentum, next growth, rank share in the period, z in the unit; stall and surge of the next growth by quantiles of the periods up to ``reference_end``."""
     g = panel.withColumn("growth", F.col("value") - F.lag("value").over(own_order()))

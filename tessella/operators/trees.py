@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import quantiles
@@ -28,30 +31,30 @@ def ordered(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def filled(train: DataFrame, others: list[DataFrame], xs: list[str]) -> list[DataFrame]:
-    """``train`` and the others with nulls and NaN of ``xs`` as the training median; a column without any value is 0."""
+    """``train`` and the others with nulls and NaN of ``xs`` as the training median; a column without any value is 0. Medians are taken of columns with gaps only."""
     known = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    medians = {c: quantiles(train.select(known(c).alias("x")), "x", [0.5])[0] or 0.0 for c in xs}
-    return [d.withColumns({c: F.coalesce(known(c), F.lit(medians[c])) for c in xs}) for d in (train, *others)]
+    every = reduce(DataFrame.union, [d.select(*[known(c).alias(c) for c in xs]) for d in (train, *others)])
+    gaps = every.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in xs]).first()
+    medians = {c: quantiles(train.select(known(c).alias("x")), "x", [0.5])[0] or 0.0 for c in xs if gaps[c]}
+    return [d.withColumns({c: F.coalesce(known(c), F.lit(medians.get(c))) for c in xs}) for d in (train, *others)]
 
 
 def with_vector(df: DataFrame, xs: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=xs, outputCol="_x").transform(df)
 
 
-def classified(train: DataFrame, tests: list[DataFrame], y: str, xs: list[str], learner: str, weight: Column, keys: list[str], trees: int) -> list[DataFrame]:
-    """``tests`` with p, the chance of y = 1 by a model of ``train``: ``logit``, ``forest`` or ``boosting``."""
-    rows = train.withColumn("_w", weight).withColumn("_y", F.col(y).cast("double"))
+def classifier(train: DataFrame, dealt: DataFrame, y: str, xs: list[str], learner: str, weight: str, trees: int) -> Callable[[DataFrame], DataFrame]:
+    """What adds to a table p, the chance of y = 1 by a model of ``train`` (``dealt``: the same rows in order, with _x and _y): ``logit``, ``forest`` or ``boosting``."""
     if learner == "logit":
-        beta = logistic(rows, y, xs, F.col("_w"))
-        return [t.withColumn("p", 1 / (1 + F.exp(-linear(beta, xs)))) for t in tests]
-    common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": "_w", "seed": SEED}
+        beta = logistic(train, y, xs, F.col(weight))
+        return lambda t: t.withColumn("p", 1 / (1 + F.exp(-linear(beta, xs))))
+    common = {"featuresCol": "_x", "labelCol": "_y", "weightCol": weight, "seed": SEED}
     if learner == "forest":
         model = RandomForestClassifier(numTrees=trees, maxDepth=8, minInstancesPerNode=10, **common)
     else:
         model = GBTClassifier(maxIter=trees, maxDepth=2, stepSize=0.1, subsamplingRate=0.9, **common)
-    fit = model.fit(ordered(with_vector(rows, xs), keys).select("_x", "_y", "_w"))
-    found = [fit.transform(with_vector(t, xs)) for t in tests]
-    return [f.withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction") for f in found]
+    fit = model.fit(dealt.select("_x", "_y", weight))
+    return lambda t: fit.transform(with_vector(t, xs)).withColumn("p", vector_to_array("probability")[1]).drop("_x", "rawPrediction", "probability", "prediction")
 
 
 def chosen_classifier(panel: DataFrame, y: str, xs: list[str], learners: tuple[str, ...] = ("logit", "forest", "boosting"), keys: tuple[str, ...] = ("unit", "t"), trees: int = 40) -> DataFrame:
@@ -60,26 +63,34 @@ def chosen_classifier(panel: DataFrame, y: str, xs: list[str], learners: tuple[s
 
     Rows without ``y`` go; nulls of ``xs`` are the median of the rows learned from. Needs three periods, and both classes to learn from, else no rows.
     """
-    d = Stages(panel.sparkSession, "classifier").cut(panel.filter(F.col(y).isNotNull()).select(*keys, y, *[F.col(c).cast("double").alias(c) for c in xs]), "rows")
+    stages = Stages(panel.sparkSession, "classifier")
+    d = stages.cut(panel.filter(F.col(y).isNotNull()).select(*keys, y, *[F.col(c).cast("double").alias(c) for c in xs]), "rows")
     times = [r.t for r in d.select("t").distinct().orderBy(F.desc("t")).limit(3).collect()]
     schema = "learner string, weights string, auc double, brier double, objective double, chosen int, test_auc double, test_brier double, n_train long"
     train = d.filter(F.col("t") < times[1]) if len(times) == 3 else d.limit(0)
     n, kinds = train.agg(F.count("*"), F.countDistinct(y)).first()
     if kinds < 2:
         return panel.sparkSession.createDataFrame([], schema)
-    train, check, test = filled(train, [d.filter(F.col("t") == times[1]), d.filter(F.col("t") == times[0])], xs)
+    weights = {"none": F.lit(1.0), "balanced": balanced_weights(train, y)}
+    train, *later = filled(train, [d.filter(F.col("t") == times[1]), d.filter(F.col("t") == times[0])], xs)
+    train = stages.cut(train.withColumns({"_y": F.col(y).cast("double")} | weights), "train")
+    check, test = (stages.cut(rows, name) for rows, name in zip(later, ("check", "test"), strict=True))  # a period each, read by every model
+    dealt = ordered(with_vector(train, xs), list(keys)).select("_x", "_y", *weights).persist()  # dealt and sorted once for all models
 
-    def figures(rows: DataFrame) -> tuple:
-        return (*auc(rows, y, "p").select("auc").first(), *rows.agg(F.avg(F.pow(F.col("p") - F.col(y), 2))).first())
+    def figures(score: Callable[[DataFrame], DataFrame], rows: DataFrame, name: str) -> tuple:
+        scored = stages.cut(score(rows).select(y, "p"), name)
+        return (*auc(scored, y, "p").select("auc").first(), *scored.agg(F.avg(F.pow(F.col("p") - F.col(y), 2))).first())
 
-    found = []
+    found, scores = [], {}
     for learner in learners:
-        for name, weight in (("none", F.lit(1.0)), ("balanced", balanced_weights(train, y))):
-            a, b = classified(train, [check, test], y, xs, learner, weight, list(keys), trees)
-            (auc_, brier), last = figures(a), figures(b)
-            found.append((learner, name, auc_, brier, None if auc_ is None else auc_ - BRIER * brier, *last))
+        for name in weights:
+            scores[learner, name] = classifier(train, dealt, y, xs, learner, name, trees)
+            auc_, brier = figures(scores[learner, name], check, f"{learner}_{name}")
+            found.append((learner, name, auc_, brier, None if auc_ is None else auc_ - BRIER * brier))
+    dealt.unpersist()
     best = max(found, key=lambda r: (-np.inf if r[4] is None else round(r[4], 9), [-ord(c) for c in r[0] + r[1]]))
-    rows = [(*r[:5], int(r is best), *(r[5:] if r is best else (None, None)), n) for r in found]
+    last = figures(scores[best[:2]], test, "last")
+    rows = [(*r, int(r is best), *(last if r is best else (None, None)), n) for r in found]
     return panel.sparkSession.createDataFrame(rows, schema)
 
 

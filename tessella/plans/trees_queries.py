@@ -16,8 +16,7 @@ from tessella.plans.shaping_queries import r
 def m11_tree_classifier(spark, sf):
     """Users' days: whether the next day's value falls, by five figures of the days so far."""
     p = V.panel_ud(spark, sf)
-    d = D.dynamics_table(p.withColumn("grp", F.lit("all")), 1 << 30).join(p.select("unit", "t", "n", "kinds"), ["unit", "t"])
-    rows = d.select("unit", "t", (F.col("growth_next") < 0).cast("int").alias("y"), "value", "growth", "vol_3", F.col("n").cast("double").alias("n"), F.col("kinds").cast("double").alias("kinds"))
+    rows = D.growths(p).select("unit", "t", (F.col("growth_next") < 0).cast("int").alias("y"), "value", "growth", "vol_3", F.col("n").cast("double").alias("n"), F.col("kinds").cast("double").alias("kinds"))
     return r(T.chosen_classifier(rows, "y", ["value", "growth", "vol_3", "n", "kinds"], trees=15), "auc", "brier", "objective", "test_auc", "test_brier", digits=4)
 
 

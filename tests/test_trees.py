@@ -34,6 +34,24 @@ def test_classifier_sees_interactions_and_reruns_agree(spark):
     assert T.chosen_classifier(df.limit(0), "y", ["a"]).count() == 0
 
 
+def test_rows_are_dealt_once_and_the_last_period_is_scored_once(spark, monkeypatch):
+    """Medians of columns with gaps only; of six models only the chosen one sees the last period."""
+    calls = {"ordered": [], "quantiles": [], "auc": []}
+    for name, seen in calls.items():
+        plain = getattr(T, name)
+        monkeypatch.setattr(T, name, lambda *a, plain=plain, seen=seen: (seen.append(a), plain(*a))[1])
+    assert T.chosen_classifier(spark.createDataFrame(panel(units=60), SCHEMA), "y", ["a", "b"], trees=3).count() == 6
+    assert {k: len(v) for k, v in calls.items()} == {"ordered": 1, "quantiles": 1, "auc": 7}
+
+
+def test_classifier_query_takes_no_table_of_all_units(spark, monkeypatch):
+    from tessella.operators import dynamics
+    from tessella.plans import registry
+
+    monkeypatch.setattr(dynamics, "dynamics_table", None)
+    assert registry.QUERIES["m11_tree_classifier"](spark, "/root/testdata/sf0.001").count() == 6
+
+
 def test_holdout_of_a_curved_panel(spark):
     rng, rows = random.Random(5), []
     for u in range(200):
