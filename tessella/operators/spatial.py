@@ -13,6 +13,8 @@ from tessella.functions.columns import haversine_km
 from tessella.sources.tables import Stages, spread
 
 KM_A_DEGREE = 111.19492664455873  # 6371 km * pi / 180
+#: For joins of tables with many rows of a unit: Spark's size check doesn't count the rows that explode makes, and would send them all through the driver.
+MERGED = "merge"
 
 
 def near_pairs(places: DataFrame, radius_km: float) -> DataFrame:
@@ -25,7 +27,7 @@ def near_pairs(places: DataFrame, radius_km: float) -> DataFrame:
     a = _around(places.select(F.col("unit").alias("src"), F.col("lat").alias("a"), F.col("lon").alias("b")), "a", "b", radius)
     b = _cell_of(places.select(F.col("unit").alias("dst"), F.col("lat").alias("c"), F.col("lon").alias("d")), "c", "d", radius)
     km = haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
-    return a.join(b, ["band", "cell"]).filter("src <> dst").select("src", "dst", km.alias("km")).filter(F.col("km") <= radius_km)
+    return a.join(b.hint(MERGED), ["band", "cell"]).filter("src <> dst").select("src", "dst", km.alias("km")).filter(F.col("km") <= radius_km)
 
 
 def _cell_of(df: DataFrame, lat: str, lon: str, radius: Column) -> DataFrame:
@@ -81,7 +83,7 @@ def _searches(places: DataFrame, most_km: float, k: int, floor_km: float, group:
     full = full.join(top, group) if group else full.crossJoin(top)
     bound = F.greatest(radius, F.lit(float(floor_km)))
     full = full.withColumn("_reach", F.when((F.col("_top") == F.col("_kth")) & (radius > floor_km * 1.01), radius).otherwise(1.0001 * bound * F.sqrt(F.col("_top") / F.col("_kth"))))
-    found = keyed.filter("mass > 0").join(full, square).groupBy("unit").agg(F.min("_reach").alias("_reach"))
+    found = keyed.filter("mass > 0").join(full.hint(MERGED), square).groupBy("unit").agg(F.min("_reach").alias("_reach"))
     level = sum((F.coalesce((F.lit(most_km / 2.0**i) >= F.col("_reach")).cast("int"), F.lit(0)) for i in range(1, HALVINGS + 1)), F.lit(0))
     return places.join(found, "unit", "left").withColumn("level", level).drop("_reach")
 
@@ -94,7 +96,7 @@ def _searched_pairs(searches: DataFrame, most_km: float, group: list[str], kept:
     b = kept.select(F.col("unit").alias("dst"), F.col("lat").alias("c"), F.col("lon").alias("d"), F.col("mass").alias("md"), *group).crossJoin(F.broadcast(used))  # at most 13 levels
     b = _cell_of(b, "c", "d", radius)
     km = haversine_km(F.col("a"), F.col("b"), F.col("c"), F.col("d"))
-    met = a.join(b, ["level", "band", "cell", *group]).filter("src <> dst").select("src", "dst", km.alias("km"), "ms", "md", "level")
+    met = a.join(b.hint(MERGED), ["level", "band", "cell", *group]).filter("src <> dst").select("src", "dst", km.alias("km"), "ms", "md", "level")
     return met.filter(F.col("km") <= F.when(F.col("level") == 0, F.lit(float(most_km))).otherwise(radius)).drop("level")
 
 

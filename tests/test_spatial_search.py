@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -52,6 +53,23 @@ def test_dense_places_search_less(spark):
         assert met < 120 * n
 
 
+def broadcast_keys(df):
+    """The left keys of the broadcast joins of the plan that ran."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    return {tuple(re.findall(r"(\w+)#", keys)) for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)}
+
+
+def small(spark):
+    """Places whose estimated size is far below what Spark broadcasts."""
+    return spark.range(500).select(F.col("id").alias("unit"), (F.col("id") % 3).alias("grp"), (F.rand(1) * 20).alias("lat"), (F.rand(2) * 20).alias("lon"), (F.col("id") % 5).cast("double").alias("mass"))
+
+
+def test_proxy_access_sends_no_rows_of_levels_through_the_driver(spark):
+    """Each place is a row for each of 13 levels: these are never a broadcast, whatever Spark's estimate of their size."""
+    assert not any("level" in keys for keys in broadcast_keys(spatial.proxy_access(small(spark), 1000.0, 3)))
+
+
 def test_fuzzy_match(spark):
     """Against the built-in distance on all pairs: ties, nulls, empty and long names, letters beyond the basic plane, and more than one tile on both sides."""
     draw = random.Random(3)
