@@ -74,6 +74,10 @@ def test_nearest_units_send_no_rows_of_levels_through_the_driver(spark):
     assert not any("level" in keys for keys in broadcast_keys(spatial.nearest_units(small(spark), 1000.0, 4)))
 
 
+def test_inverse_distance_sends_no_rows_of_levels_through_the_driver(spark):
+    assert not any("level" in keys for keys in broadcast_keys(spatial.inverse_distance(spatial.nearest_units(small(spark), 1000.0, 4))))
+
+
 def test_fuzzy_match(spark):
     """Against the built-in distance on all pairs: ties, nulls, empty and long names, letters beyond the basic plane, and more than one tile on both sides."""
     draw = random.Random(3)
