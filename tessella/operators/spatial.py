@@ -13,7 +13,7 @@ from tessella.functions.columns import haversine_km
 from tessella.sources.tables import Stages, spread
 
 KM_A_DEGREE = 111.19492664455873  # 6371 km * pi / 180
-#: For joins of tables with many rows of a unit: Spark's size check doesn't count the rows that explode makes, and would send them all through the driver.
+#: For joins of tables with all units, or many rows of each: Spark's size check goes by compressed files and doesn't count the rows that explode makes, and would send them all through the driver.
 MERGED = "merge"
 
 
@@ -128,9 +128,12 @@ def nearest_edges(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def standardised(edges: DataFrame, weight: Column) -> DataFrame:
-    w = edges.withColumn("w", weight)
-    return w.withColumn("w", F.col("w") / F.nullif(F.sum("w").over(Window.partitionBy("src")), F.lit(0.0)))
+def standardised(edges: DataFrame, weight: Column, *order: str) -> DataFrame:
+    """The weights over their sum for each source, added up in ``order`` (as the rows come, if none is named)."""
+    w, over = edges.withColumn("w", weight), Window.partitionBy("src")
+    if order:
+        over = over.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return w.withColumn("w", F.col("w") / F.nullif(F.sum("w").over(over), F.lit(0.0)))
 
 
 def inverse_distance(edges: DataFrame, floor_km: float = 1.0) -> DataFrame:
@@ -138,10 +141,11 @@ def inverse_distance(edges: DataFrame, floor_km: float = 1.0) -> DataFrame:
 
 
 def similarity_weights(edges: DataFrame, units: DataFrame, value: str, floor: float) -> DataFrame:
-    """1 / the gap of two units' values, at least ``floor``, adding to 1 for each source."""
+    """1 / the gap of two units' values, at least ``floor``, adding to 1 for each source; added up by km (where ``edges`` has it) and destination, so that reruns agree to the last digit."""
     v = units.select("unit", F.col(value).alias("v"))
-    both = edges.join(v.select(F.col("unit").alias("src"), F.col("v").alias("vs")), "src").join(v.select(F.col("unit").alias("dst"), F.col("v").alias("vd")), "dst")
-    return standardised(both, 1 / F.greatest(F.abs(F.col("vs") - F.col("vd")), F.lit(floor))).select("src", "dst", "w")
+    of = lambda end, name: v.select(F.col("unit").alias(end), F.col("v").alias(name)).hint(MERGED)
+    both = edges.join(of("src", "vs"), "src").join(of("dst", "vd"), "dst")
+    return standardised(both, 1 / F.greatest(F.abs(F.col("vs") - F.col("vd")), F.lit(floor)), *[c for c in ("km", "dst") if c in edges.columns]).select("src", "dst", "w")
 
 
 def top_edges(edges: DataFrame, k: int) -> DataFrame:

@@ -58,7 +58,7 @@ def e5_inverse_distance(spark, sf):
 
 @query(f"""WITH {PLACE_PAIRS}, g AS (SELECT n.src, n.dst, 1 / greatest(abs(a.mass - b.mass), 2) AS w FROM near n JOIN coords a ON n.src = a.unit JOIN coords b ON n.dst = b.unit) SELECT src, dst, round(w / sum(w) OVER (PARTITION BY src), 6) AS w FROM g""")
 def e6_similarity_weights(spark, sf):
-    return r(S.similarity_weights(_near_places(spark, sf).select("src", "dst"), V.places(spark, sf), "mass", 2.0), "w")
+    return r(S.similarity_weights(_near_places(spark, sf).select("src", "dst", "km"), V.places(spark, sf), "mass", 2.0), "w")
 
 
 @query(f"WITH {V.ROUTES} SELECT src, dst, w, row_number() OVER (PARTITION BY src ORDER BY w DESC, dst)::INT AS rank FROM routes QUALIFY row_number() OVER (PARTITION BY src ORDER BY w DESC, dst) <= 3")

@@ -78,6 +78,24 @@ def test_inverse_distance_sends_no_rows_of_levels_through_the_driver(spark):
     assert not any("level" in keys for keys in broadcast_keys(spatial.inverse_distance(spatial.nearest_units(small(spark), 1000.0, 4))))
 
 
+def test_similarity_weights_send_no_units_through_the_driver(spark):
+    """Neither the rows of levels nor the units' values, however small Spark thinks they are."""
+    df = small(spark)
+    keys = broadcast_keys(spatial.similarity_weights(spatial.nearest_units(df, 1000.0, 4).select("src", "dst"), df, "mass", 2.0))
+    assert not any({"level", "src", "dst"} & set(k) for k in keys)
+
+
+def test_similarity_weights_do_not_depend_on_the_order_of_edges(spark):
+    """To the last bit: 35 / 128 is half way between two numbers of six digits."""
+    units = spark.createDataFrame([(i, float(i % 17 + 1)) for i in range(200)], "unit long, mass double")
+    edges = [(i, (i * 7 + j * 31 + 1) % 200, float(j)) for i in range(200) for j in range(6)]
+    got = []
+    for rows in (edges, edges[::-1], random.Random(2).sample(edges, len(edges))):
+        df = spark.createDataFrame(rows, "src long, dst long, km double")
+        got.append(sorted(map(tuple, spatial.similarity_weights(df, units, "mass", 2.0).collect())))
+    assert got[0] == got[1] == got[2]
+
+
 def test_fuzzy_match(spark):
     """Against the built-in distance on all pairs: ties, nulls, empty and long names, letters beyond the basic plane, and more than one tile on both sides."""
     draw = random.Random(3)
