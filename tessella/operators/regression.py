@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.columns import keyed_draw, numbered
-from tessella.sources.tables import Stages
+from tessella.sources.tables import Stages, spread
 
 
 def two_way_within(df: DataFrame, columns: list[str], unit: str = "unit", period: str = "t", group: tuple[str, ...] = ()) -> DataFrame:
@@ -312,24 +312,29 @@ def schedule_permutation(panel: DataFrame, outcome: str, treatment: str, draws:
     A unit's cohort is its first treated period (9999: never); a draw reorders the cohorts over the units, so their numbers stay. p counts
     the observed schedule among the draws. Draws without variation are left out; without two cohorts, or with too few draws left (30, and
     30 %), the figures of the draws are null.
+
+    Units times draws are merge-joined, since Spark's size check counts the units alone and would send them all through the driver.
     """
-    d = panel.select("unit", cluster, "t", F.col(outcome).cast("double").alias("y"), F.col(treatment).cast("double").alias("x")).na.drop()
+    work = Stages(panel.sparkSession, "permutation")
+    d = work.cut(panel.select("unit", cluster, "t", F.col(outcome).cast("double").alias("y"), F.col(treatment).cast("double").alias("x")).na.drop(), "rows")
     cohorts = d.groupBy("unit").agg(F.coalesce(F.min(F.when(F.col("x") >= 0.5, F.col("t"))), F.lit(9999)).alias("cohort"))
-    kinds = cohorts.agg(F.countDistinct("cohort")).first()[0]
+    kinds, units = cohorts.agg(F.countDistinct("cohort"), F.count("*")).first()
     slots = numbered(cohorts, keyed_draw(F.lit(0), F.col("unit")), "unit", "_i").select("_i", "cohort")
-    each = cohorts.select("unit", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
-    dealt = numbered(each, keyed_draw(F.col("draw"), F.col("unit")), "unit", "_i", ("draw",)).join(slots, "_i").select("draw", "unit", "cohort")
+    each = spread(cohorts.select("unit"), units * draws, "unit").select("unit", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw"))
+    dealt = numbered(each, keyed_draw(F.col("draw"), F.col("unit")), "unit", "_i", ("draw",)).join(slots.hint("merge"), "_i").select("draw", "unit", "cohort")
     y = two_way_within(d, ["y"]).select("unit", F.col(cluster).alias("c"), "t", F.col("y_w").alias("y"))
     # a unit's few rows go along with its draws in one array: no row of a draw is shuffled or sorted, and the unit's mean is a count
     on = lambda t: (F.col("cohort") < 9999) & (t >= F.col("cohort"))
     rows = y.groupBy("unit").agg(F.collect_list(F.struct("c", "t", "y")).alias("rows"))
-    x = dealt.join(rows, "unit").select("draw", "cohort", (F.size(F.filter("rows", lambda row: on(row["t"]))) / F.size("rows")).alias("mean"), F.explode("rows").alias("row"))
-    x = x.select("draw", "row.*", on(F.col("row.t")).cast("double").alias("x"), "mean").withColumn("a", F.col("x") - F.col("mean"))
+    x = dealt.join(rows.hint("merge"), "unit").select("draw", "cohort", (F.size(F.filter("rows", lambda row: on(row["t"]))) / F.size("rows")).alias("mean"), F.explode("rows").alias("row"))
+    x = x.select("draw", "row.*", on(F.col("row.t")).cast("double").alias("x"), "mean")
+    # x less the unit's mean has few values: rows of a draw, cluster and period that are alike in it are counted, and only these counts are joined
+    alike = work.cut(x.groupBy("draw", "c", "t", "x", "mean").agg(F.count("*").alias("n"), F.sum("y").alias("y")), "alike")
     one = Window.partitionBy("draw")
-    period = x.groupBy("draw", "t").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    period = alike.groupBy("draw", "t").agg(F.sum(F.col("x") * F.col("n")).alias("s"), F.sum("n").alias("n"))
     period = period.select("draw", "t", (F.col("s") / F.col("n") - F.sum("s").over(one) / F.sum("n").over(one)).alias("p"))
-    w = x.join(period, ["draw", "t"]).select("draw", "c", "y", (F.col("a") - F.col("p")).alias("x"))
-    by = w.groupBy("draw", "c").agg(F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("n"))
+    w = alike.join(period, ["draw", "t"]).select("draw", "c", "y", "n", (F.col("x") - F.col("mean") - F.col("p")).alias("x"))
+    by = w.groupBy("draw", "c").agg(F.sum(F.col("n") * F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum("n").alias("n"))
     by = by.withColumn("b", F.sum("xy").over(one) / F.when(F.sum("xx").over(one) > 1e-9, F.sum("xx").over(one)))
     fit = by.groupBy("draw").agg(F.first("b").alias("b"), F.sum("xx").alias("xx"), F.sum((F.col("xy") - F.col("b") * F.col("xx")) ** 2).alias("m"), F.count("*").alias("g"), F.sum("n").alias("n")).filter("b IS NOT NULL")
     small = F.col("g") / F.greatest(F.col("g") - 1, F.lit(1))

@@ -360,6 +360,28 @@ def test_dealt_rows_are_not_sorted(spark):
     assert not [w for w in plan.split("windowspecdefinition(")[1:] if w.startswith("draw#") and w.split(", ")[1].startswith("unit#")]
 
 
+def test_rows_of_draws_are_not_broadcast(spark, monkeypatch):
+    """Units times draws, which Spark's size check takes for the units alone, are merge-joined: in the result's plan and in those of what is written on the way."""
+    import re
+
+    from tessella.functions.columns import keyed_draw, numbered
+    from tessella.sources.tables import Stages
+
+    keys = set()
+
+    def look(df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        keys.update(tuple(re.findall(r"(\w+)#", x)) for x in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan))
+
+    cut = Stages.cut
+    monkeypatch.setattr(Stages, "cut", lambda self, df, name: (look(df), cut(self, df, name))[1])
+    unit, t = F.expr("id div 4"), F.col("id") % 4
+    df = spark.range(48).select(unit.alias("unit"), (unit % 4).alias("cl"), t.cast("int").alias("t"), (unit * t % 7).cast("double").alias("y"), ((unit % 3 == 0) & (t >= 2)).cast("double").alias("did"))
+    look(regression.schedule_permutation(df, "y", "did", 30))
+    look(numbered(spark.range(12).selectExpr("id AS unit", "explode(sequence(1, 30)) AS draw"), keyed_draw(F.col("draw"), F.col("unit")), "unit", "_i", ("draw",)))
+    assert not keys & {("_i",), ("unit",), ("_range",), ("draw", "_range")}
+
+
 def test_parts_grow_with_the_rows(spark):
     from tessella.operators import spatial
     from tessella.sources.tables import spread
